@@ -178,14 +178,14 @@ def fit_encoder(train: DataFrame, order: Sequence[str], y: str = "target",
 
 
 def apply_encoder(df: DataFrame, state: dict, k: float = DEFAULT_SMOOTHING,
-                  horizons: Mapping[str, float] | None = None, max_state_rows: int = 5_000_000) -> DataFrame:
+                  horizons: Mapping[str, float] | None = None, max_state_bytes: int = 256 << 20) -> DataFrame:
     """D8 (apply): frozen encoder values, no update; unseen keys get ``g``.
 
     The state is joined by key; it is broadcast only after a size check.
     """
     horizons = dict(DEFAULT_HORIZONS if horizons is None else horizons)
-    g = state["global"].select(F.col("mean").alias("_g_frozen"))
-    out = df.crossJoin(F.broadcast(g))  # one row by construction
+    g = state["global"].first()["mean"]  # one aggregate value
+    out = df.withColumn("_g_frozen", F.lit(float(g)))
     for enc, tbl in state.items():
         if enc == "global" or not all(c in df.columns for c in enc):
             continue
@@ -193,7 +193,7 @@ def apply_encoder(df: DataFrame, state: dict, k: float = DEFAULT_SMOOTHING,
         ren = tbl
         for h in list(horizons) + ["n"]:
             ren = ren.withColumnRenamed(h, f"_{p}_{h}")
-        out = out.join(bounded_broadcast(ren, max_state_rows), list(enc), "left")
+        out = out.join(bounded_broadcast(ren, max_state_bytes), list(enc), "left")
         for h in horizons:
             out = out.withColumn(encoder_name(enc, h),
                                  shrink(F.coalesce(F.col(f"_{p}_n"), F.lit(0)), f"_{p}_{h}", "_g_frozen", k))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import CYCLICAL_PERIODS, cyclical
-from tidemark.plans.ordering import Sequenced, lags, rolling, running_moments, with_global_index
+from tidemark.plans.ordering import Sequenced, lags, rolling, running_moments, running_sums, with_global_index
 
 
 def with_cyclical(df: DataFrame, periods: Mapping[str, float] = CYCLICAL_PERIODS) -> DataFrame:
@@ -87,11 +87,7 @@ def warmup_mask(seq: Sequenced, y: str = "target", warmup: int = 100) -> Sequenc
     by a learner that has trained at least once (else the prior target mean).
     """
     w = max(int(warmup), 2)
-    s = with_global_index(seq, "_lidx", where=F.col(y).isNotNull())
-    s = s.with_df(s.df)
-    from tidemark.plans.ordering import running_sums
-
-    counted = running_sums(s, {"label_n": F.col(y).isNotNull().cast("int")}, inclusive=True)
+    counted = running_sums(seq, {"label_n": F.col(y).isNotNull().cast("long")}, inclusive=True)
     out = counted.df.select(
         *seq.df.columns, "label_n",
         (F.col(y).isNotNull() & (F.col("label_n") > w)).alias("learns"),

@@ -91,7 +91,7 @@ def _zone_side(zones: DataFrame, side: str) -> DataFrame:
 
 
 def with_zone_pair(df: DataFrame, zones: DataFrame, pu: str = "pu_zone", do: str = "do_zone",
-                   max_zone_rows: int = 1_000_000) -> DataFrame:
+                   max_zone_bytes: int = 64 << 20) -> DataFrame:
     """C4: geographic features of a (pickup, dropoff) zone pair.
 
     Two left lookups into the zone dimension, broadcast after a size check.
@@ -99,8 +99,8 @@ def with_zone_pair(df: DataFrame, zones: DataFrame, pu: str = "pu_zone", do: str
     0 for all three. Missing boroughs are ``Unknown``; ``same_borough`` is 1
     only for equal, known boroughs; airport flags default to 0.
     """
-    zp = bounded_broadcast(_zone_side(zones, "pu"), max_zone_rows)
-    zd = bounded_broadcast(_zone_side(zones, "do"), max_zone_rows)
+    zp = bounded_broadcast(_zone_side(zones, "pu"), max_zone_bytes)
+    zd = bounded_broadcast(_zone_side(zones, "do"), max_zone_bytes)
     j = (df.join(zp, F.col(pu).cast("string") == F.col("_pu_id"), "left")
            .join(zd, F.col(do).cast("string") == F.col("_do_id"), "left"))
     both = F.col("_pu_x").isNotNull() & F.col("_do_x").isNotNull()

@@ -37,3 +37,182 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rm.select("record_id", "gidx", r6("prediction").alias("prediction"), "n",
                      r6("mae").alias("mae"), r6("rmse").alias("rmse"), r6("r2").alias("r2"),
                      r6("rolling_mae").alias("rolling_mae"))
+
+
+# ---------------------------------------------------------------- B: cleaning
+from tidemark.operators import cleaning as cl  # noqa: E402
+from tidemark.sources import fixtures as fx  # noqa: E402
+
+KEYS = list(fx.RAW_TIE_BREAK)
+
+
+def _raw(spark, sf_dir):
+    return fx.raw_trips(spark, sf_dir)
+
+
+def _prepared(spark, sf_dir):
+    return cl.prepare_trips(_raw(spark, sf_dir), fx.RAW_MIN_S, fx.RAW_MAX_S, keep=KEYS + ["src_month"])
+
+
+@query("b01_duration")
+def b01(spark, sf_dir):
+    return cl.with_duration(_raw(spark, sf_dir)).select(*KEYS, r6("duration_s").alias("duration_s"))
+
+
+@query("b02_clean_trips")
+def b02(spark, sf_dir):
+    df = cl.clean_trips(cl.with_duration(_raw(spark, sf_dir)), fx.RAW_MIN_S, fx.RAW_MAX_S)
+    return df.select(*KEYS, r6("duration_s").alias("duration_s"))
+
+
+@query("b03_in_month")
+def b03(spark, sf_dir):
+    return cl.in_month(_raw(spark, sf_dir), "pickup", "src_month").select(*KEYS, "pickup", "src_month")
+
+
+@query("b04_calendar")
+def b04(spark, sf_dir):
+    t = fx.trips(spark, sf_dir)
+    return cl.with_calendar(t, "pickup_datetime").select(
+        "seq", "pickup_hour", "pickup_dayofweek", "pickup_month", "is_weekend", "is_rush_hour")
+
+
+@query("b05_normalize_ids")
+def b05(spark, sf_dir):
+    return cl.normalize_ids(_raw(spark, sf_dir)).select(*KEYS, "pu_zone", "do_zone", "ratecode", "passenger_count")
+
+
+@query("b06_route_km")
+def b06(spark, sf_dir):
+    return cl.with_route_km(_raw(spark, sf_dir)).select(*KEYS, r6("route_distance_km").alias("route_distance_km"))
+
+
+@query("b07_prepared_trips")
+def b07(spark, sf_dir):
+    p = _prepared(spark, sf_dir)
+    return p.select(*KEYS, *[r6(c).alias(c) if c in ("target_duration_s", "route_distance_km") else c
+                             for c in cl.PREPARED_COLUMNS])
+
+
+@query("b08_cap_per_month")
+def b08(spark, sf_dir):
+    p = _prepared(spark, sf_dir)
+    return cl.cap_per_group(p, "src_month", 100, 42, KEYS).select(*KEYS, "src_month")
+
+
+@query("b09_order_by_time")
+def b09(spark, sf_dir):
+    return cl.order_by_time(_prepared(spark, sf_dir), "pickup_datetime", KEYS).select(*KEYS, "pickup_datetime")
+
+
+@query("b10_sequential_id")
+def b10(spark, sf_dir):
+    from tidemark.plans.ordering import sequence
+
+    seq = sequence(_prepared(spark, sf_dir), ["pickup_datetime", *KEYS])
+    return cl.with_sequential_id(seq).df.select(*KEYS, "record_id")
+
+
+@query("b11_cleaning_report")
+def b11(spark, sf_dir):
+    raw = cl.with_duration(_raw(spark, sf_dir))
+    clean = cl.clean_trips(raw, fx.RAW_MIN_S, fx.RAW_MAX_S)
+    return cl.cleaning_report(raw, clean, "src_month")
+
+
+@query("b11_prepared_summary")
+def b11s(spark, sf_dir):
+    s = cl.prepared_summary(_prepared(spark, sf_dir))
+    return s.select("n", "first_ts", "last_ts", r6("mean_target").alias("mean_target"),
+                    r6("median_target").alias("median_target"))
+
+
+@query("b12_coerce")
+def b12(spark, sf_dir):
+    t = cl.with_calendar(fx.trips(spark, sf_dir), "pickup_datetime")
+    c = cl.coerce(t, numeric=["passenger_count", "pickup_hour"], categorical=["ratecode", "pu_zone"])
+    return c.select("seq", "passenger_count", "pickup_hour", "ratecode", "pu_zone")
+
+
+@query("b13_drop_features")
+def b13(spark, sf_dir):
+    from tidemark.plans.trips import trip_features
+
+    return cl.drop_features(trip_features(spark, sf_dir), ["pu_zone", "do_zone", "pickup_datetime", "record_id"])
+
+
+@query("b14_feature_set")
+def b14(spark, sf_dir):
+    p = cl.feature_set(_prepared(spark, sf_dir), use_route=True)
+    return p.select(*KEYS, r6("route_distance_km").alias("route_distance_km"))
+
+
+# ---------------------------------------------------------------- C: geography
+from tidemark.operators import geo  # noqa: E402
+from tidemark.sources.tables import read_table  # noqa: E402
+
+
+def _attrs(spark, sf_dir):
+    n = read_table(spark, sf_dir, "nation")
+    r = read_table(spark, sf_dir, "region")
+    return n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey).select(
+        F.col("n_nationkey").alias("id"), F.col("r_name").alias("borough"), F.col("n_name").alias("zone"))
+
+
+@query("c01_ring_centroids")
+def c01(spark, sf_dir):
+    r = geo.ring_centroids(fx.zone_vertices(spark, sf_dir))
+    return r.select("id", "part", "n_points", r6("cx").alias("cx"), r6("cy").alias("cy"), r6("area").alias("area"))
+
+
+@query("c02_polygon_centroids")
+def c02(spark, sf_dir):
+    p = geo.polygon_centroids(fx.zone_vertices(spark, sf_dir))
+    return p.select("id", r6("x").alias("x"), r6("y").alias("y"))
+
+
+@query("c03_zone_table")
+def c03(spark, sf_dir):
+    return geo.zone_table(geo.polygon_centroids(fx.zone_vertices(spark, sf_dir)), _attrs(spark, sf_dir))
+
+
+@query("c04_zone_pair")
+def c04(spark, sf_dir):
+    t = fx.trips(spark, sf_dir)
+    z = fx.zones(spark, sf_dir)
+    return geo.with_zone_pair(t, z).select(
+        "seq", "gc_distance_km", "bearing_sin", "bearing_cos", "same_borough", "pu_airport", "do_airport",
+        "pu_borough", "do_borough")
+
+
+@query("c05_zone_catalog")
+def c05(spark, sf_dir):
+    return geo.zone_catalog(fx.zones(spark, sf_dir))
+
+
+@query("c06_zone_distance")
+def c06(spark, sf_dir):
+    pairs = fx.trips(spark, sf_dir).select(F.col("pu_zone").alias("a"), F.col("do_zone").alias("b")).distinct()
+    d = geo.zone_distance(fx.zones(spark, sf_dir), pairs)
+    return d.select("a", "b", r6("distance_km").alias("distance_km"))
+
+
+def trip_requests(spark, sf_dir):
+    """Requests derived from trips, with some fields left out on purpose."""
+    t = fx.trips(spark, sf_dir)
+    ts = F.col("pickup_datetime")
+    return t.select(
+        "seq", "pu_zone", "do_zone",
+        F.when(F.col("ratecode") != "view", F.hour(ts)).alias("pickup_hour"),
+        F.weekday(ts).alias("pickup_dayofweek"),
+        F.when(F.col("ratecode") != "signup", F.month(ts)).alias("pickup_month"),
+        F.when(F.col("ratecode") != "click", F.col("passenger_count")).alias("passenger_count"),
+        F.when(F.col("ratecode") != "error", F.col("ratecode")).alias("ratecode"))
+
+
+@query("c07_trip_requests")
+def c07(spark, sf_dir):
+    f = geo.trip_requests_to_features(trip_requests(spark, sf_dir), fx.zones(spark, sf_dir))
+    return f.select("seq", "pickup_hour", "pickup_dayofweek", "pickup_month", "passenger_count", "ratecode",
+                    "is_weekend", "is_rush_hour", "gc_distance_km", "bearing_sin", "bearing_cos",
+                    "same_borough", "pu_airport", "do_airport", "pu_borough", "do_borough")

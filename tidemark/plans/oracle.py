@@ -73,3 +73,110 @@ SELECT record_id, gidx, round(prediction, 6) AS prediction, n,
        round(rolling_mae, 6) AS rolling_mae
 FROM m
 """
+
+
+# ---------------------------------------------------------------- B: cleaning
+K = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
+RAW_D = f"SELECT *, date_diff('microsecond', pickup, dropoff) / 1e6 AS duration_s FROM ({fx.RAW_TRIPS}) r"
+CLEAN = f"""SELECT * FROM ({RAW_D}) d WHERE duration_s BETWEEN 86400 AND 86400000
+  AND coalesce(passenger_count, 0) >= 1 AND trip_distance > 0
+  AND pu_id IS NOT NULL AND do_id IS NOT NULL AND ratecode_id IS NOT NULL"""
+PREPARED = f"""SELECT {K}, src_month, pickup AS pickup_datetime, duration_s AS target_duration_s,
+  CAST(hour(pickup) AS INTEGER) AS pickup_hour, CAST(isodow(pickup) - 1 AS INTEGER) AS pickup_dayofweek,
+  CAST(month(pickup) AS INTEGER) AS pickup_month,
+  CAST(CASE WHEN isodow(pickup) - 1 >= 5 THEN 1 ELSE 0 END AS INTEGER) AS is_weekend,
+  CAST(CASE WHEN hour(pickup) IN (7, 8, 9, 16, 17, 18, 19) THEN 1 ELSE 0 END AS INTEGER) AS is_rush_hour,
+  CAST(passenger_count AS INTEGER) AS passenger_count,
+  greatest(trip_distance * 1.60934, 0e0) AS route_distance_km,
+  CAST(CAST(pu_id AS INTEGER) AS VARCHAR) AS pu_zone, CAST(CAST(do_id AS INTEGER) AS VARCHAR) AS do_zone,
+  CAST(CAST(ratecode_id AS INTEGER) AS VARCHAR) AS ratecode
+FROM ({CLEAN}) c"""
+
+ORACLE_SQL["b01_duration"] = f"SELECT {K}, round(duration_s, 6) AS duration_s FROM ({RAW_D}) x"
+ORACLE_SQL["b02_clean_trips"] = f"SELECT {K}, round(duration_s, 6) AS duration_s FROM ({CLEAN}) x"
+ORACLE_SQL["b03_in_month"] = f"""SELECT {K}, pickup, src_month FROM ({fx.RAW_TRIPS}) r
+WHERE pickup >= src_month AND pickup < src_month + INTERVAL 1 MONTH"""
+ORACLE_SQL["b04_calendar"] = f"""SELECT seq, pickup_hour, pickup_dayofweek, pickup_month, is_weekend, is_rush_hour
+FROM ({features_sql()}) f"""
+ORACLE_SQL["b05_normalize_ids"] = f"""SELECT {K}, CAST(CAST(pu_id AS INTEGER) AS VARCHAR) AS pu_zone,
+  CAST(CAST(do_id AS INTEGER) AS VARCHAR) AS do_zone, CAST(CAST(ratecode_id AS INTEGER) AS VARCHAR) AS ratecode,
+  CAST(passenger_count AS INTEGER) AS passenger_count FROM ({fx.RAW_TRIPS}) r"""
+ORACLE_SQL["b06_route_km"] = f"""SELECT {K}, round(greatest(trip_distance * 1.60934, 0e0), 6) AS route_distance_km
+FROM ({fx.RAW_TRIPS}) r"""
+ORACLE_SQL["b07_prepared_trips"] = f"""SELECT {K}, pickup_datetime, round(target_duration_s, 6) AS target_duration_s,
+  pickup_hour, pickup_dayofweek, pickup_month, is_weekend, is_rush_hour, passenger_count,
+  round(route_distance_km, 6) AS route_distance_km, pu_zone, do_zone, ratecode FROM ({PREPARED}) p"""
+ORACLE_SQL["b08_cap_per_month"] = f"""SELECT {K}, src_month FROM (
+  SELECT *, row_number() OVER (PARTITION BY src_month ORDER BY md5(concat_ws('|', CAST(l_orderkey AS VARCHAR),
+    CAST(l_linenumber AS VARCHAR), CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR), '42')), {K}) AS rk
+  FROM ({PREPARED}) p) x WHERE rk <= 100"""
+ORACLE_SQL["b09_order_by_time"] = f"SELECT {K}, pickup_datetime FROM ({PREPARED}) p ORDER BY pickup_datetime, {K}"
+ORACLE_SQL["b10_sequential_id"] = f"""SELECT {K}, concat('taxi-', CAST(row_number() OVER (ORDER BY pickup_datetime, {K}) - 1 AS VARCHAR)) AS record_id
+FROM ({PREPARED}) p"""
+ORACLE_SQL["b11_cleaning_report"] = f"""SELECT b.src_month, b.rows_before, coalesce(a.rows_after, 0) AS rows_after,
+  round(coalesce(a.rows_after, 0) * 100.0e0 / greatest(b.rows_before, 1), 1) AS pct_kept
+FROM (SELECT src_month, count(*) AS rows_before FROM ({RAW_D}) r GROUP BY src_month) b
+LEFT JOIN (SELECT src_month, count(*) AS rows_after FROM ({CLEAN}) c GROUP BY src_month) a USING (src_month)"""
+ORACLE_SQL["b11_prepared_summary"] = f"""SELECT count(*) AS n, min(pickup_datetime) AS first_ts, max(pickup_datetime) AS last_ts,
+  round(avg(target_duration_s), 6) AS mean_target, round(quantile_cont(target_duration_s, 0.5), 6) AS median_target
+FROM ({PREPARED}) p"""
+ORACLE_SQL["b12_coerce"] = f"""SELECT seq, CAST(passenger_count AS DOUBLE) AS passenger_count,
+  CAST(pickup_hour AS DOUBLE) AS pickup_hour, ratecode, pu_zone FROM ({features_sql()}) f"""
+ORACLE_SQL["b13_drop_features"] = f"""SELECT seq, target, ratecode, passenger_count, gc_distance_km, bearing_sin,
+  bearing_cos, same_borough, pu_airport, do_airport, pu_borough, do_borough, pickup_hour, pickup_dayofweek,
+  pickup_month, is_weekend, is_rush_hour FROM ({features_sql()}) f"""
+ORACLE_SQL["b14_feature_set"] = f"""SELECT {K}, round(coalesce(route_distance_km, 0e0), 6) AS route_distance_km
+FROM ({PREPARED}) p"""
+
+# ---------------------------------------------------------------- C: geography
+RINGS = f"""
+SELECT id, part, n_points,
+  CASE WHEN abs(coalesce(a, 0)) < 1e-9 THEN mx ELSE sx / (6 * a) END AS cx,
+  CASE WHEN abs(coalesce(a, 0)) < 1e-9 THEN my ELSE sy / (6 * a) END AS cy,
+  CASE WHEN abs(coalesce(a, 0)) < 1e-9 THEN 0e0 ELSE abs(a) END AS area
+FROM (
+  SELECT id, part, count(*) AS n_points, sum(x * y1 - x1 * y) * 0.5e0 AS a,
+         sum((x + x1) * (x * y1 - x1 * y)) AS sx, sum((y + y1) * (x * y1 - x1 * y)) AS sy,
+         avg(x) AS mx, avg(y) AS my
+  FROM (SELECT *, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM ({fx.VERTICES}) v
+        WINDOW w AS (PARTITION BY id, part ORDER BY seq)) e
+  GROUP BY id, part) s
+"""
+POLY = f"""
+SELECT m.id, CASE WHEN coalesce(w.ta, 0) = 0 THEN m.mx ELSE w.sx / w.ta END AS x,
+       CASE WHEN coalesce(w.ta, 0) = 0 THEN m.my ELSE w.sy / w.ta END AS y
+FROM (SELECT id, avg(x) AS mx, avg(y) AS my FROM ({fx.VERTICES}) v GROUP BY id) m
+LEFT JOIN (SELECT id, sum(cx * area) AS sx, sum(cy * area) AS sy, sum(area) AS ta
+           FROM ({RINGS}) r WHERE n_points >= 3 GROUP BY id) w USING (id)
+"""
+ORACLE_SQL["c01_ring_centroids"] = f"""SELECT id, part, n_points, round(cx, 6) AS cx, round(cy, 6) AS cy,
+  round(area, 6) AS area FROM ({RINGS}) r"""
+ORACLE_SQL["c02_polygon_centroids"] = f"SELECT id, round(x, 6) AS x, round(y, 6) AS y FROM ({POLY}) p"
+ORACLE_SQL["c03_zone_table"] = f"""SELECT n_nationkey AS location_id, trim(r_name) AS borough,
+  replace(trim(n_name), ',', ' ') AS zone, round(p.x * 0.0003048, 4) AS x_km, round(p.y * 0.0003048, 4) AS y_km,
+  CAST(contains(lower(trim(n_name)), 'airport') AS INTEGER) AS is_airport
+FROM nation JOIN region ON n_regionkey = r_regionkey JOIN ({POLY}) p ON p.id = n_nationkey ORDER BY location_id"""
+ORACLE_SQL["c04_zone_pair"] = f"""SELECT seq, gc_distance_km, bearing_sin, bearing_cos, same_borough, pu_airport,
+  do_airport, pu_borough, do_borough FROM ({features_sql()}) f"""
+ORACLE_SQL["c05_zone_catalog"] = f"SELECT location_id AS id, zone, borough FROM ({fx.ZONES}) z ORDER BY borough, zone"
+ORACLE_SQL["c06_zone_distance"] = f"""SELECT p.a, p.b,
+  round(sqrt((zb.x_km - za.x_km) * (zb.x_km - za.x_km) + (zb.y_km - za.y_km) * (zb.y_km - za.y_km)), 6) AS distance_km
+FROM (SELECT DISTINCT pu_zone AS a, do_zone AS b FROM ({fx.TRIPS}) t) p
+JOIN ({fx.ZONES}) za ON p.a = za.location_id JOIN ({fx.ZONES}) zb ON p.b = zb.location_id"""
+
+REQUESTS = f"""
+SELECT seq, pu_zone, do_zone,
+  CAST(coalesce(CASE WHEN ratecode <> 'view' THEN hour(pickup_datetime) END, 18) AS INTEGER) AS pickup_hour,
+  CAST(coalesce(isodow(pickup_datetime) - 1, 2) AS INTEGER) AS pickup_dayofweek,
+  CAST(coalesce(CASE WHEN ratecode <> 'signup' THEN month(pickup_datetime) END, 2) AS INTEGER) AS pickup_month,
+  CAST(coalesce(CASE WHEN ratecode <> 'click' THEN passenger_count END, 1) AS INTEGER) AS passenger_count,
+  coalesce(CASE WHEN ratecode <> 'error' THEN ratecode END, '1') AS ratecode
+FROM ({fx.TRIPS}) t
+"""
+ORACLE_SQL["c07_trip_requests"] = f"""
+SELECT r.seq, r.pickup_hour, r.pickup_dayofweek, r.pickup_month, r.passenger_count, r.ratecode,
+  CAST(CASE WHEN r.pickup_dayofweek >= 5 THEN 1 ELSE 0 END AS INTEGER) AS is_weekend,
+  CAST(CASE WHEN r.pickup_hour IN (7, 8, 9, 16, 17, 18, 19) THEN 1 ELSE 0 END AS INTEGER) AS is_rush_hour,
+  f.gc_distance_km, f.bearing_sin, f.bearing_cos, f.same_borough, f.pu_airport, f.do_airport, f.pu_borough, f.do_borough
+FROM ({REQUESTS}) r JOIN ({features_sql()}) f USING (seq)
+"""

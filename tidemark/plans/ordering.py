@@ -225,7 +225,18 @@ def lags(df: DataFrame, idx: str, cols: Mapping[str, tuple[str, int]],
     return out.where(~F.col("_halo")).drop("_blk", "_halo")
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """Broadcast ``df`` only after checking it has at most ``max_rows`` rows."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate of ``df`` (no job runs). For scans it comes
+    from file sizes, for joins it is an upper bound."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+
+
+def bounded_broadcast(df: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
+    """Broadcast ``df`` only when its estimated size is at most ``max_bytes``;
+    otherwise leave the join strategy to Spark (AQE can still switch at run
+    time on the measured size)."""
+    try:
+        size = estimated_bytes(df)
+    except Exception:  # estimate unavailable (e.g. remote session): do not force
+        return df
+    return F.broadcast(df) if size <= max_bytes else df
