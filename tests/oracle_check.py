@@ -25,7 +25,7 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return None
-        return round(v, 5)
+        return round(v, 5) + 0.0
     if isinstance(v, (pd.Timestamp,)):
         return v.to_pydatetime().replace(tzinfo=None)
     if hasattr(v, "item") and not isinstance(v, (str, bytes)):

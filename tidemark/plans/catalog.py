@@ -216,3 +216,101 @@ def c07(spark, sf_dir):
     return f.select("seq", "pickup_hour", "pickup_dayofweek", "pickup_month", "passenger_count", "ratecode",
                     "is_weekend", "is_rush_hour", "gc_distance_km", "bearing_sin", "bearing_cos",
                     "same_borough", "pu_airport", "do_airport", "pu_borough", "do_borough")
+
+
+# ---------------------------------------------------------------- D: features and encoders
+from tidemark.operators import encoders as en  # noqa: E402
+from tidemark.operators import features as fe  # noqa: E402
+from tidemark.plans.trips import sequenced_trips as _seq_trips  # noqa: E402
+from tidemark.plans.trips import trip_features  # noqa: E402
+
+TE_COLS = [en.encoder_name(e, h) for e in en.DEFAULT_ENCODERS for h in en.DEFAULT_HORIZONS]
+
+
+@query("d01_cyclical")
+def d01(spark, sf_dir):
+    f = fe.with_cyclical(trip_features(spark, sf_dir))
+    cols = [f"{c}_{s}" for c in ("pickup_hour", "pickup_dayofweek", "pickup_month") for s in ("sin", "cos")]
+    return f.select("seq", *[r6(c).alias(c) for c in cols])
+
+
+@query("d02_running_stats")
+def d02(spark, sf_dir):
+    s = fe.running_stats(trip_features(spark, sf_dir), ["passenger_count", "pickup_hour", "gc_distance_km", "target"])
+    return s.select("feature", r6("mean").alias("mean"), r6("std").alias("std"), "n")
+
+
+@query("d02_running_stats_prefix")
+def d02p(spark, sf_dir):
+    s = fe.running_stats_prefix(_seq_trips(spark, sf_dir, indexed=False), "passenger_count")
+    return s.df.select("seq", r6("passenger_count_run_mean").alias("run_mean"),
+                       r6("passenger_count_run_std").alias("run_std"), F.col("passenger_count_run_n").alias("run_n"))
+
+
+@query("d03_prior_global_mean")
+def d03(spark, sf_dir):
+    s = en.prior_global_mean(_seq_trips(spark, sf_dir, indexed=False))
+    return s.df.select("seq", r6("g").alias("g"))
+
+
+@query("d04_encode_long")
+def d04(spark, sf_dir):
+    s = en.encode_long(_seq_trips(spark, sf_dir, indexed=False), ["pu_zone", "do_zone"], prefix="te")
+    return s.df.select("seq", F.col("te_n").alias("n"), r6("te_long").alias("long"))
+
+
+@query("d05_encode_ewma")
+def d05(spark, sf_dir):
+    df = en.encode_ewma(_seq_trips(spark, sf_dir, indexed=False), ["do_zone"], prefix="te")
+    return df.select("seq", F.col("te_n").alias("n"), r6("te_med").alias("med"), r6("te_short").alias("short"))
+
+
+@query("d06_shrink")
+def d06(spark, sf_dir):
+    s = memory_predictions(_seq_trips(spark, sf_dir, indexed=False))
+    return s.df.select("seq", r6("g").alias("g"), F.col("te_pair_n").alias("n"),
+                       r6("prediction").alias("te_pu_zone_do_zone_long"))
+
+
+@query("d07_multi_encode")
+def d07(spark, sf_dir):
+    df = en.multi_encode(_seq_trips(spark, sf_dir, indexed=False))
+    return df.select("seq", *[r6(c).alias(c) for c in TE_COLS])
+
+
+def frozen_split(spark, sf_dir, frac=0.8):
+    seq = _seq_trips(spark, sf_dir)
+    return ev.time_split(seq, frac)
+
+
+@query("d08_frozen_encoder")
+def d08(spark, sf_dir):
+    train, hold = frozen_split(spark, sf_dir)
+    state = en.fit_encoder(train, ["pickup_datetime", "seq"])
+    out = en.apply_encoder(hold, state)
+    return out.select("seq", r6("g_frozen").alias("g_frozen"), *[r6(c).alias(c) for c in TE_COLS])
+
+
+@query("d10_target_scale")
+def d10(spark, sf_dir):
+    s = fe.target_scale(_seq_trips(spark, sf_dir, indexed=False))
+    return s.df.select("seq", r6("t_mean_prior").alias("t_mean_prior"), r6("t_std_prior").alias("t_std_prior"),
+                       r6("y_scaled").alias("y_scaled"))
+
+
+@query("d11_warmup_mask")
+def d11(spark, sf_dir):
+    s = fe.warmup_mask(_seq_trips(spark, sf_dir, 10, indexed=False), warmup=100)
+    return s.df.select("seq", "label_n", "learns", "model_active")
+
+
+@query("d12_lags")
+def d12(spark, sf_dir):
+    df = fe.with_lags(_seq_trips(spark, sf_dir, indexed=False))
+    return df.select("seq", "target_lag1", "target_lag2", "target_lag3")
+
+
+@query("d12_rolling_mean")
+def d12r(spark, sf_dir):
+    df = fe.with_rolling_mean(_seq_trips(spark, sf_dir, indexed=False), w=50)
+    return df.select("seq", r6("target_roll50").alias("target_roll50"))

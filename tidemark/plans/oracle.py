@@ -11,6 +11,11 @@ PRIOR = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 UPTO = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 
 
+def R6(x: str) -> str:
+    """Round to 6 decimals as Spark does (no negative zero)."""
+    return f"(round({x}, 6) + 0e0)"
+
+
 def features_sql(trips_sql: str = fx.TRIPS) -> str:
     """Trips with zone-pair and calendar features (C4 + B4)."""
     return f"""
@@ -180,3 +185,97 @@ SELECT r.seq, r.pickup_hour, r.pickup_dayofweek, r.pickup_month, r.passenger_cou
   f.gc_distance_km, f.bearing_sin, f.bearing_cos, f.same_borough, f.pu_airport, f.do_airport, f.pu_borough, f.do_borough
 FROM ({REQUESTS}) r JOIN ({features_sql()}) f USING (seq)
 """
+
+
+# ---------------------------------------------------------------- D: features and encoders
+FEAT = features_sql()
+
+
+def _cyc(c, p):
+    a = f"2 * pi() * fmod(CAST({c} AS DOUBLE), {p}e0) / {p}e0"
+    return f"round(sin({a}), 6) + 0e0 AS {c}_sin, round(cos({a}), 6) + 0e0 AS {c}_cos"
+
+
+ORACLE_SQL["d01_cyclical"] = f"""SELECT seq, {_cyc('pickup_hour', 24)}, {_cyc('pickup_dayofweek', 7)},
+  {_cyc('pickup_month', 12)} FROM ({FEAT}) f"""
+ORACLE_SQL["d02_running_stats"] = " UNION ALL ".join(
+    f"""SELECT '{c}' AS feature, round(avg(CAST({c} AS DOUBLE)), 6) AS mean,
+  round(CASE WHEN count({c}) >= 2 THEN stddev_pop(CAST({c} AS DOUBLE)) ELSE 0e0 END, 6) AS std,
+  count({c}) AS n FROM ({FEAT}) f""" for c in ("passenger_count", "pickup_hour", "gc_distance_km", "target"))
+ORACLE_SQL["d02_running_stats_prefix"] = f"""SELECT seq, round(avg(passenger_count) OVER w, 6) AS run_mean,
+  round(CASE WHEN count(passenger_count) OVER w >= 2 THEN stddev_pop(passenger_count) OVER w ELSE 0e0 END, 6) AS run_std,
+  count(passenger_count) OVER w AS run_n FROM ({FEAT}) f WINDOW w AS ({W_ALL} {UPTO})"""
+ORACLE_SQL["d03_prior_global_mean"] = f"""SELECT seq, round(coalesce(avg(target) OVER ({W_ALL} {PRIOR}), 0e0), 6) AS g
+FROM ({FEAT}) f"""
+ORACLE_SQL["d04_encode_long"] = f"""SELECT seq, count(target) OVER w AS n, round(avg(target) OVER w, 6) AS long
+FROM ({FEAT}) f WINDOW w AS (PARTITION BY pu_zone, do_zone {W_ALL} {PRIOR})"""
+
+
+def _ewma(alpha, part, src="target"):
+    lst = f"list({src}) OVER (PARTITION BY {part} {W_ALL} {PRIOR})"
+    return (f"CASE WHEN count({src}) OVER (PARTITION BY {part} {W_ALL} {PRIOR}) > 0 THEN "
+            f"list_reduce(list_filter({lst}, lambda x: x IS NOT NULL), lambda acc, y: acc + {alpha} * (y - acc)) END")
+
+
+ORACLE_SQL["d05_encode_ewma"] = f"""SELECT seq, count(target) OVER (PARTITION BY do_zone {W_ALL} {PRIOR}) AS n,
+  round({_ewma(0.05, 'do_zone')}, 6) AS med, round({_ewma(0.3, 'do_zone')}, 6) AS short FROM ({FEAT}) f"""
+ORACLE_SQL["d06_shrink"] = f"""SELECT seq, round(g, 6) AS g, pn AS n, round(prediction, 6) AS te_pu_zone_do_zone_long
+FROM ({scored_sql()}) s"""
+
+ENCODERS = [("pu_zone", "do_zone"), ("do_zone",), ("pu_borough", "do_borough", "pickup_hour")]
+HORIZONS = [("long", 0.0), ("med", 0.05), ("short", 0.3)]
+
+
+def _te_cols(k=20.0):
+    cols = []
+    for e in ENCODERS:
+        part = ", ".join(e)
+        name = "te_" + "_".join(e)
+        n = f"count(target) OVER (PARTITION BY {part} {W_ALL} {PRIOR})"
+        for h, a in HORIZONS:
+            v = f"avg(target) OVER (PARTITION BY {part} {W_ALL} {PRIOR})" if a == 0 else _ewma(a, part)
+            cols.append(f"round(CASE WHEN {n} > 0 THEN ({n} * ({v}) + {k}e0 * g) / ({n} + {k}e0) ELSE g END, 6) AS {name}_{h}")
+    return ",\n  ".join(cols)
+
+
+ORACLE_SQL["d07_multi_encode"] = f"""SELECT seq, {_te_cols()}
+FROM (SELECT *, coalesce(avg(target) OVER ({W_ALL} {PRIOR}), 0e0) AS g FROM ({FEAT}) f) x"""
+
+
+def _frozen_sql(frac=0.8, k=20.0):
+    indexed = f"SELECT *, row_number() OVER ({W_ALL}) - 1 AS gidx, count(*) OVER () AS total FROM ({FEAT}) f"
+    states = []
+    sel = []
+    for i, e in enumerate(ENCODERS):
+        keys = ", ".join(e)
+        aggs = []
+        for h, a in HORIZONS:
+            if a == 0:
+                aggs.append(f"avg(target) AS {h}")
+            else:
+                aggs.append(f"list_reduce(list(target ORDER BY pickup_datetime, seq), lambda acc, y: acc + {a} * (y - acc)) AS {h}")
+        states.append(f"LEFT JOIN (SELECT {keys}, count(target) AS n, {', '.join(aggs)} FROM train WHERE target IS NOT NULL GROUP BY {keys}) s{i} USING ({keys})")
+        for h, _ in HORIZONS:
+            sel.append(f"round(CASE WHEN coalesce(s{i}.n, 0) > 0 THEN (s{i}.n * s{i}.{h} + {k}e0 * gf.g) / (s{i}.n + {k}e0) ELSE gf.g END, 6) AS te_{'_'.join(e)}_{h}")
+    return f"""WITH ix AS ({indexed}),
+train AS (SELECT * FROM ix WHERE gidx < floor(total * {frac})),
+hold AS (SELECT * FROM ix WHERE gidx >= floor(total * {frac})),
+gf AS (SELECT coalesce(avg(target), 0e0) AS g FROM train)
+SELECT h.seq, round(gf.g, 6) AS g_frozen, {', '.join(sel)}
+FROM hold h CROSS JOIN gf {' '.join(states)}"""
+
+
+ORACLE_SQL["d08_frozen_encoder"] = _frozen_sql()
+ORACLE_SQL["d10_target_scale"] = f"""SELECT seq,
+  round(coalesce(avg(target) OVER wp, 0e0), 6) AS t_mean_prior,
+  round(CASE WHEN count(target) OVER wp >= 2 AND stddev_pop(target) OVER wp > 1e-9 THEN stddev_pop(target) OVER wp ELSE 1e0 END, 6) AS t_std_prior,
+  round(CASE WHEN target IS NOT NULL THEN (target - avg(target) OVER wi) /
+    (CASE WHEN count(target) OVER wi >= 2 AND stddev_pop(target) OVER wi > 1e-9 THEN stddev_pop(target) OVER wi ELSE 1e0 END) END, 6) AS y_scaled
+FROM ({FEAT}) f WINDOW wp AS ({W_ALL} {PRIOR}), wi AS ({W_ALL} {UPTO})"""
+ORACLE_SQL["d11_warmup_mask"] = f"""SELECT seq, label_n, (target IS NOT NULL AND label_n > 100) AS learns,
+  (label_n - CASE WHEN target IS NOT NULL THEN 1 ELSE 0 END) > 100 AS model_active
+FROM (SELECT *, count(target) OVER ({W_ALL} {UPTO}) AS label_n FROM ({features_sql(fx.TRIPS_GAPPED)}) f) x"""
+ORACLE_SQL["d12_lags"] = f"""SELECT seq, lag(target, 1) OVER w AS target_lag1, lag(target, 2) OVER w AS target_lag2,
+  lag(target, 3) OVER w AS target_lag3 FROM ({FEAT}) f WINDOW w AS ({W_ALL})"""
+ORACLE_SQL["d12_rolling_mean"] = f"""SELECT seq, round(avg(target) OVER ({W_ALL} ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING), 6) AS target_roll50
+FROM ({FEAT}) f"""
