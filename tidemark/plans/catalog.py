@@ -314,3 +314,188 @@ def d12(spark, sf_dir):
 def d12r(spark, sf_dir):
     df = fe.with_rolling_mean(_seq_trips(spark, sf_dir, indexed=False), w=50)
     return df.select("seq", r6("target_roll50").alias("target_roll50"))
+
+
+# ---------------------------------------------------------------- F: evaluation
+def _scored(spark, sf_dir):
+    return scored_trips(spark, sf_dir)
+
+
+@query("f01_prequential")
+def f01(spark, sf_dir):
+    pq = ev.prequential(_scored(spark, sf_dir))
+    return pq.df.select("seq", "n", r6("mae").alias("mae"), r6("rmse").alias("rmse"), r6("r2").alias("r2"))
+
+
+@query("f02_rolling_metrics")
+def f02(spark, sf_dir):
+    rm = ev.rolling_metrics(_scored(spark, sf_dir))
+    return rm.select("seq", "lidx", r6("rolling_mae").alias("rolling_mae"), r6("rolling_rmse").alias("rolling_rmse"),
+                     r6("rolling_r2").alias("rolling_r2"))
+
+
+@query("f03_snapshot")
+def f03(spark, sf_dir):
+    rm = ev.rolling_metrics(ev.prequential(_scored(spark, sf_dir)))
+    s = ev.snapshot(rm)
+    return s.select(*[r6(c).alias(c) for c in ("mae", "rmse", "r2", "rolling_mae", "rolling_rmse", "rolling_r2")], "n")
+
+
+def _holdout_memory(spark, sf_dir):
+    train, hold = frozen_split(spark, sf_dir)
+    state = en.fit_encoder(train, ["pickup_datetime", "seq"], encoders=[("pu_zone", "do_zone")],
+                           horizons={"long": 0.0})
+    return en.apply_encoder(hold, state, horizons={"long": 0.0}).withColumn(
+        "prediction", F.col("te_pu_zone_do_zone_long"))
+
+
+@query("f04_holdout_metrics")
+def f04(spark, sf_dir):
+    m = ev.holdout_metrics(_holdout_memory(spark, sf_dir))
+    return m.select(r6("mae").alias("mae"), r6("rmse").alias("rmse"), r6("r2").alias("r2"), "n")
+
+
+@query("f05_segment_mae")
+def f05(spark, sf_dir):
+    return ev.segment_mae(_scored(spark, sf_dir).df, "pu_borough")
+
+
+@query("f06_rolling_segment_mae")
+def f06(spark, sf_dir):
+    return ev.rolling_segment_mae(_scored(spark, sf_dir).df, "pu_borough", ["pickup_datetime", "seq"])
+
+
+@query("f06_rolling_segment_rows")
+def f06r(spark, sf_dir):
+    out = ev.rolling_segment_mae_rows(_scored(spark, sf_dir), "pu_borough")
+    return out.select("seq", r6("segment_rolling_mae").alias("segment_rolling_mae"))
+
+
+@query("f07_time_split")
+def f07(spark, sf_dir):
+    train, hold = ev.time_split(_seq_trips(spark, sf_dir), 0.8)
+    return train.select("seq", F.lit("train").alias("part")).unionByName(hold.select("seq", F.lit("holdout").alias("part")))
+
+
+@query("f08_rolling_window_split")
+def f08(spark, sf_dir):
+    win, hold = ev.rolling_window_split(_seq_trips(spark, sf_dir), 0.8, 0.1)
+    return win.select("seq", F.lit("window").alias("part")).unionByName(hold.select("seq", F.lit("holdout").alias("part")))
+
+
+@query("f10_ablation_floors")
+def f10(spark, sf_dir):
+    from tidemark.operators import models as mo
+
+    train, hold = frozen_split(spark, sf_dir)
+    a = mo.global_mean_baseline(train, hold)
+    b = mo.memory_baseline(train, hold, ["pickup_datetime", "seq"])
+    return a.unionByName(b).select("setup", r6("mae").alias("mae"), r6("r2").alias("r2"))
+
+
+@query("f11_promotion_decision")
+def f11(spark, sf_dir):
+    train, hold = frozen_split(spark, sf_dir)
+    mean = train.agg(F.avg("target")).first()[0]
+    champ = ev.holdout_metrics(hold.withColumn("prediction", F.lit(mean)))
+    cand = ev.holdout_metrics(_holdout_memory(spark, sf_dir))
+    d = ev.promotion_decision(cand, champ, margin=0.0)
+    return d.select(r6("candidate_mae").alias("candidate_mae"), r6("champion_mae").alias("champion_mae"),
+                    "promote", "decision")
+
+
+@query("f12_residual_summary")
+def f12(spark, sf_dir):
+    s = ev.residual_summary(_scored(spark, sf_dir).df)
+    return s.select("n", r6("mae").alias("mae"), r6("rmse").alias("rmse"), r6("bias").alias("bias"))
+
+
+@query("f13_residual_by")
+def f13(spark, sf_dir):
+    s = ev.residual_by(_scored(spark, sf_dir).df)
+    return s.select("dim", "value", r6("bias").alias("bias"), r6("mae").alias("mae"), "n")
+
+
+@query("f14_autocorr")
+def f14(spark, sf_dir):
+    a = ev.autocorr(_scored(spark, sf_dir), "residual", idx="lidx")
+    return a.select("lag", r6("autocorr").alias("autocorr"))
+
+
+@query("f15_error_percentiles")
+def f15(spark, sf_dir):
+    p = ev.error_percentiles(_scored(spark, sf_dir).df)
+    return p.select(*[r6(c).alias(c) for c in p.columns])
+
+
+@query("f16_recent_points")
+def f16(spark, sf_dir):
+    return ev.recent_points(_scored(spark, sf_dir).df)
+
+
+@query("f17_perf_history")
+def f17(spark, sf_dir):
+    return ev.perf_history(ev.rolling_metrics(_scored(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------- E: models
+@query("e01_ridge")
+def e01(spark, sf_dir):
+    from tidemark.operators import models as mo
+
+    c = mo.fit_linear(trip_features(spark, sf_dir), ["gc_distance_km", "passenger_count"], l2=2.0)
+    return c.select("term", r6("coef").alias("coef"))
+
+
+def _tree_query(kind):
+    def run(spark, sf_dir):
+        from tidemark.operators import models as mo
+
+        train, hold = frozen_split(spark, sf_dir)
+        if kind == "tree":
+            m = mo.fit_tree(train)
+        elif kind == "adaptive":
+            win, _ = ev.rolling_window_split(_seq_trips(spark, sf_dir), 0.5, 0.2)
+            m = mo.fit_tree(win)
+        else:
+            m = mo.fit_forest(train)
+        return m.transform(hold).select("seq", r6("prediction").alias("prediction"))
+    return run
+
+
+QUERIES["e02_tree"] = _tree_query("tree")
+QUERIES["e03_adaptive_tree"] = _tree_query("adaptive")
+QUERIES["e04_forest"] = _tree_query("forest")
+
+
+@query("e05_global_mean_baseline")
+def e05(spark, sf_dir):
+    from tidemark.operators import models as mo
+
+    train, hold = frozen_split(spark, sf_dir)
+    return mo.global_mean_baseline(train, hold).select("setup", r6("mae").alias("mae"), "r2")
+
+
+@query("e06_memory_baseline")
+def e06(spark, sf_dir):
+    from tidemark.operators import models as mo
+
+    train, hold = frozen_split(spark, sf_dir)
+    return mo.memory_baseline(train, hold, ["pickup_datetime", "seq"]).select("setup", r6("mae").alias("mae"),
+                                                                               r6("r2").alias("r2"))
+
+
+@query("e08_score_trips")
+def e08(spark, sf_dir):
+    from tidemark.operators import models as mo
+
+    return mo.score_trips(_holdout_memory(spark, sf_dir)).select(
+        "seq", "eta_seconds", "eta_minutes", "distance_km", "pu_borough", "do_borough", "rush_hour")
+
+
+@query("e12_metric_log")
+def e12(spark, sf_dir):
+    rm = ev.rolling_metrics(ev.prequential(_scored(spark, sf_dir)))
+    return rm.where(F.col("gidx") % 500 == 0).select(
+        F.col("gidx").alias("step"), r6("mae").alias("mae"), r6("rmse").alias("rmse"), r6("r2").alias("r2"),
+        r6("rolling_mae").alias("rolling_mae"))

@@ -258,8 +258,8 @@ def _frozen_sql(frac=0.8, k=20.0):
         for h, _ in HORIZONS:
             sel.append(f"round(CASE WHEN coalesce(s{i}.n, 0) > 0 THEN (s{i}.n * s{i}.{h} + {k}e0 * gf.g) / (s{i}.n + {k}e0) ELSE gf.g END, 6) AS te_{'_'.join(e)}_{h}")
     return f"""WITH ix AS ({indexed}),
-train AS (SELECT * FROM ix WHERE gidx < floor(total * {frac})),
-hold AS (SELECT * FROM ix WHERE gidx >= floor(total * {frac})),
+train AS (SELECT * FROM ix WHERE gidx < floor(total * {frac}e0)),
+hold AS (SELECT * FROM ix WHERE gidx >= floor(total * {frac}e0)),
 gf AS (SELECT coalesce(avg(target), 0e0) AS g FROM train)
 SELECT h.seq, round(gf.g, 6) AS g_frozen, {', '.join(sel)}
 FROM hold h CROSS JOIN gf {' '.join(states)}"""
@@ -279,3 +279,96 @@ ORACLE_SQL["d12_lags"] = f"""SELECT seq, lag(target, 1) OVER w AS target_lag1, l
   lag(target, 3) OVER w AS target_lag3 FROM ({FEAT}) f WINDOW w AS ({W_ALL})"""
 ORACLE_SQL["d12_rolling_mean"] = f"""SELECT seq, round(avg(target) OVER ({W_ALL} ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING), 6) AS target_roll50
 FROM ({FEAT}) f"""
+
+
+# ---------------------------------------------------------------- F: evaluation
+SCORED = scored_sql()
+PREQ = f"""SELECT *, count(target) OVER w AS n, sum(abs_err) OVER w AS sa, sum(sq_err) OVER w AS sq,
+  var_pop(target) OVER w * count(target) OVER w AS sst FROM ({SCORED}) s WINDOW w AS ({W_ALL} {UPTO})"""
+ROLL = f"""SELECT *, count(*) OVER r AS rc, sum(abs_err) OVER r AS rsa, sum(sq_err) OVER r AS rsq,
+  var_pop(target) OVER r * count(*) OVER r AS rsst FROM ({SCORED}) s
+  WINDOW r AS ({W_ALL} ROWS BETWEEN 999 PRECEDING AND CURRENT ROW)"""
+R2C = "CASE WHEN n < 2 OR sst <= 1e-12 THEN 0e0 ELSE 1 - sq / sst END"
+RR2C = "CASE WHEN rc < 2 OR rsst <= 1e-12 THEN 0e0 ELSE 1 - rsq / rsst END"
+
+ORACLE_SQL["f01_prequential"] = f"""SELECT seq, n, {R6('sa / n')} AS mae, {R6('sqrt(sq / n)')} AS rmse, {R6(R2C)} AS r2
+FROM ({PREQ}) p"""
+ORACLE_SQL["f02_rolling_metrics"] = f"""SELECT seq, lidx, {R6('rsa / rc')} AS rolling_mae, {R6('sqrt(rsq / rc)')} AS rolling_rmse,
+  {R6(RR2C)} AS rolling_r2 FROM ({ROLL}) r"""
+ORACLE_SQL["f03_snapshot"] = f"""SELECT {R6('sa / n')} AS mae, {R6('sqrt(sq / n)')} AS rmse, {R6(R2C)} AS r2,
+  {R6('rsa / rc')} AS rolling_mae, {R6('sqrt(rsq / rc)')} AS rolling_rmse, {R6(RR2C)} AS rolling_r2, n
+FROM ({PREQ}) p JOIN (SELECT seq, rc, rsa, rsq, rsst FROM ({ROLL}) r0) r USING (seq) ORDER BY lidx DESC LIMIT 1"""
+
+HOLD_MEM = f"""WITH ix AS (SELECT *, row_number() OVER ({W_ALL}) - 1 AS gidx, count(*) OVER () AS total FROM ({FEAT}) f),
+train AS (SELECT * FROM ix WHERE gidx < floor(total * 0.8e0)),
+hold AS (SELECT * FROM ix WHERE gidx >= floor(total * 0.8e0)),
+gf AS (SELECT coalesce(avg(target), 0e0) AS g FROM train),
+st AS (SELECT pu_zone, do_zone, count(target) AS n, avg(target) AS v FROM train WHERE target IS NOT NULL GROUP BY pu_zone, do_zone),
+scored AS (SELECT h.*, CASE WHEN coalesce(st.n, 0) > 0 THEN (st.n * st.v + 20e0 * gf.g) / (st.n + 20e0) ELSE gf.g END AS prediction
+  FROM hold h CROSS JOIN gf LEFT JOIN st USING (pu_zone, do_zone))"""
+HOLD_METRICS = """SELECT avg(abs(target - prediction)) AS mae, sqrt(avg((target - prediction) * (target - prediction))) AS rmse,
+  1 - sum((target - prediction) * (target - prediction)) / (CASE WHEN var_pop(target) * count(*) = 0 THEN 1e0 ELSE var_pop(target) * count(*) END) AS r2,
+  count(*) AS n FROM scored WHERE target IS NOT NULL"""
+ORACLE_SQL["f04_holdout_metrics"] = f"""{HOLD_MEM}, m AS ({HOLD_METRICS})
+SELECT {R6('mae')} AS mae, {R6('rmse')} AS rmse, {R6('r2')} AS r2, n FROM m"""
+ORACLE_SQL["f05_segment_mae"] = f"""SELECT pu_borough AS segment, round(avg(abs_err), 1) AS mae, count(*) AS n
+FROM ({SCORED}) s GROUP BY pu_borough"""
+ORACLE_SQL["f06_rolling_segment_mae"] = f"""SELECT pu_borough AS segment, round(avg(abs_err), 1) AS rolling_mae, count(*) AS n
+FROM (SELECT *, row_number() OVER (PARTITION BY pu_borough ORDER BY pickup_datetime DESC, seq DESC) AS rk FROM ({SCORED}) s) x
+WHERE rk <= 2000 AND abs_err IS NOT NULL GROUP BY pu_borough"""
+ORACLE_SQL["f06_rolling_segment_rows"] = f"""SELECT seq, {R6('avg(abs_err) OVER (PARTITION BY pu_borough ' + W_ALL + ' ROWS BETWEEN 1999 PRECEDING AND CURRENT ROW)')} AS segment_rolling_mae
+FROM ({SCORED}) s WHERE abs_err IS NOT NULL"""
+ORACLE_SQL["f07_time_split"] = f"""SELECT seq, CASE WHEN gidx < floor(total * 0.8e0) THEN 'train' ELSE 'holdout' END AS part
+FROM (SELECT *, row_number() OVER ({W_ALL}) - 1 AS gidx, count(*) OVER () AS total FROM ({FEAT}) f) x"""
+ORACLE_SQL["f08_rolling_window_split"] = f"""SELECT seq, CASE WHEN gidx >= vs THEN 'holdout' ELSE 'window' END AS part
+FROM (SELECT *, CAST(floor(total * (1e0 - 0.1e0)) AS BIGINT) AS vs FROM
+  (SELECT *, row_number() OVER ({W_ALL}) - 1 AS gidx, count(*) OVER () AS total FROM ({FEAT}) f) a) x
+WHERE gidx >= floor(vs * (1e0 - 0.8e0))"""
+GLOBAL_FLOOR = """SELECT 'global-mean' AS setup, avg(abs(h.target - t.m)) AS mae, 0e0 AS r2
+  FROM hold h CROSS JOIN (SELECT avg(target) AS m FROM train) t WHERE h.target IS NOT NULL"""
+MEMORY_FLOOR = """SELECT 'zone-pair memory' AS setup, avg(abs(target - prediction)) AS mae,
+  1 - sum((target - prediction) * (target - prediction)) / (var_pop(target) * count(*)) AS r2 FROM scored WHERE target IS NOT NULL"""
+ORACLE_SQL["f10_ablation_floors"] = f"""{HOLD_MEM}, u AS ({GLOBAL_FLOOR} UNION ALL {MEMORY_FLOOR})
+SELECT setup, {R6('mae')} AS mae, {R6('r2')} AS r2 FROM u"""
+ORACLE_SQL["f11_promotion_decision"] = f"""{HOLD_MEM}, cand AS ({HOLD_METRICS}),
+champ AS (SELECT avg(abs(h.target - t.m)) AS mae FROM hold h CROSS JOIN (SELECT avg(target) AS m FROM train) t WHERE h.target IS NOT NULL)
+SELECT {R6('cand.mae')} AS candidate_mae, {R6('champ.mae')} AS champion_mae, cand.mae < champ.mae AS promote,
+  CASE WHEN cand.mae < champ.mae THEN 'PROMOTE' ELSE 'KEEP CHAMPION' END AS decision FROM cand CROSS JOIN champ"""
+ORACLE_SQL["f12_residual_summary"] = f"""SELECT count(*) AS n, {R6('avg(abs(residual))')} AS mae,
+  {R6('sqrt(avg(residual * residual))')} AS rmse, {R6('avg(residual)')} AS bias FROM ({SCORED}) s WHERE target IS NOT NULL"""
+ORACLE_SQL["f13_residual_by"] = f"""SELECT 'pickup_hour' AS dim, CAST(pickup_hour AS BIGINT) AS value, {R6('avg(residual)')} AS bias,
+  {R6('avg(abs(residual))')} AS mae, count(*) AS n FROM ({SCORED}) s WHERE target IS NOT NULL GROUP BY pickup_hour
+UNION ALL
+SELECT 'pickup_dayofweek', CAST(pickup_dayofweek AS BIGINT), {R6('avg(residual)')}, {R6('avg(abs(residual))')}, count(*)
+FROM ({SCORED}) s WHERE target IS NOT NULL GROUP BY pickup_dayofweek"""
+_LAGS = (1, 10, 50, 200, 1000)
+ORACLE_SQL["f14_autocorr"] = f"""WITH r AS (SELECT lidx, residual - avg(residual) OVER () AS r0 FROM ({SCORED}) s WHERE target IS NOT NULL),
+den AS (SELECT sum(r0 * r0) AS d FROM r)
+""" + " UNION ALL ".join(
+    f"SELECT {k} AS lag, {R6('sum(a.r0 * b.r0) / (SELECT d FROM den)')} AS autocorr FROM r a JOIN r b ON b.lidx = a.lidx - {k}"
+    for k in _LAGS)
+_QS = [(50.0, "p50"), (75.0, "p75"), (90.0, "p90"), (95.0, "p95"), (99.0, "p99"), (99.9, "p99_9")]
+ORACLE_SQL["f15_error_percentiles"] = "SELECT " + ", ".join(
+    f"{R6(f'quantile_cont(abs_err, {q / 100.0})')} AS {n}" for q, n in _QS) + f" FROM ({SCORED}) s WHERE abs_err IS NOT NULL"
+ORACLE_SQL["f16_recent_points"] = f"""SELECT gidx AS "index", pickup_datetime AS ts, round(target, 2) AS actual,
+  round(prediction, 2) AS predicted FROM ({SCORED}) s ORDER BY gidx DESC LIMIT 200"""
+ORACLE_SQL["f17_perf_history"] = f"""SELECT gidx AS "index", round(rsa / rc, 3) AS rolling_mae, round(sqrt(rsq / rc), 3) AS rolling_rmse,
+  round({RR2C}, 3) AS rolling_r2 FROM ({ROLL}) r WHERE gidx % 100 = 0 ORDER BY gidx DESC LIMIT 400"""
+
+# ---------------------------------------------------------------- E: models
+ORACLE_SQL["e01_ridge"] = f"""WITH s AS (SELECT count(*) AS n, avg(target) AS my, avg(gc_distance_km) AS m1, avg(passenger_count) AS m2,
+  covar_pop(gc_distance_km, gc_distance_km) * count(*) + 2e0 AS a, covar_pop(gc_distance_km, passenger_count) * count(*) AS b,
+  covar_pop(passenger_count, passenger_count) * count(*) + 2e0 AS d,
+  covar_pop(gc_distance_km, target) * count(*) AS e, covar_pop(passenger_count, target) * count(*) AS f
+  FROM ({FEAT}) x WHERE target IS NOT NULL),
+w AS (SELECT *, (e * d - b * f) / (a * d - b * b) AS w1, (a * f - b * e) / (a * d - b * b) AS w2 FROM s)
+SELECT 'intercept' AS term, {R6('my - w1 * m1 - w2 * m2')} AS coef FROM w
+UNION ALL SELECT 'gc_distance_km', {R6('w1')} FROM w
+UNION ALL SELECT 'passenger_count', {R6('w2')} FROM w"""
+ORACLE_SQL["e05_global_mean_baseline"] = f"""{HOLD_MEM}, u AS ({GLOBAL_FLOOR}) SELECT setup, {R6('mae')} AS mae, r2 FROM u"""
+ORACLE_SQL["e06_memory_baseline"] = f"""{HOLD_MEM}, u AS ({MEMORY_FLOOR}) SELECT setup, {R6('mae')} AS mae, {R6('r2')} AS r2 FROM u"""
+ORACLE_SQL["e08_score_trips"] = f"""{HOLD_MEM}
+SELECT seq, round(prediction, 1) AS eta_seconds, round(prediction / 60.0, 1) AS eta_minutes, gc_distance_km AS distance_km,
+  pu_borough, do_borough, CAST(is_rush_hour AS BOOLEAN) AS rush_hour FROM scored"""
+ORACLE_SQL["e12_metric_log"] = f"""SELECT gidx AS step, {R6('sa / n')} AS mae, {R6('sqrt(sq / n)')} AS rmse, {R6(R2C)} AS r2,
+  {R6('rsa / rc')} AS rolling_mae FROM ({PREQ}) p JOIN (SELECT seq, rc, rsa FROM ({ROLL}) r0) r USING (seq) WHERE gidx % 500 = 0"""
