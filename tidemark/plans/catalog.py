@@ -499,3 +499,127 @@ def e12(spark, sf_dir):
     return rm.where(F.col("gidx") % 500 == 0).select(
         F.col("gidx").alias("step"), r6("mae").alias("mae"), r6("rmse").alias("rmse"), r6("r2").alias("r2"),
         r6("rolling_mae").alias("rolling_mae"))
+
+
+# ---------------------------------------------------------------- G: drift
+from tidemark.operators import drift as dr  # noqa: E402
+from tidemark.operators import psi as ps  # noqa: E402
+from tidemark.plans.ordering import sequence as _sequence  # noqa: E402
+
+PSI_NUMERIC = ["passenger_count", "pickup_hour", "gc_distance_km"]
+PSI_CATEGORICAL = ["pu_borough", "ratecode"]
+
+
+def error_stream(spark, sf_dir):
+    return _sequence(fx.error_series(spark, sf_dir), ["i"])
+
+
+def grid_events(seq, every=1000):
+    """Check positions on a fixed grid of the error index (every ``every`` rows)."""
+    return seq.df.where((F.col("i") + 1) % every == 0).select("i")
+
+
+@query("g01_adwin")
+def g01(spark, sf_dir):
+    return dr.detect(fx.error_series(spark, sf_dir), "err", ["i"], detector="adwin").select("i", r6("err").alias("err"))
+
+
+@query("g02_page_hinkley_first")
+def g02(spark, sf_dir):
+    return dr.page_hinkley_first(error_stream(spark, sf_dir))
+
+
+@query("g03_ddm_first")
+def g03(spark, sf_dir):
+    return dr.ddm_first(error_stream(spark, sf_dir), F.col("err") > 60)
+
+
+def _trailing(spark, sf_dir):
+    seq = error_stream(spark, sf_dir)
+    return dr.validate_trailing(seq, grid_events(seq), w=1500)
+
+
+@query("g04_validate_trailing")
+def g04(spark, sf_dir):
+    v = _trailing(spark, sf_dir)
+    return v.select("i", r6("mean_before").alias("mean_before"), r6("mean_after").alias("mean_after"),
+                    r6("rel_shift").alias("rel_shift"), r6("effect").alias("effect"), "validated", "direction")
+
+
+@query("g05_validate_centred")
+def g05(spark, sf_dir):
+    seq = error_stream(spark, sf_dir)
+    total = seq.df.count()
+    s = dr.centred_summary(dr.validate_centred(seq, grid_events(seq), total, w=2000))
+    return s.select("checked", "valid", "spurious", r6("pct_valid").alias("pct_valid"), "degradations",
+                    "improvements", r6("median_abs_rel").alias("median_abs_rel"))
+
+
+@query("g06_shuffle_control")
+def g06(spark, sf_dir):
+    return dr.shuffle_control(fx.error_series(spark, sf_dir), "err", "i", seed=0).select("i")
+
+
+@query("g07_outlier_autocorr")
+def g07(spark, sf_dir):
+    o = dr.outlier_autocorr(error_stream(spark, sf_dir))
+    return o.select("lag", r6("autocorr").alias("autocorr"), r6("threshold").alias("threshold"))
+
+
+def _psi_split(spark, sf_dir, ref_size=5000):
+    seq = _seq_trips(spark, sf_dir)
+    return seq.df.where(F.col("lidx") < ref_size), seq.df.where(F.col("lidx") >= ref_size)
+
+
+@query("g08_psi_numeric")
+def g08(spark, sf_dir):
+    ref, cur = _psi_split(spark, sf_dir)
+    return ps.psi_numeric(ref, cur, PSI_NUMERIC + ["target"]).select("feature", r6("psi").alias("psi"))
+
+
+@query("g09_psi_categorical")
+def g09(spark, sf_dir):
+    ref, cur = _psi_split(spark, sf_dir)
+    return ps.psi_categorical(ref, cur, PSI_CATEGORICAL + ["do_zone"]).select("feature", r6("psi").alias("psi"))
+
+
+def _psi_time(spark, sf_dir):
+    seq = _seq_trips(spark, sf_dir)
+    total = seq.df.where(F.col("lidx").isNotNull()).count()
+    return ps.psi_over_time(seq.df.where(F.col("lidx").isNotNull()), "lidx", PSI_NUMERIC, PSI_CATEGORICAL,
+                            5000, 2000, 1000, total=total)
+
+
+@query("g10_psi_over_time")
+def g10(spark, sf_dir):
+    return _psi_time(spark, sf_dir).select("check", "feature", r6("psi").alias("psi"))
+
+
+@query("g11_psi_flag")
+def g11(spark, sf_dir):
+    f = ps.psi_flag(_psi_time(spark, sf_dir))
+    return f.select("check", r6("max_psi").alias("max_psi"), "worst_feature", "feature_drift")
+
+
+@query("g12_retrain_alerts")
+def g12(spark, sf_dir):
+    return dr.retrain_alerts(_trailing(spark, sf_dir), "i", cooldown=3000)
+
+
+def _events(spark, sf_dir):
+    concept = _trailing(spark, sf_dir).select(F.lit("concept").alias("type"), "i", "validated")
+    feat = ps.psi_flag(_psi_time(spark, sf_dir)).where("feature_drift").select(
+        F.lit("feature").alias("type"), (F.col("check") - 1).alias("i"), F.lit(True).alias("validated"))
+    return concept.unionByName(feat)
+
+
+@query("g13_drift_log")
+def g13(spark, sf_dir):
+    recent, _ = dr.drift_log(_events(spark, sf_dir))
+    return recent
+
+
+@query("g13_drift_counts")
+def g13c(spark, sf_dir):
+    _, counts = dr.drift_log(_events(spark, sf_dir))
+    return counts

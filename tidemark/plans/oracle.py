@@ -372,3 +372,126 @@ SELECT seq, round(prediction, 1) AS eta_seconds, round(prediction / 60.0, 1) AS
   pu_borough, do_borough, CAST(is_rush_hour AS BOOLEAN) AS rush_hour FROM scored"""
 ORACLE_SQL["e12_metric_log"] = f"""SELECT gidx AS step, {R6('sa / n')} AS mae, {R6('sqrt(sq / n)')} AS rmse, {R6(R2C)} AS r2,
   {R6('rsa / rc')} AS rolling_mae FROM ({PREQ}) p JOIN (SELECT seq, rc, rsa FROM ({ROLL}) r0) r USING (seq) WHERE gidx % 500 = 0"""
+
+
+# ---------------------------------------------------------------- G: drift
+ERR = fx.ERRORS
+GRID = f"SELECT i FROM ({ERR}) e WHERE (i + 1) % 1000 = 0"
+ORACLE_SQL["g02_page_hinkley_first"] = f"""WITH a AS (SELECT i, err, avg(err) OVER (ORDER BY i {UPTO}) AS mu FROM ({ERR}) e),
+b AS (SELECT i, sum(err - mu - 0.005e0) OVER (ORDER BY i {UPTO}) AS m FROM a),
+c AS (SELECT i, m, min(m) OVER (ORDER BY i {UPTO}) AS mm FROM b)
+SELECT min(i) AS first_alarm FROM c WHERE i + 1 >= 30 AND m - mm > 50e0"""
+ORACLE_SQL["g03_ddm_first"] = f"""WITH a AS (SELECT i, sum(CASE WHEN err > 60 THEN 1 ELSE 0 END) OVER (ORDER BY i {UPTO}) AS e,
+  count(*) OVER (ORDER BY i {UPTO}) AS n FROM ({ERR}) x),
+b AS (SELECT i, n, e / n AS p, sqrt((e / n) * (1 - e / n) / n) AS s FROM a),
+c AS (SELECT *, min(CASE WHEN n >= 30 THEN {{'ps': p + s, 'ni': -i, 'p': p, 's': s}} END) OVER (ORDER BY i {UPTO}) AS mn FROM b)
+SELECT min(i) AS first_alarm FROM c WHERE n >= 30 AND p + s > mn.p + 3e0 * mn.s"""
+
+
+def _win_stats(lo_off: int, hi_off: int) -> str:
+    """mean and population variance of err over rows [i+lo_off, i+hi_off]."""
+    frame = f"ROWS BETWEEN {-lo_off} PRECEDING AND {-hi_off} PRECEDING" if hi_off <= 0 else \
+        f"ROWS BETWEEN {'CURRENT ROW' if lo_off == 0 else str(-lo_off) + ' PRECEDING'} AND {hi_off} FOLLOWING"
+    if hi_off <= 0 and -hi_off == 0:
+        frame = f"ROWS BETWEEN {-lo_off} PRECEDING AND CURRENT ROW"
+    return frame
+
+
+ORACLE_SQL["g04_validate_trailing"] = f"""WITH s AS (SELECT i, avg(err) OVER (ORDER BY i ROWS BETWEEN 2999 PRECEDING AND 1500 PRECEDING) AS mb,
+  var_pop(err) OVER (ORDER BY i ROWS BETWEEN 2999 PRECEDING AND 1500 PRECEDING) AS vb,
+  avg(err) OVER (ORDER BY i ROWS BETWEEN 1499 PRECEDING AND CURRENT ROW) AS ma,
+  var_pop(err) OVER (ORDER BY i ROWS BETWEEN 1499 PRECEDING AND CURRENT ROW) AS va FROM ({ERR}) e),
+v AS (SELECT s.*, i + 1 >= 3000 AS enough, CASE WHEN mb > 1e-9 THEN (ma - mb) / mb ELSE 0e0 END AS rel,
+  abs(ma - mb) / (sqrt((vb + va) / 2) + 1e-9) AS eff FROM s WHERE i IN ({GRID}))
+SELECT i, CASE WHEN enough THEN {R6('mb')} END AS mean_before, CASE WHEN enough THEN {R6('ma')} END AS mean_after,
+  CASE WHEN enough THEN {R6('rel')} ELSE 0e0 END AS rel_shift, CASE WHEN enough THEN {R6('eff')} END AS effect,
+  coalesce(enough AND abs(rel) >= 0.1e0 AND eff >= 0.2e0, false) AS validated,
+  CASE WHEN NOT enough THEN 'insufficient' WHEN ma > mb THEN 'worse' ELSE 'better' END AS direction FROM v"""
+ORACLE_SQL["g05_validate_centred"] = f"""WITH s AS (SELECT i, avg(err) OVER (ORDER BY i ROWS BETWEEN 2000 PRECEDING AND 1 PRECEDING) AS mb,
+  var_pop(err) OVER (ORDER BY i ROWS BETWEEN 2000 PRECEDING AND 1 PRECEDING) AS vb,
+  avg(err) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND 1999 FOLLOWING) AS ma,
+  var_pop(err) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND 1999 FOLLOWING) AS va, count(*) OVER () AS total FROM ({ERR}) e),
+v AS (SELECT i, (ma - mb) / (sqrt((vb + va) / 2) + 1e-9) AS d, CASE WHEN mb <> 0 THEN (ma - mb) / mb END AS rel, ma > mb AS worse
+  FROM s WHERE i IN ({GRID}) AND i - 2000 >= 0 AND i + 2000 <= total),
+f AS (SELECT *, coalesce(abs(d) > 0.2e0 AND abs(rel) > 0.1e0, false) AS ok FROM v)
+SELECT count(*) AS checked, sum(CASE WHEN ok THEN 1 ELSE 0 END) AS valid, count(*) - sum(CASE WHEN ok THEN 1 ELSE 0 END) AS spurious,
+  {R6('sum(CASE WHEN ok THEN 1 ELSE 0 END) * 100.0e0 / greatest(count(*), 1)')} AS pct_valid,
+  sum(CASE WHEN ok AND worse THEN 1 ELSE 0 END) AS degradations, sum(CASE WHEN ok AND NOT worse THEN 1 ELSE 0 END) AS improvements,
+  {R6('quantile_cont(abs(rel), 0.5)')} AS median_abs_rel FROM f"""
+ORACLE_SQL["g07_outlier_autocorr"] = f"""WITH t AS (SELECT quantile_cont(err, 0.99) AS thr FROM ({ERR}) e),
+b AS (SELECT i, CASE WHEN err > thr THEN 1e0 ELSE 0e0 END AS big FROM ({ERR}) e CROSS JOIN t),
+c AS (SELECT i, big - avg(big) OVER () AS b0 FROM b)
+SELECT 1 AS lag, {R6('(SELECT sum(x.b0 * y.b0) FROM c x JOIN c y ON y.i = x.i - 1) / (SELECT sum(b0 * b0) FROM c)')} AS autocorr,
+  {R6('(SELECT thr FROM t)')} AS threshold"""
+
+PSI_FEAT = f"SELECT * FROM ({SCORED}) s WHERE lidx IS NOT NULL"
+
+
+def _unpivot(src: str, cols, as_string=False, extra=""):
+    cast = "VARCHAR" if as_string else "DOUBLE"
+    return " UNION ALL ".join(f"SELECT {extra}'{c}' AS feature, CAST({c} AS {cast}) AS value FROM ({src}) u" for c in cols)
+
+
+def _psi_numeric_sql(ref_src, cur_src, cols, group=""):
+    g = f"{group}, " if group else ""
+    gk = f"k.{group}, " if group else ""
+    return f"""ref AS ({_unpivot(ref_src, cols)}),
+cur AS ({_unpivot(cur_src, cols, extra=g)}),
+rk AS (SELECT feature, value, row_number() OVER (PARTITION BY feature ORDER BY value) - 1 AS pos,
+  count(*) OVER (PARTITION BY feature) AS n FROM ref),
+qq AS (SELECT k, k / 10 AS q FROM range(1, 10) t(k)),
+edges AS (SELECT feature, list(value ORDER BY k) AS edges FROM rk JOIN qq ON pos = least(floor(q * n), n - 1) GROUP BY feature),
+rb AS (SELECT r.feature, len(list_filter(e.edges, lambda x: x < r.value)) AS bin FROM ref r JOIN edges e USING (feature)),
+cb AS (SELECT {g}c.feature, len(list_filter(e.edges, lambda x: x < c.value)) AS bin FROM cur c JOIN edges e USING (feature)),
+rd AS (SELECT feature, bin, count(*) / sum(count(*)) OVER (PARTITION BY feature) AS p FROM rb GROUP BY feature, bin),
+cd AS (SELECT {g}feature, bin, count(*) / sum(count(*)) OVER (PARTITION BY {g}feature) AS p FROM cb GROUP BY {g}feature, bin),
+keys AS (SELECT DISTINCT {g}feature, b AS bin FROM cb, range(10) t(b)),
+psi_n AS (SELECT {gk}k.feature, sum((greatest(coalesce(c.p, 0), 1e-6) - greatest(coalesce(r.p, 0), 1e-6))
+    * ln(greatest(coalesce(c.p, 0), 1e-6) / greatest(coalesce(r.p, 0), 1e-6))) AS psi
+  FROM keys k LEFT JOIN rd r ON r.feature = k.feature AND r.bin = k.bin
+  LEFT JOIN cd c ON c.feature = k.feature AND c.bin = k.bin {('AND c.' + group + ' = k.' + group) if group else ''}
+  GROUP BY {gk}k.feature)"""
+
+
+def _psi_cat_sql(ref_src, cur_src, cols, group=""):
+    g = f"{group}, " if group else ""
+    gk = f"k.{group}, " if group else ""
+    return f"""cref AS ({_unpivot(ref_src, cols, True)}),
+ccur AS ({_unpivot(cur_src, cols, True, extra=g)}),
+crd AS (SELECT feature, value, count(*) / sum(count(*)) OVER (PARTITION BY feature) AS p FROM cref GROUP BY feature, value),
+ccd AS (SELECT {g}feature, value, count(*) / sum(count(*)) OVER (PARTITION BY {g}feature) AS p FROM ccur GROUP BY {g}feature, value),
+ckeys AS (SELECT {g}feature, value FROM ccd UNION SELECT {('k.' + group + ', ') if group else ''}r.feature, r.value FROM crd r
+  JOIN (SELECT DISTINCT {g}feature FROM ccur) k ON k.feature = r.feature),
+psi_c AS (SELECT {gk}k.feature, sum((greatest(coalesce(c.p, 0), 1e-6) - greatest(coalesce(r.p, 0), 1e-6))
+    * ln(greatest(coalesce(c.p, 0), 1e-6) / greatest(coalesce(r.p, 0), 1e-6))) AS psi
+  FROM ckeys k LEFT JOIN crd r ON r.feature = k.feature AND r.value = k.value
+  LEFT JOIN ccd c ON c.feature = k.feature AND c.value = k.value {('AND c.' + group + ' = k.' + group) if group else ''}
+  GROUP BY {gk}k.feature)"""
+
+
+_REF = f"SELECT * FROM ({PSI_FEAT}) x WHERE lidx < 5000"
+_CUR = f"SELECT * FROM ({PSI_FEAT}) x WHERE lidx >= 5000"
+ORACLE_SQL["g08_psi_numeric"] = f"""WITH {_psi_numeric_sql(_REF, _CUR, ['passenger_count', 'pickup_hour', 'gc_distance_km', 'target'])}
+SELECT feature, {R6('psi')} AS psi FROM psi_n"""
+ORACLE_SQL["g09_psi_categorical"] = f"""WITH {_psi_cat_sql(_REF, _CUR, ['pu_borough', 'ratecode', 'do_zone'])}
+SELECT feature, {R6('psi')} AS psi FROM psi_c"""
+_CHECKS = f"""SELECT * FROM (SELECT *, unnest(range(CAST(ceil((lidx + 1) / 1000) * 1000 AS BIGINT), lidx + 1 + 2000, 1000)) AS "check"
+  FROM (SELECT *, count(*) OVER () AS total FROM ({PSI_FEAT}) x0) x WHERE lidx >= 5000) y WHERE "check" <= total"""
+PSI_TIME = f"""WITH {_psi_numeric_sql(_REF, _CHECKS, ['passenger_count', 'pickup_hour', 'gc_distance_km'], '"check"')},
+{_psi_cat_sql(_REF, _CHECKS, ['pu_borough', 'ratecode'], '"check"')},
+allp AS (SELECT * FROM psi_n UNION ALL SELECT * FROM psi_c)"""
+ORACLE_SQL["g10_psi_over_time"] = f"""{PSI_TIME} SELECT "check", feature, {R6('psi')} AS psi FROM allp"""
+ORACLE_SQL["g11_psi_flag"] = f"""{PSI_TIME} SELECT "check", {R6('max(psi)')} AS max_psi, arg_max(feature, psi) AS worst_feature,
+  max(psi) > 0.2e0 AS feature_drift FROM allp GROUP BY "check" """
+
+G04 = ORACLE_SQL["g04_validate_trailing"]
+ORACLE_SQL["g12_retrain_alerts"] = f"""WITH RECURSIVE ev AS (SELECT i FROM ({G04}) v WHERE validated AND direction = 'worse'),
+alerts(i) AS (SELECT min(i) FROM ev
+  UNION ALL SELECT (SELECT min(e.i) FROM ev e WHERE e.i - a.i >= 3000) FROM alerts a WHERE a.i IS NOT NULL)
+SELECT i FROM alerts WHERE i IS NOT NULL"""
+EVENTS = f"""SELECT 'concept' AS type, i, validated FROM ({G04}) v
+UNION ALL SELECT 'feature' AS type, "check" - 1 AS i, true AS validated FROM ({ORACLE_SQL["g11_psi_flag"]}) f WHERE feature_drift"""
+ORACLE_SQL["g13_drift_log"] = f"SELECT type, i, validated FROM ({EVENTS}) e ORDER BY i DESC, type LIMIT 50"
+ORACLE_SQL["g13_drift_counts"] = f"""SELECT sum(CASE WHEN type = 'concept' AND validated THEN 1 ELSE 0 END) AS concept_events,
+  sum(CASE WHEN type = 'concept' AND NOT validated THEN 1 ELSE 0 END) AS spurious_events,
+  sum(CASE WHEN type = 'feature' THEN 1 ELSE 0 END) AS feature_events FROM ({EVENTS}) e"""
