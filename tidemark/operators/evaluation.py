@@ -137,7 +137,7 @@ def promotion_decision(cand: DataFrame, champ: DataFrame | None, margin: float =
                         F.lit(None).cast("double").alias("champion_r2"), F.lit(True).alias("promote"),
                         F.lit("PROMOTE").alias("decision"))
     h = champ.select(F.col("mae").alias("champion_mae"), F.col("r2").alias("champion_r2"))
-    j = c.join(h, how="left")  # both sides are single aggregate rows
+    j = c.withColumn("_one", F.lit(1)).join(h.withColumn("_one", F.lit(1)), "_one", "left").drop("_one")
     promote = F.col("champion_mae").isNull() | (F.col("candidate_mae") < F.col("champion_mae") * (1 - margin))
     return j.select("*", promote.alias("promote"),
                     F.when(promote, F.lit("PROMOTE")).otherwise(F.lit("KEEP CHAMPION")).alias("decision"))

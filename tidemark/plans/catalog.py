@@ -623,3 +623,146 @@ def g13(spark, sf_dir):
 def g13c(spark, sf_dir):
     _, counts = dr.drift_log(_events(spark, sf_dir))
     return counts
+
+
+# ---------------------------------------------------------------- A: sources
+from tidemark.sources import io as sio  # noqa: E402
+
+
+@query("a01_raw_trips")
+def a01(spark, sf_dir):
+    return fx.raw_trips(spark, sf_dir).select(*KEYS, "pickup", "dropoff", "passenger_count", "trip_distance",
+                                              "ratecode_id", "pu_id", "do_id")
+
+
+@query("a02_union_months")
+def a02(spark, sf_dir):
+    """Monthly parts read separately (one per return flag, each a pushed-down
+    filter of the same scan) and combined by name."""
+    li = read_table(spark, sf_dir, "lineitem")
+    parts = [li.where(F.col("l_returnflag") == f) for f in ("A", "N", "R")]
+    parts.append(li.where(~F.col("l_returnflag").isin("A", "N", "R") | F.col("l_returnflag").isNull()))
+    return sio.union_months(parts).select(*KEYS, "l_returnflag", "l_shipdate")
+
+
+@query("a03_prepared_trips")
+def a03(spark, sf_dir):
+    df, _ = sio.build_source("trips", spark, sf_dir=sf_dir, use_route=True)
+    return df.select("seq", "record_id", "pickup_datetime", "target", "gc_distance_km", "pu_borough", "do_borough",
+                     "route_distance_km")
+
+
+@query("a05_build_source")
+def a05(spark, sf_dir):
+    df, roles = sio.build_source("trips", spark, sf_dir=sf_dir)
+    return df.select(roles.id, roles.time, roles.target, *roles.categorical)
+
+
+# ---------------------------------------------------------------- H: streaming and monitoring
+from tidemark.streaming import monitoring as mon  # noqa: E402
+
+
+@query("h01_prequential_stream")
+def h01(spark, sf_dir):
+    """The flagship computed as a stream: day files replayed 10 per trigger."""
+    from tidemark.session import scratch_path
+    from tidemark.streaming.prequential import PrequentialStream
+
+    feats = trip_features(spark, sf_dir)
+    src = scratch_path(spark, "h01-src")
+    sio.write_stream_files(feats, src, "pickup_datetime")
+    schema = spark.read.parquet(src).drop("_part").schema
+    stream = sio.replay_stream(spark, src, schema, files_per_trigger=10)
+    out, state = scratch_path(spark, "h01-out"), scratch_path(spark, "h01-state")
+    q = PrequentialStream(state, out).start(stream, scratch_path(spark, "h01-ckpt"))
+    q.awaitTermination()
+    res = spark.read.parquet(out)
+    return res.select("record_id", "gidx", *[r6(c).alias(c) for c in ("prediction", "mae", "rmse", "r2", "rolling_mae")], "n")
+
+
+@query("h02_encoder_state_stream")
+def h02(spark, sf_dir):
+    from tidemark.session import scratch_path
+    from tidemark.streaming.state import encoder_state_stream
+
+    t = fx.trips(spark, sf_dir)
+    src = scratch_path(spark, "h02-src")
+    sio.write_stream_files(t, src, "pickup_datetime")
+    schema = spark.read.parquet(src).drop("_part").schema
+    stream = sio.replay_stream(spark, src, schema, files_per_trigger=10).drop("_part")
+    enc = encoder_state_stream(stream, ["do_zone"], ["pickup_datetime", "seq"])
+    out = scratch_path(spark, "h02-out")
+    q = (enc.writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", scratch_path(spark, "h02-ckpt")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    r = spark.read.parquet(out)
+    return r.select("seq", "n", r6("long").alias("long"), r6("med").alias("med"), r6("short").alias("short"))
+
+
+@query("h03_detector_state_stream")
+def h03(spark, sf_dir):
+    from tidemark.session import scratch_path
+    from tidemark.streaming.state import detector_state_stream
+
+    e = fx.error_series(spark, sf_dir).withColumn("series", F.lit("all"))
+    src = scratch_path(spark, "h03-src")
+    sio.write_stream_files(e, src, "ts")
+    schema = spark.read.parquet(src).drop("_part").schema
+    stream = sio.replay_stream(spark, src, schema, files_per_trigger=10).drop("_part")
+    alarms = detector_state_stream(stream, ["series"], ["i"], "err", "adwin")
+    out = scratch_path(spark, "h03-out")
+    q = (alarms.writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", scratch_path(spark, "h03-ckpt")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(out).select("i")
+
+
+@query("h04_unlabelled")
+def h04(spark, sf_dir):
+    seq = scored_trips(spark, sf_dir, label_gap_every=10)
+    rm = ev.rolling_metrics(ev.prequential(seq))
+    return rm.select("record_id", "gidx", "lidx", r6("prediction").alias("prediction"), "n", r6("mae").alias("mae"),
+                     r6("r2").alias("r2"), r6("rolling_mae").alias("rolling_mae"))
+
+
+@query("h05_metrics_long")
+def h05(spark, sf_dir):
+    rm = ev.rolling_metrics(ev.prequential(_scored(spark, sf_dir)))
+    return mon.metrics_long(ev.snapshot(rm), labels={"source": "trips"})
+
+
+def _hist(spark, sf_dir):
+    bounds = [b * 1000 for b in mon.LATENCY_BOUNDS]
+    return mon.histogram(fx.trips(spark, sf_dir), "target", bounds)
+
+
+@query("h06_histogram")
+def h06(spark, sf_dir):
+    return _hist(spark, sf_dir)
+
+
+@query("h06_bucket_quantile")
+def h06q(spark, sf_dir):
+    h = _hist(spark, sf_dir)
+    return mon.bucket_quantile(h, 0.5).unionByName(mon.bucket_quantile(h, 0.95)).select("q", r6("value").alias("value"))
+
+
+@query("h07_throughput")
+def h07(spark, sf_dir):
+    t = mon.throughput(fx.trips(spark, sf_dir), "pickup_datetime", "1 minute")
+    return t.select("window_start", "rows", r6("rate_per_sec").alias("rate_per_sec"))
+
+
+@query("h08_status_snapshot")
+def h08(spark, sf_dir):
+    scored = _scored(spark, sf_dir)
+    rm = ev.rolling_metrics(ev.prequential(scored))
+    snap = ev.snapshot(rm)
+    seg = ev.rolling_segment_mae(scored.df, "pu_borough", ["pickup_datetime", "seq"])
+    recent = ev.recent_points(scored.df)
+    hist = ev.perf_history(rm)
+    events = _events(spark, sf_dir)
+    log, counts = dr.drift_log(events)
+    return mon.status_snapshot(snap, seg, recent, hist, None, log, counts, "trips").select(
+        "source", "performance", "segments", F.size("recent").alias("n_recent"), F.size("history").alias("n_history"),
+        "concept_events", "spurious_events", "feature_events")

@@ -495,3 +495,45 @@ ORACLE_SQL["g13_drift_log"] = f"SELECT type, i, validated FROM ({EVENTS}) e ORDE
 ORACLE_SQL["g13_drift_counts"] = f"""SELECT sum(CASE WHEN type = 'concept' AND validated THEN 1 ELSE 0 END) AS concept_events,
   sum(CASE WHEN type = 'concept' AND NOT validated THEN 1 ELSE 0 END) AS spurious_events,
   sum(CASE WHEN type = 'feature' THEN 1 ELSE 0 END) AS feature_events FROM ({EVENTS}) e"""
+
+
+# ---------------------------------------------------------------- A: sources
+ORACLE_SQL["a01_raw_trips"] = f"""SELECT {K}, pickup, dropoff, passenger_count, trip_distance, ratecode_id, pu_id, do_id
+FROM ({fx.RAW_TRIPS}) r"""
+ORACLE_SQL["a02_union_months"] = f"SELECT {K}, l_returnflag, l_shipdate FROM lineitem"
+ORACLE_SQL["a03_prepared_trips"] = f"""SELECT seq, record_id, pickup_datetime, target, gc_distance_km, pu_borough, do_borough,
+  0e0 AS route_distance_km FROM ({FEAT}) f"""
+ORACLE_SQL["a05_build_source"] = f"""SELECT record_id, pickup_datetime, target, pu_zone, do_zone, ratecode, pu_borough, do_borough
+FROM ({FEAT}) f"""
+
+
+# ---------------------------------------------------------------- H: streaming and monitoring
+ORACLE_SQL["h01_prequential_stream"] = ORACLE_SQL["flagship_prequential"]
+ORACLE_SQL["h02_encoder_state_stream"] = f"""SELECT seq, count(target) OVER (PARTITION BY do_zone {W_ALL} {PRIOR}) AS n,
+  {R6(f'avg(target) OVER (PARTITION BY do_zone {W_ALL} {PRIOR})')} AS long,
+  round({_ewma(0.05, 'do_zone')}, 6) AS med, round({_ewma(0.3, 'do_zone')}, 6) AS short FROM ({fx.TRIPS}) t"""
+_SG = scored_sql(fx.TRIPS_GAPPED)
+ORACLE_SQL["h04_unlabelled"] = f"""WITH s AS ({_SG}),
+p AS (SELECT *, count(target) OVER w AS n, sum(abs_err) OVER w AS sa, sum(sq_err) OVER w AS sq,
+  var_pop(target) OVER w * count(target) OVER w AS sst FROM s WINDOW w AS ({W_ALL} {UPTO})),
+r AS (SELECT seq, avg(abs_err) OVER ({W_ALL} ROWS BETWEEN 999 PRECEDING AND CURRENT ROW) AS rolling_mae FROM s WHERE target IS NOT NULL)
+SELECT record_id, gidx, lidx, {R6('prediction')} AS prediction, n, {R6('sa / n')} AS mae, {R6(R2C)} AS r2, {R6('rolling_mae')} AS rolling_mae
+FROM p JOIN r USING (seq)"""
+_BOUNDS = [0.1, 0.5, 1.0, 5.0, 10.0, 50.0, 100.0, 500.0]
+HIST = " UNION ALL ".join(
+    [f"SELECT {b}e0 AS le, count_if(target <= {b}e0) AS count FROM ({fx.TRIPS}) t WHERE target IS NOT NULL" for b in _BOUNDS]
+    + [f"SELECT CAST(NULL AS DOUBLE) AS le, count(*) AS count FROM ({fx.TRIPS}) t WHERE target IS NOT NULL"])
+ORACLE_SQL["h06_histogram"] = HIST
+
+
+def _bq(q):
+    expr = (f"CASE WHEN le IS NULL THEN prev_le WHEN count = coalesce(prev_c, 0) THEN le ELSE coalesce(prev_le, 0e0) + "
+            f"(le - coalesce(prev_le, 0e0)) * ({q}e0 * total - coalesce(prev_c, 0)) / (count - coalesce(prev_c, 0)) END")
+    return f"""SELECT {q}e0 AS q, {R6(expr)} AS value
+FROM (SELECT *, lag(le) OVER w AS prev_le, lag(count) OVER w AS prev_c, max(count) OVER () AS total FROM ({HIST}) h
+  WINDOW w AS (ORDER BY le ASC NULLS LAST)) x WHERE count >= {q}e0 * total ORDER BY le ASC NULLS LAST LIMIT 1"""
+
+
+ORACLE_SQL["h06_bucket_quantile"] = f"SELECT * FROM ({_bq(0.5)}) a UNION ALL SELECT * FROM ({_bq(0.95)}) b"
+ORACLE_SQL["h07_throughput"] = f"""SELECT date_trunc('minute', pickup_datetime) AS window_start, count(*) AS rows,
+  {R6('count(*) / 60.0e0')} AS rate_per_sec FROM ({fx.TRIPS}) t GROUP BY 1"""
