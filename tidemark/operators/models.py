@@ -15,13 +15,17 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.shipping import ship_by_value
 from tidemark.operators.features import feature_pipeline
 
+ship_by_value(__name__)
+
 # Roles of the trip features.
 NUMERIC_FEATURES = ("pickup_hour", "pickup_dayofweek", "pickup_month", "is_weekend", "is_rush_hour",
                     "passenger_count", "gc_distance_km", "bearing_sin", "bearing_cos", "same_borough",
@@ -233,3 +237,62 @@ def maybe_warm_start(spark: SparkSession, path: str | None, source_name: str) ->
         return b
     except Exception:
         return None
+
+
+# ---------------------------------------------------------------- E1 continual
+def continual_linear(df: DataFrame, features: Sequence[str], y: str, idx: str, batch_rows: int,
+                     l2: float = 2.0, name: str = "prediction") -> DataFrame:
+    """E1 kept current: rows of micro-batch ``b = idx div batch_rows`` are
+    predicted by the ridge fit on all labelled rows of batches ``< b``.
+
+    Per-batch sufficient statistics (one aggregation, partial per task) are
+    prefix-merged over the batch table, which has one row per batch; the
+    small solves run in one vectorized pandas step over that table; the
+    coefficients join back by batch id. Before any history the prediction is 0.
+    """
+    feats = list(features)
+    p = len(feats)
+    lab = F.col(y).isNotNull()
+    shift = df.where(lab).agg(*[F.avg(c).alias(c) for c in feats], F.avg(y).alias(y)).first()
+    mu = {c: float(shift[c] or 0.0) for c in [*feats, y]}
+    xc = [F.col(c).cast("double") - F.lit(mu[c]) for c in feats]
+    yc = F.col(y) - F.lit(mu[y])
+    b = F.floor(F.col(idx) / F.lit(batch_rows)).cast("long")
+    aggs = [F.count(F.lit(1)).alias("n"), F.sum(yc).alias("sy")]
+    aggs += [F.sum(xc[i]).alias(f"sx{i}") for i in range(p)]
+    aggs += [F.sum(xc[i] * yc).alias(f"sxy{i}") for i in range(p)]
+    aggs += [F.sum(xc[i] * xc[j]).alias(f"sxx{i}_{j}") for i in range(p) for j in range(i, p)]
+    per = df.where(lab).groupBy(b.alias("_b")).agg(*aggs)
+    from pyspark.sql import Window
+
+    prior = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    stat_cols = [c for c in per.columns if c != "_b"]
+    cum = per.select("_b", *[F.coalesce(F.sum(c).over(prior), F.lit(0)).alias(c) for c in stat_cols])
+    out_schema = "_b long, " + ", ".join(f"w{i} double" for i in range(p)) + ", w_b double"
+
+    def solve(batches):
+        for pdf in batches:
+            rows = []
+            for d in pdf.to_dict("records"):
+                n = float(d["n"])
+                if n <= 0:
+                    rows.append([d["_b"], *([0.0] * p), None])
+                    continue
+                mx = np.array([d[f"sx{i}"] / n for i in range(p)])
+                my = d["sy"] / n
+                sxx = np.zeros((p, p))
+                for i in range(p):
+                    for j in range(i, p):
+                        sxx[i, j] = sxx[j, i] = d[f"sxx{i}_{j}"] - n * mx[i] * mx[j]
+                sxy = np.array([d[f"sxy{i}"] - n * mx[i] * my for i in range(p)])
+                w = np.linalg.solve(sxx + l2 * np.eye(p), sxy)
+                rows.append([d["_b"], *w.tolist(), float(my - w @ mx)])
+            yield pd.DataFrame(rows, columns=["_b", *[f"w{i}" for i in range(p)], "w_b"])
+
+    coefs = cum.mapInPandas(solve, out_schema)
+    pred = F.coalesce(F.col("w_b"), F.lit(None))
+    for i, c in enumerate(feats):
+        pred = pred + F.col(f"w{i}") * (F.col(c).cast("double") - F.lit(mu[c]))
+    res = df.withColumn("_b", b).join(coefs, "_b", "left")
+    res = res.withColumn(name, F.when(F.col("w_b").isNull(), F.lit(0.0)).otherwise(pred + F.lit(mu[y])))
+    return res.drop("_b", "w_b", *[f"w{i}" for i in range(p)])

@@ -73,7 +73,7 @@ def psi_from_binned(ref_binned: DataFrame, cur_binned: DataFrame, group: Sequenc
             keys = ref_binned.select("feature").distinct()
         keys = keys.withColumn(key, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     else:
-        gkeys = cur_binned.select(*group, "feature").distinct()
+        gkeys = (cur_binned.select(*group, "feature") if group else ref_binned.select("feature")).distinct()
         cats = cd.select(*group, "feature", key).unionByName(
             gkeys.join(rd.select("feature", key), "feature")).distinct()
         keys = cats

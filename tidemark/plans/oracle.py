@@ -445,9 +445,10 @@ rb AS (SELECT r.feature, len(list_filter(e.edges, lambda x: x < r.value)) AS bin
 cb AS (SELECT {g}c.feature, len(list_filter(e.edges, lambda x: x < c.value)) AS bin FROM cur c JOIN edges e USING (feature)),
 rd AS (SELECT feature, bin, count(*) / sum(count(*)) OVER (PARTITION BY feature) AS p FROM rb GROUP BY feature, bin),
 cd AS (SELECT {g}feature, bin, count(*) / sum(count(*)) OVER (PARTITION BY {g}feature) AS p FROM cb GROUP BY {g}feature, bin),
-keys AS (SELECT DISTINCT {g}feature, b AS bin FROM cb, range(10) t(b)),
-psi_n AS (SELECT {gk}k.feature, sum((greatest(coalesce(c.p, 0), 1e-6) - greatest(coalesce(r.p, 0), 1e-6))
-    * ln(greatest(coalesce(c.p, 0), 1e-6) / greatest(coalesce(r.p, 0), 1e-6))) AS psi
+keys AS (SELECT DISTINCT {g}feature, b AS bin FROM {'cb' if group else 'rb'}, range(10) t(b)),
+psi_n AS (SELECT {gk}k.feature, CASE WHEN max(c.p) IS NULL OR max(r.p) IS NULL THEN 0e0 ELSE
+    sum((greatest(coalesce(c.p, 0), 1e-6) - greatest(coalesce(r.p, 0), 1e-6))
+    * ln(greatest(coalesce(c.p, 0), 1e-6) / greatest(coalesce(r.p, 0), 1e-6))) END AS psi
   FROM keys k LEFT JOIN rd r ON r.feature = k.feature AND r.bin = k.bin
   LEFT JOIN cd c ON c.feature = k.feature AND c.bin = k.bin {('AND c.' + group + ' = k.' + group) if group else ''}
   GROUP BY {gk}k.feature)"""
@@ -461,9 +462,10 @@ ccur AS ({_unpivot(cur_src, cols, True, extra=g)}),
 crd AS (SELECT feature, value, count(*) / sum(count(*)) OVER (PARTITION BY feature) AS p FROM cref GROUP BY feature, value),
 ccd AS (SELECT {g}feature, value, count(*) / sum(count(*)) OVER (PARTITION BY {g}feature) AS p FROM ccur GROUP BY {g}feature, value),
 ckeys AS (SELECT {g}feature, value FROM ccd UNION SELECT {('k.' + group + ', ') if group else ''}r.feature, r.value FROM crd r
-  JOIN (SELECT DISTINCT {g}feature FROM ccur) k ON k.feature = r.feature),
-psi_c AS (SELECT {gk}k.feature, sum((greatest(coalesce(c.p, 0), 1e-6) - greatest(coalesce(r.p, 0), 1e-6))
-    * ln(greatest(coalesce(c.p, 0), 1e-6) / greatest(coalesce(r.p, 0), 1e-6))) AS psi
+  JOIN (SELECT DISTINCT {g}feature FROM {'ccur' if group else 'cref'}) k ON k.feature = r.feature),
+psi_c AS (SELECT {gk}k.feature, CASE WHEN max(c.p) IS NULL OR max(r.p) IS NULL THEN 0e0 ELSE
+    sum((greatest(coalesce(c.p, 0), 1e-6) - greatest(coalesce(r.p, 0), 1e-6))
+    * ln(greatest(coalesce(c.p, 0), 1e-6) / greatest(coalesce(r.p, 0), 1e-6))) END AS psi
   FROM ckeys k LEFT JOIN crd r ON r.feature = k.feature AND r.value = k.value
   LEFT JOIN ccd c ON c.feature = k.feature AND c.value = k.value {('AND c.' + group + ' = k.' + group) if group else ''}
   GROUP BY {gk}k.feature)"""
