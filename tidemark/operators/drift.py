@@ -171,9 +171,11 @@ def drift_log(events: DataFrame, at: str = "i", keep: int = 50) -> tuple[DataFra
 def running_min(seq: Sequenced, expr: F.Column, name: str) -> Sequenced:
     """Two-level running minimum (inclusive) over the global order."""
     w = seq.window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    from tidemark.plans.ordering import materialize
+
     base = seq.df.withColumn("_x", expr)
-    local = base.withColumn("_lm", F.min("_x").over(w))
-    summ = base.groupBy(BUCKET).agg(F.min("_x").alias("_bm"))
+    local = materialize(base.withColumn("_lm", F.min("_x").over(w)))
+    summ = local.groupBy(BUCKET).agg(F.min("_x").alias("_bm"))
     offs = summ.select(BUCKET, F.min("_bm").over(Window.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)).alias("_om"))
     j = local.join(F.broadcast(offs), BUCKET, "left")
     out = j.withColumn(name, F.when(F.col("_om").isNull(), F.col("_lm")).otherwise(F.least("_lm", "_om")))

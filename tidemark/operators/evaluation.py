@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.plans.ordering import (Sequenced, lags, rolling, running_moments, running_sums,
+from tidemark.plans.ordering import (Sequenced, lags, rolling, running, running_moments, running_sums,
                                      with_global_index)
 
 R2_EPS = 1e-12
@@ -35,9 +35,8 @@ def prequential(seq: Sequenced, y: str = "target", yhat: str = "prediction") ->
     """cumulative MAE, RMSE, R2 after each row (labelled rows update)."""
     lab = F.col(y).isNotNull()
     err = F.col(y) - F.col(yhat)
-    s = running_sums(seq, {"_pn": lab.cast("long"), "_pa": F.when(lab, F.abs(err)),
-                           "_pq": F.when(lab, err * err)}, inclusive=True)
-    m = running_moments(s, y, "_pt", inclusive=True)
+    m = running(seq, sums={"_pn": lab.cast("long"), "_pa": F.when(lab, F.abs(err)),
+                           "_pq": F.when(lab, err * err)}, moments={"_pt": F.col(y)}, inclusive=True)
     n = F.col("_pn")
     out = m.df.select(
         *seq.df.columns,

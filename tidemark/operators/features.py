@@ -64,7 +64,14 @@ def target_scale(seq: Sequenced, y: str = "target") -> Sequenced:
     population std, 1 when n < 2 or below 1e-9.
     """
     pri = running_moments(seq, y, "_tp", inclusive=False)
-    inc = running_moments(pri, y, "_ti", inclusive=True)
+    # statistics including the row: the prior ones plus the row's own label
+    yv = F.col(y).cast("double")
+    has = yv.isNotNull()
+    n_i = F.col("_tp_n") + has.cast("long")
+    mp = F.coalesce(F.col("_tp_mean"), F.lit(0.0))
+    mean_i = F.when(has, mp + (yv - mp) / n_i).otherwise(F.col("_tp_mean"))
+    m2_i = F.when(has, F.col("_tp_m2") + (yv - mp) * (yv - mean_i)).otherwise(F.col("_tp_m2"))
+    inc = pri.with_df(pri.df.withColumn("_ti_n", n_i).withColumn("_ti_mean", mean_i).withColumn("_ti_m2", m2_i))
 
     def std(pfx):
         n = F.col(f"{pfx}_n")

@@ -98,6 +98,77 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return out.drop(*[f"_r_{k}" for k in keys])
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Checkpoint ``df`` into the shared checkpoint folder (AQE off so the
+    recorded output partitioning and ordering survive)."""
+    checkpoint_dir(df.sparkSession)
+    with adaptive_disabled(df.sparkSession):
+        return df.checkpoint(eager=True)
+
+
+def running(seq: Sequenced, sums: Mapping[str, Column] | None = None,
+            moments: Mapping[str, Column] | None = None, inclusive: bool = True,
+            keys: Sequence[str] = (), checkpoint: bool = True) -> Sequenced:
+    """Two-level running aggregates over the global order (per key with ``keys``).
+
+    ``sums``: running sum of each expression (nulls count as 0).
+    ``moments``: running ``{name}_n``, ``{name}_mean`` and ``{name}_m2`` (sum of
+    squared deviations) of each expression; nulls are skipped; bucket
+    summaries are merged with Chan's formula after shifting by the key's mean.
+
+    All windows of one call run in one pass inside the buckets; that pass is
+    checkpointed, so the per-bucket summary and the final join read it instead
+    of recomputing everything upstream (plans stay linear in the number of
+    chained calls). Offsets are joined by ``(keys, bucket)``: broadcast without
+    keys (one row per bucket), broadcast after a size check with keys.
+    """
+    sums, moments, keys = dict(sums or {}), dict(moments or {}), list(keys)
+    frame = (_UNB, Window.currentRow) if inclusive else (_UNB, -1)
+    base = seq.df.select("*", *[e.alias(f"_e_{n}") for n, e in sums.items()],
+                         *[e.cast("double").alias(f"_v_{n}") for n, e in moments.items()])
+    w = seq.window(*keys).rowsBetween(*frame)
+    loc = [F.coalesce(F.sum(f"_e_{n}").over(w), F.lit(0)).alias(f"_l_{n}") for n in sums]
+    for n in moments:
+        v = f"_v_{n}"
+        nb = F.count(v).over(w)
+        loc += [nb.alias(f"_nb_{n}"), F.coalesce(F.avg(v).over(w), F.lit(0.0)).alias(f"_mb_{n}"),
+                F.coalesce(F.var_pop(v).over(w) * nb, F.lit(0.0)).alias(f"_qb_{n}")]
+    local = base.select("*", *loc)
+    if checkpoint:
+        local = materialize(local)
+    aggs = [F.sum(f"_e_{n}").alias(f"_s_{n}") for n in sums]
+    for n in moments:
+        v = f"_v_{n}"
+        aggs += [F.count(v).alias(f"_sn_{n}"), F.coalesce(F.avg(v), F.lit(0.0)).alias(f"_sm_{n}"),
+                 F.coalesce(F.var_pop(v) * F.count(v), F.lit(0.0)).alias(f"_sq_{n}")]
+    summary = local.groupBy(*keys, BUCKET).agg(*aggs)
+    prior = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(_UNB, -1)
+    whole = Window.partitionBy(*keys)
+    offs = [F.coalesce(F.sum(f"_s_{n}").over(prior), F.lit(0)).alias(f"_o_{n}") for n in sums]
+    for n in moments:
+        cnt, mean = F.col(f"_sn_{n}"), F.col(f"_sm_{n}")
+        g = F.sum(cnt * mean).over(whole) / F.greatest(F.sum(cnt).over(whole), F.lit(1))
+        dm = mean - g
+        na = F.coalesce(F.sum(cnt).over(prior), F.lit(0))
+        s1 = F.coalesce(F.sum(cnt * dm).over(prior), F.lit(0.0))
+        s2 = F.coalesce(F.sum(cnt * dm * dm).over(prior), F.lit(0.0))
+        sq = F.coalesce(F.sum(f"_sq_{n}").over(prior), F.lit(0.0))
+        offs += [na.alias(f"_na_{n}"), (g + F.when(na > 0, s1 / na).otherwise(0.0)).alias(f"_ma_{n}"),
+                 (sq + s2 - F.when(na > 0, s1 * s1 / na).otherwise(0.0)).alias(f"_qa_{n}")]
+    offsets = summary.select(*keys, BUCKET, *offs)
+    if keys:
+        joined = _null_safe_join(local, bounded_broadcast(offsets), [*keys, BUCKET])
+    else:
+        joined = _null_safe_join(local, offsets, [BUCKET], hint_broadcast=True)
+    outs = [(F.col(f"_l_{n}") + F.coalesce(F.col(f"_o_{n}"), F.lit(0))).alias(n) for n in sums]
+    for n in moments:
+        cnt, mean, m2 = _chan_merge(F.coalesce(F.col(f"_na_{n}"), F.lit(0)), F.coalesce(F.col(f"_ma_{n}"), F.lit(0.0)),
+                                    F.coalesce(F.col(f"_qa_{n}"), F.lit(0.0)),
+                                    F.col(f"_nb_{n}"), F.col(f"_mb_{n}"), F.col(f"_qb_{n}"))
+        outs += [cnt.alias(f"{n}_n"), mean.alias(f"{n}_mean"), F.greatest(m2, F.lit(0.0)).alias(f"{n}_m2")]
+    return seq.with_df(joined.select(*seq.df.columns, *outs))
+
+
 def running_sums(seq: Sequenced, exprs: Mapping[str, Column], inclusive: bool = True,
                  keys: Sequence[str] = ()) -> Sequenced:
     """Append, per row, the sum of each expression over earlier rows.
@@ -105,21 +176,7 @@ def running_sums(seq: Sequenced, exprs: Mapping[str, Column], inclusive: bool =
     ``inclusive`` includes the row itself. With ``keys`` only rows sharing the
     key values count. Null expression values count as zero.
     """
-    keys = list(keys)
-    frame = (_UNB, Window.currentRow) if inclusive else (_UNB, -1)
-    tmp = {n: f"_e_{n}" for n in exprs}
-    base = seq.df.select("*", *[e.alias(tmp[n]) for n, e in exprs.items()])
-    w = seq.window(*keys).rowsBetween(*frame)
-    local = base.select("*", *[F.coalesce(F.sum(tmp[n]).over(w), F.lit(0)).alias(f"_l_{n}") for n in exprs])
-    summary = base.groupBy(*keys, BUCKET).agg(*[F.sum(tmp[n]).alias(f"_s_{n}") for n in exprs])
-    wb = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(_UNB, -1)
-    offsets = summary.select(*keys, BUCKET, *[
-        F.coalesce(F.sum(f"_s_{n}").over(wb), F.lit(0)).alias(f"_o_{n}") for n in exprs])
-    # Without keys the offsets have one row per bucket: a proven bound, so broadcast.
-    joined = _null_safe_join(local, offsets, [*keys, BUCKET], hint_broadcast=not keys)
-    out = joined.select(*seq.df.columns, *[
-        (F.col(f"_l_{n}") + F.coalesce(F.col(f"_o_{n}"), F.lit(0))).alias(n) for n in exprs])
-    return seq.with_df(out)
+    return running(seq, sums=exprs, inclusive=inclusive, keys=keys)
 
 
 def _chan_merge(na: Column, ma: Column, m2a: Column, nb: Column, mb: Column, m2b: Column):
@@ -135,37 +192,7 @@ def running_moments(seq: Sequenced, value: Column | str, prefix: str, inclusive:
     """Append running ``{prefix}_n``, ``{prefix}_mean`` and ``{prefix}_m2``
     (sum of squared deviations) of ``value`` over the global order; nulls skip."""
     v = F.col(value) if isinstance(value, str) else value
-    frame = (_UNB, Window.currentRow) if inclusive else (_UNB, -1)
-    base = seq.df.withColumn("_v", v.cast("double"))
-    w = seq.window().rowsBetween(*frame)
-    nb = F.count("_v").over(w)
-    local = base.select(
-        "*",
-        nb.alias("_nb"),
-        F.coalesce(F.avg("_v").over(w), F.lit(0.0)).alias("_mb"),
-        F.coalesce(F.var_pop("_v").over(w) * nb, F.lit(0.0)).alias("_m2b"),
-    )
-    summ = base.groupBy(BUCKET).agg(
-        F.count("_v").alias("n"), F.coalesce(F.avg("_v"), F.lit(0.0)).alias("m"),
-        F.coalesce(F.var_pop("_v") * F.count("_v"), F.lit(0.0)).alias("q"))
-    prior = Window.orderBy(BUCKET).rowsBetween(_UNB, -1)
-    whole = Window.orderBy(BUCKET).rowsBetween(_UNB, Window.unboundedFollowing)
-    # shift by the overall mean so the merge of bucket means does not cancel
-    g = F.sum(F.col("n") * F.col("m")).over(whole) / F.greatest(F.sum("n").over(whole), F.lit(1))
-    summ = summ.withColumn("_g", g).withColumn("_dm", F.col("m") - F.col("_g"))
-    na = F.coalesce(F.sum("n").over(prior), F.lit(0))
-    s1 = F.coalesce(F.sum(F.col("n") * F.col("_dm")).over(prior), F.lit(0.0))
-    s2 = F.coalesce(F.sum(F.col("n") * F.col("_dm") * F.col("_dm")).over(prior), F.lit(0.0))
-    sq = F.coalesce(F.sum("q").over(prior), F.lit(0.0))
-    offsets = summ.select(
-        BUCKET, na.alias("_na"), (F.col("_g") + F.when(na > 0, s1 / na).otherwise(0.0)).alias("_ma"),
-        (sq + s2 - F.when(na > 0, s1 * s1 / na).otherwise(0.0)).alias("_m2a"))
-    joined = local.join(F.broadcast(offsets), BUCKET, "left")
-    n, mean, m2 = _chan_merge(F.col("_na"), F.col("_ma"), F.col("_m2a"),
-                              F.col("_nb"), F.col("_mb"), F.col("_m2b"))
-    out = joined.select(*seq.df.columns, n.alias(f"{prefix}_n"), mean.alias(f"{prefix}_mean"),
-                        F.greatest(m2, F.lit(0.0)).alias(f"{prefix}_m2"))
-    return seq.with_df(out)
+    return running(seq, moments={prefix: v}, inclusive=inclusive)
 
 
 def with_global_index(seq: Sequenced, name: str = "gidx", where: Column | None = None,
@@ -174,10 +201,17 @@ def with_global_index(seq: Sequenced, name: str = "gidx", where: Column | None =
 
     With ``where`` only qualifying rows are counted; the others get null.
     """
-    cond = F.lit(True) if where is None else where
-    counted = running_sums(seq, {f"_{name}_c": F.when(cond, F.lit(1)).otherwise(F.lit(0))},
-                           inclusive=True, keys=keys)
-    out = counted.df.withColumn(name, F.when(cond, F.col(f"_{name}_c") - 1)).drop(f"_{name}_c")
+    return with_indexes(seq, {name: where}, keys)
+
+
+def with_indexes(seq: Sequenced, conds: Mapping[str, Column | None], keys: Sequence[str] = ()) -> Sequenced:
+    """Several dense indexes (each over the rows meeting its condition) in one pass."""
+    conds = {n: (F.lit(True) if c is None else c) for n, c in conds.items()}
+    counted = running(seq, sums={f"_{n}_c": F.when(c, F.lit(1)).otherwise(F.lit(0)) for n, c in conds.items()},
+                      inclusive=True, keys=keys)
+    out = counted.df
+    for n, c in conds.items():
+        out = out.withColumn(n, F.when(c, F.col(f"_{n}_c") - 1)).drop(f"_{n}_c")
     return seq.with_df(out)
 
 

@@ -10,7 +10,7 @@ from tidemark.functions.columns import shrink
 from tidemark.operators.cleaning import with_calendar
 from tidemark.operators.encoders import DEFAULT_SMOOTHING, encode_long, prior_global_mean
 from tidemark.operators.geo import with_zone_pair
-from tidemark.plans.ordering import Sequenced, sequence, with_global_index
+from tidemark.plans.ordering import Sequenced, sequence, with_indexes
 from tidemark.sources import fixtures
 
 ORDER = fixtures.TRIP_ORDER
@@ -29,8 +29,7 @@ def sequenced_trips(spark: SparkSession, sf_dir: str, label_gap_every: int | Non
     labelled-row index ``lidx``."""
     seq = sequence(trip_features(spark, sf_dir, label_gap_every), ORDER)
     if indexed:
-        seq = with_global_index(seq, "gidx")
-        seq = with_global_index(seq, "lidx", where=F.col("target").isNotNull())
+        seq = with_indexes(seq, {"gidx": None, "lidx": F.col("target").isNotNull()})
     return seq
 
 
