@@ -15,7 +15,7 @@ def test_stream_learns(spark):
     from tidemark.plans.ordering import rolling
 
     err = pred.withColumn("ae", F.abs(F.col("y") - F.col("prediction")))
-    roll = rolling(err, "i", 1000, {"rolling_mae": F.avg("ae")})
+    roll = rolling(err, "i", 1000, {"_s": F.col("ae"), "_c": F.lit(1)}).withColumn("rolling_mae", F.col("_s") / F.col("_c"))
     early = roll.where((F.col("i") >= 200) & (F.col("i") < 400)).agg(F.avg("rolling_mae")).first()[0]
     late = roll.where(F.col("i") >= 3800).agg(F.avg("rolling_mae")).first()[0]
     assert late < early

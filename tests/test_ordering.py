@@ -42,7 +42,7 @@ def test_global_index_and_moments(spark):
 
 def test_rolling_across_blocks(spark):
     pdf = pd.DataFrame({"i": np.arange(3000), "v": np.arange(3000, dtype=float) % 17})
-    out = rolling(spark.createDataFrame(pdf), "i", 100, {"s": F.sum("v")}, block_rows=400).toPandas().sort_values("i")
+    out = rolling(spark.createDataFrame(pdf), "i", 100, {"s": F.col("v")}, block_rows=400).toPandas().sort_values("i")
     exp = pdf["v"].rolling(100, min_periods=1).sum()
     assert np.allclose(out["s"].to_numpy(), exp.to_numpy())
 

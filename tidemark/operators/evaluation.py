@@ -56,8 +56,8 @@ def rolling_metrics(seq: Sequenced, y: str = "target", yhat: str = "prediction",
     s = seq if idx in seq.df.columns else with_global_index(seq, idx, where=F.col(y).isNotNull())
     err = F.col(y) - F.col(yhat)
     base = s.df.where(F.col(idx).isNotNull()).withColumn("_ae", F.abs(err)).withColumn("_se", err * err)
-    out = rolling(base, idx, w, {"_c": F.count(F.lit(1)), "_sa": F.sum("_ae"), "_sq": F.sum("_se"),
-                                 "_vy": F.var_pop(y)})
+    out = rolling(base, idx, w, {"_c": F.lit(1).cast("long"), "_sa": F.col("_ae"), "_sq": F.col("_se")},
+                  variances={"_vy": F.col(y)})
     c = F.col("_c")
     return out.select(
         *[x for x in s.df.columns],
@@ -101,7 +101,7 @@ def rolling_segment_mae(df: DataFrame, seg: str, order: Sequence[str], err: str
 def rolling_segment_mae_rows(seq: Sequenced, seg: str, err: str = "abs_err", n: int = 2000) -> DataFrame:
     """F6 (per row): rolling MAE of the row's segment over its last ``n`` errors."""
     s = with_global_index(seq, "_sidx", where=F.col(err).isNotNull(), keys=[seg])
-    out = rolling(s.df, "_sidx", n, {"_sa": F.sum(err), "_c": F.count(err)}, keys=[seg])
+    out = rolling(s.df, "_sidx", n, {"_sa": F.col(err), "_c": F.col(err).isNotNull().cast("long")}, keys=[seg])
     return out.withColumn("segment_rolling_mae", F.col("_sa") / F.col("_c")).drop("_sa", "_c", "_sidx")
 
 

@@ -111,7 +111,7 @@ def with_lags(seq: Sequenced, y: str = "target", lag_list: Sequence[int] = (1, 2
 def with_rolling_mean(seq: Sequenced, y: str = "target", w: int = 50, idx: str = "gidx") -> DataFrame:
     """Mean of the ``w`` labels before the row (exclusive), null at the start."""
     s = seq if idx in seq.df.columns else with_global_index(seq, idx)
-    out = rolling(s.df, idx, w + 1, {"_s": F.sum(y), "_c": F.count(y)})
+    out = rolling(s.df, idx, w + 1, {"_s": F.col(y), "_c": F.col(y).isNotNull().cast("long")})
     prior_sum = F.col("_s") - F.coalesce(F.col(y), F.lit(0.0))
     prior_n = F.col("_c") - F.col(y).isNotNull().cast("int")
     return out.withColumn(f"{y}_roll{w}", F.when(prior_n > 0, prior_sum / prior_n)).drop("_s", "_c")

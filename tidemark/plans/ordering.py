@@ -221,9 +221,12 @@ def halo_window_frame(df: DataFrame, idx: str, lookback: int, block_rows: int |
     ``lookback`` earlier rows (per ``keys``) is complete inside every block.
 
     Returns ``(frame_df, window)``: rows carry ``_halo`` (True for copies that
-    only serve as history); apply the window, then drop halo rows.
+    only serve as history); apply the window, then drop halo rows. Blocks have
+    a fixed number of index values, so a hot key is cut into many blocks.
     """
-    b = int(max(4 * max(lookback, 1), block_rows or 1 << 16))
+    b = int(block_rows) if block_rows else int(max(4 * max(lookback, 1), 1 << 14))
+    if b < lookback:
+        raise ValueError("block must hold at least the lookback")
     blk = F.floor(F.col(idx) / F.lit(b)).cast("long")
     in_tail = (F.col(idx) % F.lit(b)) >= F.lit(b - lookback)
     copies = F.array(
@@ -237,17 +240,42 @@ def halo_window_frame(df: DataFrame, idx: str, lookback: int, block_rows: int |
     return laid, window
 
 
-def rolling(df: DataFrame, idx: str, w: int, aggs: Mapping[str, Column],
-            keys: Sequence[str] = (), block_rows: int | None = None) -> DataFrame:
-    """Rolling aggregates over the last ``w`` rows (inclusive) of a dense index.
+def rolling(df: DataFrame, idx: str, w: int, sums: Mapping[str, Column],
+            keys: Sequence[str] = (), block_rows: int | None = None,
+            variances: Mapping[str, Column] | None = None) -> DataFrame:
+    """Rolling sums over the last ``w`` rows (inclusive) of a dense index.
 
-    ``aggs`` maps output names to aggregate expressions; they are evaluated
-    over ``rowsBetween(-(w-1), 0)``. Rows with a null index are dropped.
+    O(rows): inside each halo block, a running sum minus the same running sum
+    ``w`` rows earlier. ``sums`` maps output names to expressions (nulls count
+    as 0). ``variances`` adds ``{name}`` = population variance and
+    ``{name}_n`` = non-null count over the frame, from sums shifted by the
+    block mean. Rows with a null index are dropped.
     """
+    variances = dict(variances or {})
     laid, window = halo_window_frame(df, idx, w - 1, block_rows, keys)
-    frame = window.rowsBetween(-(w - 1), 0)
-    out = laid.select("*", *[a.over(frame).alias(n) for n, a in aggs.items()])
-    return out.where(~F.col("_halo")).drop("_blk", "_halo")
+    whole = Window.partitionBy(*keys, "_blk")
+    terms = {n: e for n, e in sums.items()}
+    for n, e in variances.items():
+        laid = laid.withColumn(f"_vx_{n}", e.cast("double"))
+        laid = laid.withColumn(f"_vc_{n}", F.avg(f"_vx_{n}").over(whole))
+        d = F.col(f"_vx_{n}") - F.col(f"_vc_{n}")
+        terms[f"_vn_{n}"] = F.col(f"_vx_{n}").isNotNull().cast("long")
+        terms[f"_v1_{n}"] = d
+        terms[f"_v2_{n}"] = d * d
+    run = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    step1 = laid.select("*", *[F.coalesce(F.sum(e).over(run), F.lit(0)).alias(f"_p_{n}") for n, e in terms.items()])
+    step2 = step1.select("*", *[(F.col(f"_p_{n}") - F.coalesce(F.lag(f"_p_{n}", w).over(window), F.lit(0))).alias(n)
+                                for n in terms])
+    out = step2.where(~F.col("_halo"))
+    for n in variances:
+        cnt = F.col(f"_vn_{n}")
+        m1 = F.col(f"_v1_{n}") / cnt
+        out = out.withColumn(n, F.when(cnt > 0, F.greatest(F.col(f"_v2_{n}") / cnt - m1 * m1, F.lit(0.0))))
+        out = out.withColumn(f"{n}_n", cnt)
+    drop = ["_blk", "_halo", *[f"_p_{n}" for n in terms]]
+    for n in variances:
+        drop += [f"_vx_{n}", f"_vc_{n}", f"_v1_{n}", f"_v2_{n}", f"_vn_{n}"]
+    return out.drop(*drop)
 
 
 def lags(df: DataFrame, idx: str, cols: Mapping[str, tuple[str, int]],

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import shrink
-from tidemark.plans.ordering import rolling, running_sums, sequence, with_global_index
+from tidemark.plans.ordering import rolling, running, running_sums, sequence
 
 PAIR = ("pu_zone", "do_zone")
 
@@ -78,11 +78,16 @@ class PrequentialStream:
         else:
             sc = st["scalars"].first().asDict()
 
+        lab = y.isNotNull()
         seq = sequence(batch, self.order, self.n_buckets)
-        seq = with_global_index(seq, "_g")
-        seq = with_global_index(seq, "_l", where=y.isNotNull())
-        seq = running_sums(seq, {"_gs": y, "_gn": y.isNotNull().cast("long")}, inclusive=False)
-        seq = running_sums(seq, {"_ps": y, "_pn": y.isNotNull().cast("long")}, inclusive=False, keys=list(PAIR))
+        # one pass for both indexes and the global label sums (exclusive = inclusive - own row)
+        seq = running(seq, sums={"_gc": F.lit(1).cast("long"), "_lc": lab.cast("long"), "_gsi": y,
+                                 "_gni": lab.cast("long")}, inclusive=True)
+        seq = seq.with_df(seq.df.withColumn("_g", F.col("_gc") - 1)
+                          .withColumn("_l", F.when(lab, F.col("_lc") - 1))
+                          .withColumn("_gs", F.col("_gsi") - F.coalesce(y, F.lit(0.0)))
+                          .withColumn("_gn", F.col("_gni") - lab.cast("long")))
+        seq = running_sums(seq, {"_ps": y, "_pn": lab.cast("long")}, inclusive=False, keys=list(PAIR))
         df = seq.df
         if st is not None:
             df = df.join(st["pairs"].select(*PAIR, F.col("n").alias("_pn0"), F.col("s").alias("_ps0")), list(PAIR), "left")
@@ -102,12 +107,8 @@ class PrequentialStream:
         scored = seq.with_df(df)
 
         # cumulative metrics: batch running sums + state (target moments merged by Chan)
-        lab = y.isNotNull()
-        m = running_sums(scored, {"_mn": lab.cast("long"), "_sa": F.when(lab, F.col("abs_err")),
-                                  "_sq": F.when(lab, F.col("sq_err"))}, inclusive=True)
-        from tidemark.plans.ordering import running_moments
-
-        m = running_moments(m, self.y, "_t", inclusive=True)
+        m = running(scored, sums={"_mn": lab.cast("long"), "_sa": F.when(lab, F.col("abs_err")),
+                                  "_sq": F.when(lab, F.col("sq_err"))}, moments={"_t": y}, inclusive=True)
         n_all = F.col("_mn") + F.lit(sc["mn"])
         na, ma, m2a = F.lit(float(sc["tn"])), F.lit(float(sc["tmean"])), F.lit(float(sc["tm2"]))
         nb, mb, m2b = F.col("_t_n").cast("double"), F.coalesce(F.col("_t_mean"), F.lit(0.0)), F.col("_t_m2")
@@ -126,7 +127,8 @@ class PrequentialStream:
         cur = out.where(lab).select("record_id", "lidx", "abs_err", F.lit(False).alias("_tail"))
         if st is not None:
             cur = st["tail"].select("record_id", "lidx", "abs_err", F.lit(True).alias("_tail")).unionByName(cur)
-        roll = rolling(cur, "lidx", self.w, {"rolling_mae": F.avg("abs_err")}).where(~F.col("_tail"))
+        roll = rolling(cur, "lidx", self.w, {"_sa": F.col("abs_err"), "_c": F.lit(1).cast("long")}).where(~F.col("_tail"))
+        roll = roll.withColumn("rolling_mae", F.col("_sa") / F.col("_c"))
         res = out.join(roll.select("record_id", "rolling_mae"), "record_id", "left")
         cols = ["record_id", "gidx", "prediction", "n", "mae", "rmse", "r2", "rolling_mae"]
         res.select(*cols).write.mode("overwrite").parquet(f"{self.out_dir}/batch_id={batch_id}")
