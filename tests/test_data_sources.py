@@ -55,3 +55,29 @@ def test_report_json(spark, tmp_dir):
     sio.write_report(r, f"{tmp_dir}/rep")
     back = spark.read.json(f"{tmp_dir}/rep").first()
     assert back["decision"] == "PROMOTE" and back["candidate"]["mae"] == 1.5
+
+
+def test_prepared_write_prunes_partitions(spark, tmp_dir):
+    from tidemark.operators.cleaning import prepare_trips
+    from tidemark.sources import fixtures as fx
+
+    p = prepare_trips(fx.raw_trips(spark, "/root/testdata/sf0.001"), fx.RAW_MIN_S, fx.RAW_MAX_S)
+    sio.write_prepared(p, f"{tmp_dir}/prep")
+    back = spark.read.parquet(f"{tmp_dir}/prep").where("pickup_month = 3")
+    plan = back._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "pickup_month" in plan.split("PartitionFilters")[1][:200]
+    assert back.count() == p.where("pickup_month = 3").count()
+
+
+def test_append_records_feed_the_stream(spark, tmp_dir):
+    from tidemark.sources import fixtures as fx
+
+    t = fx.trips(spark, "/root/testdata/sf0.001").limit(10)
+    sio.append_records(t.where("seq < 5"), f"{tmp_dir}/in")
+    sio.append_records(t.where("seq >= 5").withColumn("target", t.target * 0 + None), f"{tmp_dir}/in")
+    stream = sio.replay_stream(spark, f"{tmp_dir}/in", t.schema, files_per_trigger=1)
+    q = (stream.writeStream.format("parquet").option("path", f"{tmp_dir}/out")
+         .option("checkpointLocation", f"{tmp_dir}/ck").trigger(availableNow=True).start())
+    q.awaitTermination()
+    out = spark.read.parquet(f"{tmp_dir}/out")
+    assert out.count() == t.count() and out.where("target IS NULL").count() == t.where("seq >= 5").count()

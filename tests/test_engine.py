@@ -104,3 +104,18 @@ def test_promotion_rule(spark):
     assert promotion_decision(c, h, 0.0).first()["promote"]
     assert not promotion_decision(c, h, 0.1).first()["promote"]
     assert promotion_decision(c, None).first()["promote"]
+
+
+def test_score_uses_frozen_encoders(spark):
+    from tidemark.plans.trips import trip_features
+
+    f = trip_features(spark, "/root/testdata/sf0.001")
+    train, test = f.where("seq < 800"), f.where("seq >= 800")
+    state = en.fit_encoder(train, ["pickup_datetime", "seq"])
+    feats = en.apply_encoder(train, state)
+    m = mo.fit_tree(feats, numeric=list(mo.NUMERIC_FEATURES) + ["te_pu_zone_do_zone_long"], min_instances=20)
+    a = mo.score(m, test, state).select("seq", "prediction").orderBy("seq").collect()
+    b = mo.score(m, test, state).select("seq", "prediction").orderBy("seq").collect()
+    assert a == b and len(a) == test.count()
+    eta = mo.score_trips(mo.score(m, test, state)).first()
+    assert abs(eta["eta_minutes"] - round(eta["eta_seconds"] / 60.0, 1)) <= 0.05 + 1e-9

@@ -296,3 +296,62 @@ def continual_linear(df: DataFrame, features: Sequence[str], y: str, idx: str, b
     res = df.withColumn("_b", b).join(coefs, "_b", "left")
     res = res.withColumn(name, F.when(F.col("w_b").isNull(), F.lit(0.0)).otherwise(pred + F.lit(mu[y])))
     return res.drop("_b", "w_b", *[f"w{i}" for i in range(p)])
+
+
+# ---------------------------------------------------------------- F9 / F10
+def train_regime(df: DataFrame, features: Sequence[str], y: str, idx: str, total: int,
+                 warm_frac: float = 0.4, holdout_frac: float = 0.2, batch_rows: int = 1000,
+                 l2: float = 2.0) -> tuple[DataFrame, DataFrame]:
+    """batch warm-up on the first ``warm_frac`` of rows, then continual
+    micro-batch updates in stream order up to the holdout, then a frozen
+    holdout. Returns ``(continual_predictions, holdout_predictions)``.
+
+    The warm slice is one batch of sufficient statistics (order does not
+    matter to a batch fit, so shuffled epochs map to one fit); continual rows
+    are predicted from warm + earlier batches; the holdout uses the final fit.
+    """
+    warm_end = int(total * warm_frac)
+    hold_start = int(total * (1 - holdout_frac))
+    i = F.col(idx)
+    train = df.where(i < hold_start)
+    # batch ids: the whole warm slice is batch 0, then fixed-size batches
+    shifted = train.withColumn("_ri", F.when(i < warm_end, F.lit(0)).otherwise(i - warm_end + batch_rows))
+    cont = continual_linear(shifted, features, y, "_ri", batch_rows, l2).where(i >= warm_end).drop("_ri")
+    stats = linear_stats(train, features, y)
+    w, b = solve_ridge(stats, l2)
+    coefs = {"intercept": b, **{f: float(c) for f, c in zip(stats.features, w)}}
+    hold = predict_linear(df.where(i >= hold_start), coefs)
+    return cont, hold
+
+
+def ablation(df: DataFrame, idx: str, total: int, order: Sequence[str], y: str = "target",
+             base_features: Sequence[str] = ("pickup_hour", "passenger_count", "bearing_sin", "bearing_cos",
+                                             "same_borough", "pu_airport", "do_airport"),
+             route_feature: str = "gc_distance_km", split: float = 0.8) -> DataFrame:
+    """setups scored on the same chronological holdout, with the
+    continual cost (batch R2 - continual R2) and the route-feature lift."""
+    from tidemark.operators.evaluation import holdout_metrics
+
+    cut = int(total * split)
+    i = F.col(idx)
+    train, hold = df.where(i < cut), df.where(i >= cut)
+    rows = [global_mean_baseline(train, hold, y), memory_baseline(train, hold, order, y)]
+
+    def scored(name, pred_df):
+        m = holdout_metrics(pred_df, y, "prediction")
+        return m.select(F.lit(name).alias("setup"), "mae", "r2")
+
+    feats = list(base_features)
+    for name, fs in (("ridge, no route", feats), ("ridge +route", feats + [route_feature])):
+        st = linear_stats(train, fs, y)
+        w, b = solve_ridge(st, 2.0)
+        rows.append(scored(name, predict_linear(hold, {"intercept": b, **dict(zip(fs, map(float, w)))})))
+    tree = fit_tree(train, y, numeric=feats + [route_feature], categorical=("ratecode", "pu_borough", "do_borough"),
+                    ignore=(), min_instances=50)
+    rows.append(scored("tree batch (ceiling)", tree.transform(hold)))
+    _, hold_pred = train_regime(df, feats + [route_feature], y, idx, total, holdout_frac=1 - split)
+    rows.append(scored("warm-up + continual", hold_pred))
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out

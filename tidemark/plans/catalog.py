@@ -766,3 +766,27 @@ def h08(spark, sf_dir):
     return mon.status_snapshot(snap, seg, recent, hist, None, log, counts, "trips").select(
         "source", "performance", "segments", F.size("recent").alias("n_recent"), F.size("history").alias("n_history"),
         "concept_events", "spurious_events", "feature_events")
+
+
+@query("f09_train_regime")
+def f09(spark, sf_dir):
+    from tidemark.operators import models as mo
+
+    seq = _seq_trips(spark, sf_dir)
+    total = ev.total_rows(seq)
+    cont, hold = mo.train_regime(seq.df, ["passenger_count", "gc_distance_km", "pickup_hour"], "target", "gidx",
+                                 total, warm_frac=0.4, holdout_frac=0.2, batch_rows=1000)
+    m = ev.holdout_metrics(hold)
+    c = ev.holdout_metrics(cont)
+    return m.select(F.lit("holdout").alias("part"), "mae", "r2", "n").unionByName(
+        c.select(F.lit("continual").alias("part"), "mae", "r2", "n"))
+
+
+@query("f10_ablation")
+def f10a(spark, sf_dir):
+    from tidemark.operators import models as mo
+
+    seq = _seq_trips(spark, sf_dir)
+    total = ev.total_rows(seq)
+    return mo.ablation(seq.df, "gidx", total, ["pickup_datetime", "seq"]).select(
+        "setup", r6("mae").alias("mae"), r6("r2").alias("r2"))
