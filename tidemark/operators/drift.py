@@ -47,12 +47,19 @@ def error_prefix(seq: Sequenced, err: str = "err", idx: str = "i") -> DataFrame:
 
 
 def _lookup(events: DataFrame, prefix: DataFrame, offsets: dict[str, int], at: str) -> DataFrame:
-    """Attach ``P_name, Q_name`` = prefix sums at ``at + offset`` (0 before the start)."""
+    """Attach ``{name}_P, {name}_Q`` = prefix sums at ``at + offset``
+    (0 before the start).
+
+    The lookups (a few per event) are broadcast after a size check and
+    inner-joined against the prefix table, so the big side only streams;
+    positions before the start need no lookup.
+    """
     pos = F.array(*[F.struct(F.lit(k).alias("_role"), (F.col(at) + F.lit(o)).alias("_pos")) for k, o in offsets.items()])
     ex = events.select(at, F.explode(pos).alias("_l")).select(at, "_l._role", "_l._pos")
-    j = ex.join(prefix, "_pos", "left")
-    j = j.withColumn("_P", F.when(F.col("_pos") < 0, F.lit(0).cast(_EXACT)).otherwise(F.col("_P")))
-    j = j.withColumn("_Q", F.when(F.col("_pos") < 0, F.lit(0).cast(_EXACT)).otherwise(F.col("_Q")))
+    found = prefix.join(bounded_broadcast(ex.where(F.col("_pos") >= 0)), "_pos").select(at, "_role", "_P", "_Q")
+    zero = F.lit(0).cast(_EXACT)
+    before = ex.where(F.col("_pos") < 0).select(at, "_role", zero.alias("_P"), zero.alias("_Q"))
+    j = found.unionByName(before)
     piv = j.groupBy(at).pivot("_role", list(offsets)).agg(F.first("_P").alias("P"), F.first("_Q").alias("Q"))
     return events.join(piv, at, "left")
 
@@ -127,7 +134,9 @@ def outlier_autocorr(seq: Sequenced, err: str = "err", idx: str = "i", q: float
     """Lag autocorrelation of the indicator ``err > p99`` (exact percentile)."""
     from tidemark.operators.evaluation import autocorr
 
-    thr = seq.df.agg(F.percentile(err, q)).first()[0]
+    from tidemark.plans.ordering import exact_quantiles
+
+    thr = exact_quantiles(seq.df, err, [q])[0]
     ind = seq.with_df(seq.df.withColumn("_big", (F.col(err) > F.lit(thr)).cast("double")))
     out = autocorr(ind, "_big", [lag], idx=idx)
     return out.withColumn("threshold", F.lit(float(thr)))

@@ -188,12 +188,20 @@ def autocorr(seq: Sequenced, value: str = "residual", lag_list: Sequence[int] =
 
 def error_percentiles(df: DataFrame, err: str = "abs_err", qs: Sequence[float] = ERROR_QUANTILES,
                       exact: bool = True, accuracy: int = 100_000) -> DataFrame:
-    """error tail percentiles with linear interpolation (exact), or
-    ``percentile_approx`` for very large inputs."""
+    """error tail percentiles with linear interpolation.
+
+    Exact by default through a distributed sort (no task holds all values);
+    ``exact=False`` uses ``percentile_approx`` (one pass, bounded sketch).
+    """
+    from tidemark.plans.ordering import exact_quantiles
+
     names = [("p" + (str(q).rstrip("0").rstrip(".")).replace(".", "_")) for q in qs]
-    fn = (lambda q: F.percentile(err, q / 100.0)) if exact else (
-        lambda q: F.percentile_approx(err, q / 100.0, accuracy))
-    return df.where(F.col(err).isNotNull()).agg(*[fn(q).alias(n) for q, n in zip(qs, names)])
+    if not exact:
+        return df.where(F.col(err).isNotNull()).agg(
+            *[F.percentile_approx(err, q / 100.0, accuracy).alias(n) for q, n in zip(qs, names)])
+    vals = exact_quantiles(df, err, [q / 100.0 for q in qs])
+    schema = ", ".join(f"{n} double" for n in names)
+    return df.sparkSession.createDataFrame([tuple(vals)], schema)
 
 
 def recent_points(df: DataFrame, idx: str = "gidx", ts: str = "pickup_datetime", y: str = "target",
