@@ -115,6 +115,9 @@ def cap_per_group(df: DataFrame, group: str | Sequence[str], n: int, seed: int,
     if n <= 0:
         return df
     groups = [group] if isinstance(group, str) else list(group)
+    from tidemark.operators.evaluation import allow_group_limit
+
+    allow_group_limit(df.sparkSession, n)
     key = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in id_cols], F.lit(str(seed))))
     w = Window.partitionBy(*groups).orderBy(key, *id_cols)
     return df.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= n).drop("_rk")

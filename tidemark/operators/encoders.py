@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import shrink
-from tidemark.plans.ordering import Sequenced, bounded_broadcast, halo_window_frame, running_sums
+from tidemark.plans.ordering import Sequenced, halo_window_frame, materialize, running_sums
 
 # Fixed defaults of the reference configuration.
 DEFAULT_ENCODERS = (("pu_zone", "do_zone"), ("do_zone",), ("pu_borough", "do_borough", "pickup_hour"))
@@ -164,6 +164,9 @@ def fit_encoder(train: DataFrame, order: Sequence[str], y: str = "target",
                 res = res.withColumn(h, F.col("_long"))
             else:
                 keep = ewma_lookback(a) + 1
+                from tidemark.operators.evaluation import allow_group_limit
+
+                allow_group_limit(train.sparkSession, keep)
                 w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
                 top = lab.select(*keys, y, *order).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= keep)
                 q = 1.0 - a
@@ -173,15 +176,15 @@ def fit_encoder(train: DataFrame, order: Sequence[str], y: str = "target",
                 val = top.groupBy(*keys).agg(F.sum(coef * F.pow(F.lit(q), (F.col("_r") - 1).cast("double")) * F.col(y)).alias(h))
                 res = res.join(val, keys, "left")
             cols.append(h)
-        state[enc] = res.select(*keys, *cols)
+        state[enc] = materialize(res.select(*keys, *cols))  # a fitted artifact: one row per key
     return state
 
 
 def apply_encoder(df: DataFrame, state: dict, k: float = DEFAULT_SMOOTHING,
-                  horizons: Mapping[str, float] | None = None, max_state_bytes: int = 256 << 20) -> DataFrame:
+                  horizons: Mapping[str, float] | None = None, max_state_rows: int = 2_000_000) -> DataFrame:
     """D8 (apply): frozen encoder values, no update; unseen keys get ``g``.
 
-    The state is joined by key; it is broadcast only after a size check.
+    The state is joined by key; it is broadcast only below a checked row count.
     """
     horizons = dict(DEFAULT_HORIZONS if horizons is None else horizons)
     g = state["global"].first()["mean"]  # one aggregate value
@@ -193,7 +196,8 @@ def apply_encoder(df: DataFrame, state: dict, k: float = DEFAULT_SMOOTHING,
         ren = tbl
         for h in list(horizons) + ["n"]:
             ren = ren.withColumnRenamed(h, f"_{p}_{h}")
-        out = out.join(bounded_broadcast(ren, max_state_bytes), list(enc), "left")
+        small = ren.limit(max_state_rows + 1).count() <= max_state_rows
+        out = out.join(F.broadcast(ren) if small else ren, list(enc), "left")
         for h in horizons:
             out = out.withColumn(encoder_name(enc, h),
                                  shrink(F.coalesce(F.col(f"_{p}_n"), F.lit(0)), f"_{p}_{h}", "_g_frozen", k))

@@ -21,6 +21,14 @@ AUTOCORR_LAGS = (1, 10, 50, 200, 1000)
 ERROR_QUANTILES = (50.0, 75.0, 90.0, 95.0, 99.0, 99.9)
 
 
+def allow_group_limit(spark, n: int) -> None:
+    """Let Spark plan ``rank <= n`` filters as per-task group limits (it only
+    does so up to ``windowGroupLimitThreshold``)."""
+    key = "spark.sql.optimizer.windowGroupLimitThreshold"
+    if int(spark.conf.get(key, "1000")) < n:
+        spark.conf.set(key, str(n))
+
+
 def _r2(sse, sst, n):
     return F.when((n < 2) | (sst <= R2_EPS), F.lit(0.0)).otherwise(1.0 - sse / sst)
 
@@ -92,6 +100,7 @@ def segment_mae(df: DataFrame, seg: str = "pu_borough", err: str = "abs_err") ->
 def rolling_segment_mae(df: DataFrame, seg: str, order: Sequence[str], err: str = "abs_err",
                         n: int = 2000) -> DataFrame:
     """F6 (snapshot): MAE over the last ``n`` errors of each segment, rounded to 1."""
+    allow_group_limit(df.sparkSession, n)
     w = Window.partitionBy(seg).orderBy(*[F.col(c).desc() for c in order])
     last = df.where(F.col(err).isNotNull()).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n)
     return last.groupBy(F.col(seg).cast("string").alias("segment")).agg(

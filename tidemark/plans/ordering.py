@@ -109,7 +109,7 @@ def materialize(df: DataFrame) -> DataFrame:
 
 def running(seq: Sequenced, sums: Mapping[str, Column] | None = None,
             moments: Mapping[str, Column] | None = None, inclusive: bool = True,
-            keys: Sequence[str] = (), checkpoint: bool = True) -> Sequenced:
+            keys: Sequence[str] = (), checkpoint: bool = True, max_broadcast_rows: int = 2_000_000) -> Sequenced:
     """Two-level running aggregates over the global order (per key with ``keys``).
 
     ``sums``: running sum of each expression (nulls count as 0).
@@ -158,7 +158,12 @@ def running(seq: Sequenced, sums: Mapping[str, Column] | None = None,
                  (sq + s2 - F.when(na > 0, s1 * s1 / na).otherwise(0.0)).alias(f"_qa_{n}")]
     offsets = summary.select(*keys, BUCKET, *offs)
     if keys:
-        joined = _null_safe_join(local, bounded_broadcast(offsets), [*keys, BUCKET])
+        # the offsets have one row per (key, bucket): materialize them (one scan
+        # of the pass above) and broadcast only below a row bound, else a
+        # balanced join on (key, bucket)
+        offsets = materialize(offsets) if checkpoint else offsets
+        small = offsets.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows
+        joined = _null_safe_join(local, offsets, [*keys, BUCKET], hint_broadcast=small)
     else:
         joined = _null_safe_join(local, offsets, [BUCKET], hint_broadcast=True)
     outs = [(F.col(f"_l_{n}") + F.coalesce(F.col(f"_o_{n}"), F.lit(0))).alias(n) for n in sums]
