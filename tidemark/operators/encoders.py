@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import shrink
-from tidemark.plans.ordering import Sequenced, halo_window_frame, materialize, running_sums
+from tidemark.plans.ordering import Sequenced, halo_window_frame, materialize, running_keyed, running_sums
 
 # Fixed defaults of the reference configuration.
 DEFAULT_ENCODERS = (("pu_zone", "do_zone"), ("do_zone",), ("pu_borough", "do_borough", "pickup_hour"))
@@ -114,12 +114,17 @@ def multi_encode(seq: Sequenced, y: str = "target",
     are skipped. Horizon alpha 0 is the cumulative mean."""
     horizons = dict(DEFAULT_HORIZONS if horizons is None else horizons)
     present = [tuple(e) for e in encoders if all(c in seq.df.columns for c in e)]
-    s = prior_global_mean(seq, y, "g")
-    cur = s
+    s = seq if "g" in seq.df.columns else prior_global_mean(seq, y, "g")
+    lab = F.col(y).isNotNull()
+    groups = []
     for enc in present:
-        p = "te_" + "_".join(enc)
-        cur = encode_long(cur, enc, y, f"_raw{p}")
+        p = "_raw" + "te_" + "_".join(enc)
+        groups.append((list(enc), {f"{p}_n": lab.cast("long"), f"{p}_sum": F.col(y)}))
+    cur = running_keyed(s, groups, inclusive=False)  # all encoders' counts and sums in one pass
     df = cur.df
+    for enc in present:
+        p = "_raw" + "te_" + "_".join(enc)
+        df = df.withColumn(f"{p}_long", F.when(F.col(f"{p}_n") > 0, F.col(f"{p}_sum") / F.col(f"{p}_n"))).drop(f"{p}_sum")
     for enc in present:
         p = "te_" + "_".join(enc)
         for h, a in horizons.items():

@@ -175,6 +175,38 @@ def running(seq: Sequenced, sums: Mapping[str, Column] | None = None,
     return seq.with_df(joined.select(*seq.df.columns, *outs))
 
 
+def running_keyed(seq: Sequenced, groups: Sequence[tuple[Sequence[str], Mapping[str, Column]]],
+                  inclusive: bool = True, max_broadcast_rows: int = 2_000_000) -> Sequenced:
+    """Running sums for several key sets in one checkpointed pass.
+
+    Every ``(keys, sums)`` group gets its window partitioned by
+    ``keys + bucket``; all of them are satisfied by the bucket clustering, so
+    the pass adds sorts but no exchange. Each group's offsets are summarized,
+    materialized and joined like ``running(..., keys=...)``.
+    """
+    frame = (_UNB, Window.currentRow) if inclusive else (_UNB, -1)
+    cols = []
+    loc = []
+    for gi, (keys, sums) in enumerate(groups):
+        w = seq.window(*keys).rowsBetween(*frame)
+        for n, e in sums.items():
+            cols.append(e.alias(f"_e_{n}"))
+            loc.append(F.coalesce(F.sum(f"_e_{n}").over(w), F.lit(0)).alias(f"_l_{n}"))
+    local = materialize(seq.df.select("*", *cols).select("*", *loc))
+    joined = local
+    for keys, sums in groups:
+        keys = list(keys)
+        summary = local.groupBy(*keys, BUCKET).agg(*[F.sum(f"_e_{n}").alias(f"_s_{n}") for n in sums])
+        prior = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(_UNB, -1)
+        offsets = materialize(summary.select(*keys, BUCKET, *[
+            F.coalesce(F.sum(f"_s_{n}").over(prior), F.lit(0)).alias(f"_o_{n}") for n in sums]))
+        small = offsets.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows
+        joined = _null_safe_join(joined, offsets, [*keys, BUCKET], hint_broadcast=small)
+    outs = [(F.col(f"_l_{n}") + F.coalesce(F.col(f"_o_{n}"), F.lit(0))).alias(n)
+            for _, sums in groups for n in sums]
+    return seq.with_df(joined.select(*seq.df.columns, *outs))
+
+
 def running_sums(seq: Sequenced, exprs: Mapping[str, Column], inclusive: bool = True,
                  keys: Sequence[str] = ()) -> Sequenced:
     """Append, per row, the sum of each expression over earlier rows.
