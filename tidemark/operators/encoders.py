@@ -156,32 +156,39 @@ def fit_encoder(train: DataFrame, order: Sequence[str], y: str = "target",
     horizons = dict(DEFAULT_HORIZONS if horizons is None else horizons)
     lab = train.where(F.col(y).isNotNull())
     state: dict = {"global": lab.agg(F.count(y).alias("n"), F.coalesce(F.avg(y), F.lit(0.0)).alias("mean"))}
+    ewmas = {h: a for h, a in horizons.items() if a > 0}
+    keep = max([ewma_lookback(a) + 1 for a in ewmas.values()], default=0)
+    if keep:
+        from tidemark.operators.evaluation import allow_group_limit
+
+        allow_group_limit(train.sparkSession, keep)
     for enc in encoders:
         enc = tuple(enc)
         if not all(c in train.columns for c in enc):
             continue
         keys = list(enc)
         base = lab.groupBy(*keys).agg(F.count(y).alias("n"), F.avg(y).alias("_long"))
-        cols = ["n"]
         res = base
+        if ewmas:
+            # one top-(H+1) per key serves every horizon: older labels weigh < 1e-20
+            w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
+            top = lab.select(*keys, y, *order).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= keep)
+            top = top.join(base.select(*keys, "n"), keys)
+            first = F.col("_r") == F.col("n")
+            aggs = []
+            for h, a in ewmas.items():
+                q = 1.0 - a
+                if a < 1:
+                    coef = F.when(first, F.lit(1.0)).otherwise(F.lit(a))
+                    term = coef * F.pow(F.lit(q), (F.col("_r") - 1).cast("double")) * F.col(y)
+                else:
+                    term = F.when(F.col("_r") == 1, F.col(y)).otherwise(F.lit(0.0))
+                aggs.append(F.sum(term).alias(h))
+            res = res.join(top.groupBy(*keys).agg(*aggs), keys, "left")
         for h, a in horizons.items():
             if a <= 0:
                 res = res.withColumn(h, F.col("_long"))
-            else:
-                keep = ewma_lookback(a) + 1
-                from tidemark.operators.evaluation import allow_group_limit
-
-                allow_group_limit(train.sparkSession, keep)
-                w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
-                top = lab.select(*keys, y, *order).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= keep)
-                q = 1.0 - a
-                top = top.join(base.select(*keys, "n"), keys)
-                first = (F.col("_r") == F.col("n"))
-                coef = F.when(first, F.lit(1.0)).otherwise(F.lit(a)) if a < 1 else F.when(F.col("_r") == 1, F.lit(1.0)).otherwise(F.lit(0.0))
-                val = top.groupBy(*keys).agg(F.sum(coef * F.pow(F.lit(q), (F.col("_r") - 1).cast("double")) * F.col(y)).alias(h))
-                res = res.join(val, keys, "left")
-            cols.append(h)
-        state[enc] = materialize(res.select(*keys, *cols))  # a fitted artifact: one row per key
+        state[enc] = materialize(res.select(*keys, "n", *horizons.keys()))  # a fitted artifact: one row per key
     return state
 
 
