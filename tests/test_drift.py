@@ -82,3 +82,15 @@ def test_retrain_alert_cooldown(spark):
     ev = spark.createDataFrame([(i, True, "worse") for i in (10, 15, 40, 45, 80)], "i long, validated boolean, direction string")
     got = sorted(r["i"] for r in dr.retrain_alerts(ev, cooldown=30).collect())
     assert got == [10, 40, 80]
+
+
+def test_distributed_edges_equal_window_edges(spark):
+    rng = np.random.default_rng(6)
+    pdf = pd.DataFrame({"a": rng.normal(0, 1, 3000), "b": rng.integers(0, 5, 3000).astype(float)})  # b: heavy ties
+    long = ps.unpivot(spark.createDataFrame(pdf), ["a", "b"])
+    x = {r["feature"]: r["edges"] for r in ps.numeric_edges(long).collect()}
+    y = {r["feature"]: r["edges"] for r in ps.numeric_edges(long, distributed=True).collect()}
+    assert x == y
+    for f in ("a", "b"):
+        s = np.sort(pdf[f].to_numpy())
+        assert x[f] == [s[min(int(q * len(s)), len(s) - 1)] for q in [i / 10 for i in range(1, 10)]]

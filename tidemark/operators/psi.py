@@ -24,16 +24,35 @@ def unpivot(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = (), as_str
     return df.select(*keep, F.explode(arr).alias("_fv")).select(*keep, "_fv.feature", "_fv.value")
 
 
-def numeric_edges(ref_long: DataFrame, bins: int = 10) -> DataFrame:
+def numeric_edges(ref_long: DataFrame, bins: int = 10, distributed: bool = False) -> DataFrame:
     """``(feature, edges)``: value at sorted position ``min(int(q n), n - 1)``
-    for ``q = 1/bins .. (bins-1)/bins``."""
-    w = Window.partitionBy("feature").orderBy("value")
-    ranked = (ref_long.where(F.col("value").isNotNull())
-              .withColumn("_pos", F.row_number().over(w) - 1)
-              .withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("feature"))))
+    for ``q = 1/bins .. (bins-1)/bins``.
+
+    The default ranks each feature's reference values with one window (the
+    reference window is bounded by its configured size). ``distributed=True``
+    gets the same order statistics for a reference of any size: the values
+    are range-partitioned by ``(feature, value)``, a per-feature dense index
+    comes from the two-level keyed running count (a frequent value or a
+    dominant feature is split across buckets), and only the picked rows meet.
+    """
     qs = F.array(*[F.lit(i / bins) for i in range(1, bins)])
-    picks = ranked.select("feature", "value", "_pos", "_n", F.posexplode(qs).alias("_qi", "_q"))
-    picks = picks.where(F.col("_pos") == F.least(F.floor(F.col("_q") * F.col("_n")), F.col("_n") - 1))
+    vals = ref_long.where(F.col("value").isNotNull())
+    if distributed:
+        from tidemark.plans.ordering import sequence, with_global_index
+
+        tagged = vals.select("feature", "value", F.monotonically_increasing_id().alias("_t"))
+        seq = with_global_index(sequence(tagged, ["feature", "value", "_t"], materialize=False), "_pos",
+                                keys=["feature"])
+        counts = seq.df.groupBy("feature").agg(F.count(F.lit(1)).alias("_n"))
+        want = counts.select("feature", "_n", F.posexplode(qs).alias("_qi", "_q")).select(
+            "feature", "_qi", F.least(F.floor(F.col("_q") * F.col("_n")), F.col("_n") - 1).cast("long").alias("_pos"))
+        picks = seq.df.join(F.broadcast(want), ["feature", "_pos"]).select("feature", "_qi", "value")
+    else:
+        w = Window.partitionBy("feature").orderBy("value")
+        ranked = (vals.withColumn("_pos", F.row_number().over(w) - 1)
+                  .withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("feature"))))
+        picks = ranked.select("feature", "value", "_pos", "_n", F.posexplode(qs).alias("_qi", "_q"))
+        picks = picks.where(F.col("_pos") == F.least(F.floor(F.col("_q") * F.col("_n")), F.col("_n") - 1))
     return picks.groupBy("feature").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_qi", "value"))), lambda s: s["value"]).alias("edges"))
 
@@ -86,10 +105,17 @@ def psi_from_binned(ref_binned: DataFrame, cur_binned: DataFrame, group: Sequenc
     return out.select(*group, "feature", F.when(ok, F.col("psi")).otherwise(F.lit(0.0)).alias("psi"))
 
 
-def psi_numeric(ref: DataFrame, cur: DataFrame, cols: Sequence[str], bins: int = 10) -> DataFrame:
-    """PSI of numeric features between a reference and a current sample."""
+def psi_numeric(ref: DataFrame, cur: DataFrame, cols: Sequence[str], bins: int = 10,
+                large_reference: bool | None = None, large_rows: int = 5_000_000) -> DataFrame:
+    """PSI of numeric features between a reference and a current sample.
+
+    ``large_reference=None`` checks the reference size (a count) and uses the
+    distributed edge computation above ``large_rows`` rows.
+    """
     rl = unpivot(ref, cols)
-    edges = numeric_edges(rl, bins)
+    if large_reference is None:
+        large_reference = ref.limit(large_rows + 1).count() > large_rows
+    edges = numeric_edges(rl, bins, distributed=large_reference)
     return psi_from_binned(bin_numeric(rl, edges), bin_numeric(unpivot(cur, cols), edges), bins=bins)
 
 
