@@ -414,9 +414,11 @@ ORACLE_SQL["g05_validate_centred"] = f"""WITH s AS (SELECT i, avg(err) OVER (ORD
 v AS (SELECT i, (ma - mb) / (sqrt((vb + va) / 2) + 1e-9) AS d, CASE WHEN mb <> 0 THEN (ma - mb) / mb END AS rel, ma > mb AS worse
   FROM s WHERE i IN ({GRID}) AND i - 2000 >= 0 AND i + 2000 <= total),
 f AS (SELECT *, coalesce(abs(d) > 0.2e0 AND abs(rel) > 0.1e0, false) AS ok FROM v)
-SELECT count(*) AS checked, sum(CASE WHEN ok THEN 1 ELSE 0 END) AS valid, count(*) - sum(CASE WHEN ok THEN 1 ELSE 0 END) AS spurious,
+SELECT count(*) AS checked, CAST(sum(CASE WHEN ok THEN 1 ELSE 0 END) AS BIGINT) AS valid,
+  CAST(count(*) - sum(CASE WHEN ok THEN 1 ELSE 0 END) AS BIGINT) AS spurious,
   {R6('sum(CASE WHEN ok THEN 1 ELSE 0 END) * 100.0e0 / greatest(count(*), 1)')} AS pct_valid,
-  sum(CASE WHEN ok AND worse THEN 1 ELSE 0 END) AS degradations, sum(CASE WHEN ok AND NOT worse THEN 1 ELSE 0 END) AS improvements,
+  CAST(sum(CASE WHEN ok AND worse THEN 1 ELSE 0 END) AS BIGINT) AS degradations,
+  CAST(sum(CASE WHEN ok AND NOT worse THEN 1 ELSE 0 END) AS BIGINT) AS improvements,
   {R6('quantile_cont(abs(rel), 0.5)')} AS median_abs_rel FROM f"""
 ORACLE_SQL["g07_outlier_autocorr"] = f"""WITH t AS (SELECT quantile_cont(err, 0.99) AS thr FROM ({ERR}) e),
 b AS (SELECT i, CASE WHEN err > thr THEN 1e0 ELSE 0e0 END AS big FROM ({ERR}) e CROSS JOIN t),
@@ -494,9 +496,9 @@ SELECT i FROM alerts WHERE i IS NOT NULL"""
 EVENTS = f"""SELECT 'concept' AS type, i, validated FROM ({G04}) v
 UNION ALL SELECT 'feature' AS type, "check" - 1 AS i, true AS validated FROM ({ORACLE_SQL["g11_psi_flag"]}) f WHERE feature_drift"""
 ORACLE_SQL["g13_drift_log"] = f"SELECT type, i, validated FROM ({EVENTS}) e ORDER BY i DESC, type LIMIT 50"
-ORACLE_SQL["g13_drift_counts"] = f"""SELECT sum(CASE WHEN type = 'concept' AND validated THEN 1 ELSE 0 END) AS concept_events,
-  sum(CASE WHEN type = 'concept' AND NOT validated THEN 1 ELSE 0 END) AS spurious_events,
-  sum(CASE WHEN type = 'feature' THEN 1 ELSE 0 END) AS feature_events FROM ({EVENTS}) e"""
+ORACLE_SQL["g13_drift_counts"] = f"""SELECT CAST(sum(CASE WHEN type = 'concept' AND validated THEN 1 ELSE 0 END) AS BIGINT) AS concept_events,
+  CAST(sum(CASE WHEN type = 'concept' AND NOT validated THEN 1 ELSE 0 END) AS BIGINT) AS spurious_events,
+  CAST(sum(CASE WHEN type = 'feature' THEN 1 ELSE 0 END) AS BIGINT) AS feature_events FROM ({EVENTS}) e"""
 
 
 # ---------------------------------------------------------------- A: sources
@@ -523,7 +525,7 @@ SELECT record_id, gidx, lidx, {R6('prediction')} AS prediction, n, {R6('sa / n')
 FROM p JOIN r USING (seq)"""
 _BOUNDS = [0.1, 0.5, 1.0, 5.0, 10.0, 50.0, 100.0, 500.0]
 HIST = " UNION ALL ".join(
-    [f"SELECT {b}e0 AS le, count_if(target <= {b}e0) AS count FROM ({fx.TRIPS}) t WHERE target IS NOT NULL" for b in _BOUNDS]
+    [f"SELECT {b}e0 AS le, CAST(count_if(target <= {b}e0) AS BIGINT) AS count FROM ({fx.TRIPS}) t WHERE target IS NOT NULL" for b in _BOUNDS]
     + [f"SELECT CAST(NULL AS DOUBLE) AS le, count(*) AS count FROM ({fx.TRIPS}) t WHERE target IS NOT NULL"])
 ORACLE_SQL["h06_histogram"] = HIST
 
