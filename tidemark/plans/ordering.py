@@ -58,7 +58,15 @@ class Sequenced:
 
 
 def default_buckets(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Buckets per ordered stream: the shuffle partition count (which a
+    cluster sizes to its data), at most four per available core."""
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        cores = int(spark.sparkContext.defaultParallelism)
+    except Exception:  # no SparkContext access (remote session)
+        return parts
+    return max(1, min(parts, 4 * cores))
 
 
 def sequence(df: DataFrame, order: Sequence[str], n_buckets: int | None = None,
