@@ -94,3 +94,17 @@ def test_distributed_edges_equal_window_edges(spark):
     for f in ("a", "b"):
         s = np.sort(pdf[f].to_numpy())
         assert x[f] == [s[min(int(q * len(s)), len(s) - 1)] for q in [i / 10 for i in range(1, 10)]]
+
+
+def test_scan_first_alarm_equals_window_first_alarm(spark):
+    import __spark_entry__ as E
+    from pyspark.sql import functions as F
+
+    sf = "/root/testdata/sf0.01"
+    q = E.queries()
+    scan = q["g02_page_hinkley_scan"](spark, sf).agg(F.min("i")).first()[0]
+    first = q["g02_page_hinkley_first"](spark, sf).first()["first_alarm"]
+    assert scan == first
+    scan = q["g03_ddm_scan"](spark, sf).agg(F.min("i")).first()[0]
+    first = q["g03_ddm_first"](spark, sf).first()["first_alarm"]
+    assert scan == first

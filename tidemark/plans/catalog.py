@@ -790,3 +790,23 @@ def f10a(spark, sf_dir):
     total = ev.total_rows(seq)
     return mo.ablation(seq.df, "gidx", total, ["pickup_datetime", "seq"]).select(
         "setup", r6("mae").alias("mae"), r6("r2").alias("r2"))
+
+
+@query("g01_adwin_by_segment")
+def g01s(spark, sf_dir):
+    """ADWIN on the memory predictor's absolute errors, one series per pickup
+    borough (series are scanned in parallel)."""
+    s = _scored(spark, sf_dir)
+    return dr.detect(s.df, "abs_err", ["pickup_datetime", "seq"], series=["pu_borough"], detector="adwin").select(
+        "pu_borough", "seq")
+
+
+@query("g02_page_hinkley_scan")
+def g02s(spark, sf_dir):
+    return dr.detect(fx.error_series(spark, sf_dir), "err", ["i"], detector="page_hinkley").select("i")
+
+
+@query("g03_ddm_scan")
+def g03s(spark, sf_dir):
+    e = fx.error_series(spark, sf_dir).withColumn("is_error", (F.col("err") > 60).cast("double"))
+    return dr.detect(e, "is_error", ["i"], detector="ddm").select("i")
