@@ -119,3 +119,17 @@ def test_score_uses_frozen_encoders(spark):
     assert a == b and len(a) == test.count()
     eta = mo.score_trips(mo.score(m, test, state)).first()
     assert abs(eta["eta_minutes"] - round(eta["eta_seconds"] / 60.0, 1)) <= 0.05 + 1e-9
+
+
+def test_leaf_updates_merge_by_addition(spark):
+    from tidemark.plans.trips import trip_features
+
+    f = trip_features(spark, "/root/testdata/sf0.001")
+    m = mo.fit_tree(f.where("seq < 600"), min_instances=30)
+    a = mo.update_leaves(m, f.where("seq >= 600 AND seq < 800"))
+    b = mo.update_leaves(m, f.where("seq >= 800"))
+    both = mo.update_leaves(m, f.where("seq >= 600"))
+    merged = a.unionByName(b).groupBy("leaf").agg(F.sum("n").alias("n"), F.sum("sum_y").alias("s"))
+    got = {r["leaf"]: (r["n"], round(r["s"], 6)) for r in merged.collect()}
+    exp = {r["leaf"]: (r["n"], round(r["sum_y"], 6)) for r in both.collect()}
+    assert got == exp

@@ -54,3 +54,14 @@ def test_sequence_plan_has_no_single_partition_exchange(spark):
     plan = s.df._jdf.queryExecution().executedPlan().toString()
     # the only single-partition step is over the small per-bucket summary
     assert "SinglePartition" not in plan.split("BroadcastExchange")[0] or "HashAggregate" in plan
+
+
+def test_exact_quantiles_match_numpy_with_heavy_ties(spark):
+    from tidemark.plans.ordering import exact_quantiles
+
+    rng = np.random.default_rng(9)
+    v = np.where(rng.random(4000) < 0.35, 7.0, rng.normal(0, 3, 4000))  # one value holds ~35 % of rows
+    df = spark.createDataFrame(pd.DataFrame({"v": v}))
+    qs = [0.0, 0.1, 0.5, 0.9, 0.99, 0.999, 1.0]
+    got = exact_quantiles(df, "v", qs, n_buckets=8)
+    assert np.allclose(got, np.percentile(v, [q * 100 for q in qs]))
