@@ -810,3 +810,29 @@ def g02s(spark, sf_dir):
 def g03s(spark, sf_dir):
     e = fx.error_series(spark, sf_dir).withColumn("is_error", (F.col("err") > 60).cast("double"))
     return dr.detect(e, "is_error", ["i"], detector="ddm").select("i")
+
+
+@query("h09_join_labels")
+def h09(spark, sf_dir):
+    """Predictions stream joined with a labels stream that arrives ``target``
+    seconds after pickup (watermarks on both sides, labels within one day)."""
+    from tidemark.session import scratch_path
+
+    t = fx.trips(spark, sf_dir)
+    preds = t.select("record_id", F.col("pickup_datetime").cast("timestamp").alias("pred_ts"), "pickup_datetime")
+    labels = t.select("record_id", (F.col("pickup_datetime").cast("timestamp")
+                                    + F.make_interval(secs=F.col("target"))).alias("label_ts"),
+                      F.col("target").alias("label"))
+    src_p, src_l = scratch_path(spark, "h09-preds"), scratch_path(spark, "h09-labels")
+    sio.write_stream_files(preds, src_p, "pickup_datetime")
+    sio.write_stream_files(labels, src_l, "label_ts")
+    ps_ = sio.replay_stream(spark, src_p, spark.read.parquet(src_p).schema, 10).drop("_part", "pickup_datetime")
+    ls_ = sio.replay_stream(spark, src_l, spark.read.parquet(src_l).schema, 10).drop("_part")
+    joined = mon.join_labels(ps_, ls_, watermark="1 hour", bound="1 day")
+    out = scratch_path(spark, "h09-out")
+    q = (joined.writeStream.format("parquet").option("path", out).outputMode("append")
+         .option("checkpointLocation", scratch_path(spark, "h09-ckpt")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    res = spark.read.parquet(out)
+    return res.select("record_id", F.col("pred_ts").cast("timestamp_ntz").alias("pred_ts"),
+                      F.col("label_ts").cast("timestamp_ntz").alias("label_ts"), r6("label").alias("label"))

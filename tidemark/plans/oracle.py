@@ -541,3 +541,6 @@ FROM (SELECT *, lag(le) OVER w AS prev_le, lag(count) OVER w AS prev_c, max(coun
 ORACLE_SQL["h06_bucket_quantile"] = f"SELECT * FROM ({_bq(0.5)}) a UNION ALL SELECT * FROM ({_bq(0.95)}) b"
 ORACLE_SQL["h07_throughput"] = f"""SELECT date_trunc('minute', pickup_datetime) AS window_start, count(*) AS rows,
   {R6('count(*) / 60.0e0')} AS rate_per_sec FROM ({fx.TRIPS}) t GROUP BY 1"""
+ORACLE_SQL["h09_join_labels"] = f"""SELECT record_id, pickup_datetime AS pred_ts,
+  pickup_datetime + to_microseconds(CAST(round(target * 1000000) AS BIGINT)) AS label_ts, {R6('target')} AS label
+FROM ({fx.TRIPS}) t"""
