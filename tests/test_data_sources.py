@@ -81,3 +81,16 @@ def test_append_records_feed_the_stream(spark, tmp_dir):
     q.awaitTermination()
     out = spark.read.parquet(f"{tmp_dir}/out")
     assert out.count() == t.count() and out.where("target IS NULL").count() == t.where("seq >= 5").count()
+
+
+def test_replay_bounded_by_max_samples(spark, tmp_dir):
+    from tidemark.sources import fixtures as fx
+
+    t = fx.trips(spark, "/root/testdata/sf0.001")
+    sio.write_stream_files(t, f"{tmp_dir}/src", "pickup_datetime")
+    schema = spark.read.parquet(f"{tmp_dir}/src").schema
+    s = sio.replay_stream(spark, f"{tmp_dir}/src", schema, files_per_trigger=5, max_samples=123)
+    q = (s.writeStream.format("parquet").option("path", f"{tmp_dir}/out")
+         .option("checkpointLocation", f"{tmp_dir}/ck").trigger(availableNow=True).start())
+    q.awaitTermination()
+    assert spark.read.parquet(f"{tmp_dir}/out").count() == 123

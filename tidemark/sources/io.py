@@ -144,10 +144,13 @@ def write_stream_files(df: DataFrame, out_dir: str, ts: str, files_by: str = "da
        .write.mode("overwrite").partitionBy("_part").parquet(out_dir))
 
 
-def replay_stream(spark: SparkSession, in_dir: str, schema: T.StructType, files_per_trigger: int = 1) -> DataFrame:
-    """A10: replay a folder of files as a stream, ``files_per_trigger`` at a time."""
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
-            .parquet(in_dir))
+def replay_stream(spark: SparkSession, in_dir: str, schema: T.StructType, files_per_trigger: int = 1,
+                  max_samples: int | None = None) -> DataFrame:
+    """A10: replay a folder of files as a stream, ``files_per_trigger`` at a
+    time; ``max_samples`` ends the replay after that many records (a
+    streaming limit, the bound of the replay itself)."""
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(in_dir)
+    return s.limit(max_samples) if max_samples is not None else s
 
 
 def append_records(df: DataFrame, stream_dir: str) -> None:
