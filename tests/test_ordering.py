@@ -65,3 +65,28 @@ def test_exact_quantiles_match_numpy_with_heavy_ties(spark):
     qs = [0.0, 0.1, 0.5, 0.9, 0.99, 0.999, 1.0]
     got = exact_quantiles(df, "v", qs, n_buckets=8)
     assert np.allclose(got, np.percentile(v, [q * 100 for q in qs]))
+
+
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+
+
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(n=st.integers(50, 400), hot=st.floats(0.0, 0.9), buckets=st.integers(1, 7), seed=st.integers(0, 10_000))
+def test_two_level_plans_match_pandas(spark, n, hot, buckets, seed):
+    rng = np.random.default_rng(seed)
+    key = np.where(rng.random(n) < hot, "hot", rng.choice(list("xyz"), n))
+    pdf = pd.DataFrame({"ts": rng.integers(0, 20, n), "id": np.arange(n), "k": key,
+                        "v": np.where(rng.random(n) < 0.1, np.nan, rng.normal(0, 5, n))})
+    sdf = spark.createDataFrame(pdf).replace(float("nan"), None, subset=["v"])
+    seq = sequence(sdf, ["ts", "id"], n_buckets=buckets)
+    s = running_sums(seq, {"ks": F.coalesce(F.col("v"), F.lit(0.0))}, inclusive=False, keys=["k"])
+    s = with_global_index(s, "li", where=F.col("v").isNotNull())
+    got = s.df.toPandas().set_index("id").sort_index()
+    exp = pdf.sort_values(["ts", "id"]).copy()
+    exp["ks"] = exp.groupby("k")["v"].transform(lambda x: x.fillna(0).cumsum()) - exp["v"].fillna(0)
+    lab = exp["v"].notna()
+    exp["li"] = np.where(lab, lab.cumsum() - 1, np.nan)
+    exp = exp.set_index("id").sort_index()
+    assert np.allclose(got["ks"], exp["ks"])
+    assert np.allclose(got["li"].astype(float), exp["li"], equal_nan=True)
