@@ -133,3 +133,14 @@ def test_leaf_updates_merge_by_addition(spark):
     got = {r["leaf"]: (r["n"], round(r["s"], 6)) for r in merged.collect()}
     exp = {r["leaf"]: (r["n"], round(r["sum_y"], 6)) for r in both.collect()}
     assert got == exp
+
+
+def test_metric_log_with_drift_counts(spark):
+    from tidemark.operators.evaluation import metric_log
+
+    m = spark.createDataFrame([(i, float(i)) for i in range(0, 2001)], "gidx long, mae double")
+    events = spark.createDataFrame([("concept", 10, True), ("concept", 600, False), ("feature", 999, True),
+                                    ("concept", 1000, True)], "type string, i long, validated boolean")
+    got = {r["step"]: (r["concept_drift_events"], r["feature_drift_events"])
+           for r in metric_log(m, cols=["mae"], events=events).collect()}
+    assert got == {0: (0, 0), 500: (1, 0), 1000: (2, 1), 1500: (2, 1), 2000: (2, 1)}

@@ -227,3 +227,30 @@ def perf_history(rolling_df: DataFrame, idx: str = "gidx", every: int = 100, kee
     return (sel.orderBy(F.col(idx).desc()).limit(keep)
             .select(F.col(idx).alias("index"), F.round("rolling_mae", 3).alias("rolling_mae"),
                     F.round("rolling_rmse", 3).alias("rolling_rmse"), F.round("rolling_r2", 3).alias("rolling_r2")))
+
+
+def metric_log(metrics: DataFrame, idx: str = "gidx", every: int = 500,
+               cols: Sequence[str] = ("mae", "rmse", "r2", "rolling_mae"), events: DataFrame | None = None,
+               event_idx: str = "i") -> DataFrame:
+    """Metrics at every ``every``-th engine index, with the running
+    counts of validated concept and feature drift events up to that index.
+
+    Event counts come from a two-level running sum over the union of log
+    steps and (sparse) events, so no step is matched against events one by one.
+    """
+    from tidemark.plans.ordering import running, sequence
+
+    steps = metrics.where(F.col(idx) % every == 0).select(F.col(idx).alias("step"), *cols)
+    if events is None:
+        return steps
+    ev = events.where(F.col("validated")).select(
+        F.col(event_idx).cast("long").alias("step"),
+        (F.col("type") == "concept").cast("long").alias("_c"), (F.col("type") == "feature").cast("long").alias("_f"),
+        F.lit(0).alias("_is_step"))
+    st = steps.select("step", F.lit(0).cast("long").alias("_c"), F.lit(0).cast("long").alias("_f"),
+                      F.lit(1).alias("_is_step"))
+    both = ev.unionByName(st).withColumn("_tie", F.monotonically_increasing_id())
+    seq = running(sequence(both, ["step", "_is_step", "_tie"], materialize=False),
+                  sums={"concept_drift_events": F.col("_c"), "feature_drift_events": F.col("_f")})
+    counts = seq.df.where(F.col("_is_step") == 1).select("step", "concept_drift_events", "feature_drift_events")
+    return steps.join(counts, "step", "left")

@@ -496,9 +496,8 @@ def e08(spark, sf_dir):
 @query("e12_metric_log")
 def e12(spark, sf_dir):
     rm = ev.rolling_metrics(ev.prequential(_scored(spark, sf_dir)))
-    return rm.where(F.col("gidx") % 500 == 0).select(
-        F.col("gidx").alias("step"), r6("mae").alias("mae"), r6("rmse").alias("rmse"), r6("r2").alias("r2"),
-        r6("rolling_mae").alias("rolling_mae"))
+    log = ev.metric_log(rm, "gidx", 500)
+    return log.select("step", *[r6(c).alias(c) for c in ("mae", "rmse", "r2", "rolling_mae")])
 
 
 # ---------------------------------------------------------------- G: drift
