@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import KM_PER_MILE, RUSH_HOURS, col, duration_seconds
-from tidemark.plans.ordering import Sequenced, sequence, with_global_index
+from tidemark.plans.ordering import Sequenced, with_global_index
 
 RAW_COLUMNS = ("tpep_pickup_datetime", "tpep_dropoff_datetime", "passenger_count", "trip_distance",
                "RatecodeID", "PULocationID", "DOLocationID")

@@ -13,8 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.plans.ordering import (Sequenced, lags, rolling, running, running_moments, running_sums,
-                                     with_global_index)
+from tidemark.plans.ordering import Sequenced, lags, rolling, running, with_global_index
 
 R2_EPS = 1e-12
 AUTOCORR_LAGS = (1, 10, 50, 200, 1000)
