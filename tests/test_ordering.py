@@ -47,13 +47,27 @@ def test_rolling_across_blocks(spark):
     assert np.allclose(out["s"].to_numpy(), exp.to_numpy())
 
 
-def test_sequence_plan_has_no_single_partition_exchange(spark):
-    pdf = _data(spark, 1000)
-    seq = sequence(spark.createDataFrame(pdf), ["ts", "id"], n_buckets=8)
-    s = running_sums(seq, {"c": F.lit(1)}, inclusive=True, keys=["k"])
-    plan = s.df._jdf.queryExecution().executedPlan().toString()
-    # the only single-partition step is over the small per-bucket summary
-    assert "SinglePartition" not in plan.split("BroadcastExchange")[0] or "HashAggregate" in plan
+def _single_partition_inputs(plan: str) -> list[str]:
+    """The node right below every ``Exchange SinglePartition`` (skipping projections)."""
+    lines = [l for l in plan.split("\n") if l.strip()]
+    out = []
+    for i, line in enumerate(lines):
+        if "Exchange SinglePartition" in line:
+            j = i + 1
+            while j < len(lines) and "Project" in lines[j]:
+                j += 1
+            out.append(lines[j] if j < len(lines) else "")
+    return out
+
+
+def test_flagship_moves_only_bucket_summaries_to_one_task(spark):
+    import __spark_entry__ as E
+
+    df = E.queries()["flagship_prequential"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    inputs = _single_partition_inputs(plan)
+    assert inputs, "expected the small per-bucket offset windows"
+    assert all("HashAggregate" in x or "LocalTableScan" in x for x in inputs), inputs
 
 
 def test_exact_quantiles_match_numpy_with_heavy_ties(spark):
