@@ -358,10 +358,12 @@ def detect(df: DataFrame, value: str, order: Sequence[str], series: Sequence[str
     cols = [*series, *order, value]
     src = df.select(*cols).where(F.col(value).isNotNull())
     if series:
-        src = src.repartition(*series)
+        src = src.repartition(*series).sortWithinPartitions(*series, *order)
     else:
-        src = src.repartition(1)  # one series is one ordered scan
-    src = src.sortWithinPartitions(*series, *order)
+        # one series is one ordered scan: sort it distributed (range
+        # partitioned), then concatenate the sorted ranges in order without a
+        # shuffle, so the single task only runs the detector
+        src = src.orderBy(*order).coalesce(1)
     schema = src.schema
     make = DETECTORS[detector]
 
