@@ -835,3 +835,23 @@ def h09(spark, sf_dir):
     res = spark.read.parquet(out)
     return res.select("record_id", F.col("pred_ts").cast("timestamp_ntz").alias("pred_ts"),
                       F.col("label_ts").cast("timestamp_ntz").alias("label_ts"), r6("label").alias("label"))
+
+
+@query("e11_registry_champion")
+def e11(spark, sf_dir):
+    """Register the global-mean model (champion), then the zone-pair memory
+    candidate; move the alias only if the promotion rule says so."""
+    from tidemark.operators import registry as rg
+    from tidemark.session import scratch_path
+
+    train, hold = frozen_split(spark, sf_dir)
+    mean = train.agg(F.avg("target")).first()[0]
+    champ = ev.holdout_metrics(hold.withColumn("prediction", F.lit(mean))).first()
+    cand = ev.holdout_metrics(_holdout_memory(spark, sf_dir)).first()
+    root = scratch_path(spark, "e11-registry")
+    v1 = rg.register(spark, root, "global-mean", int(train.count()), {"mae": champ["mae"]}, "trips")
+    rg.set_alias(spark, root, v1)
+    v2 = rg.register(spark, root, "zone-pair memory", int(train.count()), {"mae": cand["mae"]}, "trips")
+    if cand["mae"] < champ["mae"]:
+        rg.set_alias(spark, root, v2)
+    return rg.champion(spark, root).select("version", "reason", "step", r6(F.col("metrics")["mae"]).alias("mae"))

@@ -544,3 +544,10 @@ ORACLE_SQL["h07_throughput"] = f"""SELECT date_trunc('minute', pickup_datetime)
 ORACLE_SQL["h09_join_labels"] = f"""SELECT record_id, pickup_datetime AS pred_ts,
   pickup_datetime + to_microseconds(CAST(round(target * 1000000) AS BIGINT)) AS label_ts, {R6('target')} AS label
 FROM ({fx.TRIPS}) t"""
+ORACLE_SQL["e11_registry_champion"] = f"""{HOLD_MEM}, cand AS ({HOLD_METRICS}),
+champ AS (SELECT avg(abs(h.target - t.m)) AS mae FROM hold h CROSS JOIN (SELECT avg(target) AS m FROM train) t WHERE h.target IS NOT NULL),
+ntrain AS (SELECT count(*) AS n FROM train)
+SELECT CAST(CASE WHEN cand.mae < champ.mae THEN 2 ELSE 1 END AS BIGINT) AS version,
+  CASE WHEN cand.mae < champ.mae THEN 'zone-pair memory' ELSE 'global-mean' END AS reason,
+  ntrain.n AS step, {R6('CASE WHEN cand.mae < champ.mae THEN cand.mae ELSE champ.mae END')} AS mae
+FROM cand, champ, ntrain"""
