@@ -23,8 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.shipping import ship_by_value
-from tidemark.llm import components
-from tidemark.llm.components import connected_components
+from tidemark.llm.components import connected_components, forest
 from tidemark.llm.support import operator_conf, scratch, shuffle_width
 
 ship_by_value(__name__)
@@ -92,7 +91,7 @@ def _window_links(x: np.ndarray, start: int, window: int, least: float) -> list[
         j = np.arange(len(block))[None, :]
         near &= (j > i) & (j <= i + window)
         if near.any():
-            out += [(a + int(p), a + int(q)) for p, q in components.forest(_reduced(near))]
+            out += [(a + int(p), a + int(q)) for p, q in forest(_reduced(near))]
     return out
 
 
@@ -131,8 +130,8 @@ def _compare_windows(dtype: str, window: int, least: float):
                 held, nodes = held[-window:], nodes[-window:]
                 i = j
             if len(links) > 500_000:
-                links = components.forest(links)
-        links = components.forest(links)
+                links = forest(links)
+        links = forest(links)
         yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.string()), pa.array([b for _, b in links], pa.string())],
                                          ["a", "b"])
     return run

@@ -63,6 +63,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), "[^a-z0-9]+"), lambda w: w != "")
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is evaluated once a row wherever the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def shingle_hashes(w: Column) -> Column:
     n = F.size(w) - (SHINGLE - 1)
     return F.when(n > 0, F.transform(F.slice(w, 1, F.greatest(n, F.lit(1))), lambda x, i: F.xxhash64(x, *(F.get(w, i + k) for k in range(1, SHINGLE))))
@@ -120,11 +125,12 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             sizes.setdefault(block_size(len(t["h"])), []).append(t)
         wanted = [sorted({t["minima"][k] for t in known}) for k in range(BANDS)]
 
-        rows = docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("w"))
-        rows = rows.withColumn("h", shingle_hashes(F.col("w"))).withColumn("base", block_minima(F.col("h"), BASE_BLOCK))
+        # the row number also keeps the filter below from being computed from the text a second time
+        cut = let(words(F.col(text_col)), lambda w: let(shingle_hashes(w), lambda h: F.struct(w.alias("w"), block_minima(h, BASE_BLOCK).alias("base"))))
+        rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), cut.alias("cut"))
         meets = lambda m: F.array(*(m[k].isin(wanted[k]) for k in range(BANDS)))
-        rows = rows.where(F.exists("base", lambda m: F.array_contains(meets(m), True)))
-        rows = s.table(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "w", "base"), "rows")
+        rows = rows.where(F.exists("cut.base", lambda m: F.array_contains(meets(m), True)))
+        rows = s.table(rows.select("row", "doc_id", "cut.w", "cut.base"), "rows")
 
         found = None
         for size, of_size in sizes.items():

@@ -26,8 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.shipping import ship_by_value
-from tidemark.llm import components
-from tidemark.llm.components import connected_components
+from tidemark.llm.components import connected_components, forest
 from tidemark.llm.support import operator_conf, row_key, scratch, shuffle_width
 
 ship_by_value(__name__)
@@ -158,7 +157,7 @@ def _meet(half: int, distance: int):
         marked[(twice >> np.uint64(7)) & np.uint64(0xFFFFF)] = True
         some = np.flatnonzero(marked[(v >> np.uint64(7)) & np.uint64(0xFFFFF)])
         some = some[np.isin(v[some], twice)] if len(twice) else some[:0]
-        links = components.forest(meeting_links(v[some], v[some] ^ masks[m[some]], distance)) if len(some) else []
+        links = forest(meeting_links(v[some], v[some] ^ masks[m[some]], distance)) if len(some) else []
         return pa.table({"a": pa.array(np.array([x for x, _ in links], np.uint64).view(np.int64), pa.int64()),
                          "b": pa.array(np.array([x for _, x in links], np.uint64).view(np.int64), pa.int64())})
     return run
