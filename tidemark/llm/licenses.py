@@ -27,7 +27,8 @@ SHINGLE = 3
 BASE_BLOCK = 4
 BANDS = 16
 #: Masks of the MinHash orders: a hash is compared after XOR with one of them.
-MASKS = tuple(random.Random(20).getrandbits(64) - (1 << 63) for _ in range(BANDS))
+_RANDOM = random.Random(20)
+MASKS = tuple(_RANDOM.getrandbits(64) - (1 << 63) for _ in range(BANDS))
 
 #: Opening or characteristic words of public licences and notices.
 TEMPLATES = (
@@ -74,11 +75,15 @@ def shingle_hashes(w: Column) -> Column:
                   ).otherwise(F.array().cast("array<bigint>"))
 
 
+def minhash(hashes: Column, mask: int) -> Column:
+    return F.array_min(F.transform(hashes, lambda x: x.bitwiseXOR(F.lit(mask))))
+
+
 def block_minima(hashes: Column, size: int) -> Column:
     """Per block of ``size`` hashes, its minimum in each order."""
     starts = F.sequence(F.lit(1), F.size(hashes), F.lit(size))
     blocks = F.transform(starts, lambda s: F.slice(hashes, s, size))
-    minima = F.transform(blocks, lambda b: F.array(*(F.array_min(F.transform(b, lambda x, m=m: x.bitwiseXOR(F.lit(m)))) for m in MASKS)))
+    minima = F.transform(blocks, lambda b: F.array(*(minhash(b, m) for m in MASKS)))
     return F.when(F.size(hashes) > 0, minima).otherwise(F.array().cast("array<array<bigint>>"))
 
 
@@ -93,7 +98,7 @@ def _template_table(spark: SparkSession, templates) -> DataFrame:
     table = spark.createDataFrame([(i, name, part, text) for i, (name, part, text) in enumerate(templates)],
                                   "template int, license string, part string, text string")
     table = table.withColumn("w", words(F.col("text"))).withColumn("h", F.array_distinct(shingle_hashes(F.col("w"))))
-    return table.withColumn("minima", F.array(*(F.array_min(F.transform("h", lambda x, m=m: x.bitwiseXOR(F.lit(m)))) for m in MASKS)))
+    return table.withColumn("minima", F.array(*(minhash(F.col("h"), m) for m in MASKS)))
 
 
 def shingle_texts(w: Column) -> Column:
