@@ -61,7 +61,7 @@ def retrieval_chance(share: float, bands: int = BANDS) -> float:
 
 def words(text: Column) -> Column:
     """Lower-case runs of ASCII letters and digits."""
-    return F.filter(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), "[^a-z0-9]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), "[^a-z0-9]+"), "")
 
 
 def let(value: Column, body) -> Column:
@@ -107,6 +107,26 @@ def shingle_texts(w: Column) -> Column:
                   ).otherwise(F.array().cast("array<string>"))
 
 
+def _found_in_windows(w: Column, base: Column, size: int, templates, containment: float) -> Column:
+    """``(template, first_word, containment)`` of every window of two blocks of
+    ``size`` and template of that size that meet in a band and pass the share."""
+    per = size // BASE_BLOCK
+    # a window's minimum in order k is that of its two blocks, which are 2 * per base blocks
+    least = lambda b, k: F.array_min(F.transform(F.slice(base, b + 1, 2 * per), lambda m: m[k]))
+    windows = F.transform(F.sequence(F.lit(0), F.size(base) - 1, F.lit(per)), lambda b: F.struct(
+        b.alias("b"), F.array(*(least(b, k) for k in range(BANDS))).alias("bands")))
+    wanted = [sorted({t["minima"][k] for t in templates}) for k in range(BANDS)]
+    met = F.filter(windows, lambda x: F.array_contains(F.array(*(x["bands"][k].isin(wanted[k]) for k in range(BANDS))), True))
+    known = F.array(*(F.struct(F.lit(t["template"]).alias("template"), F.array(*map(F.lit, t["minima"])).alias("minima"),
+                               shingle_texts(F.array(*map(F.lit, t["w"]))).alias("shingles")) for t in templates))
+    retrieved = lambda x: F.filter(known, lambda t: F.array_contains(F.zip_with(x["bands"], t["minima"], lambda u, v: u == v), True))
+    share = lambda x, t: F.size(F.array_intersect(
+        t["shingles"], shingle_texts(F.slice(w, x["b"] * BASE_BLOCK + 1, 2 * size + SHINGLE - 1)))) / F.size(t["shingles"])
+    pairs = F.flatten(F.transform(met, lambda x: F.transform(retrieved(x), lambda t: F.struct(
+        t["template"].alias("template"), (x["b"] * BASE_BLOCK).alias("first_word"), share(x, t).alias("containment")))))
+    return F.filter(pairs, lambda p: p["containment"] >= containment)
+
+
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, containment: float = 0.8) -> DataFrame:
     """License templates that texts hold: ``doc_id, license, part, template, containment, first_word, places``.
 
@@ -137,27 +157,11 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         rows = rows.where(F.exists("cut.base", lambda m: F.array_contains(meets(m), True)))
         rows = s.table(rows.select("row", "doc_id", "cut.w", "cut.base"), "rows")
 
-        found = None
-        for size, of_size in sizes.items():
-            per = size // BASE_BLOCK
-            # a window's minimum in order k is that of its two blocks, which are 2 * per base blocks
-            least = lambda m, s_, k: F.array_min(F.transform(F.slice(m, s_, 2 * per), lambda x: x[k]))  # noqa: E731, B023
-            windows = rows.select("row", "doc_id", "w", "base", F.explode(F.sequence(F.lit(0), F.size("base") - 1, F.lit(per))).alias("b"))
-            bands = F.array(*(least(F.col("base"), F.col("b") + 1, k) for k in range(BANDS)))
-            windows = windows.select("row", "doc_id", (F.col("b") * BASE_BLOCK).alias("first_word"),
-                                     F.slice("w", F.col("b") * BASE_BLOCK + 1, 2 * size + SHINGLE - 1).alias("w"), bands.alias("bands"))
-            band_rows = spark.createDataFrame([(k, t["minima"][k], t["template"]) for t in of_size for k in range(BANDS)],
-                                              "band int, value bigint, template int")
-            texts = spark.createDataFrame([(t["template"], t["license"], t["part"], t["w"]) for t in of_size],
-                                          "template int, license string, part string, tw array<string>")
-            keyed = windows.select("row", "first_word", F.posexplode("bands").alias("band", "value"))
-            retrieved = keyed.join(F.broadcast(band_rows), ["band", "value"]).select("row", "first_word", "template").distinct()
-            pairs = retrieved.join(windows.drop("bands"), ["row", "first_word"]).join(F.broadcast(texts), "template")
-            own = shingle_texts(F.col("tw"))
-            pairs = pairs.select("row", "doc_id", "template", "license", "part", "first_word",
-                                 (F.size(F.array_intersect(own, shingle_texts(F.col("w")))) / F.size(own)).alias("containment"))
-            found = pairs if found is None else found.union(pairs)
-        verified = found.where(F.col("containment") >= containment)
+        # all in the row: windows that meet a minimum, their templates by band, then the shares; only finds leave it
+        found = [_found_in_windows(F.col("w"), F.col("base"), size, of_size, containment) for size, of_size in sizes.items()]
+        verified = rows.select("row", "doc_id", F.explode(F.concat(*found)).alias("f")).select("row", "doc_id", "f.*")
+        names = spark.createDataFrame([(t["template"], t["license"], t["part"]) for t in known], "template int, license string, part string")
+        verified = verified.join(F.broadcast(names), "template")  # the list passed in
         best = verified.groupBy("row", "doc_id", "template", "license", "part").agg(
             F.min(F.struct((-F.col("containment")).alias("c"), "first_word")).alias("best"), F.count("*").alias("places"))
         return s.table(best.select("doc_id", "license", "part", "template", (-F.col("best.c")).alias("containment"),
