@@ -8,6 +8,9 @@ from tidemark.llm.secrets import redact
 from tidemark.llm.simhash import fingerprint
 
 
+N = 600
+
+
 def test_every_operator_has_a_query():
     import __spark_entry__ as entry
 
@@ -19,13 +22,13 @@ def test_every_operator_has_a_query():
 @pytest.fixture(scope="module")
 def tables(spark, tmp_path_factory):
     at = str(tmp_path_factory.mktemp("sf"))
-    prose = [" ".join(f"w{(i * 31 + j * j * 7 + j) % 997}" for j in range(30 + i)) for i in range(120)]
+    prose = [" ".join(f"w{(i * 31 + j * j * 7 + j) % 997}" for j in range(30 + i % 90)) for i in range(N)]
     item = " ".join(f"q{i}" for i in range(24))
     texts = [p + (" vile scum" if i % 5 == 0 else "") for i, p in enumerate(prose)]
     texts += [texts[1], texts[1], prose[2] + " " + item, prose[3] + ' token = "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda" x', "", None]
     rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
     spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{at}/documents.parquet")
-    spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(120)], "doc_id bigint, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(N)], "doc_id bigint, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
     spark.createDataFrame([(0, item)], "item_id bigint, text string").write.parquet(f"{at}/benchmark.parquet")
     return at, texts
 
@@ -36,7 +39,7 @@ def test_stages_do_what_they_say(spark, tables):
     stages = dict(corpus_pipeline.STAGES)
     clean = stages["toxicity"](spark, docs, at)
     left = {r["doc_id"] for r in clean.collect()}
-    assert clean.columns == docs.columns and sum(i % 5 == 0 for i in left if i < 120) <= 3 and sum(i % 5 != 0 for i in left if i < 120) >= 92
+    assert clean.columns == docs.columns and sum(i % 5 == 0 for i in left if i < N) <= 0.05 * N / 5 and sum(i % 5 != 0 for i in left if i < N) >= 0.96 * N * 4 / 5
 
     one = stages["simhash"](spark, docs, at)
     fps = [fingerprint((t or "").encode()) for t in texts]
@@ -46,7 +49,7 @@ def test_stages_do_what_they_say(spark, tables):
     assert sorted(r["doc_id"] for r in one.collect()) == sorted(set(comp)) and one.columns == docs.columns
 
     no_leaks = stages["decontamination"](spark, docs, at)
-    assert {r["doc_id"] for r in no_leaks.collect()} == set(range(len(texts))) - {122}
+    assert {r["doc_id"] for r in no_leaks.collect()} == set(range(len(texts))) - {N + 2}
     redacted = stages["secrets"](spark, docs, at)
     assert {r["doc_id"]: r["text"] for r in redacted.collect()} == {i: redact(t) for i, t in enumerate(texts)}
 
@@ -54,7 +57,7 @@ def test_stages_do_what_they_say(spark, tables):
 def test_run_ends_with_packed_pieces(spark, tables):
     at, _ = tables
     rows = corpus_pipeline.run(spark, at).collect()
-    assert {122, 120, 121} & {r["doc_id"] for r in rows} == set()
+    assert {N, N + 1, N + 2} & {r["doc_id"] for r in rows} == set()
     fill = {}
     for r in rows:
         fill[r["sequence_id"]] = fill.get(r["sequence_id"], 0) + r["length"]

@@ -65,17 +65,17 @@ def connected_components(scratch: Scratch, links: DataFrame) -> DataFrame:
     """
     kind = links.schema["a"].dataType.simpleString()
     pairs = links.select(F.col("a"), F.col("b")).where("a <> b")
-    edges = scratch.table(pairs.mapInArrow(_local_forest, f"u {kind}, v {kind}").distinct(), "forest")
+    edges = scratch.table(pairs.mapInArrow(_local_forest, f"u {kind}, v {kind}").distinct(), "forest", few=True)
     before = _state(edges)
     while before[0]:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = scratch.table(both.join(low, "u").where("v > u")
-                              .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+                              .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large", few=True)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
         small = scratch.table(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-                              .union(low.select("u", F.col("m").alias("v"))).distinct(), "small")
+                              .union(low.select("u", F.col("m").alias("v"))).distinct(), "small", few=True)
         scratch.drop(edges)
         scratch.drop(large)
         edges, after = small, _state(small)
@@ -83,4 +83,4 @@ def connected_components(scratch: Scratch, links: DataFrame) -> DataFrame:
             break
         before = after
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return scratch.table(nodes.union(edges.select("v", "v")).distinct(), "components")
+    return scratch.table(nodes.union(edges.select("v", "v")).distinct(), "components", few=True)

@@ -215,7 +215,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     sc = spark.sparkContext
     with scratch(spark, "leaks") as s, operator_conf(spark):
         known = s.table(bench.mapInArrow(_item_batches(n), f"item_key string, item_id {item_kind}, words array<string>, grams array<bigint>")
-                        .dropDuplicates(["item_key"]), "items")
+                        .dropDuplicates(["item_key"]), "items", few=True)
         grams = known.select("item_key", F.posexplode("grams").alias("place", "gram"))
 
         def bitmap(df: DataFrame):
@@ -224,10 +224,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
             return sc.broadcast(_packed(slots.column("slot").to_numpy()))
 
         counted = texts.select("text").mapInArrow(_frequency_batches(n, bitmap(grams)), "gram bigint, texts bigint")
-        frequency = s.table(counted.groupBy("gram").agg(F.sum("texts").alias("texts")), "frequency")
+        frequency = s.table(counted.groupBy("gram").agg(F.sum("texts").alias("texts")), "frequency", few=True)
         rarest = grams.join(frequency, "gram", "left").groupBy("item_key", F.floor(F.col("place") / stretch)).agg(
             F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "place", "gram")).alias("seed"))
-        seeds = s.table(rarest.select("item_key", F.col("seed.gram").alias("gram"), F.col("seed.texts").alias("texts")).distinct(), "seeds")
+        seeds = s.table(rarest.select("item_key", F.col("seed.gram").alias("gram"), F.col("seed.texts").alias("texts")).distinct(), "seeds", few=True)
         per_item = seeds.groupBy("item_key").agg(F.least(F.count("*"), F.lit(2)).alias("needed"))
         about = known.agg(F.max(F.size("words")).alias("reach")).join(per_item.agg(F.min("needed").alias("least"))).first()
         reach, at_least = int(about["reach"] or 1), int(about["least"] or 2)
@@ -236,13 +236,13 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
         passages = s.table(passages.withColumn("passage", F.sha2(F.concat("doc_key", F.lit(":"), F.col("start").cast("string")), 256)), "passages")
         shared = (passages.select("passage", F.explode("seeds").alias("gram")).distinct().join(seeds.select("item_key", "gram"), "gram")
                   .groupBy("passage", "item_key").agg(F.count("*").alias("shared")).join(per_item, "item_key").where("shared >= needed"))
-        pairs = s.table(shared.select("passage", "item_key"), "pairs")
+        pairs = s.table(shared.select("passage", "item_key"), "pairs", few=True)
         ready = (pairs.join(known.select("item_key", "item_id", F.col("words").alias("item_words")), "item_key")
                  .join(passages.dropDuplicates(["passage"]).drop("seeds"), "passage"))
         scored = ready.select("doc_key", "doc_id", "item_id", "start", "words", "item_words").mapInArrow(_align_batches(min_score), result_schema)
         best = scored.groupBy("doc_key", "item_id").agg(
             F.max_by(F.struct("doc_id", "score", "word_start", "word_end"), F.struct("score", -F.col("word_start"))).alias("b"))
-        return s.table(best.select("doc_key", "b.doc_id", "item_id", "b.score", "b.word_start", "b.word_end"), "result", keep=True)
+        return s.table(best.select("doc_key", "b.doc_id", "item_id", "b.score", "b.word_start", "b.word_end"), "result", keep=True, few=True)
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -181,7 +181,7 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     with scratch(spark, "embeddings") as s, operator_conf(spark):
         rows = s.table(light.mapInArrow(_normal_form(dtype), f"vec_id {kind}, node string, vec binary"), "rows")
         nodes = s.table(rows.where("node is not null").groupBy("node").agg(
-            F.min("vec").alias("vec"), F.count("*").alias("copies"), F.min("vec_id").alias("first_id")), "nodes")
+            F.min("vec").alias("vec"), F.count("*").alias("copies"), F.min("vec_id").alias("first_id")), "nodes", few=True)
         width = 2 * shuffle_width(spark)
         links = None
         for i in range(0, passes, passes_per_job):
@@ -189,17 +189,17 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
             coded = nodes.select("node", "vec").mapInArrow(_codes(dtype, numbers, bits, seed), "code binary, node string, vec binary")
             near = (coded.repartitionByRange(width, "code").sortWithinPartitions("code")
                     .mapInArrow(_compare_windows(dtype, window, threshold), "a string, b string"))
-            part = s.table(near, f"links{i}")
+            part = s.table(near, f"links{i}", few=True)
             links = part if links is None else links.union(part)
         comps = connected_components(s, links)
-        members = s.table(nodes.join(comps, "node"), "members")
+        members = s.table(nodes.join(comps, "node"), "members", few=True)
         sizes = members.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
         dealt = members.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         pairs = (dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
                  .select("component", "node", "vec", "copies", "block",
                          F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q")))
         counts = s.table(pairs.groupBy("component", "p", "q").applyInArrow(_count_blocks(dtype, threshold), "node string, n bigint")
-                         .groupBy("node").agg(F.sum("n").alias("n")), "counts")
+                         .groupBy("node").agg(F.sum("n").alias("n")), "counts", few=True)
         ids = members.groupBy("component").agg(F.min("first_id").alias("component_id"))
         known = members.join(ids, "component").join(counts, "node").select("node", "component_id", "n")
         named = nodes.join(known, "node", "left").select(
@@ -209,4 +209,4 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
             "vec_id", F.coalesce("links", F.lit(0).cast("bigint")).alias("n_links"),
             F.when(F.col("of").isNull(), F.col("vec_id")).otherwise(F.col("class_id")).alias("component_id"))
         out = out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
-        return s.table(out, "result", keep=True)
+        return s.table(out, "result", keep=True, few=True)

@@ -165,4 +165,4 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         best = verified.groupBy("row", "doc_id", "template", "license", "part").agg(
             F.min(F.struct((-F.col("containment")).alias("c"), "first_word")).alias("best"), F.count("*").alias("places"))
         return s.table(best.select("doc_id", "license", "part", "template", (-F.col("best.c")).alias("containment"),
-                                   F.col("best.first_word").cast("bigint").alias("first_word"), "places"), "result", keep=True)
+                                   F.col("best.first_word").cast("bigint").alias("first_word"), "places"), "result", keep=True, few=True)

@@ -212,7 +212,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         pieces = s.table(light.mapInArrow(_piece_batches(path, end_id, max_len), piece_schema), "pieces")
         parts = 4 * shuffle_width(spark)
         pieces = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)))
-        sizes = s.table(pieces.groupBy("length", "part").agg(F.count("*").alias("n")), "sizes")
+        sizes = s.table(pieces.groupBy("length", "part").agg(F.count("*").alias("n")), "sizes", few=True)
         counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # max_len rows at most
         ranges = spark.sparkContext.broadcast(place_ranges(plan_patterns(counts, max_len)))
         before = sizes.select("length", "part", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("skip"))
@@ -220,4 +220,4 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         ranked = pieces.withColumn("rank", F.row_number().over(own).cast("bigint") - 1).join(before, ["length", "part"])
         ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("skip")).alias("rank"))
         return s.table(ranked.mapInArrow(_place_batches(ranges), piece_schema + ", sequence_id bigint, offset bigint"),
-                       "result", keep=True)
+                       "result", keep=True, few=True)

@@ -106,7 +106,7 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rows = s.table(light.mapInArrow(_crc_batches, f"doc_id {kind}, size bigint, text_crc32 bigint, digest string"), "rows")
         groups = rows.groupBy("digest").agg(F.sum("size").alias("size")).withColumn(
             "bucket", F.pmod(F.xxhash64("digest"), F.lit(buckets)).cast("int"))
-        parts = s.table(groups.groupBy("bucket").applyInArrow(_deal(shards), "bucket int, digest string, size bigint, part int"), "parts")
+        parts = s.table(groups.groupBy("bucket").applyInArrow(_deal(shards), "bucket int, digest string, size bigint, part int"), "parts", few=True)
         sums: dict[int, list[int]] = {}
         for r in parts.groupBy("bucket", "part").agg(F.sum("size").alias("n")).collect():  # buckets x shards rows
             sums.setdefault(r["bucket"], [0] * shards)[r["part"]] = r["n"]
@@ -117,11 +117,11 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         placed = parts.join(F.broadcast(shard_of), ["bucket", "part"]).select(F.col("digest").alias("of"), "shard")
         located = s.table(rows.join(placed, rows.digest == F.col("of")).select(
             "doc_id", "size", "text_crc32", "shard",
-            F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(buckets)).cast("int").alias("slice")), "located")
+            F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(buckets)).cast("int").alias("slice")), "located", few=True)
         counts = located.groupBy("slice", "shard").agg(F.count("*").alias("n"))
         before = counts.select("slice", "shard", (F.sum("n").over(Window.partitionBy("shard").orderBy("slice")) - F.col("n")).alias("skip"))
         own = Window.partitionBy("slice", "shard").orderBy("doc_id", "text_crc32", "size")
         out = located.withColumn("rank", F.row_number().over(own).cast("bigint") - 1).join(F.broadcast(before), ["slice", "shard"])
         return s.table(out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
                                   (F.col("rank") + F.col("skip")).alias("slot"), F.lit(None).cast("int").alias("grown_shard")),
-                       "result", keep=True)
+                       "result", keep=True, few=True)

@@ -182,7 +182,7 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     half = (max_distance + 1) // 2
     with scratch(spark, "simhash") as s, operator_conf(spark):
         rows = s.table(fingerprints(docs, id_col, text_col, shingle_words, seed), "rows")
-        nodes = s.table(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
+        nodes = s.table(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes", few=True)
         per_pass = nodes.count() * len(ball_masks(half)) // passes
         buckets = max(per_pass // BUCKET_VARIANTS, 2 * shuffle_width(spark))
         parts = []
@@ -190,7 +190,7 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             blocks = nodes.select("fp").mapInArrow(_emit(half, passes, number, buckets),
                                                    "bucket int, variants binary, masks binary")
             parts.append(s.table(blocks.groupBy("bucket").applyInArrow(_meet(half, max_distance), "a bigint, b bigint"),
-                                 f"links{number}"))
+                                 f"links{number}", few=True))
         links = parts[0]
         for p in parts[1:]:
             links = links.union(p)
@@ -198,11 +198,11 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         named = nodes.join(comps, nodes.fp == comps.node, "left").select(
             "fp", "first_id", F.coalesce("component", "fp").alias("root"))
         ids = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-        named = s.table(named.join(ids, "root").select(F.col("fp").alias("node_fp"), "component_id", "root"), "named")
+        named = s.table(named.join(ids, "root").select(F.col("fp").alias("node_fp"), "component_id", "root"), "named", few=True)
         out = rows.join(named, rows.fp == named.node_fp).select(
             "row_key", "doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id",
             "root", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
-        return s.table(out, "result", keep=True)
+        return s.table(out, "result", keep=True, few=True)
 
 
 def keep_one_per_class(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
