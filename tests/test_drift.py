@@ -84,13 +84,11 @@ def test_retrain_alert_cooldown(spark):
     assert got == [10, 40, 80]
 
 
-def test_distributed_edges_equal_window_edges(spark):
+def test_edges_are_order_statistics(spark):
     rng = np.random.default_rng(6)
     pdf = pd.DataFrame({"a": rng.normal(0, 1, 3000), "b": rng.integers(0, 5, 3000).astype(float)})  # b: heavy ties
     long = ps.unpivot(spark.createDataFrame(pdf), ["a", "b"])
     x = {r["feature"]: r["edges"] for r in ps.numeric_edges(long).collect()}
-    y = {r["feature"]: r["edges"] for r in ps.numeric_edges(long, distributed=True).collect()}
-    assert x == y
     for f in ("a", "b"):
         s = np.sort(pdf[f].to_numpy())
         assert x[f] == [s[min(int(q * len(s)), len(s) - 1)] for q in [i / 10 for i in range(1, 10)]]
@@ -108,3 +106,24 @@ def test_scan_first_alarm_equals_window_first_alarm(spark):
     scan = q["g03_ddm_scan"](spark, sf).agg(F.min("i")).first()[0]
     first = q["g03_ddm_first"](spark, sf).first()["first_alarm"]
     assert scan == first
+
+
+def test_absent_values_are_not_part_of_a_distribution(spark):
+    rows = [(i, float(i % 10), "ab"[i % 2]) for i in range(400)]
+    ref = spark.createDataFrame(rows, "i long, x double, c string")
+    cur = ref.withColumn("x", F.when(F.col("i") % 20 < 10, F.col("x"))).withColumn("c", F.when(F.col("i") % 4 < 2, F.col("c")))
+    assert abs(ps.psi_numeric(ref, cur, ["x"]).first()["psi"]) < 1e-12
+    assert abs(ps.psi_categorical(ref, cur, ["c"]).first()["psi"]) < 1e-12
+
+
+def test_psi_over_time_equals_one_by_one(spark):
+    rng = np.random.default_rng(7)
+    pdf = pd.DataFrame({"idx": np.arange(1000), "f": rng.normal(0, 1, 1000) + np.arange(1000) / 400, "c": rng.choice(list("abcde"), 1000)})
+    pdf.loc[pdf.idx > 700, "c"] = "z"
+    df = spark.createDataFrame(pdf)
+    got = {(r["check"], r["feature"]): r["psi"] for r in ps.psi_over_time(df, "idx", ["f"], ["c"], 300, 150, 100, total=1000).collect()}
+    ref = df.where("idx < 300")
+    for check in (400, 700, 1000):
+        cur = df.where((F.col("idx") >= max(300, check - 150)) & (F.col("idx") < check))
+        assert abs(got[(check, "f")] - ps.psi_numeric(ref, cur, ["f"]).first()["psi"]) < 1e-9
+        assert abs(got[(check, "c")] - ps.psi_categorical(ref, cur, ["c"]).first()["psi"]) < 1e-9

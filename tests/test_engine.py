@@ -1,5 +1,7 @@
 """Learning, inference, bundles and the registry (modelled on the reference's engine tests)."""
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -144,3 +146,43 @@ def test_metric_log_with_drift_counts(spark):
     got = {r["step"]: (r["concept_drift_events"], r["feature_drift_events"])
            for r in metric_log(m, cols=["mae"], events=events).collect()}
     assert got == {0: (0, 0), 500: (1, 0), 1000: (2, 1), 1500: (2, 1), 2000: (2, 1)}
+
+
+def test_what_was_learned_when_shows_in_the_holdout(spark):
+    rng = np.random.default_rng(12)
+    n = 4000
+    x = rng.normal(size=(n, 2))
+    slope = np.where(np.arange(n) < 1500, 1.0, 4.0)  # the stream changes
+    pdf = pd.DataFrame({"i": np.arange(n), "a": x[:, 0], "b": x[:, 1], "y": slope * x[:, 0] + x[:, 1] + rng.normal(size=n) * 0.1})
+    df = spark.createDataFrame(pdf)
+    maes = []
+    for warm in (0.1, 0.7):
+        cont, hold = mo.train_regime(df, ["a", "b"], "y", "i", n, warm_frac=warm, holdout_frac=0.2, batch_rows=100, window_batches=5)
+        assert cont.count() == int(n * 0.8) - int(n * warm) and hold.count() == n - int(n * 0.8)
+        maes.append(hold.agg(F.avg(F.abs(F.col("y") - F.col("prediction")))).first()[0])
+    assert maes[0] < maes[1]  # less of the old regime is kept for good
+
+
+def test_continual_predictions_match_refits(spark):
+    rng = np.random.default_rng(13)
+    pdf = pd.DataFrame({"i": np.arange(600), "a": rng.normal(5, 2, 600), "y": rng.normal(size=600)})
+    pdf.loc[::9, "y"] = np.nan
+    df = spark.createDataFrame(pdf).withColumn("y", F.when(~F.isnan("y"), F.col("y")))
+    for window in (None, 2):
+        got = {r["i"]: r["prediction"] for r in mo.continual_linear(df, ["a"], "y", "i", 100, window_batches=window).collect()}
+        for b in range(6):
+            past = pdf[(pdf.i < b * 100) & (pdf.i >= (0 if window is None else (b - window) * 100)) & pdf.y.notna()]
+            now = pdf[(pdf.i >= b * 100) & (pdf.i < (b + 1) * 100)]
+            if past.empty:
+                want = np.zeros(len(now))
+            else:
+                ac, yc = past.a - past.a.mean(), past.y - past.y.mean()
+                w = (ac @ yc) / (ac @ ac + 2.0)
+                want = past.y.mean() + w * (now.a - past.a.mean())
+            assert np.allclose([got[i] for i in now.i], want, atol=1e-9)
+
+
+def test_versions_claimed_by_another_writer_are_skipped(spark, tmp_dir):
+    root = f"{tmp_dir}/reg2"
+    assert rg._claim(spark, root, 1) and not rg._claim(spark, root, 1)
+    assert rg.register(spark, root, "second writer", 1, {"mae": 1.0}) == 2

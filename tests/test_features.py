@@ -60,6 +60,40 @@ def test_ewma_matches_sequential_definition(spark):
             v[h] = y if exp is None else exp + a * (y - exp)
 
 
+def test_old_labels_count_however_far_back(spark):
+    ys = [1e30] + [0.0] * 1001
+    df = _frame(spark, ys)
+    out = en.encode_ewma(sequence(df, ["i"]), ["cat"], y="y", alphas={"med": 0.05, "slow": 1e-6}, prefix="p")
+    last = out.where("i = 1001").first()
+    assert math.isclose(last["p_med"], 1e30 * 0.95 ** 1000, rel_tol=1e-9)
+    assert math.isclose(last["p_slow"], 1e30 * (1 - 1e-6) ** 1000, rel_tol=1e-9)
+    state = en.fit_encoder(df, ["i"], y="y", encoders=[("cat",)])
+    assert math.isclose(state[("cat",)].first()["med"], 1e30 * 0.95 ** 1001, rel_tol=1e-9)
+
+
+def test_folds_of_gapped_and_null_keys_match_a_loop(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, rng.choice(["a", "b", None, "c,d"]), rng.choice([None, rng.uniform(-5, 9)]) if i % 7 else None) for i in range(2500)]
+    df = spark.createDataFrame(rows, "i long, cat string, y double").repartition(6)
+    got = {r["i"]: r for r in en.encode_ewma(sequence(df, ["i"], n_buckets=7), ["cat"], y="y", alphas={"m": 0.1, "one": 1.0}, prefix="p").collect()}
+    state = {}
+    for i, cat, y in rows:
+        n, m, one = state.get(cat, (0, None, None))
+        assert got[i]["p_n"] == n
+        for v, name in ((m, "p_m"), (one, "p_one")):
+            assert (v is None and got[i][name] is None) or math.isclose(got[i][name], v, rel_tol=1e-9, abs_tol=1e-12)
+        if y is not None:
+            state[cat] = (n + 1, y if n == 0 else m + 0.1 * (y - m), y)
+    frozen = en.fit_encoder(df, ["i"], y="y", encoders=[("cat",)], horizons={"long": 0.0, "m": 0.1})
+    assert {r["cat"]: r["n"] for r in frozen[("cat",)].collect()} == {k: v[0] for k, v in state.items()}
+    for r in frozen[("cat",)].collect():
+        assert math.isclose(r["m"], state[r["cat"]][1], rel_tol=1e-9)
+    applied = en.apply_encoder(df.where("cat IS NULL").limit(1), frozen, k=0.0, horizons={"long": 0.0, "m": 0.1}).first()
+    assert math.isclose(applied["te_cat_m"], state[None][1], rel_tol=1e-9)
+
+
 def test_zone_pair_missing_and_same(spark):
     from tidemark.sources import fixtures as fx
 

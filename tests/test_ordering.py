@@ -108,3 +108,40 @@ def test_two_level_plans_match_pandas(spark, n, hot, buckets, seed):
     exp = exp.set_index("id").sort_index()
     assert np.allclose(got["ks"], exp["ks"])
     assert np.allclose(got["li"].astype(float), exp["li"], equal_nan=True)
+
+
+def test_rolling_recovers_after_non_finite_values(spark):
+    from tidemark.plans.ordering import rolling
+
+    vals = [float(i % 7) for i in range(200)]
+    vals[10], vals[60], vals[62], vals[120] = float("nan"), float("inf"), float("-inf"), float("-inf")
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "i long, v double")
+    got = {r["i"]: r for r in rolling(df, "i", 5, {"s": F.col("v")}, variances={"var": F.col("v")}, block_rows=16).collect()}
+    for i in range(200):
+        frame = vals[max(0, i - 4):i + 1]
+        want = sum(frame)
+        assert got[i]["s"] == want or (want != want and got[i]["s"] != got[i]["s"])
+        if all(x == x and abs(x) != float("inf") for x in frame):
+            mean = want / len(frame)
+            assert abs(got[i]["var"] - sum((x - mean) ** 2 for x in frame) / len(frame)) < 1e-9
+        assert got[i]["var_n"] == len(frame)
+
+
+def test_bucket_count_follows_the_shuffle_partitions(spark):
+    from tidemark.plans.ordering import default_buckets
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "4000")
+    try:
+        assert default_buckets(spark.range(1)) == 4000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_group_limit_is_exact_on_a_hot_group(spark):
+    from tidemark.plans.ordering import first_n_per_group
+
+    df = spark.range(5000).selectExpr("id", "CASE WHEN id % 50 = 0 THEN 'b' ELSE 'a' END AS k")
+    got = first_n_per_group(df, ["k"], ["id"], 30, parts=4, descending=True).collect()
+    assert sorted(r["id"] for r in got if r["k"] == "a") == [i for i in range(4900, 5000) if i % 50][-30:]
+    assert sorted(r["id"] for r in got if r["k"] == "b") == list(range(3500, 5000, 50))

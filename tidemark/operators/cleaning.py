@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import KM_PER_MILE, RUSH_HOURS, col, duration_seconds
-from tidemark.plans.ordering import Sequenced, with_global_index
+from tidemark.plans.ordering import Sequenced, first_n_per_group, with_global_index
 
 RAW_COLUMNS = ("tpep_pickup_datetime", "tpep_dropoff_datetime", "passenger_count", "trip_distance",
                "RatecodeID", "PULocationID", "DOLocationID")
@@ -109,18 +109,13 @@ def cap_per_group(df: DataFrame, group: str | Sequence[str], n: int, seed: int,
 
     Rows are ranked by ``md5(ids || seed)`` (a deterministic pseudo-random
     order) with the ids as tie-break; groups with fewer rows keep everything.
-    Spark plans this as a group limit, so each task keeps at most ``n`` rows
-    per group before the shuffle, whatever the group size.
+    A large group is limited piece by piece before its rows meet.
     """
     if n <= 0:
         return df
     groups = [group] if isinstance(group, str) else list(group)
-    from tidemark.operators.evaluation import allow_group_limit
-
-    allow_group_limit(df.sparkSession, n)
     key = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in id_cols], F.lit(str(seed))))
-    w = Window.partitionBy(*groups).orderBy(key, *id_cols)
-    return df.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= n).drop("_rk")
+    return first_n_per_group(df.withColumn("_key", key), groups, ["_key", *id_cols], n).drop("_key", "_rk")
 
 
 def order_by_time(df: DataFrame, ts: str = "pickup_datetime", tie_break: Sequence[str] = ()) -> DataFrame:

@@ -5,43 +5,32 @@ prior mean ``g`` (D3), the per-key cumulative mean (D4, horizon ``long``) and
 per-key exponentially weighted means (D5, horizons ``med`` and ``short``),
 shrunk toward ``g`` (D6).
 
-The EWMA ``v_j = q v_{j-1} + a y_j`` (first label sets ``v``) has the closed
-form ``v_j = q^j y_0 + a sum_{t>=1} q^(j-t) y_t``. Terms older than
-``H = ln(1e-20) / ln(q)`` labels change the double result by less than 1e-20
-relative, so the prior EWMA is a bounded frame over the key's label index:
-it runs on halo blocks of that index, which splits a hot key into blocks of
-``4 (H + 1)`` labels, entirely with JVM-side window aggregates.
+The EWMA ``v_j = q v_{j-1} + a y_j`` (first label sets ``v``) is a fold of
+affine maps; ``plans/folds.py`` runs it exactly over a key's whole history,
+for all encoders and horizons in one pass.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import shrink
-from tidemark.plans.ordering import Sequenced, halo_window_frame, materialize, running_keyed, running_sums
+from tidemark.plans.folds import final_folds, prior_folds
+from tidemark.plans.ordering import Sequenced, _null_safe_join, materialize, running_sums, sequence
 
 # Fixed defaults of the reference configuration.
 DEFAULT_ENCODERS = (("pu_zone", "do_zone"), ("do_zone",), ("pu_borough", "do_borough", "pickup_hour"))
 DEFAULT_HORIZONS = {"long": 0.0, "med": 0.05, "short": 0.3}
 DEFAULT_SMOOTHING = 20.0
-EWMA_EPS = 1e-20
 
 
 def encoder_name(cols: Sequence[str], horizon: str) -> str:
     return "te_" + "_".join(cols) + "_" + horizon
 
 
-def ewma_lookback(alpha: float) -> int:
-    """Number of earlier labels that still matter at double precision."""
-    if alpha >= 1.0:
-        return 1
-    return int(math.ceil(math.log(EWMA_EPS) / math.log(1.0 - alpha)))
-
-
 def prior_global_mean(seq: Sequenced, y: str = "target", name: str = "g") -> Sequenced:
     """D3: mean of all earlier labels in stream order; 0.0 before the first."""
     s = running_sums(seq, {"_gs": F.col(y), "_gn": F.col(y).isNotNull().cast("long")}, inclusive=False)
@@ -67,42 +56,13 @@ def encode_long(seq: Sequenced, keys: Sequence[str], y: str = "target", prefix:
     return seq.with_df(out)
 
 
-def ewma_prior(df: DataFrame, keys: Sequence[str], y: str, label_idx: str, alpha: float, name: str) -> DataFrame:
-    """EWMA of the key's earlier labels for every row (null when none).
-
-    ``label_idx`` is the number of earlier labels of the row's key (for a
-    labelled row, its 0-based label index). Range frames on that index give
-    unlabelled rows the value after the last label before them.
-    """
-    lookback = ewma_lookback(alpha) + 1
-    t = F.col(label_idx)
-    if alpha >= 1.0:
-        laid, window = halo_window_frame(df, label_idx, 1, block_rows=4, keys=keys)
-        frame = window.rangeBetween(-1, -1)
-        out = laid.withColumn(name, F.max(F.when(F.col(y).isNotNull(), F.col(y))).over(frame))
-        return out.where(~F.col("_halo")).drop("_blk", "_halo")
-    q = 1.0 - alpha
-    b = 4 * lookback
-    laid, window = halo_window_frame(df, label_idx, lookback, block_rows=b, keys=keys)
-    base = F.col("_blk") * F.lit(b)
-    coef = F.when(t == 0, F.lit(1.0)).otherwise(F.lit(alpha))
-    term = F.when(F.col(y).isNotNull(), coef * F.pow(F.lit(q), (base - t).cast("double")) * F.col(y))
-    frame = window.rangeBetween(-lookback, -1)
-    value = F.sum(term).over(frame) * F.pow(F.lit(q), (t - 1 - base).cast("double"))
-    out = laid.withColumn(name, value)
-    return out.where(~F.col("_halo")).drop("_blk", "_halo")
-
-
 def encode_ewma(seq: Sequenced, keys: Sequence[str], y: str = "target",
                 alphas: Mapping[str, float] | None = None, prefix: str | None = None) -> DataFrame:
-    """``{p}_{horizon}`` prior EWMA per key for each horizon, plus ``{p}_n``."""
+    """``{p}_{horizon}`` prior EWMA per key for each horizon (null before
+    the key's first label), plus ``{p}_n``."""
     alphas = dict(alphas or {h: a for h, a in DEFAULT_HORIZONS.items() if a > 0})
     p = prefix or "te_" + "_".join(keys)
-    s = keyed_prior(seq, keys, y, f"_{p}")
-    df = s.df.withColumnRenamed(f"_{p}_n", f"{p}_n").drop(f"_{p}_sum")
-    for h, a in alphas.items():
-        df = ewma_prior(df, keys, y, f"{p}_n", a, f"{p}_{h}")
-    return df
+    return prior_folds(seq, {p: list(keys)}, y, alphas).df.drop(f"{p}_sum")
 
 
 def multi_encode(seq: Sequenced, y: str = "target",
@@ -111,36 +71,23 @@ def multi_encode(seq: Sequenced, y: str = "target",
                  k: float = DEFAULT_SMOOTHING, keep_raw: bool = False) -> DataFrame:
     """D6 + D7: every present encoder x horizon as ``te_<cols>_<horizon>``,
     shrunk toward the prior global mean ``g``. Encoders with a missing column
-    are skipped. Horizon alpha 0 is the cumulative mean."""
+    are skipped. Horizon alpha 0 is the cumulative mean. Counts, sums and all
+    EWMAs of all encoders come from one pass."""
     horizons = dict(DEFAULT_HORIZONS if horizons is None else horizons)
     present = [tuple(e) for e in encoders if all(c in seq.df.columns for c in e)]
     s = seq if "g" in seq.df.columns else prior_global_mean(seq, y, "g")
-    lab = F.col(y).isNotNull()
-    groups = []
-    for enc in present:
-        p = "_raw" + "te_" + "_".join(enc)
-        groups.append((list(enc), {f"{p}_n": lab.cast("long"), f"{p}_sum": F.col(y)}))
-    cur = running_keyed(s, groups, inclusive=False)  # all encoders' counts and sums in one pass
-    df = cur.df
-    for enc in present:
-        p = "_raw" + "te_" + "_".join(enc)
-        df = df.withColumn(f"{p}_long", F.when(F.col(f"{p}_n") > 0, F.col(f"{p}_sum") / F.col(f"{p}_n"))).drop(f"{p}_sum")
-    for enc in present:
-        p = "te_" + "_".join(enc)
-        for h, a in horizons.items():
-            if a > 0:
-                df = ewma_prior(df, list(enc), y, f"_raw{p}_n", a, f"_raw{p}_{h}")
-    outs = []
-    raw_cols = []
-    for enc in present:
-        p = "te_" + "_".join(enc)
-        raw_cols.append(f"_raw{p}_n")
+    raw = {"_rawte_" + "_".join(e): list(e) for e in present}
+    df = prior_folds(s, raw, y, {h: a for h, a in horizons.items() if a > 0}).df if present else s.df
+    outs, raw_cols = [], []
+    for p, enc in raw.items():
+        n = F.col(f"{p}_n")
+        raw_cols += [f"{p}_n", f"{p}_sum"]
         for h, a in horizons.items():
-            v = f"_raw{p}_long" if a <= 0 else f"_raw{p}_{h}"
-            raw_cols.append(v)
-            outs.append(shrink(f"_raw{p}_n", v, "g", k).alias(encoder_name(enc, h)))
+            value = F.when(n > 0, F.col(f"{p}_sum") / n) if a <= 0 else F.col(f"{p}_{h}")
+            raw_cols += [f"{p}_{h}"] if a > 0 else []
+            outs.append(shrink(n, value, "g", k).alias(encoder_name(enc, h)))
     res = df.select("*", *outs)
-    return res if keep_raw else res.drop(*set(raw_cols))
+    return res if keep_raw else res.drop(*raw_cols)
 
 
 def fit_encoder(train: DataFrame, order: Sequence[str], y: str = "target",
@@ -149,54 +96,33 @@ def fit_encoder(train: DataFrame, order: Sequence[str], y: str = "target",
     """D8 (fit): encoder state after all training labels.
 
     Returns ``{"global": DataFrame(n, mean), encoder_tuple: DataFrame(keys...,
-    n, <horizon>...)}``. The last EWMA per key needs only its last ``H + 1``
-    labels: a top-k per key, which Spark limits inside each task before the
-    shuffle, so a hot key costs no more than any other.
+    n, <horizon>...)}``. Every key's whole history counts; a hot key is folded
+    per range bucket first.
     """
     horizons = dict(DEFAULT_HORIZONS if horizons is None else horizons)
     lab = train.where(F.col(y).isNotNull())
     state: dict = {"global": lab.agg(F.count(y).alias("n"), F.coalesce(F.avg(y), F.lit(0.0)).alias("mean"))}
+    present = [tuple(e) for e in encoders if all(c in train.columns for c in e)]
     ewmas = {h: a for h, a in horizons.items() if a > 0}
-    keep = max([ewma_lookback(a) + 1 for a in ewmas.values()], default=0)
-    if keep:
-        from tidemark.operators.evaluation import allow_group_limit
-
-        allow_group_limit(train.sparkSession, keep)
-    for enc in encoders:
-        enc = tuple(enc)
-        if not all(c in train.columns for c in enc):
-            continue
-        keys = list(enc)
-        base = lab.groupBy(*keys).agg(F.count(y).alias("n"), F.avg(y).alias("_long"))
-        res = base
-        if ewmas:
-            # one top-(H+1) per key serves every horizon: older labels weigh < 1e-20
-            w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
-            top = lab.select(*keys, y, *order).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= keep)
-            top = top.join(base.select(*keys, "n"), keys)
-            first = F.col("_r") == F.col("n")
-            aggs = []
-            for h, a in ewmas.items():
-                q = 1.0 - a
-                if a < 1:
-                    coef = F.when(first, F.lit(1.0)).otherwise(F.lit(a))
-                    term = coef * F.pow(F.lit(q), (F.col("_r") - 1).cast("double")) * F.col(y)
-                else:
-                    term = F.when(F.col("_r") == 1, F.col(y)).otherwise(F.lit(0.0))
-                aggs.append(F.sum(term).alias(h))
-            res = res.join(top.groupBy(*keys).agg(*aggs), keys, "left")
-        for h, a in horizons.items():
-            if a <= 0:
-                res = res.withColumn(h, F.col("_long"))
-        state[enc] = materialize(res.select(*keys, "n", *horizons.keys()))  # a fitted artifact: one row per key
+    if not ewmas:
+        for enc in present:
+            base = lab.groupBy(*enc).agg(F.count(y).alias("n"), F.avg(y).alias("_long"))
+            state[enc] = materialize(base.select(*enc, "n", *[F.col("_long").alias(h) for h in horizons]))
+        return state
+    columns = list(dict.fromkeys([c for e in present for c in e] + [y, *order]))
+    seq = sequence(lab.select(*columns), order, materialize=False)
+    for p, tbl in final_folds(seq, {"_".join(e): list(e) for e in present}, y, ewmas).items():
+        enc = next(e for e in present if "_".join(e) == p)
+        values = [(F.col(h) if a > 0 else F.col("sum") / F.col("n")).alias(h) for h, a in horizons.items()]
+        state[enc] = materialize(tbl.select(*enc, "n", *values))  # a fitted artifact: one row per key
     return state
 
 
 def apply_encoder(df: DataFrame, state: dict, k: float = DEFAULT_SMOOTHING,
-                  horizons: Mapping[str, float] | None = None, max_state_rows: int = 2_000_000) -> DataFrame:
+                  horizons: Mapping[str, float] | None = None) -> DataFrame:
     """D8 (apply): frozen encoder values, no update; unseen keys get ``g``.
 
-    The state is joined by key; it is broadcast only below a checked row count.
+    The state joins by key, null keys included; Spark picks the join by size.
     """
     horizons = dict(DEFAULT_HORIZONS if horizons is None else horizons)
     g = state["global"].first()["mean"]  # one aggregate value
@@ -208,8 +134,7 @@ def apply_encoder(df: DataFrame, state: dict, k: float = DEFAULT_SMOOTHING,
         ren = tbl
         for h in list(horizons) + ["n"]:
             ren = ren.withColumnRenamed(h, f"_{p}_{h}")
-        small = ren.limit(max_state_rows + 1).count() <= max_state_rows
-        out = out.join(F.broadcast(ren) if small else ren, list(enc), "left")
+        out = _null_safe_join(out, ren, list(enc))
         for h in horizons:
             out = out.withColumn(encoder_name(enc, h),
                                  shrink(F.coalesce(F.col(f"_{p}_n"), F.lit(0)), f"_{p}_{h}", "_g_frozen", k))

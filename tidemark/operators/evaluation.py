@@ -2,32 +2,24 @@
 
 Cumulative metrics are two-level running aggregates; rolling metrics are
 bounded frames on halo blocks of the labelled-row index; per-segment "last n"
-values are group limits (Spark keeps at most n rows per segment and task
-before the shuffle).
+values limit a segment piece by piece before its rows meet.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.plans.ordering import Sequenced, lags, rolling, running, with_global_index
+from tidemark.plans.ordering import Sequenced, lags, first_n_per_group, rolling, running, with_global_index
 
+# Fixed values of the reference configuration.
 R2_EPS = 1e-12
 AUTOCORR_LAGS = (1, 10, 50, 200, 1000)
 ERROR_QUANTILES = (50.0, 75.0, 90.0, 95.0, 99.0, 99.9)
 
 
-def allow_group_limit(spark, n: int) -> None:
-    """Let Spark plan ``rank <= n`` filters as per-task group limits (it only
-    does so up to ``windowGroupLimitThreshold``)."""
-    key = "spark.sql.optimizer.windowGroupLimitThreshold"
-    if int(spark.conf.get(key, "1000")) < n:
-        spark.conf.set(key, str(n))
-
-
 def _r2(sse, sst, n):
     return F.when((n < 2) | (sst <= R2_EPS), F.lit(0.0)).otherwise(1.0 - sse / sst)
 
@@ -91,17 +83,16 @@ def holdout_metrics(df: DataFrame, y: str = "target", yhat: str = "prediction")
 
 
 def segment_mae(df: DataFrame, seg: str = "pu_borough", err: str = "abs_err") -> DataFrame:
-    """MAE per segment rounded to 1; segment ``all`` if the column is absent."""
+    """MAE per segment rounded to 1 over its ``n`` scored rows; segment ``all``
+    if the column is absent."""
     s = F.col(seg).cast("string") if seg in df.columns else F.lit("all")
-    return df.groupBy(s.alias("segment")).agg(F.round(F.avg(err), 1).alias("mae"), F.count(F.lit(1)).alias("n"))
+    return df.groupBy(s.alias("segment")).agg(F.round(F.avg(err), 1).alias("mae"), F.count(err).alias("n"))
 
 
 def rolling_segment_mae(df: DataFrame, seg: str, order: Sequence[str], err: str = "abs_err",
                         n: int = 2000) -> DataFrame:
     """F6 (snapshot): MAE over the last ``n`` errors of each segment, rounded to 1."""
-    allow_group_limit(df.sparkSession, n)
-    w = Window.partitionBy(seg).orderBy(*[F.col(c).desc() for c in order])
-    last = df.where(F.col(err).isNotNull()).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n)
+    last = first_n_per_group(df.where(F.col(err).isNotNull()), [seg], order, n, descending=True)
     return last.groupBy(F.col(seg).cast("string").alias("segment")).agg(
         F.round(F.avg(err), 1).alias("rolling_mae"), F.count(F.lit(1)).alias("n"))
 

@@ -10,7 +10,6 @@
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -205,7 +204,7 @@ def save_bundle(bundle: Bundle, path: str) -> None:
         name = "global" if enc == "global" else "te_" + "_".join(enc)
         tbl.write.mode("overwrite").parquet(f"{path}/state/{name}")
         names.append({"name": name, "keys": [] if enc == "global" else list(enc)})
-    doc = {"roles": bundle.roles, "meta": bundle.meta, "state": names}
+    doc = {"roles": bundle.roles, "meta": bundle.meta, "state": names, "has_model": bundle.model is not None}
     spark.createDataFrame([(json.dumps(doc),)], "doc string").coalesce(1).write.mode("overwrite").text(f"{path}/bundle")
 
 
@@ -215,109 +214,116 @@ def load_bundle(spark: SparkSession, path: str) -> Bundle:
     for s in doc["state"]:
         key = "global" if s["name"] == "global" else tuple(s["keys"])
         state[key] = spark.read.parquet(f"{path}/state/{s['name']}")
-    model = None
-    try:
-        model = PipelineModel.load(f"{path}/model")
-    except Exception:  # a bundle may hold encoder state only
-        model = None
+    model = PipelineModel.load(f"{path}/model") if doc["has_model"] else None  # a broken model raises
     return Bundle(model, state, doc.get("roles", {}), doc.get("meta", {}))
 
 
 def maybe_warm_start(spark: SparkSession, path: str | None, source_name: str) -> Bundle | None:
     """The saved bundle if it exists and belongs to the same source; else
-    None (cold start). Never raises."""
+    None (cold start). A bundle that is there but broken raises."""
     if not path:
         return None
-    try:
-        if path.startswith("/") and not os.path.exists(path):
-            return None
-        b = load_bundle(spark, path)
-        if b.roles.get("name") != source_name:
-            return None
-        return b
-    except Exception:
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/bundle")
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
         return None
+    b = load_bundle(spark, path)
+    return b if b.roles.get("name") == source_name else None
 
 
 # ---------------------------------------------------------------- E1 continual
 def continual_linear(df: DataFrame, features: Sequence[str], y: str, idx: str, batch_rows: int,
-                     l2: float = 2.0, name: str = "prediction") -> DataFrame:
+                     l2: float = 2.0, name: str = "prediction", start: LinearStats | None = None,
+                     window_batches: int | None = None) -> DataFrame:
     """E1 kept current: rows of micro-batch ``b = idx div batch_rows`` are
-    predicted by the ridge fit on all labelled rows of batches ``< b``.
+    predicted by the ridge fit on ``start`` (statistics of a warm-up) and the
+    labelled rows of the batches before ``b``: all of them, or the last
+    ``window_batches``. Before any history the prediction is 0.
 
     Per-batch sufficient statistics (one aggregation, partial per task) are
-    prefix-merged over the batch table, which has one row per batch; the
-    small solves run in one vectorized pandas step over that table; the
-    coefficients join back by batch id. Before any history the prediction is 0.
+    summed along the batches by the two-level plans; the small solves run in
+    vectorized steps over that table, one row per batch; the coefficients
+    join back by batch id. Values are shifted by the warm-up's means, or the
+    first batch's, so nothing later than a row enters its prediction.
     """
+    from tidemark.plans.ordering import rolling, running, sequence, with_global_index
+
     feats = list(features)
     p = len(feats)
     lab = F.col(y).isNotNull()
-    shift = df.where(lab).agg(*[F.avg(c).alias(c) for c in feats], F.avg(y).alias(y)).first()
-    mu = {c: float(shift[c] or 0.0) for c in [*feats, y]}
+    b = F.floor(F.col(idx) / F.lit(batch_rows)).cast("long")
+    if start is not None and start.n:
+        mu = dict(zip([*feats, y], [*map(float, start.mean_x), start.mean_y]))
+    else:
+        begin = df.where(lab).agg(F.min(b)).first()[0]
+        means = df.where(lab & (b == F.lit(begin))).agg(*[F.avg(c).alias(c) for c in feats], F.avg(y).alias(y)).first()
+        mu = {c: float(means[c] or 0.0) for c in [*feats, y]}
+        start = None
     xc = [F.col(c).cast("double") - F.lit(mu[c]) for c in feats]
     yc = F.col(y) - F.lit(mu[y])
-    b = F.floor(F.col(idx) / F.lit(batch_rows)).cast("long")
-    aggs = [F.count(F.lit(1)).alias("n"), F.sum(yc).alias("sy")]
-    aggs += [F.sum(xc[i]).alias(f"sx{i}") for i in range(p)]
-    aggs += [F.sum(xc[i] * yc).alias(f"sxy{i}") for i in range(p)]
-    aggs += [F.sum(xc[i] * xc[j]).alias(f"sxx{i}_{j}") for i in range(p) for j in range(i, p)]
-    per = df.where(lab).groupBy(b.alias("_b")).agg(*aggs)
-    from pyspark.sql import Window
-
-    prior = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    stat_cols = [c for c in per.columns if c != "_b"]
-    cum = per.select("_b", *[F.coalesce(F.sum(c).over(prior), F.lit(0)).alias(c) for c in stat_cols])
+    terms = {"n": F.lit(1.0), "sy": yc}
+    terms |= {f"sx{i}": xc[i] for i in range(p)} | {f"sxy{i}": xc[i] * yc for i in range(p)}
+    terms |= {f"sxx{i}_{j}": xc[i] * xc[j] for i in range(p) for j in range(i, p)}
+    per = df.groupBy(b.alias("_b")).agg(*[F.coalesce(F.sum(F.when(lab, e)), F.lit(0.0)).alias(c) for c, e in terms.items()])
+    seq = sequence(per, ["_b"])
+    if window_batches is None:
+        cum = running(seq, sums={f"_c_{c}": F.col(c) for c in terms}, inclusive=False).df
+    else:
+        dense = with_global_index(seq, "_i").df
+        cum = rolling(dense, "_i", window_batches + 1, {f"_c_{c}": F.col(c) for c in terms})
+        cum = cum.select("_b", *[(F.col(f"_c_{c}") - F.col(c)).alias(f"_c_{c}") for c in terms])
+    cum = cum.select("_b", *[F.col(f"_c_{c}").alias(c) for c in terms])
     out_schema = "_b long, " + ", ".join(f"w{i} double" for i in range(p)) + ", w_b double"
+    n0, cxx0, cxy0 = (float(start.n), start.cxx, start.cxy) if start is not None else (0.0, np.zeros((p, p)), np.zeros(p))
 
     def solve(batches):
         for pdf in batches:
-            rows = []
-            for d in pdf.to_dict("records"):
-                n = float(d["n"])
-                if n <= 0:
-                    rows.append([d["_b"], *([0.0] * p), None])
-                    continue
-                mx = np.array([d[f"sx{i}"] / n for i in range(p)])
-                my = d["sy"] / n
-                sxx = np.zeros((p, p))
-                for i in range(p):
-                    for j in range(i, p):
-                        sxx[i, j] = sxx[j, i] = d[f"sxx{i}_{j}"] - n * mx[i] * mx[j]
-                sxy = np.array([d[f"sxy{i}"] - n * mx[i] * my for i in range(p)])
-                w = np.linalg.solve(sxx + l2 * np.eye(p), sxy)
-                rows.append([d["_b"], *w.tolist(), float(my - w @ mx)])
-            yield pd.DataFrame(rows, columns=["_b", *[f"w{i}" for i in range(p)], "w_b"])
+            n = pdf["n"].to_numpy() + n0
+            safe = np.maximum(n, 1.0)
+            sx = pdf[[f"sx{i}" for i in range(p)]].to_numpy().reshape(len(pdf), p)
+            sxy = pdf[[f"sxy{i}" for i in range(p)]].to_numpy().reshape(len(pdf), p) + cxy0
+            sxx = np.zeros((len(pdf), p, p))
+            for i in range(p):
+                for j in range(i, p):
+                    sxx[:, i, j] = sxx[:, j, i] = pdf[f"sxx{i}_{j}"].to_numpy() + cxx0[i, j]
+            mx, my = sx / safe[:, None], pdf["sy"].to_numpy() / safe
+            a = sxx - safe[:, None, None] * mx[:, :, None] * mx[:, None, :] + l2 * np.eye(p)
+            w = np.linalg.solve(a, (sxy - safe[:, None] * mx * my[:, None])[:, :, None])[:, :, 0]
+            out = pd.DataFrame(w, columns=[f"w{i}" for i in range(p)])
+            out.insert(0, "_b", pdf["_b"].to_numpy())
+            out["w_b"] = np.where(n > 0, my - (w * mx).sum(1), np.nan)
+            yield out
 
     coefs = cum.mapInPandas(solve, out_schema)
-    pred = F.coalesce(F.col("w_b"), F.lit(None))
+    pred = F.col("w_b")
     for i, c in enumerate(feats):
         pred = pred + F.col(f"w{i}") * (F.col(c).cast("double") - F.lit(mu[c]))
     res = df.withColumn("_b", b).join(coefs, "_b", "left")
-    res = res.withColumn(name, F.when(F.col("w_b").isNull(), F.lit(0.0)).otherwise(pred + F.lit(mu[y])))
+    res = res.withColumn(name, F.when(F.col("w_b").isNull() | F.isnan("w_b"), F.lit(0.0)).otherwise(pred + F.lit(mu[y])))
     return res.drop("_b", "w_b", *[f"w{i}" for i in range(p)])
 
 
 # ---------------------------------------------------------------- F9 / F10
 def train_regime(df: DataFrame, features: Sequence[str], y: str, idx: str, total: int,
                  warm_frac: float = 0.4, holdout_frac: float = 0.2, batch_rows: int = 1000,
-                 l2: float = 2.0) -> tuple[DataFrame, DataFrame]:
+                 l2: float = 2.0, window_batches: int = 20) -> tuple[DataFrame, DataFrame]:
     """batch warm-up on the first ``warm_frac`` of rows, then continual
     micro-batch updates in stream order up to the holdout, then a frozen
     holdout. Returns ``(continual_predictions, holdout_predictions)``.
 
-    The warm slice is one batch of sufficient statistics (order does not
-    matter to a batch fit, so shuffled epochs map to one fit); continual rows
-    are predicted from warm + earlier batches; the holdout uses the final fit.
+    The warm slice is one batch fit. The continual learner keeps it and the
+    last ``window_batches`` micro-batches, so it follows the stream; the holdout
+    is predicted by what it knows at its start. What was learned in the warm-up
+    stays, what the window left behind is forgotten, so the split matters.
     """
     warm_end = int(total * warm_frac)
     hold_start = int(total * (1 - holdout_frac))
     i = F.col(idx)
-    train = df.where(i < hold_start)
-    # batch ids: the whole warm slice is batch 0, then fixed-size batches
-    shifted = train.withColumn("_ri", F.when(i < warm_end, F.lit(0)).otherwise(i - warm_end + batch_rows))
-    cont = continual_linear(shifted, features, y, "_ri", batch_rows, l2).where(i >= warm_end).drop("_ri")
-    stats = linear_stats(train, features, y)
+    warm = linear_stats(df.where(i < warm_end), features, y)
+    rows = df.where((i >= warm_end) & (i < hold_start)).withColumn("_ri", i - warm_end)
+    cont = continual_linear(rows, features, y, "_ri", batch_rows, l2, start=warm, window_batches=window_batches).drop("_ri")
+    batches = -(-max(hold_start - warm_end, 0) // batch_rows)
+    kept_from = warm_end + max(batches - window_batches, 0) * batch_rows
+    stats = warm.merge(linear_stats(df.where((i >= kept_from) & (i < hold_start)), features, y))
     w, b = solve_ridge(stats, l2)
     coefs = {"intercept": b, **{f: float(c) for f, c in zip(stats.features, w)}}
     hold = predict_linear(df.where(i >= hold_start), coefs)
@@ -328,8 +334,9 @@ def ablation(df: DataFrame, idx: str, total: int, order: Sequence[str], y: str =
              base_features: Sequence[str] = ("pickup_hour", "passenger_count", "bearing_sin", "bearing_cos",
                                              "same_borough", "pu_airport", "do_airport"),
              route_feature: str = "gc_distance_km", split: float = 0.8) -> DataFrame:
-    """setups scored on the same chronological holdout, with the
-    continual cost (batch R2 - continual R2) and the route-feature lift."""
+    """setups scored on the same chronological holdout. ``vs_batch`` is each
+    linear setup's R2 below the batch fit with the route feature: the continual
+    cost of the continual rows, the route lift of the row without route."""
     from tidemark.operators.evaluation import holdout_metrics
 
     cut = int(total * split)
@@ -349,9 +356,16 @@ def ablation(df: DataFrame, idx: str, total: int, order: Sequence[str], y: str =
     tree = fit_tree(train, y, numeric=feats + [route_feature], categorical=("ratecode", "pu_borough", "do_borough"),
                     ignore=(), min_instances=50)
     rows.append(scored("tree batch (ceiling)", tree.transform(hold)))
-    _, hold_pred = train_regime(df, feats + [route_feature], y, idx, total, holdout_frac=1 - split)
-    rows.append(scored("warm-up + continual", hold_pred))
+    for name, warm in (("warm-up + continual", 0.4), ("continual only", 0.0)):
+        _, hold_pred = train_regime(df, feats + [route_feature], y, idx, total, warm_frac=warm, holdout_frac=1 - split,
+                                    batch_rows=200, window_batches=10)
+        rows.append(scored(name, hold_pred))
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)
-    return out
+    found = out.collect()  # one row per setup
+    batch = next(r["r2"] for r in found if r["setup"] == "ridge +route")
+    linear = ("ridge, no route", "warm-up + continual", "continual only")
+    return df.sparkSession.createDataFrame(
+        [(r["setup"], r["mae"], r["r2"], batch - r["r2"] if r["setup"] in linear else None) for r in found],
+        "setup string, mae double, r2 double, vs_batch double")

@@ -1,58 +1,52 @@
 """Population stability index (feature drift).
 
 All features are unpivoted into ``(feature, value)`` once, so one aggregation
-covers every column. Numeric bin edges are exact picks from the sorted
-reference sample (the reference is bounded by its configured size); values are
-binned against a broadcast edge table (one row per feature).
+covers every column; absent (null) values are not part of a feature's
+distribution. Numeric bin edges are exact order statistics of the reference,
+found on a distributed sort whatever its size; values are binned against a
+broadcast edge table (one row per feature).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.plans.ordering import sequence, with_global_index
+
+# Fixed values of the reference configuration.
 PSI_EPS = 1e-6
 PSI_THRESHOLD = 0.2
 
 
 def unpivot(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = (), as_string: bool = False) -> DataFrame:
-    """``(keep..., feature, value)`` with one row per input row and column."""
+    """``(keep..., feature, value)`` with one row per input row and present value."""
     cast = "string" if as_string else "double"
     arr = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast(cast).alias("value")) for c in cols])
-    return df.select(*keep, F.explode(arr).alias("_fv")).select(*keep, "_fv.feature", "_fv.value")
+    return (df.select(*keep, F.explode(arr).alias("_fv")).select(*keep, "_fv.feature", "_fv.value")
+            .where(F.col("value").isNotNull()))
 
 
-def numeric_edges(ref_long: DataFrame, bins: int = 10, distributed: bool = False) -> DataFrame:
+def numeric_edges(ref_long: DataFrame, bins: int = 10) -> DataFrame:
     """``(feature, edges)``: value at sorted position ``min(int(q n), n - 1)``
     for ``q = 1/bins .. (bins-1)/bins``.
 
-    The default ranks each feature's reference values with one window (the
-    reference window is bounded by its configured size). ``distributed=True``
-    gets the same order statistics for a reference of any size: the values
-    are range-partitioned by ``(feature, value)``, a per-feature dense index
-    comes from the two-level keyed running count (a frequent value or a
-    dominant feature is split across buckets), and only the picked rows meet.
+    The values are range-partitioned by ``(feature, value)``, a per-feature
+    dense index comes from the two-level keyed running count (a frequent value
+    or a dominant feature is split across buckets), and only the picked rows
+    meet.
     """
     qs = F.array(*[F.lit(i / bins) for i in range(1, bins)])
     vals = ref_long.where(F.col("value").isNotNull())
-    if distributed:
-        from tidemark.plans.ordering import sequence, with_global_index
-
-        tagged = vals.select("feature", "value", F.monotonically_increasing_id().alias("_t"))
-        seq = with_global_index(sequence(tagged, ["feature", "value", "_t"], materialize=False), "_pos",
-                                keys=["feature"])
-        counts = seq.df.groupBy("feature").agg(F.count(F.lit(1)).alias("_n"))
-        want = counts.select("feature", "_n", F.posexplode(qs).alias("_qi", "_q")).select(
-            "feature", "_qi", F.least(F.floor(F.col("_q") * F.col("_n")), F.col("_n") - 1).cast("long").alias("_pos"))
-        picks = seq.df.join(F.broadcast(want), ["feature", "_pos"]).select("feature", "_qi", "value")
-    else:
-        w = Window.partitionBy("feature").orderBy("value")
-        ranked = (vals.withColumn("_pos", F.row_number().over(w) - 1)
-                  .withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("feature"))))
-        picks = ranked.select("feature", "value", "_pos", "_n", F.posexplode(qs).alias("_qi", "_q"))
-        picks = picks.where(F.col("_pos") == F.least(F.floor(F.col("_q") * F.col("_n")), F.col("_n") - 1))
+    tagged = vals.select("feature", "value", F.monotonically_increasing_id().alias("_t"))
+    seq = with_global_index(sequence(tagged, ["feature", "value", "_t"], materialize=False), "_pos", keys=["feature"])
+    counts = seq.df.groupBy("feature").agg(F.count(F.lit(1)).alias("_n"))
+    want = counts.select("feature", "_n", F.posexplode(qs).alias("_qi", "_q")).select(
+        "feature", "_qi", F.least(F.floor(F.col("_q") * F.col("_n")), F.col("_n") - 1).cast("long").alias("_pos"))
+    picks = seq.df.join(F.broadcast(want), ["feature", "_pos"]).select("feature", "_qi", "value")  # bins - 1 rows a feature
     return picks.groupBy("feature").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_qi", "value"))), lambda s: s["value"]).alias("edges"))
 
@@ -69,61 +63,48 @@ def _psi_terms(r: F.Column, c: F.Column) -> F.Column:
     return (cc - rr) * F.log(cc / rr)
 
 
-def _distribution(binned: DataFrame, group: Sequence[str], key: str) -> DataFrame:
-    counts = binned.groupBy(*group, "feature", key).agg(F.count(F.lit(1)).alias("_c"))
-    tot = Window.partitionBy(*group, "feature")
-    return counts.withColumn("_p", F.col("_c") / F.sum("_c").over(tot)).drop("_c")
+def _counts(binned: DataFrame, group: Sequence[str], key: str) -> DataFrame:
+    return binned.groupBy(*group, "feature", key).agg(F.count(F.lit(1)).alias("_c"))
 
 
-def psi_from_binned(ref_binned: DataFrame, cur_binned: DataFrame, group: Sequence[str] = (),
-                    bins: int | None = 10, key: str = "bin") -> DataFrame:
-    """PSI per ``(group..., feature)`` from binned reference and current rows.
+def psi_from_counts(ref: DataFrame, cur: DataFrame, group: Sequence[str] = (), key: str = "bin") -> DataFrame:
+    """PSI per ``(group..., feature)`` from counts ``_c`` per bin or category.
 
-    Numeric: all ``bins`` bins count (empty ones on both sides add 0).
-    Categorical (``bins=None``): the union of categories seen in either.
+    The bins of either side count. A bin that the current side lacks adds a
+    term of the reference alone, so all of them together are one number per
+    feature, and no group has to list them: a group's sum starts from that
+    number and corrects it for the bins it has. Features without current or
+    reference rows get 0.
     """
     group = list(group)
-    rd = _distribution(ref_binned, [], key).withColumnRenamed("_p", "_r")
-    cd = _distribution(cur_binned, group, key).withColumnRenamed("_p", "_cur")
-    if bins is not None:
-        if group:
-            keys = cur_binned.select(*group, "feature").distinct()
-        else:
-            keys = ref_binned.select("feature").distinct()
-        keys = keys.withColumn(key, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    else:
-        gkeys = (cur_binned.select(*group, "feature") if group else ref_binned.select("feature")).distinct()
-        cats = cd.select(*group, "feature", key).unionByName(
-            gkeys.join(rd.select("feature", key), "feature")).distinct()
-        keys = cats
-    j = keys.join(cd, [*group, "feature", key], "left").join(rd, ["feature", key], "left")
-    terms = _psi_terms(F.coalesce(F.col("_r"), F.lit(0.0)), F.coalesce(F.col("_cur"), F.lit(0.0)))
-    out = j.groupBy(*group, "feature").agg(
-        F.sum(terms).alias("psi"), F.max(F.col("_cur").isNotNull().cast("int")).alias("_has_cur"),
-        F.max(F.col("_r").isNotNull().cast("int")).alias("_has_ref"))
-    ok = (F.col("_has_cur") == 1) & (F.col("_has_ref") == 1)
-    return out.select(*group, "feature", F.when(ok, F.col("psi")).otherwise(F.lit(0.0)).alias("psi"))
-
-
-def psi_numeric(ref: DataFrame, cur: DataFrame, cols: Sequence[str], bins: int = 10,
-                large_reference: bool | None = None, large_rows: int = 5_000_000) -> DataFrame:
-    """PSI of numeric features between a reference and a current sample.
-
-    ``large_reference=None`` checks the reference size (a count) and uses the
-    distributed edge computation above ``large_rows`` rows.
-    """
+    rd = ref.select("feature", key, (F.col("_c") / F.sum("_c").over(Window.partitionBy("feature"))).alias("_r"))
+    alone = rd.groupBy("feature").agg(F.sum(_psi_terms(F.col("_r"), F.lit(0.0))).alias("_alone"))
+    total = cur.groupBy(*group, "feature").agg(F.sum("_c").alias("_n"))
+    share = cur.join(total, [*group, "feature"]).withColumn("_cur", F.col("_c") / F.col("_n"))
+    j = share.join(rd, ["feature", key], "left")
+    r = F.coalesce(F.col("_r"), F.lit(0.0))
+    own = _psi_terms(r, F.col("_cur")) - F.when(F.col("_r").isNotNull(), _psi_terms(r, F.lit(0.0))).otherwise(F.lit(0.0))
+    sums = j.groupBy(*group, "feature").agg(F.sum(own).alias("_own")).join(alone, "feature", "left")
+    psi = F.when(F.col("_alone").isNotNull(), F.greatest(F.col("_own") + F.col("_alone"), F.lit(0.0))).otherwise(F.lit(0.0))
+    out = sums.select(*group, "feature", psi.alias("psi"))
+    if not group:  # features that only the reference has
+        only = alone.join(out.select("feature"), "feature", "left_anti").select("feature", F.lit(0.0).alias("psi"))
+        out = out.unionByName(only)
+    return out
+
+
+def psi_numeric(ref: DataFrame, cur: DataFrame, cols: Sequence[str], bins: int = 10) -> DataFrame:
+    """PSI of numeric features between a reference and a current sample."""
     rl = unpivot(ref, cols)
-    if large_reference is None:
-        large_reference = ref.limit(large_rows + 1).count() > large_rows
-    edges = numeric_edges(rl, bins, distributed=large_reference)
-    return psi_from_binned(bin_numeric(rl, edges), bin_numeric(unpivot(cur, cols), edges), bins=bins)
+    edges = numeric_edges(rl, bins)
+    return psi_from_counts(_counts(bin_numeric(rl, edges), [], "bin"), _counts(bin_numeric(unpivot(cur, cols), edges), [], "bin"))
 
 
 def psi_categorical(ref: DataFrame, cur: DataFrame, cols: Sequence[str]) -> DataFrame:
     """PSI of categorical features over the union of their categories."""
-    rl = unpivot(ref, cols, as_string=True).withColumnRenamed("value", "cat")
-    cl = unpivot(cur, cols, as_string=True).withColumnRenamed("value", "cat")
-    return psi_from_binned(rl, cl, bins=None, key="cat")
+    rl = unpivot(ref, cols, as_string=True)
+    cl = unpivot(cur, cols, as_string=True)
+    return psi_from_counts(_counts(rl, [], "value"), _counts(cl, [], "value"), key="value")
 
 
 def psi_over_time(df: DataFrame, idx: str, numeric: Sequence[str], categorical: Sequence[str],
@@ -134,27 +115,34 @@ def psi_over_time(df: DataFrame, idx: str, numeric: Sequence[str], categorical:
     ``idx`` is the 0-based index of the rows the detector sees. Rows with
     ``idx < reference_size`` are the reference; a check happens at count
     ``c`` (1-based) when ``c % every == 0`` and ``c > reference_size``, over
-    the rows with count in ``(max(reference_size, c - window), c]``. Each row
-    belongs to at most ``ceil(window / every)`` checks.
+    the rows with count in ``(max(reference_size, c - window), c]``. Rows are
+    counted once per slot of ``gcd(window, every)`` rows; a check adds its slots.
     """
     cnt = F.col(idx) + 1
     ref = df.where(cnt <= reference_size)
-    cur = df.where(cnt > reference_size)
-    first = (F.ceil(cnt / F.lit(every)) * F.lit(every)).cast("long")
-    checks = F.sequence(first, (cnt + F.lit(window - 1)).cast("long"), F.lit(every).cast("long"))
-    cur = cur.withColumn("check", F.explode(checks))
-    if total is not None:
-        cur = cur.where(F.col("check") <= total)
+    width = math.gcd(window, every)
+    # slot s holds the counts s * width + 1 .. (s + 1) * width
+    cur = df.where(cnt > reference_size).withColumn("_slot", F.floor((cnt - 1) / F.lit(width)).cast("long"))
+
+    def checks(counts: DataFrame, key: str) -> DataFrame:
+        end = (F.col("_slot") + 1) * F.lit(width)
+        first = (F.ceil(end / F.lit(every)) * F.lit(every)).cast("long")
+        at = F.sequence(first, (F.col("_slot") * F.lit(width) + F.lit(window)).cast("long"), F.lit(every).cast("long"))
+        some = counts.where(first <= F.col("_slot") * F.lit(width) + F.lit(window)).withColumn("check", F.explode(at))
+        if total is not None:
+            some = some.where(F.col("check") <= total)
+        return some.groupBy("check", "feature", key).agg(F.sum("_c").alias("_c"))
+
     parts = []
     if numeric:
         rl = unpivot(ref, numeric)
         edges = numeric_edges(rl, bins)
-        parts.append(psi_from_binned(bin_numeric(rl, edges), bin_numeric(unpivot(cur, numeric, ["check"]), edges),
-                                     group=["check"], bins=bins))
+        slots = _counts(bin_numeric(unpivot(cur, numeric, ["_slot"]), edges), ["_slot"], "bin")
+        parts.append(psi_from_counts(_counts(bin_numeric(rl, edges), [], "bin"), checks(slots, "bin"), ["check"]))
     if categorical:
-        rl = unpivot(ref, categorical, as_string=True).withColumnRenamed("value", "cat")
-        cl = unpivot(cur, categorical, ["check"], as_string=True).withColumnRenamed("value", "cat")
-        parts.append(psi_from_binned(rl, cl, group=["check"], bins=None, key="cat"))
+        slots = _counts(unpivot(cur, categorical, ["_slot"], as_string=True), ["_slot"], "value")
+        parts.append(psi_from_counts(_counts(unpivot(ref, categorical, as_string=True), [], "value"), checks(slots, "value"),
+                                     ["check"], key="value"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -22,11 +22,21 @@ ALIAS_SCHEMA = T.StructType([
     T.StructField("set_at", T.TimestampType())])
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except Exception:  # nothing written yet
+    if not _exists(spark, path):  # nothing written yet; any other failure is the caller's to see
         return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
+def _claim(spark: SparkSession, root: str, version: int) -> bool:
+    """Reserve a version number: creating its marker fails if another writer has it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/claims/v{version}")
+    return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).createNewFile(p))
 
 
 def versions(spark: SparkSession, root: str) -> DataFrame:
@@ -35,9 +45,11 @@ def versions(spark: SparkSession, root: str) -> DataFrame:
 
 def register(spark: SparkSession, root: str, reason: str, step: int, metrics: dict[str, float],
              source: str = "") -> int:
-    """Append a new version (next number) and return it."""
+    """Append a new version (the next number that no other writer holds) and return it."""
     cur = versions(spark, root).agg(F.max("version")).first()[0]
     v = int(cur or 0) + 1
+    while not _claim(spark, root, v):
+        v += 1
     row = [(v, reason, int(step), {k: float(x) for k, x in metrics.items()}, source, datetime.now(timezone.utc))]
     spark.createDataFrame(row, VERSION_SCHEMA).write.mode("append").parquet(f"{root}/versions")
     return v

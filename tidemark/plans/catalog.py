@@ -222,6 +222,7 @@ def c07(spark, sf_dir):
 from tidemark.operators import encoders as en  # noqa: E402
 from tidemark.operators import features as fe  # noqa: E402
 from tidemark.plans.trips import sequenced_trips as _seq_trips  # noqa: E402
+from tidemark.plans.ordering import sequence as _seq  # noqa: E402
 from tidemark.plans.trips import trip_features  # noqa: E402
 
 TE_COLS = [en.encoder_name(e, h) for e in en.DEFAULT_ENCODERS for h in en.DEFAULT_HORIZONS]
@@ -265,6 +266,24 @@ def d05(spark, sf_dir):
     return df.select("seq", F.col("te_n").alias("n"), r6("te_med").alias("med"), r6("te_short").alias("short"))
 
 
+def _gapped(spark, sf_dir):
+    """Features with one label in ten missing and one drop-off zone unknown (null)."""
+    f = trip_features(spark, sf_dir, 10)
+    return _seq(f.withColumn("do_zone", F.when(F.col("do_zone") != "7", F.col("do_zone"))), ["pickup_datetime", "seq"])
+
+
+@query("d05_encode_ewma_gaps")
+def d05g(spark, sf_dir):
+    df = en.encode_ewma(_gapped(spark, sf_dir), ["do_zone"], prefix="te")
+    return df.select("seq", F.col("te_n").alias("n"), r6("te_med").alias("med"), r6("te_short").alias("short"))
+
+
+@query("d07_multi_encode_gaps")
+def d07g(spark, sf_dir):
+    df = en.multi_encode(_gapped(spark, sf_dir))
+    return df.select("seq", *[r6(c).alias(c) for c in TE_COLS])
+
+
 @query("d06_shrink")
 def d06(spark, sf_dir):
     s = memory_predictions(_seq_trips(spark, sf_dir, indexed=False))
@@ -365,6 +384,11 @@ def f06(spark, sf_dir):
     return ev.rolling_segment_mae(_scored(spark, sf_dir).df, "pu_borough", ["pickup_datetime", "seq"])
 
 
+@query("f06_rolling_segment_hour")
+def f06h(spark, sf_dir):
+    return ev.rolling_segment_mae(_scored(spark, sf_dir).df, "pickup_hour", ["pickup_datetime", "seq"])
+
+
 @query("f06_rolling_segment_rows")
 def f06r(spark, sf_dir):
     out = ev.rolling_segment_mae_rows(_scored(spark, sf_dir), "pu_borough")
@@ -624,6 +648,34 @@ def g13c(spark, sf_dir):
     return counts
 
 
+@query("e12_metric_log_drift")
+def e12d(spark, sf_dir):
+    """The metric log with the validated drift events up to each step."""
+    rm = ev.rolling_metrics(ev.prequential(_scored(spark, sf_dir)))
+    log = ev.metric_log(rm, "gidx", 500, events=_events(spark, sf_dir))
+    return log.select("step", r6("rolling_mae").alias("rolling_mae"), "concept_drift_events", "feature_drift_events")
+
+
+def _psi_null_views(spark, sf_dir):
+    """The PSI split with two in five numeric and one in three categorical values absent."""
+    ref, cur = _psi_split(spark, sf_dir)
+    gaps = lambda d: (d.withColumn("gc_distance_km", F.when(F.col("seq") % 5 >= 2, F.col("gc_distance_km")))
+                      .withColumn("ratecode", F.when(F.col("seq") % 3 != 0, F.col("ratecode"))))
+    return gaps(ref), gaps(cur)
+
+
+@query("g08_psi_numeric_gaps")
+def g08n(spark, sf_dir):
+    ref, cur = _psi_null_views(spark, sf_dir)
+    return ps.psi_numeric(ref, cur, ["gc_distance_km", "target"]).select("feature", r6("psi").alias("psi"))
+
+
+@query("g09_psi_categorical_gaps")
+def g09n(spark, sf_dir):
+    ref, cur = _psi_null_views(spark, sf_dir)
+    return ps.psi_categorical(ref, cur, ["ratecode", "do_zone"]).select("feature", r6("psi").alias("psi"))
+
+
 # ---------------------------------------------------------------- A: sources
 from tidemark.sources import io as sio  # noqa: E402
 
@@ -788,7 +840,7 @@ def f10a(spark, sf_dir):
     seq = _seq_trips(spark, sf_dir)
     total = ev.total_rows(seq)
     return mo.ablation(seq.df, "gidx", total, ["pickup_datetime", "seq"]).select(
-        "setup", r6("mae").alias("mae"), r6("r2").alias("r2"))
+        "setup", r6("mae").alias("mae"), r6("r2").alias("r2"), r6("vs_batch").alias("vs_batch"))
 
 
 @query("g01_adwin_by_segment")
@@ -852,6 +904,8 @@ def e11(spark, sf_dir):
     v1 = rg.register(spark, root, "global-mean", int(train.count()), {"mae": champ["mae"]}, "trips")
     rg.set_alias(spark, root, v1)
     v2 = rg.register(spark, root, "zone-pair memory", int(train.count()), {"mae": cand["mae"]}, "trips")
-    if cand["mae"] < champ["mae"]:
+    schema = "mae double, r2 double"
+    row = lambda m: spark.createDataFrame([(m["mae"], m["r2"])], schema)
+    if ev.promotion_decision(row(cand), row(champ)).first()["promote"]:
         rg.set_alias(spark, root, v2)
     return rg.champion(spark, root).select("version", "reason", "step", r6(F.col("metrics")["mae"]).alias("mae"))

@@ -226,6 +226,11 @@ ENCODERS = [("pu_zone", "do_zone"), ("do_zone",), ("pu_borough", "do_borough", "
 HORIZONS = [("long", 0.0), ("med", 0.05), ("short", 0.3)]
 
 
+_GAPPED = f"SELECT * REPLACE (CASE WHEN do_zone <> '7' THEN do_zone END AS do_zone) FROM ({features_sql(fx.TRIPS_GAPPED)}) f0"
+ORACLE_SQL["d05_encode_ewma_gaps"] = f"""SELECT seq, count(target) OVER (PARTITION BY do_zone {W_ALL} {PRIOR}) AS n,
+  round({_ewma(0.05, 'do_zone')}, 6) AS med, round({_ewma(0.3, 'do_zone')}, 6) AS short FROM ({_GAPPED}) f"""
+
+
 def _te_cols(k=20.0):
     cols = []
     for e in ENCODERS:
@@ -242,6 +247,10 @@ ORACLE_SQL["d07_multi_encode"] = f"""SELECT seq, {_te_cols()}
 FROM (SELECT *, coalesce(avg(target) OVER ({W_ALL} {PRIOR}), 0e0) AS g FROM ({FEAT}) f) x"""
 
 
+ORACLE_SQL["d07_multi_encode_gaps"] = f"""SELECT seq, {_te_cols()}
+FROM (SELECT *, coalesce(avg(target) OVER ({W_ALL} {PRIOR}), 0e0) AS g FROM ({_GAPPED}) f) x"""
+
+
 def _frozen_sql(frac=0.8, k=20.0):
     indexed = f"SELECT *, row_number() OVER ({W_ALL}) - 1 AS gidx, count(*) OVER () AS total FROM ({FEAT}) f"
     states = []
@@ -311,11 +320,14 @@ HOLD_METRICS = """SELECT avg(abs(target - prediction)) AS mae, sqrt(avg((target
   count(*) AS n FROM scored WHERE target IS NOT NULL"""
 ORACLE_SQL["f04_holdout_metrics"] = f"""{HOLD_MEM}, m AS ({HOLD_METRICS})
 SELECT {R6('mae')} AS mae, {R6('rmse')} AS rmse, {R6('r2')} AS r2, n FROM m"""
-ORACLE_SQL["f05_segment_mae"] = f"""SELECT pu_borough AS segment, round(avg(abs_err), 1) AS mae, count(*) AS n
+ORACLE_SQL["f05_segment_mae"] = f"""SELECT pu_borough AS segment, round(avg(abs_err), 1) AS mae, count(abs_err) AS n
 FROM ({SCORED}) s GROUP BY pu_borough"""
 ORACLE_SQL["f06_rolling_segment_mae"] = f"""SELECT pu_borough AS segment, round(avg(abs_err), 1) AS rolling_mae, count(*) AS n
 FROM (SELECT *, row_number() OVER (PARTITION BY pu_borough ORDER BY pickup_datetime DESC, seq DESC) AS rk FROM ({SCORED}) s) x
 WHERE rk <= 2000 AND abs_err IS NOT NULL GROUP BY pu_borough"""
+ORACLE_SQL["f06_rolling_segment_hour"] = f"""SELECT CAST(pickup_hour AS VARCHAR) AS segment, round(avg(abs_err), 1) AS rolling_mae, count(*) AS n
+FROM (SELECT *, row_number() OVER (PARTITION BY pickup_hour ORDER BY pickup_datetime DESC, seq DESC) AS rk FROM ({SCORED}) s) x
+WHERE rk <= 2000 AND abs_err IS NOT NULL GROUP BY pickup_hour"""
 ORACLE_SQL["f06_rolling_segment_rows"] = f"""SELECT seq, {R6('avg(abs_err) OVER (PARTITION BY pu_borough ' + W_ALL + ' ROWS BETWEEN 1999 PRECEDING AND CURRENT ROW)')} AS segment_rolling_mae
 FROM ({SCORED}) s WHERE abs_err IS NOT NULL"""
 ORACLE_SQL["f07_time_split"] = f"""SELECT seq, CASE WHEN gidx < floor(total * 0.8e0) THEN 'train' ELSE 'holdout' END AS part
@@ -479,6 +491,25 @@ ORACLE_SQL["g08_psi_numeric"] = f"""WITH {_psi_numeric_sql(_REF, _CUR, ['passeng
 SELECT feature, {R6('psi')} AS psi FROM psi_n"""
 ORACLE_SQL["g09_psi_categorical"] = f"""WITH {_psi_cat_sql(_REF, _CUR, ['pu_borough', 'ratecode', 'do_zone'])}
 SELECT feature, {R6('psi')} AS psi FROM psi_c"""
+_GAPS = ("* REPLACE (CASE WHEN seq % 5 >= 2 THEN gc_distance_km END AS gc_distance_km, "
+         "CASE WHEN seq % 3 <> 0 THEN ratecode END AS ratecode)")
+
+
+def _present(cte: str, sql: str) -> str:
+    """The SQL with absent values left out of ``cte`` and its current-side twin."""
+    return sql.replace(f"{cte}ref AS (", f"{cte}ref AS (SELECT * FROM (", 1).replace(f"),\n{cte}cur AS (", f") p WHERE value IS NOT NULL),\n{cte}cur AS (SELECT * FROM (", 1)
+
+
+def _gaps_sql(cte, sql, after):
+    out = _present(cte, sql)
+    return out.replace(f"),\n{after} AS (", f") p WHERE value IS NOT NULL),\n{after} AS (", 1)
+
+
+_REF_GAPS, _CUR_GAPS = f"SELECT {_GAPS} FROM ({_REF}) gr", f"SELECT {_GAPS} FROM ({_CUR}) gc"
+ORACLE_SQL["g08_psi_numeric_gaps"] = f"""WITH {_gaps_sql('', _psi_numeric_sql(_REF_GAPS, _CUR_GAPS, ['gc_distance_km', 'target']), 'rk')}
+SELECT feature, {R6('psi')} AS psi FROM psi_n"""
+ORACLE_SQL["g09_psi_categorical_gaps"] = f"""WITH {_gaps_sql('c', _psi_cat_sql(_REF_GAPS, _CUR_GAPS, ['ratecode', 'do_zone']), 'crd')}
+SELECT feature, {R6('psi')} AS psi FROM psi_c"""
 _CHECKS = f"""SELECT * FROM (SELECT *, unnest(range(CAST(ceil((lidx + 1) / 1000) * 1000 AS BIGINT), lidx + 1 + 2000, 1000)) AS "check"
   FROM (SELECT *, count(*) OVER () AS total FROM ({PSI_FEAT}) x0) x WHERE lidx >= 5000) y WHERE "check" <= total"""
 PSI_TIME = f"""WITH {_psi_numeric_sql(_REF, _CHECKS, ['passenger_count', 'pickup_hour', 'gc_distance_km'], '"check"')},
@@ -500,6 +531,10 @@ ORACLE_SQL["g13_drift_counts"] = f"""SELECT CAST(sum(CASE WHEN type = 'concept'
   CAST(sum(CASE WHEN type = 'concept' AND NOT validated THEN 1 ELSE 0 END) AS BIGINT) AS spurious_events,
   CAST(sum(CASE WHEN type = 'feature' THEN 1 ELSE 0 END) AS BIGINT) AS feature_events FROM ({EVENTS}) e"""
 
+ORACLE_SQL["e12_metric_log_drift"] = f"""WITH ev AS ({EVENTS}), m AS ({ORACLE_SQL["e12_metric_log"]})
+SELECT step, rolling_mae, (SELECT count(*) FROM ev WHERE validated AND type = 'concept' AND i <= step) AS concept_drift_events,
+  (SELECT count(*) FROM ev WHERE validated AND type = 'feature' AND i <= step) AS feature_drift_events FROM m"""
+
 
 # ---------------------------------------------------------------- A: sources
 ORACLE_SQL["a01_raw_trips"] = f"""SELECT {K}, pickup, dropoff, passenger_count, trip_distance, ratecode_id, pu_id, do_id

@@ -58,15 +58,9 @@ class Sequenced:
 
 
 def default_buckets(df: DataFrame) -> int:
-    """Buckets per ordered stream: the shuffle partition count (which a
-    cluster sizes to its data), at most four per available core."""
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    try:
-        cores = int(spark.sparkContext.defaultParallelism)
-    except Exception:  # no SparkContext access (remote session)
-        return parts
-    return max(1, min(parts, 4 * cores))
+    """Buckets per ordered stream: the shuffle partition count, which a cluster
+    sizes to its data."""
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def sequence(df: DataFrame, order: Sequence[str], n_buckets: int | None = None,
@@ -117,7 +111,7 @@ def materialize(df: DataFrame) -> DataFrame:
 
 def running(seq: Sequenced, sums: Mapping[str, Column] | None = None,
             moments: Mapping[str, Column] | None = None, inclusive: bool = True,
-            keys: Sequence[str] = (), checkpoint: bool = True, max_broadcast_rows: int = 2_000_000) -> Sequenced:
+            keys: Sequence[str] = (), checkpoint: bool = True) -> Sequenced:
     """Two-level running aggregates over the global order (per key with ``keys``).
 
     ``sums``: running sum of each expression (nulls count as 0).
@@ -129,7 +123,7 @@ def running(seq: Sequenced, sums: Mapping[str, Column] | None = None,
     checkpointed, so the per-bucket summary and the final join read it instead
     of recomputing everything upstream (plans stay linear in the number of
     chained calls). Offsets are joined by ``(keys, bucket)``: broadcast without
-    keys (one row per bucket), broadcast after a size check with keys.
+    keys (one row per bucket); with keys Spark picks the join by size.
     """
     sums, moments, keys = dict(sums or {}), dict(moments or {}), list(keys)
     frame = (_UNB, Window.currentRow) if inclusive else (_UNB, -1)
@@ -166,12 +160,9 @@ def running(seq: Sequenced, sums: Mapping[str, Column] | None = None,
                  (sq + s2 - F.when(na > 0, s1 * s1 / na).otherwise(0.0)).alias(f"_qa_{n}")]
     offsets = summary.select(*keys, BUCKET, *offs)
     if keys:
-        # the offsets have one row per (key, bucket): materialize them (one scan
-        # of the pass above) and broadcast only below a row bound, else a
-        # balanced join on (key, bucket)
-        offsets = materialize(offsets) if checkpoint else offsets
-        small = offsets.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows
-        joined = _null_safe_join(local, offsets, [*keys, BUCKET], hint_broadcast=small)
+        # one row per (key, bucket): a join balanced by the bucket, or a broadcast
+        # when the measured size is small
+        joined = _null_safe_join(local, offsets, [*keys, BUCKET])
     else:
         joined = _null_safe_join(local, offsets, [BUCKET], hint_broadcast=True)
     outs = [(F.col(f"_l_{n}") + F.coalesce(F.col(f"_o_{n}"), F.lit(0))).alias(n) for n in sums]
@@ -183,38 +174,6 @@ def running(seq: Sequenced, sums: Mapping[str, Column] | None = None,
     return seq.with_df(joined.select(*seq.df.columns, *outs))
 
 
-def running_keyed(seq: Sequenced, groups: Sequence[tuple[Sequence[str], Mapping[str, Column]]],
-                  inclusive: bool = True, max_broadcast_rows: int = 2_000_000) -> Sequenced:
-    """Running sums for several key sets in one checkpointed pass.
-
-    Every ``(keys, sums)`` group gets its window partitioned by
-    ``keys + bucket``; all of them are satisfied by the bucket clustering, so
-    the pass adds sorts but no exchange. Each group's offsets are summarized,
-    materialized and joined like ``running(..., keys=...)``.
-    """
-    frame = (_UNB, Window.currentRow) if inclusive else (_UNB, -1)
-    cols = []
-    loc = []
-    for gi, (keys, sums) in enumerate(groups):
-        w = seq.window(*keys).rowsBetween(*frame)
-        for n, e in sums.items():
-            cols.append(e.alias(f"_e_{n}"))
-            loc.append(F.coalesce(F.sum(f"_e_{n}").over(w), F.lit(0)).alias(f"_l_{n}"))
-    local = materialize(seq.df.select("*", *cols).select("*", *loc))
-    joined = local
-    for keys, sums in groups:
-        keys = list(keys)
-        summary = local.groupBy(*keys, BUCKET).agg(*[F.sum(f"_e_{n}").alias(f"_s_{n}") for n in sums])
-        prior = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(_UNB, -1)
-        offsets = materialize(summary.select(*keys, BUCKET, *[
-            F.coalesce(F.sum(f"_s_{n}").over(prior), F.lit(0)).alias(f"_o_{n}") for n in sums]))
-        small = offsets.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows
-        joined = _null_safe_join(joined, offsets, [*keys, BUCKET], hint_broadcast=small)
-    outs = [(F.col(f"_l_{n}") + F.coalesce(F.col(f"_o_{n}"), F.lit(0))).alias(n)
-            for _, sums in groups for n in sums]
-    return seq.with_df(joined.select(*seq.df.columns, *outs))
-
-
 def running_sums(seq: Sequenced, exprs: Mapping[str, Column], inclusive: bool = True,
                  keys: Sequence[str] = ()) -> Sequenced:
     """Append, per row, the sum of each expression over earlier rows.
@@ -295,14 +254,27 @@ def rolling(df: DataFrame, idx: str, w: int, sums: Mapping[str, Column],
     ``w`` rows earlier. ``sums`` maps output names to expressions (nulls count
     as 0). ``variances`` adds ``{name}`` = population variance and
     ``{name}_n`` = non-null count over the frame, from sums shifted by the
-    block mean. Rows with a null index are dropped.
+    block mean. Rows with a null index are dropped. NaN and infinite values
+    are counted apart, so they show in the frames that hold them (as a plain
+    sum would) and nowhere else.
     """
     variances = dict(variances or {})
     laid, window = halo_window_frame(df, idx, w - 1, block_rows, keys)
     whole = Window.partitionBy(*keys, "_blk")
-    terms = {n: e for n, e in sums.items()}
+    terms, odd = {}, {}
+    for i, (n, e) in enumerate(sums.items()):
+        laid = laid.withColumn(f"_sx_{i}", e)
+        terms[n] = F.col(f"_sx_{i}")
+        if laid.schema[f"_sx_{i}"].dataType.simpleString() in ("double", "float"):
+            odd[n] = terms[n]
+    odd |= {n: e.cast("double") for n, e in variances.items()}
+    for n in [n for n in terms if n in odd]:
+        terms[n] = F.when(_finite(odd[n]), odd[n])
+    for n, x in odd.items():  # how many NaN, infinite and minus infinite values: three counts of 20 bits
+        kind = F.when(F.isnan(x), F.lit(1)).when(x == F.lit(float("inf")), F.lit(1 << 20)).when(x == F.lit(float("-inf")), F.lit(1 << 40))
+        terms[f"_odd_{n}"] = F.when(x.isNotNull(), kind.otherwise(F.lit(0))).cast("long")
     for n, e in variances.items():
-        laid = laid.withColumn(f"_vx_{n}", e.cast("double"))
+        laid = laid.withColumn(f"_vx_{n}", F.when(_finite(e.cast("double")), e.cast("double")))
         laid = laid.withColumn(f"_vc_{n}", F.avg(f"_vx_{n}").over(whole))
         d = F.col(f"_vx_{n}") - F.col(f"_vc_{n}")
         terms[f"_vn_{n}"] = F.col(f"_vx_{n}").isNotNull().cast("long")
@@ -313,17 +285,43 @@ def rolling(df: DataFrame, idx: str, w: int, sums: Mapping[str, Column],
     step2 = step1.select("*", *[(F.col(f"_p_{n}") - F.coalesce(F.lag(f"_p_{n}", w).over(window), F.lit(0))).alias(n)
                                 for n in terms])
     out = step2.where(~F.col("_halo"))
+    nan, inf = F.lit(float("nan")), F.lit(float("inf"))
+    for n in odd:
+        o = F.col(f"_odd_{n}")
+        nans, ups, downs = o.bitwiseAND(F.lit((1 << 20) - 1)) > 0, F.shiftright(o, 20).bitwiseAND(F.lit((1 << 20) - 1)) > 0, F.shiftright(o, 40) > 0
+        if n in sums:
+            out = out.withColumn(n, F.when(nans | (ups & downs), nan).when(ups, inf).when(downs, -inf).otherwise(F.col(n)))
     for n in variances:
         cnt = F.col(f"_vn_{n}")
         m1 = F.col(f"_v1_{n}") / cnt
-        out = out.withColumn(n, F.when(cnt > 0, F.greatest(F.col(f"_v2_{n}") / cnt - m1 * m1, F.lit(0.0))))
-        out = out.withColumn(f"{n}_n", cnt)
-    drop = ["_blk", "_halo", *[f"_p_{n}" for n in terms]]
+        o = F.col(f"_odd_{n}")
+        plain = F.when(cnt > 0, F.greatest(F.col(f"_v2_{n}") / cnt - m1 * m1, F.lit(0.0)))
+        out = out.withColumn(n, F.when(o > 0, nan).otherwise(plain))
+        odd_n = sum((F.shiftright(o, k).bitwiseAND(F.lit((1 << 20) - 1)) for k in (20, 40)), o.bitwiseAND(F.lit((1 << 20) - 1)))
+        out = out.withColumn(f"{n}_n", cnt + odd_n)
+    drop = ["_blk", "_halo", *[f"_p_{n}" for n in terms], *[f"_sx_{i}" for i in range(len(sums))], *[f"_odd_{n}" for n in odd]]
     for n in variances:
         drop += [f"_vx_{n}", f"_vc_{n}", f"_v1_{n}", f"_v2_{n}", f"_vn_{n}"]
     return out.drop(*drop)
 
 
+def _finite(x: Column) -> Column:
+    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))
+
+
+def first_n_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, parts: int | None = None,
+                      descending: bool = False) -> DataFrame:
+    """The first ``n`` rows of each group by ``order`` (a total order), with their
+    rank ``_rk``. A hot group is limited in ``parts`` pieces first, so no task
+    ranks more than a piece or ``parts * n`` rows of it."""
+    parts = parts or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    by = [F.col(c).desc() if descending else F.col(c) for c in order]
+    rank = lambda *k: F.row_number().over(Window.partitionBy(*k).orderBy(*by))
+    some = df.withColumn("_piece", F.pmod(F.xxhash64(*order), F.lit(parts)))
+    some = some.withColumn("_rk", rank(*keys, "_piece")).where(F.col("_rk") <= n).drop("_piece", "_rk")
+    return some.withColumn("_rk", rank(*keys)).where(F.col("_rk") <= n)
+
+
 def lags(df: DataFrame, idx: str, cols: Mapping[str, tuple[str, int]],
          keys: Sequence[str] = (), block_rows: int | None = None) -> DataFrame:
     """Lagged values ``name -> (column, lag)`` by a dense index, across blocks."""

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import shrink
-from tidemark.plans.ordering import rolling, running, running_sums, sequence
+from tidemark.plans.ordering import _null_safe_join, rolling, running, running_sums, sequence
 
 PAIR = ("pu_zone", "do_zone")
 
@@ -57,7 +57,7 @@ class PrequentialStream:
     rolling metrics (the flagship), one micro-batch at a time."""
 
     def __init__(self, state_dir: str, out_dir: str, order: Sequence[str] = ("pickup_datetime", "seq"),
-                 y: str = "target", k: float = 20.0, window: int = 1000, n_buckets: int = 4):
+                 y: str = "target", k: float = 20.0, window: int = 1000, n_buckets: int | None = None):
         self.state_dir, self.out_dir = state_dir.rstrip("/"), out_dir.rstrip("/")
         self.order, self.y, self.k, self.w, self.n_buckets = list(order), y, k, window, n_buckets
 
@@ -90,7 +90,7 @@ class PrequentialStream:
         seq = running_sums(seq, {"_ps": y, "_pn": lab.cast("long")}, inclusive=False, keys=list(PAIR))
         df = seq.df
         if st is not None:
-            df = df.join(st["pairs"].select(*PAIR, F.col("n").alias("_pn0"), F.col("s").alias("_ps0")), list(PAIR), "left")
+            df = _null_safe_join(df, st["pairs"].select(*PAIR, F.col("n").alias("_pn0"), F.col("s").alias("_ps0")), list(PAIR))
         else:
             df = df.withColumn("_pn0", F.lit(0).cast("long")).withColumn("_ps0", F.lit(0.0))
         pn = F.col("_pn") + F.coalesce(F.col("_pn0"), F.lit(0))
@@ -124,14 +124,15 @@ class PrequentialStream:
         out = out.cache()
 
         # rolling window: state tail rows are halo rows in front of the batch
-        cur = out.where(lab).select("record_id", "lidx", "abs_err", F.lit(False).alias("_tail"))
+        cols = ["record_id", "gidx", "prediction", "n", "mae", "rmse", "r2"]
+        cur = out.where(lab).select(*cols, "lidx", "abs_err", F.lit(False).alias("_tail"))
         if st is not None:
-            cur = st["tail"].select("record_id", "lidx", "abs_err", F.lit(True).alias("_tail")).unionByName(cur)
+            tail = st["tail"].select("lidx", "abs_err", F.lit(True).alias("_tail"))
+            cur = cur.unionByName(tail, allowMissingColumns=True)
         roll = rolling(cur, "lidx", self.w, {"_sa": F.col("abs_err"), "_c": F.lit(1).cast("long")}).where(~F.col("_tail"))
-        roll = roll.withColumn("rolling_mae", F.col("_sa") / F.col("_c"))
-        res = out.join(roll.select("record_id", "rolling_mae"), "record_id", "left")
-        cols = ["record_id", "gidx", "prediction", "n", "mae", "rmse", "r2", "rolling_mae"]
-        res.select(*cols).write.mode("overwrite").parquet(f"{self.out_dir}/batch_id={batch_id}")
+        scored = roll.select(*cols, (F.col("_sa") / F.col("_c")).alias("rolling_mae"))
+        unlabelled = out.where(~lab).select(*cols, F.lit(None).cast("double").alias("rolling_mae"))
+        scored.unionByName(unlabelled).write.mode("overwrite").parquet(f"{self.out_dir}/batch_id={batch_id}")
 
         # new state
         tot = out.agg(F.count(F.lit(1)).alias("rows"), F.count(self.y).alias("labels"),
@@ -155,7 +156,7 @@ class PrequentialStream:
             pairs_b = st["pairs"].unionByName(pairs_b).groupBy(*PAIR).agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
         pairs_b.write.mode("overwrite").parquet(f"{base}/pairs")
         keep = new["lidx"] - (self.w - 1)
-        tail = cur.where(F.col("lidx") >= keep).drop("_tail")
+        tail = cur.where(F.col("lidx") >= keep).select("lidx", "abs_err")
         tail.write.mode("overwrite").parquet(f"{base}/tail")
         _mark_committed(spark, base)
         out.unpersist()
