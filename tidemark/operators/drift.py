@@ -71,6 +71,54 @@ def _window_stats(p_hi, p_lo, q_hi, q_lo, w: int):
     return mean, var
 
 
+def block_alarms(seq: Sequenced, err: str = "err", idx: str = "i", block: int = 500, delta: float = ADWIN_DELTA) -> DataFrame:
+    """G1 (distributed form): at the end of each block of ``block`` rows, the
+    adaptive-window cut test of the block against the one before it.
+
+    ``(idx, score, mean_before, mean_after)`` of the blocks whose means differ by
+    more than ``sqrt(2 v ln(2 ln(n) / delta) / m) + 2 ln(2 ln(n) / delta) / (3 m)``
+    with ``n`` rows, harmonic size ``m`` and variance ``v`` of both; ``score`` is the
+    difference over that bound. Blocks are sums of rows, so a stream of any
+    length is one aggregation and an equi-join of neighbouring blocks.
+    """
+    per = seq.df.where(F.col(err).isNotNull()).groupBy(F.floor(F.col(idx) / F.lit(block)).cast("long").alias("_b")).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(err).alias("m"), F.var_pop(err).alias("v")).where(F.col("n") == block)
+    before = per.select((F.col("_b") + 1).alias("_b"), F.col("m").alias("m0"), F.col("v").alias("v0"))
+    j = per.join(before, "_b")
+    gap = F.abs(F.col("m") - F.col("m0"))
+    var = (F.col("v") + F.col("v0")) / 2 + gap * gap / 4  # of both blocks together
+    dd, m = math.log(2.0 * math.log(2.0 * block) / delta), block / 2.0
+    bound = F.sqrt(F.lit(2.0 / m * dd) * var) + F.lit(2.0 / (3.0 * m) * dd)
+    return j.where(gap > bound).select(((F.col("_b") + 1) * F.lit(block) - 1).alias(idx), (gap / bound).alias("score"),
+                                       F.col("m0").alias("mean_before"), F.col("m").alias("mean_after"))
+
+
+def alarm_chain(seq: Sequenced, alarms: DataFrame, err: str = "err", idx: str = "i", w: int = VALIDATION_WINDOW,
+                cooldown: int = RETRAIN_COOLDOWN, detector: str = "block-cut") -> DataFrame:
+    """G4 -> G12 -> G13: alarms with their validation and what came of them.
+
+    Columns of the drift log: ``type, i, detector, score, validated, direction,
+    rel_shift, effect, action``; ``action`` is ``retrain`` for alerts past the
+    cooldown, ``log`` for other validated ones and ``ignore`` for spurious ones.
+    """
+    checked = validate_trailing(seq, alarms, err, idx, w)
+    alerts = retrain_alerts(checked, idx, cooldown).select(F.col(idx).alias("_alert"))
+    j = checked.join(alarms.select(F.col(idx).alias("_at"), "score"), F.col(idx) == F.col("_at")).join(
+        alerts, F.col(idx) == F.col("_alert"), "left")
+    action = F.when(F.col("_alert").isNotNull(), "retrain").when(F.col("validated"), "log").otherwise("ignore")
+    return j.select(F.lit("concept").alias("type"), idx, F.lit(detector).alias("detector"), "score", "validated", "direction",
+                    "rel_shift", "effect", action.alias("action"))
+
+
+def retrain_flag(chain: DataFrame, promoted_at: int | None = None, idx: str = "i") -> DataFrame:
+    """One row: ``alerts``, ``last_alert`` and ``retrain_recommended``, which a
+    promotion at ``promoted_at`` clears until the next alert."""
+    fired = F.col("action") == "retrain"
+    since = F.lit(-1 if promoted_at is None else promoted_at)
+    return chain.agg(F.count_if(fired).alias("alerts"), F.max(F.when(fired, F.col(idx))).alias("last_alert")).select(
+        "*", F.coalesce(F.col("last_alert") > since, F.lit(False)).alias("retrain_recommended"))
+
+
 def validate_trailing(seq: Sequenced, events: DataFrame, err: str = "err", idx: str = "i",
                       w: int = VALIDATION_WINDOW, min_rel: float = MIN_REL_SHIFT,
                       min_effect: float = MIN_EFFECT) -> DataFrame:

@@ -128,10 +128,10 @@ def fit_tree_since(df: DataFrame, idx: str, start: int, **kw) -> PipelineModel:
 
 
 def fit_forest(df: DataFrame, y: str = "target", numeric=NUMERIC_FEATURES, categorical=CATEGORICAL_FEATURES,
-               ignore=IGNORED_FEATURES, trees: int = 20, max_depth: int = 8) -> PipelineModel:
+               ignore=IGNORED_FEATURES, trees: int = 20, max_depth: int = 8, bootstrap: bool = True) -> PipelineModel:
     """Random forest, seed 42."""
     reg = RandomForestRegressor(featuresCol="features", labelCol=y, predictionCol="prediction",
-                                numTrees=trees, maxDepth=max_depth, seed=42)
+                                numTrees=trees, maxDepth=max_depth, seed=42, bootstrap=bootstrap)
     return _model_pipeline(reg, numeric, categorical, ignore).fit(df.where(F.col(y).isNotNull()))
 
 

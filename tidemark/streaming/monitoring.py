@@ -23,6 +23,23 @@ def metrics_long(snapshot: DataFrame, ts: str | None = None, labels: Mapping[str
         "ts", "m.metric", lab.alias("labels"), "m.value")
 
 
+def metric_rows(frame: DataFrame, names: Sequence[str], prefix: str = "", label: str | None = None) -> DataFrame:
+    """``(metric, label, value)`` of the numeric columns ``names``; with ``label`` one
+    series per value of that column."""
+    lab = F.concat(F.lit(f"{label}="), F.col(label).cast("string")) if label else F.lit("")
+    arr = F.array(*[F.struct(F.lit(prefix + c).alias("metric"), F.col(c).cast("double").alias("value")) for c in names])
+    return frame.select(lab.alias("label"), F.explode(arr).alias("m")).select("m.metric", "label", "m.value")
+
+
+def metric_export(parts: Sequence[DataFrame], ts, source: str) -> DataFrame:
+    """H5: all series of one scrape, ``(ts, source, metric, label, value)``; ``ts`` is
+    the scrape's time (a literal or a column expression)."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select(ts.alias("ts"), F.lit(source).alias("source"), "metric", "label", "value")
+
+
 def histogram(df: DataFrame, col: str, bounds: Sequence[float] = LATENCY_BOUNDS) -> DataFrame:
     """H6: cumulative bucket counts ``(le, count)`` including ``+Inf`` (as null le)."""
     aggs = [F.count_if(F.col(col) <= F.lit(b)).alias(f"b{i}") for i, b in enumerate(bounds)]
