@@ -26,23 +26,23 @@ def test_prequential_stream_equals_batch(spark, tmp_dir):
 
 
 def test_encoder_state_stream(spark, tmp_dir):
-    from tidemark.streaming.state import encoder_state_stream
+    from tidemark.streaming.state import EncoderStream
 
-    rows = [(i, f"r{i}", (pd.Timestamp("2024-01-01") + pd.Timedelta(minutes=i)).to_pydatetime(), "k" if i % 3 else "j", float(i))
+    rows = [(i, f"r{i}", (pd.Timestamp("2024-01-01") + pd.Timedelta(minutes=i)).to_pydatetime(), ("k" if i % 3 else "j") if i % 7 else None, float(i))
             for i in range(60)]
     df = spark.createDataFrame(rows, "seq long, record_id string, ts timestamp, key string, target double")
     for k in range(4):  # four files appended in time order, one per trigger
         df.where(F.floor(F.col("seq") / 15) == k).coalesce(1).write.mode("append").parquet(f"{tmp_dir}/src")
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_dir}/src")
-    out = encoder_state_stream(stream, ["key"], ["ts", "seq"])
-    q = (out.writeStream.format("parquet").option("path", f"{tmp_dir}/out")
-         .option("checkpointLocation", f"{tmp_dir}/ck").trigger(availableNow=True).start())
-    q.awaitTermination()
+    enc = EncoderStream(f"{tmp_dir}/state", f"{tmp_dir}/out", ["key"], ["ts", "seq"], compact_every=2)
+    enc.start(stream, f"{tmp_dir}/ck").awaitTermination()
     got = {r["seq"]: r for r in spark.read.parquet(f"{tmp_dir}/out").collect()}
-    n, s = {}, {}
+    n, s, v = {}, {}, {}
     for i, _, _, k, y in rows:
         r = got[i]
         assert r["n"] == n.get(k, 0)
+        assert r["short"] == v.get(k) or abs(r["short"] - v[k]) < 1e-9
+        v[k] = v[k] + 0.3 * (y - v[k]) if k in v else y
         if n.get(k):
             assert abs(r["long"] - s[k] / n[k]) < 1e-9
         n[k] = n.get(k, 0) + 1

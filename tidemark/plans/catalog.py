@@ -734,17 +734,15 @@ def h01(spark, sf_dir):
 @query("h02_encoder_state_stream")
 def h02(spark, sf_dir):
     from tidemark.session import scratch_path
-    from tidemark.streaming.state import encoder_state_stream
+    from tidemark.streaming.state import EncoderStream
 
     t = fx.trips(spark, sf_dir)
     src = scratch_path(spark, "h02-src")
     sio.write_stream_files(t, src, "pickup_datetime")
     schema = spark.read.parquet(src).drop("_part").schema
     stream = sio.replay_stream(spark, src, schema, files_per_trigger=10).drop("_part")
-    enc = encoder_state_stream(stream, ["do_zone"], ["pickup_datetime", "seq"])
     out = scratch_path(spark, "h02-out")
-    q = (enc.writeStream.format("parquet").option("path", out)
-         .option("checkpointLocation", scratch_path(spark, "h02-ckpt")).trigger(availableNow=True).start())
+    q = EncoderStream(scratch_path(spark, "h02-state"), out, ["do_zone"], ["pickup_datetime", "seq"]).start(stream, scratch_path(spark, "h02-ckpt"))
     q.awaitTermination()
     r = spark.read.parquet(out)
     return r.select("seq", "n", r6("long").alias("long"), r6("med").alias("med"), r6("short").alias("short"))

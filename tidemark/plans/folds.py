@@ -117,24 +117,23 @@ def _scanned(df: DataFrame, groups: Mapping[str, tuple[str, Sequence[str]]], alp
     return df.mapInArrow(run, schema)
 
 
-def prior_folds(seq: Sequenced, encoders: Mapping[str, Sequence[str]], y: str, alphas: Mapping[str, float]) -> Sequenced:
+def prior_folds(seq: Sequenced, encoders: Mapping[str, Sequence[str]], y: str, alphas: Mapping[str, float],
+                start: Mapping[str, DataFrame] | None = None) -> Sequenced:
     """For each encoder ``prefix -> keys``: the state of the row's key before the row.
 
+    ``start`` gives encoders a state from before the first row (``raw_folds``).
+
     Adds ``{prefix}_n`` (labels), ``{prefix}_sum`` and one ``{prefix}_{horizon}``
     per alpha: the exponentially weighted mean whose first label sets the
     value, null before it. Rows without a label leave the state; null keys
     are keys like any other.
     """
-    horizons, columns = list(alphas), seq.df.columns
-    label = F.col(y).cast("double")
-    has = F.col(y).isNotNull()
-    items = ["_own_n", "_own_y", "_own_y", *(f"_own_{h}" for h in horizons)]
-    own = [has.cast("double").alias("_own_n"), label.alias("_own_y"), *((F.lit(float(a)) * label).alias(f"_own_{h}") for h, a in alphas.items())]
-    texts = [_key_text(keys, BUCKET).alias(f"_t_{p}") for p, keys in encoders.items()]
-    local = materialize(_scanned(seq.df.select("*", *own, *texts), {f"_l_{p}": (f"_t_{p}", items) for p in encoders}, alphas, False))
+    columns = seq.df.columns
+    local = _local(seq, encoders, y, alphas)
     out = local
     for p, keys in encoders.items():
-        out = _null_safe_join(out, _bucket_prefix(local, p, list(keys), seq.order, y, alphas, inclusive=False), [*keys, BUCKET])
+        before = _bucket_prefix(local, p, list(keys), seq.order, y, alphas, False, (start or {}).get(p))
+        out = _null_safe_join(out, before, [*keys, BUCKET])
     picked = []
     for p in encoders:
         n0, nl = F.coalesce(F.col(f"_b_{p}_n"), F.lit(0)), F.col(f"_l_{p}_n")
@@ -146,12 +145,23 @@ def prior_folds(seq: Sequenced, encoders: Mapping[str, Sequence[str]], y: str, a
     return seq.with_df(out.select(*columns, *picked))
 
 
+def _local(seq: Sequenced, encoders: Mapping[str, Sequence[str]], y: str, alphas: Mapping[str, float]) -> DataFrame:
+    """The scan inside the buckets, for all encoders at once."""
+    label = F.col(y).cast("double")
+    items = ["_own_n", "_own_y", "_own_y", *(f"_own_{h}" for h in alphas)]
+    own = [F.col(y).isNotNull().cast("double").alias("_own_n"), label.alias("_own_y"),
+           *((F.lit(float(a)) * label).alias(f"_own_{h}") for h, a in alphas.items())]
+    texts = [_key_text(keys, BUCKET).alias(f"_t_{p}") for p, keys in encoders.items()]
+    return materialize(_scanned(seq.df.select("*", *own, *texts), {f"_l_{p}": (f"_t_{p}", items) for p in encoders}, alphas, False))
+
+
 def _weighted_mean(n: Column, first: Column, whole: Column, a: float) -> Column:
     """``A`` counts every label with weight ``a``; the first one sets the value instead."""
     return F.when(n > 0, whole + F.lit(1.0 - a) * F.pow(F.lit(1.0 - a), (n - 1).cast("double")) * first)
 
 
-def _bucket_prefix(local: DataFrame, p: str, keys: list[str], order: Sequence[str], y: str, alphas: Mapping[str, float], inclusive: bool) -> DataFrame:
+def _bucket_prefix(local: DataFrame, p: str, keys: list[str], order: Sequence[str], y: str, alphas: Mapping[str, float], inclusive: bool,
+                   start: DataFrame | None = None) -> DataFrame:
     """State of each key before each of its buckets (or after, if ``inclusive``)."""
     state = _state_names(f"_l_{p}", list(alphas))
     last = F.max_by(F.struct(*state, F.col(y).cast("double").alias("y")), F.struct(*order))
@@ -165,6 +175,11 @@ def _bucket_prefix(local: DataFrame, p: str, keys: list[str], order: Sequence[st
         own.append(F.when(has, before * (1.0 - a) + F.lit(float(a)) * F.col("e.y")).otherwise(before).alias(f"_own_{h}"))
     items = ["_own_n", "_own_s", "_own_f", *(f"_own_{h}" for h in alphas)]
     table = ends.select(*keys, BUCKET, *own, _key_text(keys).alias("_t"))
+    if start is not None:  # the state from before takes the place of an earlier bucket
+        table = table.unionByName(start.select(
+            *keys, F.lit(-1).cast(ends.schema[BUCKET].dataType).alias(BUCKET), F.col("n").cast("double").alias("_own_n"),
+            F.col("s").alias("_own_s"), F.col("f").alias("_own_f"), *(F.col(f"a_{h}").alias(f"_own_{h}") for h in alphas),
+            _key_text(keys).alias("_t")))
     table = table.repartition("_t").sortWithinPartitions("_t", BUCKET)
     scanned = _scanned(table, {f"_b_{p}": ("_t", items)}, alphas, True)
     names = _state_names(f"_b_{p}", list(alphas))
@@ -177,18 +192,23 @@ def _bucket_prefix(local: DataFrame, p: str, keys: list[str], order: Sequence[st
     return scanned.select(*keys, BUCKET, *after)
 
 
-def final_folds(seq: Sequenced, encoders: Mapping[str, Sequence[str]], y: str, alphas: Mapping[str, float]) -> dict[str, DataFrame]:
-    """For each encoder, ``keys, n, sum`` and one column per alpha after all rows."""
-    label, has = F.col(y).cast("double"), F.col(y).isNotNull()
-    items = ["_own_n", "_own_y", "_own_y", *(f"_own_{h}" for h in alphas)]
-    own = [has.cast("double").alias("_own_n"), label.alias("_own_y"), *((F.lit(float(a)) * label).alias(f"_own_{h}") for h, a in alphas.items())]
-    texts = [_key_text(keys, BUCKET).alias(f"_t_{p}") for p, keys in encoders.items()]
-    local = materialize(_scanned(seq.df.select("*", *own, *texts), {f"_l_{p}": (f"_t_{p}", items) for p in encoders}, alphas, False))
+def raw_folds(seq: Sequenced, encoders: Mapping[str, Sequence[str]], y: str, alphas: Mapping[str, float],
+              start: Mapping[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """For each encoder, the state of the keys of ``seq`` after all rows, as
+    ``prior_folds`` takes it: ``keys, n, s, f`` (labels, their sum, the first one) and
+    one ``a_<horizon>`` per alpha."""
+    local = _local(seq, encoders, y, alphas)
     out = {}
     for p, keys in encoders.items():
-        keys = list(keys)
-        after = _bucket_prefix(local, p, keys, seq.order, y, alphas, inclusive=True)
-        last = after.groupBy(*keys).agg(F.max_by(F.struct("n", "s", "f", *(f"a_{h}" for h in alphas)), BUCKET).alias("e"))
-        out[p] = last.where("e.n > 0").select(*keys, F.col("e.n").alias("n"), F.col("e.s").alias("sum"), *(
-            _weighted_mean(F.col("e.n"), F.col("e.f"), F.col(f"e.a_{h}"), a).alias(h) for h, a in alphas.items()))
+        after = _bucket_prefix(local, p, list(keys), seq.order, y, alphas, True, (start or {}).get(p))
+        fields = ["n", "s", "f", *(f"a_{h}" for h in alphas)]
+        last = after.groupBy(*keys).agg(F.max_by(F.struct(*fields), BUCKET).alias("e"), F.max(BUCKET).alias("_last"))
+        out[p] = last.where("e.n > 0 AND _last >= 0").select(*keys, *[F.col(f"e.{c}").alias(c) for c in fields])
     return out
+
+
+def final_folds(seq: Sequenced, encoders: Mapping[str, Sequence[str]], y: str, alphas: Mapping[str, float]) -> dict[str, DataFrame]:
+    """For each encoder, ``keys, n, sum`` and one column per alpha after all rows."""
+    return {p: t.select(*encoders[p], "n", F.col("s").alias("sum"), *(
+        _weighted_mean(F.col("n"), F.col("f"), F.col(f"a_{h}"), a).alias(h) for h, a in alphas.items()))
+        for p, t in raw_folds(seq, encoders, y, alphas).items()}
