@@ -1,22 +1,21 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-1. Items are cut to word n-grams; one pass over the corpus counts in how many
-   texts each of them occurs.
+1. Items are cut to word n-grams; one pass over the corpus notes which of them
+   each text holds, and so in how many texts each occurs.
 2. Every stretch of ``stretch`` n-grams of an item gives its rarest one as a
    seed, so that no part of an item is without.
-3. A second pass finds seeds in the texts and cuts passages around places with
-   at least two seeds within an item's length; passages join items on seeds.
+3. Texts with at least two seeds are read again, and passages are cut around
+   places with two seeds within an item's length; passages join items on seeds.
 4. A local alignment of words scores each passage against each item it shares
    two seeds with (one, for items that have only one).
 
-The passes look n-grams up in a bitmap of fixed size, which only saves work:
-what passes it is joined with the n-grams themselves.
+The passes look n-grams and texts up in bitmaps of fixed size, which only save
+work: what passes them is joined with the n-grams themselves.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -69,12 +68,6 @@ def _slots(h: np.ndarray) -> np.ndarray:
     return (h & np.uint64((1 << BITMAP_BITS) - 1)).astype(np.int64)
 
 
-def _packed(slots: list[int]) -> bytes:
-    bits = np.zeros(1 << BITMAP_BITS, bool)
-    bits[slots] = True
-    return np.packbits(bits, bitorder="little").tobytes()
-
-
 def _in_bitmap(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
     at = _slots(h)
     return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
@@ -92,25 +85,37 @@ def _item_batches(n: int):
     return run
 
 
-def _frequency_batches(n: int, bitmap):
+def _hit_batches(n: int, bitmap):
+    """``(doc, grams)``: the item n-grams of each text that has any; ``doc`` is a number drawn from its key."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, cache, counts = np.frombuffer(bitmap.value, np.uint8), _Hashes(), Counter()
-
-        def batch() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.array(list(counts), np.int64)), pa.array(np.array(list(counts.values()), np.int64))],
-                                              ["gram", "texts"])
-
+        bits, cache = np.frombuffer(bitmap.value, np.uint8), _Hashes()
         for b in batches:
-            for t in b.column("text").to_pylist():
+            docs, grams = [], []
+            for key, t in zip(b.column("doc_key").to_pylist(), b.column("text").to_pylist(), strict=True):
                 h = grams_of(words_of(t), n, cache)
-                counts.update(np.unique(h[_in_bitmap(bits, h)]).view(np.int64).tolist())
-            if len(counts) > 200_000:
-                yield batch()
-                counts = Counter()
-        yield batch()
+                hit = h[_in_bitmap(bits, h)]
+                if len(hit):
+                    docs.append(int(key[:15], 16))
+                    grams.append(np.unique(hit).view(np.int64).tolist())
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(grams, pa.list_(pa.int64()))], ["doc", "grams"])
     return run
 
 
+def _bitmap_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bits = np.zeros(1 << BITMAP_BITS, bool)
+    for b in batches:
+        bits[_slots(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64))] = True
+    yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["bits"])
+
+
+def _bitmap(numbers: DataFrame) -> bytes:
+    """Bitmap of the low bits of a column of numbers; a few partial ones are merged one by one."""
+    out = np.zeros(1 << (BITMAP_BITS - 3), np.uint8)
+    for r in numbers.coalesce(4).mapInArrow(_bitmap_batches, "bits binary").toLocalIterator():
+        out |= np.frombuffer(r["bits"], np.uint8)
+    return out.tobytes()
+
+
 def passages_of(words: list[str], hashes: np.ndarray, reach: int, at_least: int) -> list[tuple[int, int, np.ndarray]]:
     """``(start, end, places)`` of word ranges around runs of seed places no more
     than ``reach`` words apart that hold ``at_least`` different seeds."""
@@ -124,13 +129,14 @@ def passages_of(words: list[str], hashes: np.ndarray, reach: int, at_least: int)
     return out
 
 
-def _passage_batches(n: int, bitmap, reach: int, at_least: int):
+def _passage_batches(n: int, bitmap, wanted, reach: int, at_least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, cache = np.frombuffer(bitmap.value, np.uint8), _Hashes()
+        bits, cache, docs = np.frombuffer(bitmap.value, np.uint8), _Hashes(), np.frombuffer(wanted.value, np.uint8)
         for b in batches:
             of, starts, words_out, seeds = [], [], [], []
-            for i, t in enumerate(b.column("text").to_pylist()):
-                words = words_of(t)
+            keys = np.array([int(k[:15], 16) for k in b.column("doc_key").to_pylist()], np.uint64)
+            for i in np.flatnonzero(_in_bitmap(docs, keys)).tolist():
+                words = words_of(b.column("text")[i].as_py())
                 h = grams_of(words, n, cache)
                 hit = np.flatnonzero(_in_bitmap(bits, h)) if len(h) else h
                 if len(hit) < at_least:
@@ -217,21 +223,19 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
         known = s.table(bench.mapInArrow(_item_batches(n), f"item_key string, item_id {item_kind}, words array<string>, grams array<bigint>")
                         .dropDuplicates(["item_key"]), "items", few=True)
         grams = known.select("item_key", F.posexplode("grams").alias("place", "gram"))
-
-        def bitmap(df: DataFrame):
-            mask = F.lit((1 << BITMAP_BITS) - 1)
-            slots = df.select(F.col("gram").bitwiseAND(mask).cast("int").alias("slot")).distinct().toArrow()  # at most the bitmap's bits
-            return sc.broadcast(_packed(slots.column("slot").to_numpy()))
-
-        counted = texts.select("text").mapInArrow(_frequency_batches(n, bitmap(grams)), "gram bigint, texts bigint")
-        frequency = s.table(counted.groupBy("gram").agg(F.sum("texts").alias("texts")), "frequency", few=True)
+        hits = s.table(texts.select("doc_key", "text").mapInArrow(_hit_batches(n, sc.broadcast(_bitmap(grams.select("gram")))),
+                                                                  "doc bigint, grams array<bigint>"), "hits")
+        held = hits.select("doc", F.explode("grams").alias("gram"))
+        frequency = s.table(held.groupBy("gram").agg(F.count("*").alias("texts")), "frequency", few=True)
         rarest = grams.join(frequency, "gram", "left").groupBy("item_key", F.floor(F.col("place") / stretch)).agg(
             F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "place", "gram")).alias("seed"))
         seeds = s.table(rarest.select("item_key", F.col("seed.gram").alias("gram"), F.col("seed.texts").alias("texts")).distinct(), "seeds", few=True)
         per_item = seeds.groupBy("item_key").agg(F.least(F.count("*"), F.lit(2)).alias("needed"))
-        about = known.agg(F.max(F.size("words")).alias("reach")).join(per_item.agg(F.min("needed").alias("least"))).first()
-        reach, at_least = int(about["reach"] or 1), int(about["least"] or 2)
-        passages = texts.mapInArrow(_passage_batches(n, bitmap(seeds), reach, at_least),
+        reach = int(known.agg(F.max(F.size("words"))).first()[0] or 1)  # words of the longest item
+        at_least = int(per_item.agg(F.min("needed")).first()[0] or 2)
+        seed_grams = seeds.select("gram").distinct()
+        wanted = held.join(seed_grams, "gram").groupBy("doc").agg(F.count("*").alias("n")).where(F.col("n") >= at_least).select("doc")
+        passages = texts.mapInArrow(_passage_batches(n, sc.broadcast(_bitmap(seed_grams)), sc.broadcast(_bitmap(wanted)), reach, at_least),
                                     f"doc_key string, doc_id {doc_kind}, start bigint, words array<string>, seeds array<bigint>")
         passages = s.table(passages.withColumn("passage", F.sha2(F.concat("doc_key", F.lit(":"), F.col("start").cast("string")), 256)), "passages")
         shared = (passages.select("passage", F.explode("seeds").alias("gram")).distinct().join(seeds.select("item_key", "gram"), "gram")
