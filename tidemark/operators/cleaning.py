@@ -5,12 +5,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import KM_PER_MILE, RUSH_HOURS, col, duration_seconds
 from tidemark.plans.ordering import Sequenced, first_n_per_group, with_global_index
 
+# Column names of the raw files and of the prepared table.
 RAW_COLUMNS = ("tpep_pickup_datetime", "tpep_dropoff_datetime", "passenger_count", "trip_distance",
                "RatecodeID", "PULocationID", "DOLocationID")
 
@@ -30,12 +31,18 @@ def clean_trips(df: DataFrame, min_s: float = 60, max_s: float = 10_800, duratio
                 required: Sequence[str] = ("pu_id", "do_id", "ratecode_id")) -> DataFrame:
     """B2: keep rows with duration in ``[min_s, max_s]``, at least one passenger
     (null counts as 0), positive distance and all ``required`` columns present."""
+    return df.where(is_clean(min_s, max_s, duration, passengers, distance, required))
+
+
+def is_clean(min_s: float = 60, max_s: float = 10_800, duration: str = "duration_s", passengers: str = "passenger_count",
+             distance: str = "trip_distance", required: Sequence[str] = ("pu_id", "do_id", "ratecode_id")) -> Column:
+    """The condition of ``clean_trips``."""
     cond = (F.col(duration).between(float(min_s), float(max_s))
             & (F.coalesce(F.col(passengers), F.lit(0)) >= 1)
             & (F.col(distance) > 0))
     for c in required:
         cond = cond & F.col(c).isNotNull()
-    return df.where(cond)
+    return cond
 
 
 def in_month(df: DataFrame, ts: str, month: str | Column) -> DataFrame:
@@ -129,11 +136,10 @@ def with_sequential_id(seq: Sequenced, prefix: str = "taxi-", name: str = "recor
     return s.with_df(s.df.withColumn(name, F.concat(F.lit(prefix), F.col("_i").cast("string"))).drop("_i"))
 
 
-def cleaning_report(raw: DataFrame, clean: DataFrame, month: str = "src_month") -> DataFrame:
-    """B11 (per month): rows before, rows after and percent kept."""
-    before = raw.groupBy(month).agg(F.count(F.lit(1)).alias("rows_before"))
-    after = clean.groupBy(month).agg(F.count(F.lit(1)).alias("rows_after"))
-    j = before.join(after, month, "left").fillna(0, ["rows_after"])
+def cleaning_report(raw: DataFrame, kept: Column, month: str = "src_month") -> DataFrame:
+    """B11 (per month): rows before, rows that meet ``kept`` and percent kept, in
+    one pass; months without rows to start with are absent."""
+    j = raw.where(F.col(month).isNotNull()).groupBy(month).agg(F.count(F.lit(1)).alias("rows_before"), F.count_if(kept).alias("rows_after"))
     return j.select(month, "rows_before", "rows_after",
                     F.round(F.col("rows_after") * 100.0 / F.greatest(F.col("rows_before"), F.lit(1)), 1).alias("pct_kept"))
 

@@ -116,8 +116,7 @@ def b10(spark, sf_dir):
 @query("b11_cleaning_report")
 def b11(spark, sf_dir):
     raw = cl.with_duration(_raw(spark, sf_dir))
-    clean = cl.clean_trips(raw, fx.RAW_MIN_S, fx.RAW_MAX_S)
-    return cl.cleaning_report(raw, clean, "src_month")
+    return cl.cleaning_report(raw, cl.is_clean(fx.RAW_MIN_S, fx.RAW_MAX_S), "src_month")
 
 
 @query("b11_prepared_summary")
