@@ -64,7 +64,9 @@ import pytest
 
 
 @pytest.mark.parametrize("name", ["flagship_prequential", "d07_multi_encode", "f02_rolling_metrics",
-                                  "g10_psi_over_time", "h04_unlabelled"])
+                                  "g10_psi_over_time", "h04_unlabelled", "d05_encode_ewma_gaps", "d08_frozen_encoder",
+                                  "e01_continual_ridge", "e01_learner_pipeline", "f06_rolling_segment_hour", "f14_autocorr",
+                                  "g01_block_alarms", "g08_psi_numeric_gaps", "b08_cap_per_month", "b11_cleaning_report"])
 def test_ordered_queries_move_only_bucket_summaries_to_one_task(spark, name):
     import __spark_entry__ as E
 

@@ -715,7 +715,7 @@ from tidemark.streaming import monitoring as mon  # noqa: E402
 @query("h01_prequential_stream")
 def h01(spark, sf_dir):
     """The flagship computed as a stream: day files replayed 10 per trigger."""
-    from tidemark.session import scratch_path
+    from tidemark.session import remove_paths, scratch_path
     from tidemark.streaming.prequential import PrequentialStream
 
     feats = trip_features(spark, sf_dir)
@@ -724,15 +724,17 @@ def h01(spark, sf_dir):
     schema = spark.read.parquet(src).drop("_part").schema
     stream = sio.replay_stream(spark, src, schema, files_per_trigger=10)
     out, state = scratch_path(spark, "h01-out"), scratch_path(spark, "h01-state")
-    q = PrequentialStream(state, out).start(stream, scratch_path(spark, "h01-ckpt"))
+    ckpt = scratch_path(spark, "h01-ckpt")
+    q = PrequentialStream(state, out).start(stream, ckpt)
     q.awaitTermination()
+    remove_paths(spark, src, state, ckpt)
     res = spark.read.parquet(out)
     return res.select("record_id", "gidx", *[r6(c).alias(c) for c in ("prediction", "mae", "rmse", "r2", "rolling_mae")], "n")
 
 
 @query("h02_encoder_state_stream")
 def h02(spark, sf_dir):
-    from tidemark.session import scratch_path
+    from tidemark.session import remove_paths, scratch_path
     from tidemark.streaming.state import EncoderStream
 
     t = fx.trips(spark, sf_dir)
@@ -741,8 +743,10 @@ def h02(spark, sf_dir):
     schema = spark.read.parquet(src).drop("_part").schema
     stream = sio.replay_stream(spark, src, schema, files_per_trigger=10).drop("_part")
     out = scratch_path(spark, "h02-out")
-    q = EncoderStream(scratch_path(spark, "h02-state"), out, ["do_zone"], ["pickup_datetime", "seq"]).start(stream, scratch_path(spark, "h02-ckpt"))
+    state, ckpt = scratch_path(spark, "h02-state"), scratch_path(spark, "h02-ckpt")
+    q = EncoderStream(state, out, ["do_zone"], ["pickup_datetime", "seq"]).start(stream, ckpt)
     q.awaitTermination()
+    remove_paths(spark, src, state, ckpt)
     r = spark.read.parquet(out)
     return r.select("seq", "n", r6("long").alias("long"), r6("med").alias("med"), r6("short").alias("short"))
 
@@ -864,7 +868,7 @@ def g03s(spark, sf_dir):
 def h09(spark, sf_dir):
     """Predictions stream joined with a labels stream that arrives ``target``
     seconds after pickup (watermarks on both sides, labels within one day)."""
-    from tidemark.session import scratch_path
+    from tidemark.session import remove_paths, scratch_path
 
     t = fx.trips(spark, sf_dir)
     preds = t.select("record_id", F.col("pickup_datetime").cast("timestamp").alias("pred_ts"), "pickup_datetime")
@@ -878,9 +882,11 @@ def h09(spark, sf_dir):
     ls_ = sio.replay_stream(spark, src_l, spark.read.parquet(src_l).schema, 10).drop("_part")
     joined = mon.join_labels(ps_, ls_, watermark="1 hour", bound="1 day")
     out = scratch_path(spark, "h09-out")
+    ckpt = scratch_path(spark, "h09-ckpt")
     q = (joined.writeStream.format("parquet").option("path", out).outputMode("append")
-         .option("checkpointLocation", scratch_path(spark, "h09-ckpt")).trigger(availableNow=True).start())
+         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
+    remove_paths(spark, src_p, src_l, ckpt)
     res = spark.read.parquet(out)
     return res.select("record_id", F.col("pred_ts").cast("timestamp_ntz").alias("pred_ts"),
                       F.col("label_ts").cast("timestamp_ntz").alias("label_ts"), r6("label").alias("label"))
