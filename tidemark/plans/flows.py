@@ -286,3 +286,34 @@ def h05(spark, sf_dir):
     last = scored.df.agg(F.max("pickup_datetime")).first()[0]  # the scrape's time is the stream's
     out = mon.metric_export(parts, F.lit(last).cast("timestamp_ntz"), "trips")
     return out.select("ts", "source", "metric", "label", r6("value").alias("value"))
+
+
+@flow("h08_status_full")
+def h08(spark, sf_dir):
+    """The whole status row; maps and lists are written out as text, in order (PSI in ten-thousandths)."""
+    seq = memory_predictions(sequenced_trips(spark, sf_dir))
+    scored = seq.with_df(ev.with_errors(seq.df))
+    rm = ev.rolling_metrics(ev.prequential(scored))
+    events = chain(spark, sf_dir).select("type", "i", "validated", "direction", "action")
+    totals = scored.df.agg(F.count(F.lit(1)).alias("samples_processed"), F.count("target").alias("labeled_samples"),
+                           F.lit("v1").alias("model_version"), F.lit(1).alias("_one"))
+    totals = totals.join(dr.retrain_flag(events).withColumn("_one", F.lit(1)), "_one").drop("_one")  # two one-row frames
+    psi = ps.psi_categorical(seq.df.where("lidx < 5000"), seq.df.where("lidx >= 5000"), ["pu_borough", "ratecode"])
+    log, counts = dr.drift_log(events)
+    by = lambda seg: ev.rolling_segment_mae(scored.df, seg, list(ORDER))
+    row = mon.status_snapshot(ev.snapshot(rm), by("pu_borough"), ev.recent_points(scored.df), ev.perf_history(rm), psi, log, counts, "trips",
+                              totals, by("pickup_hour"))
+
+    def pairs(m, unit=None):
+        text = lambda v: (F.round(v * unit).cast("bigint") if unit else v).cast("string")
+        return F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat_ws("=", e["key"], text(e["value"]))), ";")
+
+    def items(a, *cols):
+        return F.array_join(F.transform(F.array_sort(a), lambda e: F.concat_ws(":", *[e[c].cast("string") for c in cols])), ";")
+
+    return row.select(
+        "source", "samples_processed", "labeled_samples", "model_version", "alerts", "last_alert", "retrain_recommended", "concept_events",
+        "spurious_events", "feature_events", F.col("performance.mae").alias("mae"), F.col("performance.rolling_mae").alias("rolling_mae"),
+        pairs("segments").alias("segments"), pairs("hour_segments").alias("hour_segments"), pairs("feature_psi", 10_000).alias("feature_psi"),
+        items("recent", "index", "actual", "predicted").alias("recent"), items("history", "index", "rolling_mae").alias("history"),
+        items("drift_events", "type", "i", "validated", "direction", "action").alias("drift_events"))

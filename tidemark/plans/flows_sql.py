@@ -98,3 +98,25 @@ UNION ALL SELECT 'psi', 'feature=' || feature, psi FROM psi_c
 UNION ALL SELECT 'segment_mae', 'pu_borough=' || segment, rolling_mae FROM ({ORACLE_SQL['f06_rolling_segment_mae']}) a
 UNION ALL SELECT 'segment_mae', 'pickup_hour=' || segment, rolling_mae FROM ({ORACLE_SQL['f06_rolling_segment_hour']}) b)
 SELECT (SELECT max(pickup_datetime) FROM s) AS ts, 'trips' AS source, metric, label, {R6('value')} AS value FROM m"""
+
+
+def _joined(sql: str, text: str, order: str) -> str:
+    return f"(SELECT string_agg({text}, ';' ORDER BY {order}) FROM ({sql}) x)"
+
+
+_SEGMENT = "segment || '=' || rolling_mae"
+_RECENT = "\"index\" || ':' || actual || ':' || predicted"
+_HISTORY = "\"index\" || ':' || rolling_mae"
+FLOWS_SQL["h08_status_full"] = f"""WITH c AS ({CHAIN}), snap AS ({ORACLE_SQL['f03_snapshot']}), {_psi_cat_sql(_REF, _CUR, ['pu_borough', 'ratecode'])},
+flag AS (SELECT * FROM ({FLOWS_SQL['g12_retrain_flag']}) f WHERE state = 'before promotion')
+SELECT 'trips' AS source, (SELECT count(*) FROM ({fx.TRIPS}) t) AS samples_processed, (SELECT count(target) FROM ({fx.TRIPS}) t) AS labeled_samples,
+  'v1' AS model_version, alerts, last_alert, retrain_recommended,
+  (SELECT count_if(validated) FROM c) AS concept_events, (SELECT count_if(NOT validated) FROM c) AS spurious_events, 0 AS feature_events,
+  (SELECT round(mae, 4) FROM snap) AS mae, (SELECT round(rolling_mae, 4) FROM snap) AS rolling_mae,
+  {_joined(ORACLE_SQL['f06_rolling_segment_mae'], _SEGMENT, 'segment')} AS segments,
+  {_joined(ORACLE_SQL['f06_rolling_segment_hour'], _SEGMENT, 'segment')} AS hour_segments,
+  (SELECT string_agg(feature || '=' || CAST(round(round(psi, 4) * 10000) AS BIGINT), ';' ORDER BY feature) FROM psi_c) AS feature_psi,
+  {_joined(ORACLE_SQL['f16_recent_points'], _RECENT, '"index"')} AS recent,
+  {_joined(ORACLE_SQL['f17_perf_history'], _HISTORY, '"index"')} AS history,
+  (SELECT string_agg(concat_ws(':', type, i, validated, direction, action), ';' ORDER BY type, i) FROM c) AS drift_events
+FROM flag"""

@@ -78,15 +78,22 @@ def throughput(df: DataFrame, ts: str, every: str = "1 minute", watermark: str |
 
 
 def status_snapshot(snapshot: DataFrame, segments: DataFrame, recent: DataFrame, history: DataFrame,
-                    psi_last: DataFrame | None, events: DataFrame, counts: DataFrame, source: str) -> DataFrame:
+                    psi_last: DataFrame | None, events: DataFrame, counts: DataFrame, source: str,
+                    totals: DataFrame | None = None, hours: DataFrame | None = None) -> DataFrame:
     """H8: one row of structs and arrays (all inputs are already bounded:
-    one-row aggregates, per-segment rows, top-k lists)."""
+    one-row aggregates, per-segment rows, top-k lists). ``totals`` adds the columns
+    of a one-row frame (samples, labels, version, retrain flag), ``hours`` the
+    segments by hour."""
     perf = snapshot.select(F.struct(*[F.round(c, 4).alias(c) for c in snapshot.columns]).alias("performance"))
     seg = segments.agg(F.map_from_entries(F.collect_list(F.struct("segment", "rolling_mae"))).alias("segments"))
     rec = recent.agg(F.sort_array(F.collect_list(F.struct(*recent.columns))).alias("recent"))
     his = history.agg(F.sort_array(F.collect_list(F.struct(*history.columns))).alias("history"))
     ev = events.agg(F.collect_list(F.struct(*events.columns)).alias("drift_events"))
     parts = [perf, seg, rec, his, ev, counts]
+    if totals is not None:
+        parts.append(totals)
+    if hours is not None:
+        parts.append(hours.agg(F.map_from_entries(F.collect_list(F.struct("segment", "rolling_mae"))).alias("hour_segments")))
     if psi_last is not None:
         parts.append(psi_last.agg(F.map_from_entries(F.collect_list(F.struct("feature", F.round("psi", 4)))).alias("feature_psi")))
     out = parts[0].withColumn("_one", F.lit(1))
