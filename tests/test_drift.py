@@ -84,6 +84,22 @@ def test_retrain_alert_cooldown(spark):
     assert got == [10, 40, 80]
 
 
+def test_alerts_follow_the_cooldown_in_every_series(spark):
+    rng = np.random.default_rng(8)
+    rows = [(s, int(i), bool(v), "worse" if w else "better") for s in ("a", None, "b") for i, v, w in
+            zip(sorted(rng.choice(5000, 300, replace=False)), rng.random(300) < 0.8, rng.random(300) < 0.8)]
+    df = spark.createDataFrame(rows, "s string, i long, validated boolean, direction string").repartition(5)
+    want = set()
+    for s in ("a", None, "b"):
+        last = None
+        for _, i, v, d in sorted((r for r in rows if r[0] == s), key=lambda r: r[1]):
+            if v and d == "worse" and (last is None or i - last >= 90):
+                want.add((s, i))
+                last = i
+    assert {(r["s"], r["i"]) for r in dr.retrain_alerts(df, cooldown=90, series=["s"]).collect()} == want
+    assert dr.retrain_alerts(df.where("i < 0"), cooldown=90).count() == 0
+
+
 def test_edges_are_order_statistics(spark):
     rng = np.random.default_rng(6)
     pdf = pd.DataFrame({"a": rng.normal(0, 1, 3000), "b": rng.integers(0, 5, 3000).astype(float)})  # b: heavy ties

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.plans.ordering import BUCKET, Sequenced, bounded_broadcast, running_moments, running_sums
+from tidemark.plans.ordering import BUCKET, Sequenced, bounded_broadcast, materialize, running_moments, running_sums, sequence
 
 # Fixed defaults of the reference configuration.
 ADWIN_DELTA = 0.002
@@ -194,20 +194,41 @@ def retrain_alerts(events: DataFrame, idx: str = "i", cooldown: int = RETRAIN_CO
     """Validated degradations raise an alert when at least ``cooldown``
     rows passed since the previous alert (greedy, in index order).
 
-    Events are sparse (one row per validated alarm); the greedy pass folds
-    each series' sorted event indexes with ``aggregate``.
+    Every degradation knows the one that would follow it as an alert, the
+    first at least ``cooldown`` rows later (a running maximum over events and
+    probes in falling order). The alerts are the ones that a series' first
+    degradation reaches over such steps: steps are doubled round by round, so
+    the rounds grow with the logarithm of the alerts and no list of events
+    comes together.
     """
-    worse = events.where(F.col("validated") & (F.col("direction") == "worse"))
-    grouped = worse.groupBy(*series).agg(F.array_sort(F.collect_list(F.col(idx).cast("long"))).alias("_ev"))
-    init = F.struct(F.lit(-(10 ** 9)).cast("long").alias("last"), F.array().cast("array<long>").alias("alerts"))
-
-    def step(acc, x):
-        fire = x - acc["last"] >= F.lit(cooldown)
-        return F.struct(F.when(fire, x).otherwise(acc["last"]).alias("last"),
-                        F.when(fire, F.concat(acc["alerts"], F.array(x))).otherwise(acc["alerts"]).alias("alerts"))
-
-    folded = grouped.select(*series, F.aggregate("_ev", init, step)["alerts"].alias("_a"))
-    return folded.select(*series, F.explode("_a").alias(idx))
+    keys = list(series)
+    pos = F.col(idx).cast("long")
+    worse = materialize(events.where(F.col("validated") & (F.col("direction") == "worse")).select(*keys, pos.alias("_p")).distinct())
+    probes = worse.select(*keys, (-(F.col("_p") + cooldown)).alias("_neg"), F.lit(1).alias("_kind"), "_p")
+    both = worse.select(*keys, (-F.col("_p")).alias("_neg"), F.lit(0).alias("_kind"), "_p").unionByName(probes)
+    seq = sequence(both, [*keys, "_neg", "_kind", "_p"], materialize=False)
+    seen = running_extreme(seq, F.when(F.col("_kind") == 0, F.struct(*keys, "_neg")), "_ev", largest=True).df.where("_kind = 1")
+    same = F.col("_ev").isNotNull()
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_ev.{k}"))
+    step = materialize(seen.where(same).select(*keys, F.col("_p").alias("_from"), (-F.col("_ev._neg")).alias("_to")))
+    reached = materialize(worse.groupBy(*keys).agg(F.min("_p").alias("_p")).where("_p IS NOT NULL"))
+    known, before = reached.count(), -1
+    while known != before:
+        reached = materialize(reached.unionByName(_follow(reached, step, keys).select(*keys, F.col("_to").alias("_p"))).distinct())
+        further = step.select(*keys, F.col("_from").alias("_start"), F.col("_to").alias("_p"))
+        step = materialize(_follow(further, step, keys, ["_start"]).select(*keys, F.col("_start").alias("_from"), "_to"))
+        known, before = reached.count(), known
+    return reached.select(*keys, F.col("_p").alias(idx))
+
+
+def _follow(at: DataFrame, step: DataFrame, keys: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """Where ``step`` leads from the positions ``_p`` of ``at``."""
+    to = step.select(*[F.col(k).alias(f"_s_{k}") for k in keys], "_from", "_to")
+    cond = at["_p"] == to["_from"]
+    for k in keys:
+        cond = cond & at[k].eqNullSafe(to[f"_s_{k}"])
+    return at.join(to, cond).select(*keys, *keep, "_to")
 
 
 def drift_log(events: DataFrame, at: str = "i", keep: int = 50) -> tuple[DataFrame, DataFrame]:
@@ -224,18 +245,19 @@ def drift_log(events: DataFrame, at: str = "i", keep: int = 50) -> tuple[DataFra
 
 
 # ---------------------------------------------------------------- first alarms by windows
-def running_min(seq: Sequenced, expr: F.Column, name: str) -> Sequenced:
-    """Two-level running minimum (inclusive) over the global order."""
+def running_extreme(seq: Sequenced, expr: F.Column, name: str, largest: bool = False) -> Sequenced:
+    """Two-level running minimum, or maximum, (inclusive) over the global order; nulls skip."""
+    pick, of_two = (F.max, F.greatest) if largest else (F.min, F.least)
     w = seq.window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    from tidemark.plans.ordering import materialize
-
-    base = seq.df.withColumn("_x", expr)
-    local = materialize(base.withColumn("_lm", F.min("_x").over(w)))
-    summ = local.groupBy(BUCKET).agg(F.min("_x").alias("_bm"))
-    offs = summ.select(BUCKET, F.min("_bm").over(Window.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)).alias("_om"))
-    j = local.join(F.broadcast(offs), BUCKET, "left")
-    out = j.withColumn(name, F.when(F.col("_om").isNull(), F.col("_lm")).otherwise(F.least("_lm", "_om")))
-    return seq.with_df(out.drop("_x", "_lm", "_om"))
+    local = materialize(seq.df.withColumn("_x", expr).withColumn("_lm", pick("_x").over(w)))
+    summ = local.groupBy(BUCKET).agg(pick("_x").alias("_bm"))
+    offs = summ.select(BUCKET, pick("_bm").over(Window.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)).alias("_om"))
+    j = local.join(F.broadcast(offs), BUCKET, "left")  # one row a bucket
+    return seq.with_df(j.withColumn(name, of_two("_lm", "_om")).drop("_x", "_lm", "_om"))
+
+
+def running_min(seq: Sequenced, expr: F.Column, name: str) -> Sequenced:
+    return running_extreme(seq, expr, name)
 
 
 def page_hinkley_first(seq: Sequenced, err: str = "err", idx: str = "i", delta: float = PH_DELTA,
