@@ -317,3 +317,14 @@ def h08(spark, sf_dir):
         pairs("segments").alias("segments"), pairs("hour_segments").alias("hour_segments"), pairs("feature_psi", 10_000).alias("feature_psi"),
         items("recent", "index", "actual", "predicted").alias("recent"), items("history", "index", "rolling_mae").alias("history"),
         items("drift_events", "type", "i", "validated", "direction", "action").alias("drift_events"))
+
+
+@flow("f09_regime_window")
+def f09(spark, sf_dir):
+    """Warm-up, continual batches over a window of two, frozen holdout."""
+    seq = sequenced_trips(spark, sf_dir)
+    cont, hold = mo.train_regime(seq.df, ["gc_distance_km", "passenger_count"], "target", "gidx", ev.total_rows(seq),
+                                 warm_frac=0.4, holdout_frac=0.2, batch_rows=500, window_batches=2)
+    parts = [ev.holdout_metrics(d).select(F.lit(name).alias("part"), r6("mae").alias("mae"), r6("rmse").alias("rmse"), r6("r2").alias("r2"), "n")
+             for name, d in (("continual", cont), ("holdout", hold))]
+    return parts[0].unionByName(parts[1])

@@ -120,3 +120,20 @@ SELECT 'trips' AS source, (SELECT count(*) FROM ({fx.TRIPS}) t) AS samples_proce
   {_joined(ORACLE_SQL['f17_perf_history'], _HISTORY, '"index"')} AS history,
   (SELECT string_agg(concat_ws(':', type, i, validated, direction, action), ';' ORDER BY type, i) FROM c) AS drift_events
 FROM flag"""
+
+_SUMS = {"n": "count(target)", "sy": "sum(target)", "s1": "sum(gc_distance_km)", "s2": "sum(CAST(passenger_count AS DOUBLE))",
+         "s1y": "sum(gc_distance_km * target)", "s2y": "sum(passenger_count * target)", "s11": "sum(gc_distance_km * gc_distance_km)",
+         "s12": "sum(gc_distance_km * passenger_count)", "s22": "sum(CAST(passenger_count * passenger_count AS DOUBLE))"}
+# batch ids of the continual rows; the holdout is the batch after the last
+FLOWS_SQL["f09_regime_window"] = f"""WITH ix AS (SELECT *, CAST(floor(total * 0.4e0) AS BIGINT) AS w_end, CAST(floor(total * 0.8e0) AS BIGINT) AS h_start FROM ({_IX}) i),
+warm AS (SELECT {', '.join(f'{v} AS {k}' for k, v in _SUMS.items())} FROM ix WHERE gidx < w_end AND target IS NOT NULL),
+b AS (SELECT *, CASE WHEN gidx < h_start THEN (gidx - w_end) // 500 ELSE -((w_end - h_start) // 500) END AS b FROM ix WHERE gidx >= w_end),
+per AS (SELECT b, {', '.join(f'{v} AS {k}' for k, v in _SUMS.items())} FROM b GROUP BY b),
+c AS (SELECT b, {', '.join(f'warm.{k} + coalesce(sum(per.{k}) OVER (ORDER BY b ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), 0) AS {k}' for k in _SUMS)} FROM per, warm),
+k AS (SELECT b, sy / n AS my, s1 / n AS m1, s2 / n AS m2, s11 - s1 * s1 / n + 2e0 AS a, s12 - s1 * s2 / n AS o, s22 - s2 * s2 / n + 2e0 AS d,
+  s1y - s1 * sy / n AS e, s2y - s2 * sy / n AS f FROM c),
+w AS (SELECT *, (e * d - o * f) / (a * d - o * o) AS w1, (a * f - o * e) / (a * d - o * o) AS w2 FROM k),
+p AS (SELECT CASE WHEN gidx < h_start THEN 'continual' ELSE 'holdout' END AS part, target,
+  my + w1 * (gc_distance_km - m1) + w2 * (passenger_count - m2) AS q FROM b JOIN w USING (b))
+SELECT part, {R6('avg(abs(target - q))')} AS mae, {R6('sqrt(avg((target - q) * (target - q)))')} AS rmse,
+  {R6('1 - sum((target - q) * (target - q)) / (var_pop(target) * count(*))')} AS r2, count(*) AS n FROM p WHERE target IS NOT NULL GROUP BY part"""
