@@ -80,7 +80,7 @@ def sequence(df: DataFrame, order: Sequence[str], n_buckets: int | None = None,
         out = (
             df.repartitionByRange(n, *order)
             .withColumn(BUCKET, F.spark_partition_id())
-            .repartitionByRange(n, BUCKET)
+            .repartitionById(n, F.col(BUCKET))  # bucket b is partition b, which Spark then knows
             .sortWithinPartitions(BUCKET, *order)
         )
         if materialize:
