@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from tidemark.llm.decontaminate import MATCH, align, drop_leaks, find_leaks, passages_of, words_of
 from tidemark.llm.licenses import BANDS, TEMPLATES, block_size, retrieval_chance, scan_licenses
 
@@ -62,6 +64,25 @@ def test_edited_copies_are_found_and_clean_texts_left(spark, make_docs, clashing
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+@pytest.mark.parametrize("exact", [False, True])
+def test_edit_rates_match_brute_force(spark, make_docs, exact):
+    rng = random.Random(9)
+    vocabulary = ["the", "of", "and"] * 20 + [f"w{i}" for i in range(300)]
+    prose = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [prose(rng.randrange(15, 60)) for _ in range(24)]
+    texts = [list(x) for x in items] if exact else []
+    for item in items:
+        for rate in (0.1, 0.15, 0.2, 0.25):
+            copy = list(item)
+            for i in rng.sample(range(len(copy)), round(rate * len(copy))):
+                copy[i] = rng.choice(vocabulary)
+            texts.append(prose(10) + copy + prose(10))
+    want = {(d, i) for d, t in enumerate(texts) for i, x in enumerate(items) if align(x, t)[0] >= len(x) * MATCH / 2}
+    assert len(want) >= len(texts)
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], ITEM_SCHEMA)
+    assert {(r["doc_id"], r["item_id"]) for r in find_leaks(make_docs([" ".join(t) for t in texts]), bench).collect()} == want
+
+
 def test_repeated_rows_null_ids_and_empty_tables(spark, make_docs):
     item = " ".join(f"q{i}" for i in range(20))
     bench = spark.createDataFrame([(1, item), (1, item), (2, item)], ITEM_SCHEMA)

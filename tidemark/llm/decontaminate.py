@@ -1,16 +1,14 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-1. Items are cut to word n-grams; one pass over the corpus notes which of them
-   each text holds, and so in how many texts each occurs.
-2. Every stretch of ``stretch`` n-grams of an item gives its rarest one as a
-   seed, so that no part of an item is without.
-3. Texts with at least two seeds are read again, and passages are cut around
-   places with two seeds within an item's length; passages join items on seeds.
-4. A local alignment of words scores each passage against each item it shares
-   two seeds with (one, for items that have only one).
-
-The passes look n-grams and texts up in bitmaps of fixed size, which only save
-work: what passes them is joined with the n-grams themselves.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
+
+1. Items are cut to word n-grams, all of which are seeds: an edited copy keeps
+   any of them, and the ones over its edits are the rarest of all.
+2. One pass over the corpus cuts passages around places with two seeds within an
+   item's length; passages join items on seeds.
+3. A local alignment of words scores each passage against each item it shares
+   two seeds with (one, for items that have few n-grams).
+
+The pass looks n-grams up in a bitmap of fixed size, which only saves work:
+what passes it is joined with the n-grams themselves.
 """
 
 from __future__ import annotations
@@ -85,22 +83,6 @@ def _item_batches(n: int):
     return run
 
 
-def _hit_batches(n: int, bitmap):
-    """``(doc, grams)``: the item n-grams of each text that has any; ``doc`` is a number drawn from its key."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, cache = np.frombuffer(bitmap.value, np.uint8), _Hashes()
-        for b in batches:
-            docs, grams = [], []
-            for key, t in zip(b.column("doc_key").to_pylist(), b.column("text").to_pylist(), strict=True):
-                h = grams_of(words_of(t), n, cache)
-                hit = h[_in_bitmap(bits, h)]
-                if len(hit):
-                    docs.append(int(key[:15], 16))
-                    grams.append(np.unique(hit).view(np.int64).tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(grams, pa.list_(pa.int64()))], ["doc", "grams"])
-    return run
-
-
 def _bitmap_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     bits = np.zeros(1 << BITMAP_BITS, bool)
     for b in batches:
@@ -109,7 +91,7 @@ def _bitmap_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _bitmap(numbers: DataFrame) -> bytes:
-    """Bitmap of the low bits of a column of numbers; a few partial ones are merged one by one."""
+    """Bitmap of the low bits of a column of numbers of the items; a few partial ones are merged one by one."""
     out = np.zeros(1 << (BITMAP_BITS - 3), np.uint8)
     for r in numbers.coalesce(4).mapInArrow(_bitmap_batches, "bits binary").toLocalIterator():
         out |= np.frombuffer(r["bits"], np.uint8)
@@ -129,14 +111,13 @@ def passages_of(words: list[str], hashes: np.ndarray, reach: int, at_least: int)
     return out
 
 
-def _passage_batches(n: int, bitmap, wanted, reach: int, at_least: int):
+def _passage_batches(n: int, bitmap, reach: int, at_least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, cache, docs = np.frombuffer(bitmap.value, np.uint8), _Hashes(), np.frombuffer(wanted.value, np.uint8)
+        bits, cache = np.frombuffer(bitmap.value, np.uint8), _Hashes()
         for b in batches:
             of, starts, words_out, seeds = [], [], [], []
-            keys = np.array([int(k[:15], 16) for k in b.column("doc_key").to_pylist()], np.uint64)
-            for i in np.flatnonzero(_in_bitmap(docs, keys)).tolist():
-                words = words_of(b.column("text")[i].as_py())
+            for i, text in enumerate(b.column("text").to_pylist()):
+                words = words_of(text)
                 h = grams_of(words, n, cache)
                 hit = np.flatnonzero(_in_bitmap(bits, h)) if len(h) else h
                 if len(hit) < at_least:
@@ -207,7 +188,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     One row per text and item, the best place. ``score`` is the alignment's
     (match 2, mismatch and gap -1) as a share of the item against itself, at
     least ``min_score``; words are runs of letters, digits and underscores in lower
-    case. Items of fewer than ``n`` words are never found; null and empty texts
+    case. A copy is found if it keeps two n-grams of its item, or one if the item
+    has no more than ``stretch``; items of fewer than ``n`` words never are. Null and empty texts
     hold nothing; null or repeated ids are kept apart by ``doc_key`` (a digest
     of id and text), and repeated rows give one row together. Either table
     empty gives no rows; other columns are not read.
@@ -222,23 +204,14 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     with scratch(spark, "leaks") as s, operator_conf(spark):
         known = s.table(bench.mapInArrow(_item_batches(n), f"item_key string, item_id {item_kind}, words array<string>, grams array<bigint>")
                         .dropDuplicates(["item_key"]), "items", few=True)
-        grams = known.select("item_key", F.posexplode("grams").alias("place", "gram"))
-        hits = s.table(texts.select("doc_key", "text").mapInArrow(_hit_batches(n, sc.broadcast(_bitmap(grams.select("gram")))),
-                                                                  "doc bigint, grams array<bigint>"), "hits")
-        held = hits.select("doc", F.explode("grams").alias("gram"))
-        frequency = s.table(held.groupBy("gram").agg(F.count("*").alias("texts")), "frequency", few=True)
-        rarest = grams.join(frequency, "gram", "left").groupBy("item_key", F.floor(F.col("place") / stretch)).agg(
-            F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "place", "gram")).alias("seed"))
-        seeds = s.table(rarest.select("item_key", F.col("seed.gram").alias("gram"), F.col("seed.texts").alias("texts")).distinct(), "seeds", few=True)
-        per_item = seeds.groupBy("item_key").agg(F.least(F.count("*"), F.lit(2)).alias("needed"))
+        seeds = s.table(known.select("item_key", F.explode(F.array_distinct("grams")).alias("gram")), "seeds", few=True)
+        per_item = known.select("item_key", F.least(F.ceil(F.size(F.array_distinct("grams")) / stretch), F.lit(2)).alias("needed")).where("needed > 0")
         reach = int(known.agg(F.max(F.size("words"))).first()[0] or 1)  # words of the longest item
         at_least = int(per_item.agg(F.min("needed")).first()[0] or 2)
-        seed_grams = seeds.select("gram").distinct()
-        wanted = held.join(seed_grams, "gram").groupBy("doc").agg(F.count("*").alias("n")).where(F.col("n") >= at_least).select("doc")
-        passages = texts.mapInArrow(_passage_batches(n, sc.broadcast(_bitmap(seed_grams)), sc.broadcast(_bitmap(wanted)), reach, at_least),
+        passages = texts.mapInArrow(_passage_batches(n, sc.broadcast(_bitmap(seeds.select("gram"))), reach, at_least),
                                     f"doc_key string, doc_id {doc_kind}, start bigint, words array<string>, seeds array<bigint>")
         passages = s.table(passages.withColumn("passage", F.sha2(F.concat("doc_key", F.lit(":"), F.col("start").cast("string")), 256)), "passages")
-        shared = (passages.select("passage", F.explode("seeds").alias("gram")).distinct().join(seeds.select("item_key", "gram"), "gram")
+        shared = (passages.select("passage", F.explode("seeds").alias("gram")).distinct().join(seeds, "gram")
                   .groupBy("passage", "item_key").agg(F.count("*").alias("shared")).join(per_item, "item_key").where("shared >= needed"))
         pairs = s.table(shared.select("passage", "item_key"), "pairs", few=True)
         ready = (pairs.join(known.select("item_key", "item_id", F.col("words").alias("item_words")), "item_key")
