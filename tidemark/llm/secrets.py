@@ -1,10 +1,10 @@
 """Secret scans with structural confirmation.
 
-Patterns find three base kinds. Beyond them, runs that could be encoded key
-material are decoded (base64, base64url, hex, PEM bodies) and only reported
-when the bytes parse: DER private keys whose nested lengths add up, OpenSSH
-keys whose length-prefixed fields do, and signed tokens whose header and
-payload are JSON objects with an algorithm.
+Patterns find three base kinds. Beyond them, every long run of base64, base64url
+or hex is decoded, also over line breaks, and only reported when the bytes parse:
+DER private keys whose nested lengths add up, OpenSSH keys whose length-prefixed
+fields do, PEM text that holds a key, and signed tokens whose header and payload
+are JSON objects with an algorithm. PEM text and tokens are also found as they are.
 """
 
 from __future__ import annotations
@@ -14,7 +14,9 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,8 +39,19 @@ DER64 = re.compile(rb"(?<![A-Za-z0-9+/_-])M[A-Za-z0-9+/]{40,}={0,2}")
 DER_HEX = re.compile(rb"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{60,}")
 OPENSSH64 = re.compile(rb"b3BlbnNzaC1rZXktdjEA[A-Za-z0-9+/]{40,}={0,2}")
 OPENSSH_HEX = re.compile(rb"6f70656e7373682d6b65792d763100[0-9A-Fa-f]{60,}", re.IGNORECASE)
-JWT = re.compile(rb"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-PEM = re.compile(rb"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([^-]*)-----END \1-----")
+# a match starts at every part, as the parts before a token's header may look like it
+TOKEN = re.compile(rb"[A-Za-z0-9_-]{12,}+\.[A-Za-z0-9_-]{2,}+\.[A-Za-z0-9_-]*")
+JWT = re.compile(rb"(?<![A-Za-z0-9_-])(?=(%b))" % TOKEN.pattern)
+#: First characters of an encoded ``{``.
+OBJECT64 = (b"ew", b"ex", b"ey", b"ez")
+PEM = re.compile(rb"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:[^-]|-(?!----))*+)-----END \1-----")
+#: Line breaks inside a run, also written as escapes, with the next line's indent.
+BREAK = re.compile(rb"(?:\r?\n|(?:\\r)?\\n)[\x20\t]*")
+RUN64 = re.compile(rb"(?<![A-Za-z0-9+/_-])(?:(?<=\\)[nrt])?+([A-Za-z0-9+/_-]{16,}+(?:%b+[A-Za-z0-9+/_-]++)*+={0,2})" % BREAK.pattern)
+RUN_HEX = re.compile(rb"(?<![0-9A-Fa-f])([0-9A-Fa-f]{16,}+(?:%b+[0-9A-Fa-f]++)*+)" % BREAK.pattern)
+#: Characters of the shortest run that can hold a key.
+LEAST_64, LEAST_HEX = 40, 60
+OPENSSH_MAGIC = b"openssh-key-v1\x00"
 
 
 def _decode64(run: bytes, url: bool = False) -> bytes | None:
@@ -95,10 +108,13 @@ def is_der_private_key(data: bytes) -> bool:
 
 def is_openssh_key(data: bytes) -> bool:
     """openssh-key-v1: cipher, kdf and options, a key count, then as many public keys and the private part."""
-    magic = b"openssh-key-v1\x00"
-    if not data.startswith(magic):
-        return False
-    at = len(magic)
+    return _openssh_end(data) is not None
+
+
+def _openssh_end(data: bytes) -> int | None:
+    if not data.startswith(OPENSSH_MAGIC):
+        return None
+    at = len(OPENSSH_MAGIC)
 
     def field() -> bytes | None:
         nonlocal at
@@ -110,17 +126,17 @@ def is_openssh_key(data: bytes) -> bool:
 
     head = [field() for _ in range(3)]
     if None in head or not head[0]:
-        return False
+        return None
     count = int.from_bytes(data[at:at + 4], "big")
     at += 4
-    return 1 <= count <= 16 and all(field() for _ in range(count)) and bool(field()) and at <= len(data)
+    return at if 1 <= count <= 16 and all(field() for _ in range(count)) and field() else None
 
 
 def is_signed_token(run: bytes) -> bool:
     header, payload, signature = run.split(b".")
     try:
         head, body = (json.loads(_decode64(x, url=True) or b"") for x in (header, payload))
-    except (ValueError, UnicodeDecodeError):
+    except (ValueError, RecursionError):
         return False
     return (isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(body, dict)
             and (bool(signature) or head["alg"].lower() == "none") and len(signature) % 4 != 1)
@@ -128,7 +144,7 @@ def is_signed_token(run: bytes) -> bool:
 
 def _pem_holds_key(kind: bytes, body: bytes) -> bool:
     lines = body.replace(b"\\n", b"\n").replace(b"\\r", b"").split()
-    data = _decode64(b"".join(x for x in lines if b":" not in x and b"," not in x))
+    data = _decode64(re.sub(rb"[^A-Za-z0-9+/=]", b"", b"".join(x for x in lines if b":" not in x and b"," not in x)))
     if data is None:
         return False
     if b"ENCRYPTED" in kind or b"ENCRYPTED" in body:
@@ -136,6 +152,67 @@ def _pem_holds_key(kind: bytes, body: bytes) -> bool:
     return is_openssh_key(data) if b"OPENSSH" in kind else is_der_private_key(data)
 
 
+def _der_end(data: bytes, at: int) -> int | None:
+    """End of the DER private key that starts at ``at``."""
+    head = data[at:at + 6]
+    if len(head) < 6 or head[0] != 0x30:
+        return None
+    wide = head[1] & 0x7F if head[1] & 0x80 else 0
+    if wide > 4:
+        return None
+    end = at + 2 + wide + (int.from_bytes(head[2:2 + wide], "big") if wide else head[1])
+    return end if end <= len(data) and data[at + 2 + wide:at + 3 + wide] == b"\x02" and is_der_private_key(data[at:end]) else None
+
+
+def _text_secrets(data: bytes) -> list[tuple[int, int, int]]:
+    """Spans of PEM keys and signed tokens in plain bytes."""
+    out = []
+    if b"-----BEGIN " in data:
+        out += [(m.start(), 6, m.end()) for m in PEM.finditer(data) if _pem_holds_key(m[1], m[2])]
+    if data.count(b".") >= 2:
+        out += [(m.start(1), 5, m.end(1)) for m in JWT.finditer(data) if is_signed_token(m[1])]
+    return out
+
+
+def _run_spans(text: bytes, pattern: re.Pattern, least: int, chars: int, size: int, decode: Callable[[bytes], bytes | None]) -> list[tuple[int, int, int]]:
+    """Keys in the decoded runs of ``pattern``, ``chars`` characters for ``size`` bytes.
+
+    A key starts with any line of a run and may end before the last one: lines
+    around it can look like it. Each place in a unit is decoded once, so the
+    work is in proportion to the run.
+    """
+    out = []
+    for m in pattern.finditer(text):
+        if m.end(1) - m.start(1) < least:
+            continue
+        begin, stop = m.start(1), m.start(1) + len(m[1].rstrip(b"="))
+        breaks = [x.span() for x in BREAK.finditer(text, begin, stop)]
+        starts, ends = [begin] + [e for _, e in breaks], [s for s, _ in breaks] + [stop]
+        joined = b"".join(text[s:e] for s, e in zip(starts, ends, strict=True))
+        upto = list(accumulate(e - s for s, e in zip(starts, ends, strict=True)))
+        first = [0, *upto[:-1]]
+        ends[-1] = m.end(1)
+        decoded: dict[int, bytes] = {}
+        for line, c in enumerate(first):
+            r = c % chars
+            if r not in decoded:
+                whole = len(joined) - r
+                decoded[r] = decode(joined[r:len(joined) - (whole % chars == 1)]) or b""
+                for s, kind, e in _text_secrets(decoded[r]):
+                    out.append((starts[bisect_right(first, r + s * chars // size) - 1], kind,
+                                ends[bisect_left(upto, r - (-e * chars // size))]))
+            data, at = decoded[r], (c - r) // chars * size
+            if (e := _der_end(data, at)) is not None:
+                n = r - (-e * chars // size)
+                if upto[i := bisect_left(upto, n)] == n:
+                    out.append((starts[line], 3, ends[i]))
+            elif data.startswith(OBJECT64, at) and (t := TOKEN.match(data, at)) and is_signed_token(t[0]):  # behind bytes of another line
+                out.append((starts[line], 5, ends[bisect_left(upto, r - (-t.end() * chars // size))]))
+            elif data.startswith(OPENSSH_MAGIC, at) and (e := _openssh_end(data[at:])) is not None:
+                out.append((starts[line], 4, ends[bisect_left(upto, r - (-(at + e) * chars // size))]))
+    return out
+
+
 def byte_spans(text: bytes) -> list[tuple[int, int, int]]:
     """``(start, index of kind, end)`` in bytes, sorted."""
     found = []
@@ -150,13 +227,13 @@ def byte_spans(text: bytes) -> list[tuple[int, int, int]]:
     if b"b3BlbnNzaC1rZXktdjEA" in text:
         checks.append((4, OPENSSH64, lambda m: is_openssh_key(_decode64(m[0]) or b"")))
     checks.append((4, OPENSSH_HEX, lambda m: is_openssh_key(_decode_hex(m[0]) or b"")))
-    if b"eyJ" in text:
-        checks.append((5, JWT, lambda m: is_signed_token(m[0])))
-    if b"-----BEGIN " in text:
-        checks.append((6, PEM, lambda m: _pem_holds_key(m[1], m[2])))
-    for kind, pattern, holds in checks:
-        found += [(m.start(), kind, m.end()) for m in pattern.finditer(text) if holds(m)]
-    return sorted(found)
+    plain = _text_secrets(text)
+    bodies = [(s, e) for s, kind, e in plain if kind == 6]
+    encoded = plain + [(m.start(), kind, m.end()) for kind, pattern, holds in checks for m in pattern.finditer(text) if holds(m)]
+    runs = _run_spans(text, RUN64, LEAST_64, 4, 3, lambda x: _decode64(x.replace(b"-", b"+").replace(b"_", b"/")))
+    runs += _run_spans(text, RUN_HEX, LEAST_HEX, 2, 1, binascii.unhexlify)
+    encoded += [x for x in runs if not any(s <= x[0] and x[2] <= e for s, e in bodies)]
+    return sorted(found + list(set(encoded)))
 
 
 def find_secrets(text: str | None) -> list[tuple[str, int, int]]:
