@@ -25,6 +25,14 @@ def test_query_matches_oracle(spark, name):
     assert not problems, problems[:5]
 
 
+def test_metric_log_counts_the_alarm_chain(spark):
+    name = "e12_metric_log_alarms"
+    problems, log, _ = compare(spark, name, E.queries()[name], E.oracle_sql()[name], SF)
+    assert not problems, problems[:5]
+    alarms = [r["i"] for r in E.queries()["g13_alarm_chain"](spark, SF).where("validated").collect()]
+    assert alarms and all(c == sum(i <= s for i in alarms) for s, c in zip(log.step, log.concept_drift_events, strict=True))
+
+
 def test_entry_runs(spark):
     df = E.entry(spark)
     assert df.count() > 0 and "mae" in df.columns

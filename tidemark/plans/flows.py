@@ -254,6 +254,19 @@ def g12(spark, sf_dir):
     return a.withColumn("state", F.lit("before promotion")).unionByName(b.withColumn("state", F.lit("after promotion")))
 
 
+@flow("e12_metric_log_alarms")
+def e12(spark, sf_dir):
+    """The metric log with the alarm chain's validated drifts and the PSI flags up to each step."""
+    from tidemark.plans.catalog import _psi_time
+
+    seq = memory_predictions(sequenced_trips(spark, sf_dir))
+    rm = ev.rolling_metrics(ev.prequential(seq.with_df(ev.with_errors(seq.df))))
+    flags = ps.psi_flag(_psi_time(spark, sf_dir)).where("feature_drift").select(
+        F.lit("feature").alias("type"), (F.col("check") - 1).alias("i"), F.lit(True).alias("validated"))
+    log = ev.metric_log(rm, "gidx", 500, events=chain(spark, sf_dir).select("type", "i", "validated").unionByName(flags))
+    return log.select("step", r6("rolling_mae").alias("rolling_mae"), "concept_drift_events", "feature_drift_events")
+
+
 @flow("g10_psi_encoders")
 def g10(spark, sf_dir):
     """PSI of encoder columns between the first 5000 labelled rows and the rest."""

@@ -63,6 +63,11 @@ SELECT 'concept' AS type, c.i, 'block-cut' AS detector, {R6('g.score')} AS score
   CASE WHEN c.i IN (SELECT i FROM alerts WHERE i IS NOT NULL) THEN 'retrain' WHEN c.validated THEN 'log' ELSE 'ignore' END AS action
 FROM chk c JOIN ({ALARMS}) g ON c.i = g.i"""
 FLOWS_SQL["g13_alarm_chain"] = CHAIN
+FLOWS_SQL["e12_metric_log_alarms"] = f"""WITH ev AS (SELECT type, i, validated FROM ({CHAIN}) c
+UNION ALL SELECT 'feature' AS type, "check" - 1 AS i, true AS validated FROM ({ORACLE_SQL["g11_psi_flag"]}) f WHERE feature_drift),
+m AS ({ORACLE_SQL["e12_metric_log"]})
+SELECT step, rolling_mae, (SELECT count(*) FROM ev WHERE validated AND type = 'concept' AND i <= step) AS concept_drift_events,
+  (SELECT count(*) FROM ev WHERE validated AND type = 'feature' AND i <= step) AS feature_drift_events FROM m"""
 FLOWS_SQL["g12_retrain_flag"] = f"""WITH c AS ({CHAIN})
 SELECT count_if(action = 'retrain') AS alerts, max(CASE WHEN action = 'retrain' THEN i END) AS last_alert,
   count_if(action = 'retrain') > 0 AS retrain_recommended, 'before promotion' AS state FROM c
