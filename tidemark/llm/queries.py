@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 from tidemark.llm.chat_format import format_chats, read_back, text_parts
 from tidemark.llm.decontaminate import find_leaks
 from tidemark.llm.embedding_dedup import embedding_dedup
+from tidemark.llm.graph_index import nearest_neighbours
+from tidemark.llm.hard_negatives import mine_hard_negatives
 from tidemark.llm.licenses import scan_licenses
 from tidemark.llm.packing import pack_documents
+from tidemark.llm.periodic_runs import periodic_runs, run_digest
 from tidemark.llm.secrets import scan_secrets
 from tidemark.llm.sharding import shard_documents
 from tidemark.llm.simhash import simhash_dedup
@@ -74,9 +77,24 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(_read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id", "kept")
 
 
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digest(periodic_runs(_read(spark, sf_dir, "documents"), planted=True))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_decontamination, op2_token_counts, op3_sharding, op4_embedding_dedup, op5_license_scan, op6_chat_format,
-    op7_secret_scan, op8_toxicity, op9_packing, op10_simhash_dedup)}
+    op7_secret_scan, op8_toxicity, op9_packing, op10_simhash_dedup, op11_nearest_neighbours, op12_periodic_runs,
+    op13_hard_negatives)}
 
 #: Only the chat digests are within SQL's reach: the others rest on token merges,
 #: differencing, trained weights, XXH64 or alignments (their tests use brute force).
