@@ -22,7 +22,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -198,7 +197,7 @@ def find_runs(texts: list[list]) -> list[list[tuple[int, int, int]]]:
     sizes = np.array([len(t) for t in texts], np.int64)
     if not sizes.sum():
         return out
-    ids = pd.factorize(np.array([w for t in texts for w in t], object))[0].astype(np.int64)
+    ids = pa.array([w for t in texts for w in t], pa.large_binary()).dictionary_encode().indices.to_numpy().astype(np.int64)
     first = np.cumsum(sizes) - sizes
     doc = np.repeat(np.arange(len(texts)), sizes)
     segs = segments(ids, doc)
