@@ -31,9 +31,9 @@ from tidemark.plans.ordering import first_n_per_group
 ship_by_value(__name__)
 
 SHARD_VECTORS = 4096   # vectors of a shard, on average
-DEGREE = 32            # edges that leave a vector
+DEGREE = 48            # edges that leave a vector
 ALPHA = 1.2            # relaxation of the pruning
-BUILD_BEAM = 48        # vectors that a search holds while the graph grows
+BUILD_BEAM = 64        # vectors that a search holds while the graph grows
 QUERY_BEAM = 128       # and when it is queried
 EXPAND = 4             # vectors whose edges a search follows at once
 BATCH = 512            # searches that run together
@@ -140,9 +140,34 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA, beam:
         g.edges[new] = pruned(x, new, near, degree, alpha)
         _add_back(g, new, degree, alpha)
         done += len(new)
+    _reach_all(g, beam, batch)
     return g
 
 
+def _reach_all(g: Graph, beam: int, batch: int) -> None:
+    """Edges, beyond the degree, to the vectors that no path from the entry leads to
+    any more (pruning took the last edge to them), each from the nearest one found."""
+    while True:
+        reached = np.zeros(len(g.x), bool)
+        front = np.array([g.entry])
+        while len(front):
+            reached[front] = True
+            to = np.unique(g.edges[front])
+            front = to[(to >= 0) & ~reached[np.maximum(to, 0)]]
+        lost = np.flatnonzero(~reached)
+        if not len(lost):
+            return
+        host = np.concatenate([g.search(g.x[lost[i:i + batch]], beam)[0][:, 0] for i in range(0, len(lost), batch)])
+        order = np.argsort(host, kind="stable")
+        lost, host = lost[order], host[order]
+        _, first, many = np.unique(host, return_index=True, return_counts=True)
+        place = np.arange(len(host)) - np.repeat(first, many)
+        near = place < 2  # the others once these lead on to them
+        extra = np.full((len(g.x), 2), -1, np.int64)
+        extra[host[near], place[near]] = lost[near]
+        g.edges = np.concatenate([g.edges, extra], axis=1)
+
+
 def _add_back(g: Graph, new: np.ndarray, degree: int, alpha: float) -> None:
     """Edges back to ``new`` from the vectors that its edges lead to."""
     to = g.edges[new]
@@ -199,7 +224,8 @@ def _query_block(dtype: str):
 
 def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Euclidean distances of rows in double precision; scaled only where the squares would overflow or vanish."""
-    d = np.sqrt(((x - q) ** 2).sum(axis=1))
+    with np.errstate(over="ignore"):
+        d = np.sqrt(((x - q) ** 2).sum(axis=1))
     odd = ~np.isfinite(d) | (d < 1e-150)
     if odd.any():
         gap = np.abs(x[odd] / 4 - q[odd] / 4)
@@ -208,7 +234,7 @@ def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return d
 
 
-def _search(k: int, degree: int, beam: int):
+def _search(k: int, beam: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[Best, dict]] = {}
         shard, parts = None, None
@@ -224,7 +250,7 @@ def _search(k: int, degree: int, beam: int):
                     shard, x = (r["dim"], r["shard"]), np.frombuffer(r["vecs"], np.float64).reshape(-1, r["dim"])
                     mean = (x / len(x)).sum(axis=0)
                     scale = float(np.abs(x - mean).max()) or 1.0
-                    g = Graph(centred(x, mean, scale), np.frombuffer(r["edges"], np.int32).reshape(-1, degree).astype(np.int64), r["entry"])
+                    g = Graph(centred(x, mean, scale), np.frombuffer(r["edges"], np.int32).reshape(len(x), -1).astype(np.int64), r["entry"])
                     parts = x, mean, scale, g, np.frombuffer(r["ids"], np.int64), np.frombuffer(r["ends"], np.int64)
                 x, mean, scale, g, ids, ends = parts
                 own, q = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["q_vecs"], np.float64).reshape(-1, r["dim"])
@@ -287,12 +313,12 @@ def nearest_neighbours(vectors: DataFrame, queries: Column, k: int = 10, id_col:
         if not shards:
             return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
         groups = min(shards, 2 * shuffle_width(spark))
-        dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int"))
+        dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int")).repartition(groups, "dim", "shard")
         graphs = s.table(dealt.groupBy("dim", "shard").applyInArrow(
             _build(dtype, degree, alpha, build_beam, groups), GRAPH), "graphs")
         asked = s.table(rows.where("_query").dropDuplicates(["node", "id"]).select("id", "dim", "vec"), "asked")
         packed = asked.repartition(-(-asked.count() // (8 * QUERY_BLOCK)) or 1, "id")
         blocks = s.table(packed.mapInArrow(pack(QUERY_BLOCK, BLOCK, _query_block(dtype)), BLOCK), "blocks")
-        found = s.table(met(graphs, blocks, groups).mapInArrow(_search(k, degree, query_beam), FOUND), "found")
+        found = s.table(met(graphs, blocks, groups).mapInArrow(_search(k, query_beam), FOUND), "found")
         out = found.groupBy("number").applyInArrow(_answers(k), "query_id bigint, rank int, id bigint, score double")
         return s.table(out.withColumnRenamed("id", "vec_id"), "result", keep=True)

@@ -93,7 +93,8 @@ def _bounds(q: Codes, v: Codes, who, what, estimate: np.ndarray, last: np.ndarra
     wide = across * v.rest[i][what] + s * v.norm[what]
     wide = wide + 1e-9 * (q.norm[who] * v.norm[what]) + 1.0  # rounding in double precision
     low, high = estimate - wide, estimate + wide
-    return np.where(np.isnan(low), -np.inf, low), np.where(np.isnan(high), np.inf, high)
+    low, high = np.where(np.isnan(low), -np.inf, low), np.where(np.isnan(high), np.inf, high)
+    return np.clip(low, -float(LONGEST), float(LONGEST)), np.clip(high, -float(LONGEST), float(LONGEST))  # as scores are
 
 
 def whole_scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
