@@ -95,3 +95,42 @@ def test_components_of_long_chains_and_hubs(spark):
         got = {r["node"]: r["component"] for r in connected_components(s, df).collect()}
         assert got == {**{i: 0 for i in range(301)}, **{1000 + i: 1000 for i in range(400)}, 6001: 6001, 6002: 6001}
         assert connected_components(s, df.where(F.lit(False))).count() == 0
+
+
+def test_dense_groups_leave_few_links(spark):
+    """Groups of near copies meet in every bucket of every pass; found components are contracted on the way."""
+    from tidemark.llm.simhash import linked_components
+
+    rng = np.random.default_rng(5)
+    fps = list(rng.integers(0, 1 << 64, 300, dtype=np.uint64))
+    for centre in fps[:4]:
+        for _ in range(150):
+            bits = rng.choice(64, rng.integers(1, 4), replace=False)
+            fps.append(centre ^ np.uint64(sum(1 << int(x) for x in bits)))
+    chain = fps[10]
+    for i in range(12):  # a chain whose links are four bits each
+        chain = chain ^ np.uint64(0b1111 << 4 * i)
+        fps.append(chain)
+    fps = np.unique(np.array(fps, np.uint64))
+    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4
+    label = np.arange(len(fps))
+    while True:
+        new = np.where(near, label[None, :], len(fps)).min(axis=1)
+        if (new == label).all():
+            break
+        label = new
+    nodes = spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp bigint")
+    made = []
+    with scratch(spark, "dense") as s:
+        table = s.table
+        s.table = lambda df, name, **kw: (out := table(df, name, **kw), made.append(out.count()) if name.startswith("links") else None)[0]
+        got = {r["node"]: r["component"] for r in linked_components(s, nodes, 4, 8).collect()}
+    assert len(made) == 8 and sum(made[1:]) < made[0] and max(made[4:]) <= 5
+    groups: dict = {}
+    for f, g in zip(fps.view(np.int64).tolist(), label.tolist(), strict=True):
+        groups.setdefault(g, set()).add(f)
+    want = {frozenset(g) for g in groups.values() if len(g) > 1}
+    found: dict = {}
+    for f, c in got.items():
+        found.setdefault(c, set()).add(f)
+    assert {frozenset(g) for g in found.values()} == want

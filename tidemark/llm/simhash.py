@@ -12,12 +12,17 @@ each. They travel as packed blocks, one row a block and bucket, in ``passes``
 jobs over disjoint parts of the variant space, so only ``1 / passes`` of them
 are on disk at a time. The part of a variant is a linear map over GF(2) of its
 bits, so each pass generates its own variants only.
+
+A group of near copies meets in every bucket of every pass. So what the passes
+have joined so far is contracted after the first, second and fourth of them:
+from then on the fingerprints of a component carry its number, a bucket takes
+them for one, and only links that join something new leave it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +32,13 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.shipping import ship_by_value
 from tidemark.llm.components import connected_components, forest
-from tidemark.llm.support import operator_conf, row_key, scratch, shuffle_width
+from tidemark.llm.support import Scratch, operator_conf, row_key, scratch, shuffle_width
 
 ship_by_value(__name__)
 
 CHUNK = 4096          # fingerprints whose variants are built together
 BUCKET_VARIANTS = 2_000_000  # variants of a bucket, on average: 20 MB in a task
+CONTRACT_AFTER = (1, 2, 4)   # passes after which found components are contracted
 #: Bit masks whose parities name the part of a variant (fixed values, any well-mixed ones do).
 PARITY_MASKS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
@@ -95,32 +101,41 @@ def _emit(half: int, passes: int, number: int, buckets: int):
         part = _part(masks, passes)
         own = [np.flatnonzero(part == p).astype(np.uint16) for p in range(passes)]
 
-        def blocks(fps: np.ndarray) -> pa.RecordBatch:
+        def blocks(fps: np.ndarray, comps: np.ndarray) -> pa.RecordBatch:
+            """A row a bucket; the variants of fingerprints with a component come last, only these carry its number."""
+            known = np.argsort(comps >= 0, kind="stable")
+            fps, comps = fps[known], comps[known]
             of = _part(fps, passes)
-            variants, index = [], []
-            for p in range(passes):
-                mine, use = fps[of == p], own[p ^ number]
-                variants.append((mine[:, None] ^ masks[use][None, :]).ravel())
-                index.append(np.tile(use, len(mine)))
-            v, m = np.concatenate(variants), np.concatenate(index)
+            variants, index, joined = [], [], []
+            for some in (comps < 0, comps >= 0):
+                for p in range(passes):
+                    mine, use = fps[(of == p) & some], own[p ^ number]
+                    variants.append((mine[:, None] ^ masks[use][None, :]).ravel())
+                    index.append(np.tile(use, len(mine)))
+                    joined.append(np.repeat(comps[(of == p) & some], len(use)))
+            v, m, c = np.concatenate(variants), np.concatenate(index), np.concatenate(joined)
             at = _bucket(v, buckets).astype(np.uint32)
             order = np.argsort(at.astype(np.uint16) if buckets <= 65536 else at, kind="stable")
-            v, m, edges = v[order], m[order], np.concatenate(([0], np.cumsum(np.bincount(at, minlength=buckets))))
-            full = [b for b in range(buckets) if edges[b] < edges[b + 1]]
+            v, m, c, at = v[order], m[order], c[order], at[order]
+            first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+            edges = [*first.tolist(), len(at)]
+            tail = (np.add.reduceat(c < 0, first) + first).tolist()
+            c = c.astype(np.uint32)
             return pa.RecordBatch.from_arrays(
-                [pa.array(full, pa.int32()), pa.array([v[edges[b]:edges[b + 1]].tobytes() for b in full], pa.binary()),
-                 pa.array([m[edges[b]:edges[b + 1]].tobytes() for b in full], pa.binary())],
-                ["bucket", "variants", "masks"])
+                [pa.array(at[first].astype(np.int32)), pa.array([v[a:b].tobytes() for a, b in pairwise(edges)], pa.binary()),
+                 pa.array([m[a:b].tobytes() for a, b in pairwise(edges)], pa.binary()),
+                 pa.array([c[a:b].tobytes() for a, b in zip(tail, edges[1:], strict=True)], pa.binary())],
+                ["bucket", "variants", "masks", "comps"])
 
-        held: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for b in batches:
-            held.append(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
-            while sum(map(len, held)) >= CHUNK:
-                fps = np.concatenate(held)
-                yield blocks(fps[:CHUNK])
-                held = [fps[CHUNK:]]
-        if sum(map(len, held)):
-            yield blocks(np.concatenate(held))
+            held.append((b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), b.column(1).to_numpy(zero_copy_only=False)))
+            while sum(len(f) for f, _ in held) >= CHUNK:
+                fps, comps = (np.concatenate(x) for x in zip(*held, strict=True))
+                yield blocks(fps[:CHUNK], comps[:CHUNK])
+                held = [(fps[CHUNK:], comps[CHUNK:])]
+        if sum(len(f) for f, _ in held):
+            yield blocks(*(np.concatenate(x) for x in zip(*held, strict=True)))
     return run
 
 
@@ -151,18 +166,61 @@ def _meet(half: int, distance: int):
         masks = ball_masks(half)
         v = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("variants")])
         m = np.concatenate([np.frombuffer(x.as_py(), np.uint16) for x in table.column("masks")])
+        c = np.concatenate([np.concatenate((np.full(len(x.as_py()) // 8 - len(y.as_py()) // 4, -1), np.frombuffer(y.as_py(), np.uint32).astype(np.int64)))
+                            for x, y in zip(table.column("variants"), table.column("comps"), strict=True)])
         s = np.sort(v)
         twice = s[1:][s[1:] == s[:-1]]
         marked = np.zeros(1 << 20, bool)  # cheap sieve before the exact test
         marked[(twice >> np.uint64(7)) & np.uint64(0xFFFFF)] = True
         some = np.flatnonzero(marked[(v >> np.uint64(7)) & np.uint64(0xFFFFF)])
         some = some[np.isin(v[some], twice)] if len(twice) else some[:0]
-        links = forest(meeting_links(v[some], v[some] ^ masks[m[some]], distance)) if len(some) else []
+        fps = v[some] ^ masks[m[some]]
+        links = meeting_links(v[some], fps, distance) if len(some) else []
+        if links:  # fingerprints of one component count as the first of them here
+            joined = c[some] >= 0
+            of = dict(zip(fps[joined].tolist(), c[some][joined].tolist(), strict=True))
+            first: dict = {}
+            links = forest([tuple(first.setdefault(of[x], x) if x in of else x for x in pair) for pair in links])
         return pa.table({"a": pa.array(np.array([x for x, _ in links], np.uint64).view(np.int64), pa.int64()),
                          "b": pa.array(np.array([x for _, x in links], np.uint64).view(np.int64), pa.int64())})
     return run
 
 
+def numbered(scratch: Scratch, comps: DataFrame) -> DataFrame:
+    """``(node, number)``: components numbered without gaps, by their place in a written table."""
+    at = F.monotonically_increasing_id()
+    names = scratch.table(comps.select("component").distinct(), "names", few=True)
+    names = scratch.table(names.select("component", F.shiftright(at, 33).alias("part"),
+                                       at.bitwiseAND(F.lit((1 << 33) - 1)).alias("place")), "places")
+    counts = {r["part"]: r["n"] for r in names.groupBy("part").agg(F.count("*").alias("n")).collect()}  # a row a partition
+    offsets, total = [], 0
+    for part in sorted(counts):
+        offsets.append((part, total))
+        total += counts[part]
+    if total >= 1 << 32:
+        raise ValueError("more components than 4-byte numbers can name")
+    offsets = scratch.spark.createDataFrame(offsets, "part bigint, before bigint")
+    of = names.join(F.broadcast(offsets), "part").select(F.col("component").alias("of"), (F.col("place") + F.col("before")).alias("number"))
+    return scratch.table(comps.join(of, comps.component == F.col("of")).select("node", "number"), "numbers", few=True)
+
+
+def linked_components(scratch: Scratch, nodes: DataFrame, max_distance: int, passes: int) -> DataFrame:
+    """``(node, component)`` of the distinct fingerprints ``nodes(fp, ...)`` that have a link."""
+    half = (max_distance + 1) // 2
+    per_pass = nodes.count() * len(ball_masks(half)) // passes
+    buckets = max(per_pass // BUCKET_VARIANTS, 2 * shuffle_width(scratch.spark))
+    links, known = None, nodes.select("fp", F.lit(-1).cast("bigint").alias("number"))
+    for number in range(passes):
+        blocks = known.mapInArrow(_emit(half, passes, number, buckets), "bucket int, variants binary, masks binary, comps binary")
+        part = scratch.table(blocks.groupBy("bucket").applyInArrow(_meet(half, max_distance), "a bigint, b bigint"),
+                             f"links{number}", few=True)
+        links = part if links is None else links.union(part)
+        if number + 1 in CONTRACT_AFTER and number + 1 < passes:
+            numbers = numbered(scratch, connected_components(scratch, links))
+            known = nodes.join(numbers, nodes.fp == numbers.node, "left").select("fp", F.coalesce("number", F.lit(-1)).alias("number"))
+    return connected_components(scratch, links)
+
+
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4,
                   max_distance: int = 4, seed: int = 42, passes: int = 8) -> DataFrame:
     """Near-duplicate classes of ``docs`` by SimHash distance.
@@ -179,22 +237,10 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = docs.sparkSession
     if passes & (passes - 1) or not 1 <= passes <= 32:
         raise ValueError("passes must be a power of two up to 32")
-    half = (max_distance + 1) // 2
     with scratch(spark, "simhash") as s, operator_conf(spark):
         rows = s.table(fingerprints(docs, id_col, text_col, shingle_words, seed), "rows")
         nodes = s.table(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes", few=True)
-        per_pass = nodes.count() * len(ball_masks(half)) // passes
-        buckets = max(per_pass // BUCKET_VARIANTS, 2 * shuffle_width(spark))
-        parts = []
-        for number in range(passes):
-            blocks = nodes.select("fp").mapInArrow(_emit(half, passes, number, buckets),
-                                                   "bucket int, variants binary, masks binary")
-            parts.append(s.table(blocks.groupBy("bucket").applyInArrow(_meet(half, max_distance), "a bigint, b bigint"),
-                                 f"links{number}", few=True))
-        links = parts[0]
-        for p in parts[1:]:
-            links = links.union(p)
-        comps = connected_components(s, links)
+        comps = linked_components(s, nodes, max_distance, passes)
         named = nodes.join(comps, nodes.fp == comps.node, "left").select(
             "fp", "first_id", F.coalesce("component", "fp").alias("root"))
         ids = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
