@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.plans.ordering import BUCKET, Sequenced, bounded_broadcast, materialize, running_moments, running_sums, sequence
+from tidemark.plans.ordering import BUCKET, Sequenced, _null_safe_join, bounded_broadcast, materialize, running_moments, running_sums, sequence
 
 # Fixed defaults of the reference configuration.
 ADWIN_DELTA = 0.002
@@ -212,14 +212,20 @@ def retrain_alerts(events: DataFrame, idx: str = "i", cooldown: int = RETRAIN_CO
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_ev.{k}"))
     step = materialize(seen.where(same).select(*keys, F.col("_p").alias("_from"), (-F.col("_ev._neg")).alias("_to")))
-    reached = materialize(worse.groupBy(*keys).agg(F.min("_p").alias("_p")).where("_p IS NOT NULL"))
+    first = materialize(worse.groupBy(*keys).agg(F.min("_p").alias("_p")).where("_p IS NOT NULL"))
+    return reach(first, step, keys).select(*keys, F.col("_p").alias(idx))
+
+
+def reach(reached: DataFrame, step: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """All positions ``_p`` that those of ``reached`` lead to over ``step(keys..., _from, _to)``
+    (one step a position), themselves included. Steps double round by round."""
     known, before = reached.count(), -1
     while known != before:
         reached = materialize(reached.unionByName(_follow(reached, step, keys).select(*keys, F.col("_to").alias("_p"))).distinct())
         further = step.select(*keys, F.col("_from").alias("_start"), F.col("_to").alias("_p"))
         step = materialize(_follow(further, step, keys, ["_start"]).select(*keys, F.col("_start").alias("_from"), "_to"))
         known, before = reached.count(), known
-    return reached.select(*keys, F.col("_p").alias(idx))
+    return reached
 
 
 def _follow(at: DataFrame, step: DataFrame, keys: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -245,14 +251,15 @@ def drift_log(events: DataFrame, at: str = "i", keep: int = 50) -> tuple[DataFra
 
 
 # ---------------------------------------------------------------- first alarms by windows
-def running_extreme(seq: Sequenced, expr: F.Column, name: str, largest: bool = False) -> Sequenced:
-    """Two-level running minimum, or maximum, (inclusive) over the global order; nulls skip."""
+def running_extreme(seq: Sequenced, expr: F.Column, name: str, largest: bool = False, keys: Sequence[str] = ()) -> Sequenced:
+    """Two-level running minimum, or maximum, (inclusive) over the global order, per key with ``keys``; nulls skip."""
     pick, of_two = (F.max, F.greatest) if largest else (F.min, F.least)
-    w = seq.window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = seq.window(*keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = materialize(seq.df.withColumn("_x", expr).withColumn("_lm", pick("_x").over(w)))
-    summ = local.groupBy(BUCKET).agg(pick("_x").alias("_bm"))
-    offs = summ.select(BUCKET, pick("_bm").over(Window.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)).alias("_om"))
-    j = local.join(F.broadcast(offs), BUCKET, "left")  # one row a bucket
+    summ = local.groupBy(*keys, BUCKET).agg(pick("_x").alias("_bm"))
+    prior = Window.partitionBy(*keys).orderBy(BUCKET) if keys else Window.orderBy(BUCKET)
+    offs = summ.select(*keys, BUCKET, pick("_bm").over(prior.rowsBetween(Window.unboundedPreceding, -1)).alias("_om"))
+    j = _null_safe_join(local, offs, [*keys, BUCKET], hint_broadcast=not keys)  # without keys one row a bucket
     return seq.with_df(j.withColumn(name, of_two("_lm", "_om")).drop("_x", "_lm", "_om"))
 
 

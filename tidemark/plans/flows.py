@@ -145,10 +145,10 @@ def e02(spark, sf_dir):
 
 
 @flow("e03_tree_since_drift")
-def e03(spark, sf_dir):
+def e03(spark, sf_dir, alarms=None):
     """The tree refit on the rows after the last validated drift."""
     seq = sequenced_trips(spark, sf_dir)
-    start = chain(spark, sf_dir).where("validated").agg(F.max("i")).first()[0]
+    start = (alarms or chain)(spark, sf_dir).where("validated").agg(F.max("i")).first()[0]
     model = mo.fit_tree_since(seq.df, "gidx", int(start if start is not None else -1) + 1, numeric=["is_weekend"], categorical=[], ignore=(),
                               max_depth=1, min_instances=1)
     return model.transform(seq.df).select("seq", r6("prediction").alias("prediction"))
@@ -241,21 +241,21 @@ def g01(spark, sf_dir):
 
 
 @flow("g13_alarm_chain")
-def g13(spark, sf_dir):
+def g13(spark, sf_dir, chain=chain):
     c = chain(spark, sf_dir)
     return c.select("type", "i", "detector", r6("score").alias("score"), "validated", "direction", r6("rel_shift").alias("rel_shift"),
                     r6("effect").alias("effect"), "action")
 
 
 @flow("g12_retrain_flag")
-def g12(spark, sf_dir):
+def g12(spark, sf_dir, chain=chain):
     c = chain(spark, sf_dir)
     a, b = dr.retrain_flag(c), dr.retrain_flag(c, promoted_at=10 ** 12)
     return a.withColumn("state", F.lit("before promotion")).unionByName(b.withColumn("state", F.lit("after promotion")))
 
 
 @flow("e12_metric_log_alarms")
-def e12(spark, sf_dir):
+def e12(spark, sf_dir, chain=chain):
     """The metric log with the alarm chain's validated drifts and the PSI flags up to each step."""
     from tidemark.plans.catalog import _psi_time
 
@@ -280,7 +280,7 @@ def g10(spark, sf_dir):
 
 # --------------------------------------------------------------------- monitoring
 @flow("h05_metric_export")
-def h05(spark, sf_dir):
+def h05(spark, sf_dir, chain=chain):
     seq = memory_predictions(sequenced_trips(spark, sf_dir))
     scored = seq.with_df(ev.with_errors(seq.df))
     rm = ev.rolling_metrics(ev.prequential(scored))
@@ -302,14 +302,14 @@ def h05(spark, sf_dir):
 
 
 @flow("h08_status_full")
-def h08(spark, sf_dir):
+def h08(spark, sf_dir, chain=chain, version=lambda spark, sf_dir: "v1"):
     """The whole status row; maps and lists are written out as text, in order (PSI in ten-thousandths)."""
     seq = memory_predictions(sequenced_trips(spark, sf_dir))
     scored = seq.with_df(ev.with_errors(seq.df))
     rm = ev.rolling_metrics(ev.prequential(scored))
     events = chain(spark, sf_dir).select("type", "i", "validated", "direction", "action")
     totals = scored.df.agg(F.count(F.lit(1)).alias("samples_processed"), F.count("target").alias("labeled_samples"),
-                           F.lit("v1").alias("model_version"), F.lit(1).alias("_one"))
+                           F.lit(version(spark, sf_dir)).alias("model_version"), F.lit(1).alias("_one"))
     totals = totals.join(dr.retrain_flag(events).withColumn("_one", F.lit(1)), "_one").drop("_one")  # two one-row frames
     psi = ps.psi_categorical(seq.df.where("lidx < 5000"), seq.df.where("lidx >= 5000"), ["pu_borough", "ratecode"])
     log, counts = dr.drift_log(events)

@@ -103,7 +103,7 @@ def zone_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (key * 10 + F.col("v.x")).alias("x"), (key * 5 + F.col("v.y")).alias("y")))
 
 
-def error_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+def error_series(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
     ev = read_table(spark, sf_dir, "events")
     step = F.when(F.col("event_id") >= ERROR_STEP_AT, F.lit(ERROR_STEP)).otherwise(F.lit(0.0))
-    return ev.select(F.col("event_id").alias("i"), F.col("ts"), (F.abs(F.col("value") - 50) + step).alias("err"))
+    return ev.select(F.col("event_id").alias("i"), F.col("ts"), (F.abs(F.col("value") - 50) + step).alias("err"), *keep)
