@@ -161,3 +161,27 @@ def test_chat_digests_match_sql(spark):
     problems, left, _ = compare(spark, "op6", QUERIES["op6_chat_format"], ORACLE_SQL["op6_chat_format"], "/root/testdata/sf0.001")
     assert not problems, problems
     assert -1 in set(left.conv_id)
+
+
+def test_long_conversation_grows_in_proportion(spark):
+    """32,000 turns of one conversation: formatted, written, read back."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.chat_format import format_chats, read_back, text_parts
+    from tidemark.llm.support import scratch
+
+    def seconds(n):
+        turns = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"),
+                                      F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"),
+                                      text_parts(F.concat(F.lit("ä</s> "), F.col("id").cast("string"))).alias("parts"))
+        begin = time.time()
+        with scratch(spark, "long-chat") as s:
+            row = read_back(s.table(format_chats(turns), "formatted")).first()
+        assert len(row["turns"]) == n and row["turns"][n - 1]["text"] == f"ä</s> {n - 1}"
+        assert row["loss_text"] == "".join(f"ä</s> {i}" for i in range(1, n, 2))
+        return time.time() - begin
+
+    seconds(100)
+    assert seconds(32_000) < 8 * max(seconds(4_000), 1.0)

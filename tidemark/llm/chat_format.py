@@ -15,7 +15,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -104,34 +104,44 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
                            lambda p: F.struct(p["type"].alias("type"), p["ref"].alias("ref"), part_tokens(p, template).alias("tokens")))
     flat = flat.select("conv_id", F.struct(
         "turn", "role", F.concat_ws(template.part, F.transform("parts", lambda p: visit_part(p, template))).alias("body"), attached.alias("attached")).alias("t"))
-    chats = flat.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-
-    head = lambda t: F.concat(F.lit(template.turn), escape(t["role"], template), F.lit(template.body))
-    # one pass over the turns: where each starts, and the ranges that count for the loss
-    walk = F.aggregate(
-        "turns", F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("mask")),
-        lambda acc, t: F.struct(
-            (acc["at"] + F.length(head(t)) + F.length(t["body"]) + len(template.end)).cast("bigint").alias("at"),
-            F.when(t["role"] == template.loss_role, F.concat(acc["mask"], F.array(F.struct(
-                (acc["at"] + F.length(head(t))).cast("bigint").alias("start"),
-                (acc["at"] + F.length(head(t)) + F.length(t["body"])).cast("bigint").alias("end")))))
-            .otherwise(acc["mask"]).alias("mask")),
-        lambda acc: acc["mask"])
-    attachments = F.flatten(F.transform("turns", lambda t, i: F.transform(
-        t["attached"], lambda a: F.struct(i.cast("int").alias("turn_index"), a["type"].alias("type"), a["ref"].alias("ref"), a["tokens"].alias("tokens")))))
-    out = chats.select("conv_id", F.concat_ws("", F.transform("turns", lambda t: F.concat(head(t), t["body"], F.lit(template.end)))).alias("formatted"),
-                       walk.alias("loss_mask"), attachments.alias("attachments"))
+    head = F.concat(F.lit(template.turn), escape(F.col("t.role"), template), F.lit(template.body))
+    flat = flat.select("conv_id", "t", head.alias("head"), F.length("t.body").cast("bigint").alias("long"))
+    order = Window.partitionBy("conv_id").orderBy("t")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    size = F.length("head") + F.col("long") + len(template.end)
+    start = F.coalesce(F.sum(size).over(before), F.lit(0)) + F.length("head")
+    laid = flat.select("conv_id", F.struct(
+        F.row_number().over(order).alias("place"), F.concat("head", "t.body", F.lit(template.end)).alias("piece"), F.col("t.attached").alias("attached"),
+        F.when(F.col("t.role") == template.loss_role, F.struct(start.alias("start"), (start + F.col("long")).alias("end"))).alias("mask")).alias("u"))
+    chats = laid.groupBy("conv_id").agg(F.sort_array(F.collect_list("u")).alias("turns"))
+    attachments = F.flatten(F.transform("turns", lambda u: F.transform(
+        u["attached"], lambda a: F.struct((u["place"] - 1).alias("turn_index"), a["type"].alias("type"), a["ref"].alias("ref"), a["tokens"].alias("tokens")))))
+    out = chats.select("conv_id", F.concat_ws("", "turns.piece").alias("formatted"),
+                       F.filter("turns.mask", lambda m: m.isNotNull()).alias("loss_mask"), attachments.alias("attachments"))
     return out.withColumn("expanded_tokens", F.aggregate("attachments", F.lit(0).cast("bigint"), lambda n, a: n + a["tokens"]))
 
 
 def read_back(formatted: DataFrame, template: ChatTemplate = ChatTemplate()) -> DataFrame:
-    """``formatted`` with ``turns`` (array of role and text) and ``loss_text`` (unescaped
-    text under the mask) read from the formatted text alone; attachment placeholders stay in the texts."""
+    """``formatted`` (a row a ``conv_id``) with ``turns`` (array of role and text) and ``loss_text``
+    (unescaped text under the mask) read from the formatted text alone; attachment placeholders stay in the texts.
+
+    The text is cut once at its turn marks; running lengths tell where each body
+    starts, and the mask's ranges, which are whole bodies, are joined on that. Read a
+    written table: a text that is still to be built would be built for both sides.
+    """
     quoted = lambda x: r"\Q" + x + r"\E"
     plain = lambda x: unescape(F.replace(x, F.lit(template.part), F.lit("")))
-    one = lambda x: F.split(F.regexp_replace(x, quoted(template.end) + r"\z", ""), quoted(template.body), 2)
-    pieces = F.filter(F.split("formatted", quoted(template.turn)), lambda x: x != "")
-    turns = F.transform(pieces, lambda x: F.struct(unescape(F.get(one(x), F.lit(0))).alias("role"), plain(F.get(one(x), F.lit(1))).alias("text")))
-    masked = F.transform("loss_mask", lambda m: plain(F.substring(
-        F.col("formatted"), (m["start"] + 1).cast("int"), (m["end"] - m["start"]).cast("int"))))
-    return formatted.withColumn("turns", turns).withColumn("loss_text", F.concat_ws("", masked))
+    pieces = formatted.select("conv_id", F.posexplode(F.filter(F.split("formatted", quoted(template.turn)), lambda x: x != "")).alias("place", "x"))
+    cut = F.split(F.regexp_replace("x", quoted(template.end) + r"\z", ""), quoted(template.body), 2)
+    pieces = pieces.select("conv_id", "place", (F.length("x") + len(template.turn)).cast("bigint").alias("long"),
+                           F.get(cut, F.lit(0)).alias("role"), F.coalesce(F.get(cut, F.lit(1)), F.lit("")).alias("body"))
+    before = Window.partitionBy("conv_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.coalesce(F.sum("long").over(before), F.lit(0)) + len(template.turn) + F.length("role") + len(template.body)
+    pieces = pieces.withColumn("at", at)
+    masks = formatted.select(F.col("conv_id").alias("of"), F.explode("loss_mask").alias("m")).select("of", "m.start", F.col("m.end").alias("stop"))
+    both = pieces.join(masks, pieces.conv_id.eqNullSafe(masks.of) & (pieces.at == masks.start), "left")
+    masked = F.when(F.col("start").isNotNull(), plain(F.substring(F.col("body"), F.lit(1), (F.col("stop") - F.col("start")).cast("int"))))
+    turn = F.struct("place", F.struct(unescape(F.col("role")).alias("role"), plain(F.col("body")).alias("text")).alias("turn"), masked.alias("masked"))
+    read = both.groupBy(F.col("conv_id").alias("of")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    read = read.select("of", F.col("turns.turn").alias("turns"), F.concat_ws("", "turns.masked").alias("loss_text"))
+    return formatted.join(read, formatted.conv_id.eqNullSafe(read.of)).drop("of")

@@ -20,6 +20,7 @@ from tidemark.llm.periodic_runs import periodic_runs, run_digest
 from tidemark.llm.secrets import scan_secrets
 from tidemark.llm.sharding import shard_documents
 from tidemark.llm.simhash import simhash_dedup
+from tidemark.llm.support import operator_conf, scratch
 from tidemark.llm.token_counts import token_counts
 from tidemark.llm.toxicity import score_toxicity
 
@@ -54,11 +55,13 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = spark.createDataFrame([(-1, t, r, "</s>[INST] ok [/INST]") for t, r in enumerate(("user", "assistant"))],
                                   "conv_id bigint, turn bigint, role string, text string")
     turns = turns.unionByName(probe).select("conv_id", "turn", "role", text_parts(F.col("text")).alias("parts"))
-    back = read_back(format_chats(turns))
     written = F.concat_ws("", F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))
-    return back.select("conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(written, 256).alias("turns_sha256"),
-                       F.length("loss_text").cast("bigint").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"),
-                       F.length("formatted").cast("bigint").alias("formatted_chars"))
+    with scratch(spark, "chats") as s, operator_conf(spark):
+        back = read_back(s.table(format_chats(turns), "formatted"))
+        out = back.select("conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(written, 256).alias("turns_sha256"),
+                          F.length("loss_text").cast("bigint").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"),
+                          F.length("formatted").cast("bigint").alias("formatted_chars"))
+        return s.table(out, "digests", keep=True)
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
