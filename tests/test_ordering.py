@@ -147,3 +147,23 @@ def test_group_limit_is_exact_on_a_hot_group(spark):
     got = first_n_per_group(df, ["k"], ["id"], 30, parts=4, descending=True).collect()
     assert sorted(r["id"] for r in got if r["k"] == "a") == [i for i in range(4900, 5000) if i % 50][-30:]
     assert sorted(r["id"] for r in got if r["k"] == "b") == list(range(3500, 5000, 50))
+
+
+def test_selection_by_sketches_sorts_nothing(spark, monkeypatch):
+    """Narrowing rounds with small ranges, heavy values at a range's ends, infinities and NaN."""
+    import math
+
+    from tidemark.plans import ordering as o
+
+    monkeypatch.setattr(o, "RANGE_ROWS", 50)
+    monkeypatch.setattr(o, "SKETCH_ACCURACY", 20)
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=4000), np.zeros(3000), np.full(900, 1.5), rng.integers(0, 3, 600), [np.inf, -np.inf]])
+    df = spark.createDataFrame([(float(v),) for v in rng.permutation(x)] + [(None,)], "v double").repartition(5)
+    ranks = [0, 1, 17, 2500, 4300, 5000, 7000, 8000, 8501]
+    got = o.select_ranks(df.where("v IS NOT NULL"), "v", ranks)
+    assert [got[k] for k in ranks] == np.sort(x)[ranks].tolist()
+    two = spark.createDataFrame([(float(i % 2),) for i in range(1000)], "v double")
+    assert o.select_ranks(two, "v", [0, 499, 500, 999]) == {0: 0.0, 499: 0.0, 500: 1.0, 999: 1.0}
+    odd = spark.createDataFrame([(1.0,), (math.nan,), (2.0,)], "v double")
+    assert o.exact_quantiles(odd, "v", [0.0, 0.5])[:2] == [1.0, 2.0] and math.isnan(o.exact_quantiles(odd, "v", [1.0])[0])

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import r6
 from tidemark.operators import drift as dr
+from tidemark.operators import encoders as en
 from tidemark.operators import psi as ps
 from tidemark.operators import scales as sc
 from tidemark.plans import flows
-from tidemark.plans.catalog import QUERIES, _psi_time
+from tidemark.plans.catalog import PSI_CATEGORICAL, PSI_NUMERIC, QUERIES, _psi_time
 from tidemark.plans.ordering import materialize, sequence, with_global_index
+from tidemark.plans.trips import sequenced_trips
 from tidemark.session import remove_paths, scratch_path
 from tidemark.sources import fixtures as fx
 from tidemark.sources import io as sio
@@ -98,6 +100,25 @@ def g13_counts(spark, sf_dir):
     return dr.drift_log(_events(spark, sf_dir))[1]
 
 
+def _psi_schedule(spark, sf_dir):
+    """The whole monitored feature set at every check: numeric and categorical features and the nine encoder columns."""
+    seq = sequenced_trips(spark, sf_dir)
+    te = [en.encoder_name(e, h) for e in en.DEFAULT_ENCODERS for h in en.DEFAULT_HORIZONS]
+    rows = materialize(en.multi_encode(seq)).where("lidx IS NOT NULL").withColumns({c: F.round(c, 6) for c in te})  # equal in SQL up to the last bits: same bin
+    return ps.psi_over_time(rows, "lidx", [*PSI_NUMERIC, *te], PSI_CATEGORICAL, 5000, 2000, 1000, total=rows.count())
+
+
+@flow("g10_psi_schedule")
+def g10(spark, sf_dir):
+    return _psi_schedule(spark, sf_dir).select("check", "feature", r6("psi").alias("psi"))
+
+
+@flow("g11_psi_schedule_flag")
+def g11(spark, sf_dir):
+    f = ps.psi_flag(_psi_schedule(spark, sf_dir).withColumn("psi", F.round("psi", 9)))
+    return f.select("check", r6("max_psi").alias("max_psi"), "feature_drift")
+
+
 def champion_version(spark, sf_dir) -> str:
     """The version that the registry's alias names after the promotion."""
     return str(QUERIES["e11_registry_champion"](spark, sf_dir).first()["version"])

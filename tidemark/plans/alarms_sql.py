@@ -5,7 +5,8 @@ from __future__ import annotations
 from tidemark.operators.scales import BLOCK_ROWS, LEAST_ROWS, ROUNDS, round_constants
 from tidemark.plans.alarms import CHAIN_BLOCK, SEEDS
 from tidemark.plans.flows_sql import CHAIN, FLOWS_SQL
-from tidemark.plans.oracle import ERR, EVENTS, G04, GRID, ORACLE_SQL, R6
+from tidemark.plans.oracle import (_CHECKS, _REF, ENCODERS, ERR, EVENTS, G04, GRID, HORIZONS, ORACLE_SQL, PSI_FEAT, R6, _psi_cat_sql,
+                                   _psi_numeric_sql)
 
 ALARM_SQL: dict[str, str] = {}
 _D = "DECIMAL(38,12)"
@@ -68,6 +69,17 @@ _EVENTS = EVENTS.replace(f"({G04}) v", f"({SCALE_CHAIN}) v")
 for new, old in (("g13_drift_log_alarms", "g13_drift_log"), ("g13_drift_counts_alarms", "g13_drift_counts")):
     ALARM_SQL[new] = ORACLE_SQL[old].replace(EVENTS, _EVENTS)
 
+# the schedule over all monitored features: the encoder columns join the others by row
+_TE = [f"te_{'_'.join(e)}_{h}" for e in ENCODERS for h, _ in HORIZONS]
+_OF = lambda src: src.replace(f"({PSI_FEAT})", "(SELECT * FROM enc)")
+_SCHEDULE = f"""WITH enc AS MATERIALIZED (SELECT f.*, {', '.join('d.' + c for c in _TE)} FROM ({PSI_FEAT}) f JOIN ({ORACLE_SQL['d07_multi_encode']}) d USING (seq)),
+{_psi_numeric_sql(_OF(_REF), _OF(_CHECKS), ['passenger_count', 'pickup_hour', 'gc_distance_km', *_TE], '"check"')},
+{_psi_cat_sql(_REF, _CHECKS, ['pu_borough', 'ratecode'], '"check"')},
+allp AS (SELECT * FROM psi_n UNION ALL SELECT * FROM psi_c)"""
+ALARM_SQL["g10_psi_schedule"] = f"""{_SCHEDULE} SELECT "check", feature, {R6('psi')} AS psi FROM allp"""
+ALARM_SQL["g11_psi_schedule_flag"] = f"""{_SCHEDULE} SELECT "check", {R6('max(psi)')} AS max_psi, max(psi) > 0.2e0 AS feature_drift
+FROM allp GROUP BY "check" """
+
 
 def _mixed(v: str, number: int) -> str:
     h = f"(({v} * m{number} + c{number}) % {(1 << 31) - 1})"

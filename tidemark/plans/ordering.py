@@ -348,20 +348,91 @@ def bounded_broadcast(df: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
     return F.broadcast(df) if size <= max_bytes else df
 
 
+#: Rows of a value range that is sorted; wider ranges are narrowed first.
+RANGE_ROWS = 1 << 16
+SKETCH_ACCURACY = 2000  # ranks of the quantile sketch err by at most 1 / this of the rows
+
+
+def select_ranks(df: DataFrame, col: str, ranks: Sequence[int]) -> dict[int, float]:
+    """The values at 0-based ``ranks`` of the numbers in ``col`` (no nulls or NaN), without a sort of them.
+
+    Each wanted rank has a value range that holds it for certain. A pass counts the
+    rows below and inside every range and sketches its quantiles (mergeable
+    summaries with a rank error bound), which narrow the range by the sketch's
+    accuracy. Ranges of at most ``RANGE_ROWS`` rows, or of one value, are done: only
+    their distinct values and counts are read.
+    """
+    x = F.col(col)
+    lo, hi = (F.min(x), F.max(x))
+    first = df.agg(lo.alias("lo"), hi.alias("hi"), F.count(x).alias("n")).first()
+    bounds = {k: (first["lo"], first["hi"]) for k in set(ranks)}
+    below, inside, out = {k: 0 for k in bounds}, {k: first["n"] for k in bounds}, {}
+    while True:
+        out |= {k: b[0] for k, b in bounds.items() if b[0] == b[1] and k not in out}
+        wide = {b for k, b in bounds.items() if k not in out and inside[k] > RANGE_ROWS}
+        if not wide:
+            break
+        wanted = {b: sorted(k for k, c in bounds.items() if c == b and k not in out) for b in wide}
+        names = {b: f"r{i}" for i, b in enumerate(sorted(wide))}
+        parts = []
+        for b, name in names.items():
+            some = F.when(x.between(F.lit(b[0]), F.lit(b[1])), x)
+            edges = []
+            for k in wanted[b]:
+                at, margin = (k - below[k]) / inside[k], 2 / SKETCH_ACCURACY
+                edges += [max(at - margin, 0.0), min(at + margin, 1.0)]
+            parts.append(F.percentile_approx(some, edges, SKETCH_ACCURACY).alias(name))
+        got = df.agg(*parts).first()
+        tried = {k: tuple(got[names[b]][2 * j:2 * j + 2]) for b in wide for j, k in enumerate(wanted[b])}
+        pairs = sorted(set(tried.values()))
+        counts = df.agg(*[c for i, (p, q) in enumerate(pairs) for c in (F.count_if(x < F.lit(p)).alias(f"b{i}"),
+                                                                      F.count_if(x.between(F.lit(p), F.lit(q))).alias(f"n{i}"))]).first()
+        for k, pair in tried.items():
+            i = pairs.index(pair)
+            if not counts[f"b{i}"] <= k < counts[f"b{i}"] + counts[f"n{i}"]:
+                raise RuntimeError("a quantile sketch missed its error bound")
+            stuck = pair == bounds[k]  # the range's ends are values of so many rows that the sketch cannot part them
+            bounds[k], below[k], inside[k] = pair, counts[f"b{i}"], counts[f"n{i}"]
+            if stuck and pair[0] != pair[1]:
+                _split_at_end(df, x, k, bounds, below, inside)
+    for pair in sorted({bounds[k] for k in bounds if k not in out}):
+        rows = df.where(x.between(F.lit(pair[0]), F.lit(pair[1]))).groupBy(x.alias("v")).count().collect()
+        values = sorted((r["v"], r["count"]) for r in rows)
+        for k in (k for k, b in bounds.items() if b == pair and k not in out):
+            left = k - below[k]
+            for v, n in values:
+                if left < n:
+                    out[k] = v
+                    break
+                left -= n
+    return out
+
+
+def _split_at_end(df: DataFrame, x: Column, k: int, bounds: dict, below: dict, inside: dict) -> None:
+    """Narrow the range of rank ``k`` by its own ends: to the lowest value, the highest one, or what is between."""
+    p, q = bounds[k]
+    between = (x > F.lit(p)) & (x < F.lit(q))
+    r = df.agg(F.count_if(x == F.lit(p)).alias("low"), F.count_if(between).alias("mid"),
+               F.min(F.when(between, x)).alias("a"), F.max(F.when(between, x)).alias("b")).first()
+    if k < below[k] + r["low"]:
+        bounds[k], inside[k] = (p, p), r["low"]
+    elif k < below[k] + r["low"] + r["mid"]:
+        bounds[k], below[k], inside[k] = (r["a"], r["b"]), below[k] + r["low"], r["mid"]
+    else:
+        bounds[k], below[k], inside[k] = (q, q), below[k] + r["low"] + r["mid"], inside[k] - r["low"] - r["mid"]
+
+
 def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], n_buckets: int | None = None) -> list[float | None]:
     """Exact quantiles with linear interpolation (numpy / ``percentile`` /
     ``quantile_cont`` semantics), fully distributed.
 
-    The values are range-partitioned and indexed like any ordered stream (a
-    row id breaks ties, so one very frequent value does not end up in one
-    task); only the two order statistics around each quantile reach the
-    driver. Unlike the ``percentile`` aggregate, no task holds a map of all
-    distinct values.
+    The order statistics around each quantile are selected by mergeable sketches
+    (``select_ranks``): a few aggregations, no sort of the values. Unlike the
+    ``percentile`` aggregate, no task holds a map of all distinct values. NaN
+    ranks above everything; nulls are left out.
     """
-    vals = (df.where(F.col(col).isNotNull())
-            .select(F.col(col).cast("double").alias("_q_v"), F.monotonically_increasing_id().alias("_q_t")))
-    seq = with_global_index(sequence(vals, ["_q_v", "_q_t"], n_buckets, materialize=False), "_q_i")
-    n = seq.df.count()
+    vals = materialize(df.where(F.col(col).isNotNull()).select(F.col(col).cast("double").alias("_q_v")))  # read by every pass
+    n, odd = vals.agg(F.count("*"), F.count_if(F.isnan("_q_v"))).first()
     if n == 0:
         return [None] * len(qs)
     wanted = {}
@@ -370,7 +441,9 @@ def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], n_buckets: int
         lo, hi = int(math.floor(pos)), int(math.ceil(pos))
         wanted[q] = (pos, lo, hi)
     idx = sorted({i for _, lo, hi in wanted.values() for i in (lo, hi)})
-    got = {r["_q_i"]: r["_q_v"] for r in seq.df.where(F.col("_q_i").isin(idx)).select("_q_i", "_q_v").collect()}
+    got = {i: math.nan for i in idx if i >= n - odd}
+    if len(got) < len(idx):
+        got |= select_ranks(vals.where(~F.isnan("_q_v")), "_q_v", [i for i in idx if i < n - odd])
     out = []
     for q in qs:
         pos, lo, hi = wanted[q]
