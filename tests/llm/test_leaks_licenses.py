@@ -134,3 +134,27 @@ def test_licenses_match_brute_force(spark, make_docs, clashing):
 def test_bands_retrieve_with_high_probability():
     # a template makes up a quarter of its window at least when whole: 1 shingle in 4 at 4 or more of them
     assert retrieval_chance(0.25, BANDS) > 0.98 and retrieval_chance(0.375, BANDS) > 0.999
+
+
+def test_common_phrase_joins_no_passages_to_all_items(spark, make_docs, monkeypatch):
+    """A phrase of 60 items in 200 texts; real copies, an item made of common words and its copies are still found."""
+    import random
+
+    from tidemark.llm import decontaminate as d
+
+    r = random.Random(7)
+    own = lambda n: " ".join(f"w{r.randrange(5000)}" for _ in range(n))
+    items = [(i, f"which of the following is {own(18)}") for i in range(60)]
+    form = "answer the next question with yes or no"
+    items += [(100 + i, f"{form} q{i}") for i in range(20)]
+    texts = [f"{own(30)} which of the following is {own(30)}" for _ in range(200)]
+    texts += [f"{own(10)} {items[i][1]} {own(10)}" for i in range(5)] + [f"{own(10)} {form} q3 {own(10)}"]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    made, pairs = [], d.candidate_pairs
+    monkeypatch.setattr(d, "candidate_pairs", lambda *a: made.append((out := pairs(*a)).count()) or out)
+    rows = d.find_leaks(make_docs(texts), bench).collect()
+    assert made[0] <= 5 + 20 + 20  # not 60 items a text
+    got = {(x["doc_id"], x["item_id"]) for x in rows}
+    assert {(200 + i, i) for i in range(5)} <= got
+    assert {(205, 100 + i) for i in range(20)} <= got  # most of each is the form
+    assert not any(doc < 200 for doc, _ in got)

@@ -1,11 +1,15 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-1. Items are cut to word n-grams, all of which are seeds: an edited copy keeps
-   any of them, and the ones over its edits are the rarest of all.
-2. One pass over the corpus cuts passages around places with two seeds within an
-   item's length; passages join items on seeds.
-3. A local alignment of words scores each passage against each item it shares
-   two seeds with (one, for items that have few n-grams).
+1. Items are cut to word n-grams. Seeds are the rare ones, those of at most
+   ``COMMON_ITEMS`` items: an edited copy may keep any of them.
+2. One pass over the corpus cuts passages around places with two n-grams of items
+   within an item's length; passages join items on seeds, so a passage meets
+   at most ``COMMON_ITEMS`` items a seed.
+3. Common n-grams ("which of the following") join nothing by themselves; they count
+   inside a pair that a seed has joined. Only items that consist of them, by
+   the share of words that a match needs, are joined on them too.
+4. A local alignment of words scores each passage against each item it shares
+   two n-grams with (one, for items that have few).
 
 The pass looks n-grams up in a bitmap of fixed size, which only saves work:
 what passes it is joined with the n-grams themselves.
@@ -23,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.shipping import ship_by_value
-from tidemark.llm.support import operator_conf, row_key, scratch
+from tidemark.llm.support import Scratch, operator_conf, row_key, scratch
 
 ship_by_value(__name__)
 
@@ -32,6 +36,8 @@ WORD = re.compile(r"\w+")
 CACHE_WORDS = 500_000
 #: Bits of the n-gram bitmaps: 4 MB in a task.
 BITMAP_BITS = 25
+#: Items that may share an n-gram for it to be a seed.
+COMMON_ITEMS = 8
 #: Weights of an n-gram's words (odd, fixed values).
 WEIGHTS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F,
            0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)
@@ -181,6 +187,30 @@ def _align_batches(least: float):
     return run
 
 
+def candidate_pairs(scratch: Scratch, passages: DataFrame, known: DataFrame, n: int, stretch: int, min_score: float) -> DataFrame:
+    """``(passage, item_key, sure, needed)``: pairs that share a seed and may share ``needed`` n-grams;
+    ``sure`` if their seeds alone are as many.
+
+    ``passages(passage, seeds)`` hold n-grams of items, ``known(item_key, words, grams)`` the items.
+    """
+    grams = known.select("item_key", F.explode(F.array_distinct("grams")).alias("gram"))
+    often = grams.groupBy("gram").agg(F.count("*").alias("items")).select(F.col("gram").alias("of"), (F.col("items") > COMMON_ITEMS).alias("common"))
+    grams = scratch.table(grams.join(often, F.col("gram") == F.col("of")).drop("of"), "grams", few=True)
+    shared = grams.where("common").groupBy("item_key").agg(F.collect_list("gram").alias("common"))  # an item's own n-grams
+    there = known.join(shared, "item_key", "left").withColumn("common", F.coalesce("common", F.array().cast("array<bigint>")))
+    covered = F.array_distinct(F.flatten(F.transform(F.filter(
+        F.transform("grams", lambda g, i: F.when(F.array_contains("common", g), i)), lambda i: i.isNotNull()), lambda i: F.sequence(i, i + n - 1))))
+    per_item = scratch.table(there.select(
+        "item_key", F.least(F.ceil(F.size(F.array_distinct("grams")) / stretch), F.lit(2)).alias("needed"), (F.size("common") > 0).alias("some"),
+        (F.size(covered) >= min_score * F.size("words")).alias("mostly")).where("needed > 0"), "needs", few=True)
+    held = passages.select("passage", F.explode("seeds").alias("gram")).distinct()
+    by_seed = held.join(grams.where("NOT common"), "gram").groupBy("passage", "item_key").agg(F.count("*").alias("shared")).join(per_item, "item_key")
+    by_seed = by_seed.where("shared >= needed OR some").select("passage", "item_key", (F.col("shared") >= F.col("needed")).alias("sure"), "needed")
+    made_of = grams.where("common").join(per_item.where("some AND mostly"), "item_key")
+    by_common = held.join(made_of, "gram").select("passage", "item_key", F.lit(False).alias("sure"), "needed").distinct()
+    return by_seed.unionByName(by_common).groupBy("passage", "item_key").agg(F.max("sure").alias("sure"), F.min("needed").alias("needed"))
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id",
                item_text_col: str = "text", n: int = 3, stretch: int = 4, min_score: float = 0.5) -> DataFrame:
     """Texts that hold an item, also edited: ``doc_key, doc_id, item_id, score, word_start, word_end``.
@@ -188,9 +218,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     One row per text and item, the best place. ``score`` is the alignment's
     (match 2, mismatch and gap -1) as a share of the item against itself, at
     least ``min_score``; words are runs of letters, digits and underscores in lower
-    case. A copy is found if it keeps two n-grams of its item, or one if the item
-    has no more than ``stretch``; items of fewer than ``n`` words never are. Null and empty texts
-    hold nothing; null or repeated ids are kept apart by ``doc_key`` (a digest
+    case. A copy is found if it keeps two n-grams of its item (one if the item has no
+    more than ``stretch``), of them one that at most ``COMMON_ITEMS`` items have, unless common
+    n-grams cover ``min_score`` of the item's words; items of fewer than ``n`` words never are.
+    Null and empty texts hold nothing; null or repeated ids are kept apart by ``doc_key`` (a digest
     of id and text), and repeated rows give one row together. Either table
     empty gives no rows; other columns are not read.
     """
@@ -204,18 +235,17 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     with scratch(spark, "leaks") as s, operator_conf(spark):
         known = s.table(bench.mapInArrow(_item_batches(n), f"item_key string, item_id {item_kind}, words array<string>, grams array<bigint>")
                         .dropDuplicates(["item_key"]), "items", few=True)
-        seeds = s.table(known.select("item_key", F.explode(F.array_distinct("grams")).alias("gram")), "seeds", few=True)
-        per_item = known.select("item_key", F.least(F.ceil(F.size(F.array_distinct("grams")) / stretch), F.lit(2)).alias("needed")).where("needed > 0")
+        least = known.where(F.size("grams") > 0).agg(F.min(F.size(F.array_distinct("grams")))).first()[0]
         reach = int(known.agg(F.max(F.size("words"))).first()[0] or 1)  # words of the longest item
-        at_least = int(per_item.agg(F.min("needed")).first()[0] or 2)
-        passages = texts.mapInArrow(_passage_batches(n, sc.broadcast(_bitmap(seeds.select("gram"))), reach, at_least),
+        at_least = min(-(-(least or 2 * stretch) // stretch), 2)
+        bits = sc.broadcast(_bitmap(known.select(F.explode("grams").alias("gram"))))
+        passages = texts.mapInArrow(_passage_batches(n, bits, reach, at_least),
                                     f"doc_key string, doc_id {doc_kind}, start bigint, words array<string>, seeds array<bigint>")
         passages = s.table(passages.withColumn("passage", F.sha2(F.concat("doc_key", F.lit(":"), F.col("start").cast("string")), 256)), "passages")
-        shared = (passages.select("passage", F.explode("seeds").alias("gram")).distinct().join(seeds, "gram")
-                  .groupBy("passage", "item_key").agg(F.count("*").alias("shared")).join(per_item, "item_key").where("shared >= needed"))
-        pairs = s.table(shared.select("passage", "item_key"), "pairs", few=True)
-        ready = (pairs.join(known.select("item_key", "item_id", F.col("words").alias("item_words")), "item_key")
-                 .join(passages.dropDuplicates(["passage"]).drop("seeds"), "passage"))
+        pairs = s.table(candidate_pairs(s, passages, known, n, stretch, min_score), "pairs", few=True)
+        ready = (pairs.join(known.select("item_key", "item_id", "grams", F.col("words").alias("item_words")), "item_key")
+                 .join(passages.dropDuplicates(["passage"]), "passage")
+                 .where(F.col("sure") | (F.size(F.array_intersect("seeds", "grams")) >= F.col("needed"))))
         scored = ready.select("doc_key", "doc_id", "item_id", "start", "words", "item_words").mapInArrow(_align_batches(min_score), result_schema)
         best = scored.groupBy("doc_key", "item_id").agg(
             F.max_by(F.struct("doc_id", "score", "word_start", "word_end"), F.struct("score", -F.col("word_start"))).alias("b"))
