@@ -6,6 +6,12 @@ near vectors share long prefixes and end up close in some pass. Verified pairs
 of all passes are joined to components. Equal vectors are one node, so copies
 never fill a window.
 
+The first bits of an order make a cell. A pair at the threshold shares the cell
+of some pass with the stated chance, whatever lies around it, and a cell of no
+more rows than a window is compared completely by it. Crowded cells (dense
+topics) are dealt to blocks, and every pair of blocks that may hold a link
+between different components is compared in a task of its own.
+
 A component can be denser than a window, so its links are then counted
 exactly: its members are dealt to blocks, every pair of blocks is compared in
 a task of its own, and only counts leave the task.
@@ -14,6 +20,7 @@ a task of its own, and only counts leave the task.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +37,8 @@ ship_by_value(__name__)
 
 #: Members of a block when the links of a component are counted.
 BLOCK = 512
+#: Members of a block when a crowded cell is compared, and rows compared at once.
+CELL_BLOCK, STRIP = 2048, 256
 
 
 def _normal_form(dtype: str):
@@ -47,7 +56,17 @@ def _normal_form(dtype: str):
     return run
 
 
-def _codes(dtype: str, numbers: list[int], bits: int, seed: int):
+def _order_plan(n: int, threshold: float, recall: float, passes: int, bits: int) -> tuple[int, int]:
+    """(passes, bits of a cell) with which a pair at ``threshold`` shares a cell
+    of some pass with chance ``recall``; the more vectors, the more of both."""
+    agree = min(max(1 - math.acos(min(max(threshold, -1.0), 1.0)) / math.pi, 0.01), 1 - 1e-6)
+    shared = math.floor(math.log(1 - (1 - recall) ** (1 / passes)) / math.log(agree))
+    cell = min(max(shared, math.ceil(math.log2(max(n, 1) / CELL_BLOCK)), 1), bits)
+    return max(passes, math.ceil(math.log(1 - recall) / math.log(1 - agree ** cell))) if cell > shared else passes, cell
+
+
+def _codes(dtype: str, numbers: list[int], bits: int, cell: int, seed: int, light: bool = False):
+    """Rows of every pass: ``cell, code, node, vec``, or ``cell, node`` if ``light``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
         for b in batches:
@@ -63,10 +82,13 @@ def _codes(dtype: str, numbers: list[int], bits: int, seed: int):
                 head = m.shape[1].to_bytes(4, "big")
                 nodes, vecs = b.column("node").take(pa.array(rows)), b.column("vec").take(pa.array(rows))
                 for n, p in zip(numbers, planes[size], strict=True):
-                    signs = np.packbits(m @ p > 0, axis=1)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([head + n.to_bytes(2, "big") + s.tobytes() for s in signs], pa.binary()), nodes, vecs],
-                        ["code", "node", "vec"])
+                    above, name = m @ p > 0, head + n.to_bytes(2, "big")
+                    cells = pa.array([name + s.tobytes() for s in np.packbits(above[:, :cell], axis=1)], pa.binary())
+                    if light:
+                        yield pa.RecordBatch.from_arrays([cells, nodes], ["cell", "node"])
+                        continue
+                    codes = pa.array([s.tobytes() for s in np.packbits(above, axis=1)], pa.binary())
+                    yield pa.RecordBatch.from_arrays([cells, codes, nodes, vecs], ["cell", "code", "node", "vec"])
     return run
 
 
@@ -137,6 +159,57 @@ def _compare_windows(dtype: str, window: int, least: float):
     return run
 
 
+def _compare_blocks(dtype: str, least: float):
+    """Links between different components of two blocks (of one, if all rows are on the left)."""
+    def run(table: pa.Table) -> pa.Table:
+        raw = table.column("vec").to_pylist()
+        m = _scaled(np.frombuffer(b"".join(raw), dtype).reshape(len(raw), -1))
+        names, comp = np.unique(np.array(table.column("component").to_pylist()), return_inverse=True)
+        left = table.column("on_left").to_numpy()
+        at = np.flatnonzero(left)
+        to = at if left.all() else np.flatnonzero(~left)
+        found = []
+        for i in range(0, len(at), STRIP):
+            rows = at[i:i + STRIP]
+            near = _cosines(m[rows], m[to]) >= least
+            near &= comp[rows][:, None] != comp[to][None, :]
+            p, q = np.nonzero(near)
+            found.append(np.unique(comp[rows][p] * len(names) + comp[to][q]))
+        pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        links = forest(zip((pairs // len(names)).tolist(), (pairs % len(names)).tolist(), strict=True))
+        return pa.table({"a": pa.array([str(names[x]) for x, _ in links], pa.string()),
+                         "b": pa.array([str(names[y]) for _, y in links], pa.string())})
+    return run
+
+
+def _crowded_links(s, nodes: DataFrame, cells: DataFrame, comps: DataFrame, dtype: str, least: float, label: str) -> DataFrame:
+    """All links between components inside crowded cells.
+
+    ``cells`` has ``cell, node, rows`` (the rows of the cell). A component with
+    a block's worth of rows in a cell gets blocks of its own, which are not
+    compared with each other; vectors travel only for pairs of blocks.
+    """
+    crowd = cells.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sizes = crowd.groupBy("cell", "component").agg(F.count("*").alias("size"))
+    large = F.col("size") >= CELL_BLOCK
+    number = F.when(large, F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / CELL_BLOCK))).otherwise(
+        F.pmod(F.xxhash64("component"), F.ceil(F.col("rows") / CELL_BLOCK)))
+    block = F.struct(F.when(large, F.col("component")).otherwise(F.lit("")).alias("owner"), number.alias("number"))
+    dealt = s.table(crowd.join(sizes, ["cell", "component"]).select("cell", "node", "component", block.alias("block")), f"dealt{label}", few=True)
+    blocks = dealt.select("cell", "block").distinct()
+    pairs = (blocks.withColumnRenamed("block", "p").join(blocks.withColumnRenamed("block", "q"), "cell")
+             .where("p <= q AND (p.owner <> q.owner OR p.owner = '')"))
+    sides = pairs.select("cell", "p", "q", F.col("p").alias("block")).union(
+        pairs.where("p <> q").select("cell", "p", "q", F.col("q").alias("block")))
+    met = (dealt.join(sides, ["cell", "block"])
+           .select("cell", "p", "q", "node", "component", (F.col("block") == F.col("p")).alias("on_left"))
+           .join(nodes.select("node", "vec"), "node"))
+    found = met.groupBy("cell", "p", "q").applyInArrow(_compare_blocks(dtype, least), "a string, b string")
+    out = s.table(found, f"crowded{label}", few=True)
+    s.drop(dealt)
+    return out
+
+
 def _count_blocks(dtype: str, least: float):
     def run(table: pa.Table) -> pa.Table:
         p, q = table.column("p")[0].as_py(), table.column("q")[0].as_py()
@@ -158,7 +231,8 @@ def _count_blocks(dtype: str, least: float):
 
 
 def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95,
-                    passes: int = 24, window: int = 48, bits: int = 64, seed: int = 7, passes_per_job: int = 6) -> DataFrame:
+                    passes: int = 24, window: int = 48, bits: int = 64, seed: int = 7, passes_per_job: int = 6,
+                    recall: float = 0.995) -> DataFrame:
     """Near-duplicate classes of vectors by cosine in double precision.
 
     Returns ``vec_id, n_links, component_id, kept`` per row: the number of
@@ -168,9 +242,11 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     never link. Null ids never name a component unless it has no other. Repeated rows count as
     rows of their own. No rows give no rows; other columns are not read.
 
-    The search is approximate (a pair must come within ``window`` places in one
-    of ``passes`` orders); what it links is verified, and links inside a found
-    component are counted completely.
+    The search is approximate: a pair at ``threshold`` is compared with a chance
+    of at least ``recall``, a nearer one with a greater, in dense topics too.
+    ``passes`` is the least number of orders; above about 2 ** 26 different vectors
+    there are more. What is linked is verified, and links inside a found component
+    are counted completely.
     """
     spark = vectors.sparkSession
     element = vectors.schema[vector_col].dataType.elementType
@@ -183,15 +259,29 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         nodes = s.table(rows.where("node is not null").groupBy("node").agg(
             F.min("vec").alias("vec"), F.count("*").alias("copies"), F.min("vec_id").alias("first_id")), "nodes", few=True)
         width = 2 * shuffle_width(spark)
+        passes, cell = _order_plan(nodes.count(), threshold, recall, passes, bits)
+        parts = [list(range(i, min(i + passes_per_job, passes))) for i in range(0, passes, passes_per_job)]
+        light = nodes.select("node", "vec")
+        cells = [light.mapInArrow(_codes(dtype, numbers, bits, cell, seed, light=True), "cell binary, node string") for numbers in parts]
+        crowded = [s.table(c.groupBy("cell").agg(F.count("*").alias("rows")).where(F.col("rows") > window), f"crowded-cells{i}", few=True)
+                   for i, c in enumerate(cells)]
         links = None
-        for i in range(0, passes, passes_per_job):
-            numbers = list(range(i, min(i + passes_per_job, passes)))
-            coded = nodes.select("node", "vec").mapInArrow(_codes(dtype, numbers, bits, seed), "code binary, node string, vec binary")
-            near = (coded.repartitionByRange(width, "code").sortWithinPartitions("code")
-                    .mapInArrow(_compare_windows(dtype, window, threshold), "a string, b string"))
+        for i, numbers in enumerate(parts):
+            coded = light.mapInArrow(_codes(dtype, numbers, bits, cell, seed), "cell binary, code binary, node string, vec binary")
+            # a crowded cell is cut, so that no task takes all of a dense topic
+            salt = F.coalesce(F.pmod(F.xxhash64("node", "cell"), F.ceil(F.col("rows") / CELL_BLOCK)), F.lit(0))
+            near = (coded.join(crowded[i], "cell", "left").withColumn("salt", salt).drop("rows")
+                    .repartitionByRange(width, "cell", "salt").sortWithinPartitions("cell", "salt", "code")
+                    .select("node", "vec").mapInArrow(_compare_windows(dtype, window, threshold), "a string, b string"))
             part = s.table(near, f"links{i}", few=True)
             links = part if links is None else links.union(part)
         comps = connected_components(s, links)
+        held = [i for i, c in enumerate(crowded) if not c.isEmpty()]
+        if held:
+            more = links
+            for i in held:
+                more = more.union(_crowded_links(s, nodes, cells[i].join(crowded[i], "cell"), comps, dtype, threshold, str(i)))
+            comps = connected_components(s, more)
         members = s.table(nodes.join(comps, "node"), "members", few=True)
         sizes = members.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
         dealt = members.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
