@@ -2,10 +2,12 @@ import math
 import zlib
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm.embedding_dedup import _reduced, embedding_dedup
+from tidemark.llm.embedding_dedup import _compare_blocks, _order_plan, _reduced, embedding_dedup
 from tidemark.llm.toxicity import BUCKETS, PARTS, Scorer, best_cut, drop_toxic, fit, held_out, layout, score_toxicity, word_parts
 
 SCHEMA = "vec_id bigint, embedding array<float>, label int"
@@ -61,6 +63,63 @@ def test_reduced_pairs_join_the_same_rows():
     assert {frozenset(p) for p in _reduced(near)} == {frozenset((2, 0)), frozenset((5, 0)), frozenset((3, 1))}
 
 
+def topic(n, planted, near, seed=3):
+    """Half of the rows in one cone whose rows meet at cosine ``near``, and pairs just above 0.95 inside it."""
+    rng = np.random.default_rng(seed)
+
+    def unit(x):
+        return x / np.linalg.norm(x, axis=-1, keepdims=True)
+    axis = unit(rng.standard_normal(64))
+    z = rng.standard_normal((n // 2, 64))
+    hot = np.sqrt(near) * axis + np.sqrt(1 - near) * unit(z - np.outer(z @ axis, axis))
+    z = rng.standard_normal((planted, 64))
+    pairs = 0.951 * hot[:planted] + math.sqrt(1 - 0.951 ** 2) * unit(z - (z * hot[:planted]).sum(1, keepdims=True) * hot[:planted])
+    return np.concatenate([hot, pairs, rng.standard_normal((n - n // 2 - planted, 64))])
+
+
+@pytest.mark.parametrize("near", [0.8, 0.9])
+def test_dense_topic_keeps_its_links(spark, near):
+    x = topic(6000, 300, near)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": range(len(x)), "embedding": [v.tolist() for v in x]})).repartition(8)
+    got = embedding_dedup(df).toPandas().sort_values("vec_id")["n_links"].to_numpy()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = (unit @ unit.T >= 0.95).sum(1) - 1
+    assert links.sum() >= 600 and (got <= links).all()
+    assert got.sum() >= 0.99 * links.sum()
+
+
+def test_more_vectors_get_more_orders_and_longer_cells():
+    agree = 1 - math.acos(0.95) / math.pi
+    for n in (0, 1, 10 ** 6, 10 ** 9, 10 ** 11):
+        passes, cell = _order_plan(n, 0.95, 0.995, 24, 64)
+        assert 1 - (1 - agree ** cell) ** passes >= 0.995 - 1e-9 and n / 2 ** cell <= 2048
+    assert _order_plan(10 ** 6, 0.95, 0.995, 24, 64)[0] == 24 < _order_plan(10 ** 11, 0.95, 0.995, 24, 64)[0]
+    for threshold in (-1.0, 0.0, 1.0):
+        assert all(v >= 1 for v in _order_plan(1000, threshold, 0.995, 24, 64))
+
+
+@pytest.mark.parametrize("one_block", [True, False])
+def test_blocks_link_different_components_only(one_block):
+    x = topic(900, 200, 0.9, seed=5)
+    comp = np.array([f"c{i % 350}" for i in range(len(x))])
+    left = np.ones(len(x), bool) if one_block else np.arange(len(x)) % 2 == 0
+    out = _compare_blocks("<f8", 0.95)(pa.table({"vec": [v.tobytes() for v in x], "component": comp, "on_left": left}))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.95
+    if not one_block:
+        near &= left[:, None] & ~left[None, :]
+    i, j = np.nonzero(near)
+    want = {frozenset(p) for p in zip(comp[i], comp[j], strict=True) if p[0] != p[1]}
+
+    def classes(pairs):
+        label = {c: c for c in comp}
+        for a, b in pairs:
+            old, new = label[a], label[b]
+            label = {k: new if v == old else v for k, v in label.items()}
+        return {frozenset(k for k, v in label.items() if v == g) for g in set(label.values())}
+    assert want and classes(map(tuple, want)) == classes(zip(out["a"].to_pylist(), out["b"].to_pylist(), strict=True))
+
+
 def corpus(n=900, seed=8):
     rng = np.random.default_rng(seed)
     words = [f"{a}{b}" for a in ("ka", "lo", "mi", "ne", "ru") for b in ("ta", "so", "pe", "dan", "vor", "lin", "qua")]

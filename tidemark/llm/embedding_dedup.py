@@ -262,26 +262,24 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         passes, cell = _order_plan(nodes.count(), threshold, recall, passes, bits)
         parts = [list(range(i, min(i + passes_per_job, passes))) for i in range(0, passes, passes_per_job)]
         light = nodes.select("node", "vec")
-        cells = [light.mapInArrow(_codes(dtype, numbers, bits, cell, seed, light=True), "cell binary, node string") for numbers in parts]
-        crowded = [s.table(c.groupBy("cell").agg(F.count("*").alias("rows")).where(F.col("rows") > window), f"crowded-cells{i}", few=True)
-                   for i, c in enumerate(cells)]
+        cells = light.mapInArrow(_codes(dtype, list(range(passes)), bits, cell, seed, light=True), "cell binary, node string")
+        crowded = s.table(cells.groupBy("cell").agg(F.count("*").alias("rows")).where(F.col("rows") > window), "crowded-cells", few=True)
         links = None
         for i, numbers in enumerate(parts):
             coded = light.mapInArrow(_codes(dtype, numbers, bits, cell, seed), "cell binary, code binary, node string, vec binary")
             # a crowded cell is cut, so that no task takes all of a dense topic
             salt = F.coalesce(F.pmod(F.xxhash64("node", "cell"), F.ceil(F.col("rows") / CELL_BLOCK)), F.lit(0))
-            near = (coded.join(crowded[i], "cell", "left").withColumn("salt", salt).drop("rows")
+            near = (coded.join(crowded, "cell", "left").withColumn("salt", salt).drop("rows")
                     .repartitionByRange(width, "cell", "salt").sortWithinPartitions("cell", "salt", "code")
                     .select("node", "vec").mapInArrow(_compare_windows(dtype, window, threshold), "a string, b string"))
             part = s.table(near, f"links{i}", few=True)
             links = part if links is None else links.union(part)
         comps = connected_components(s, links)
-        held = [i for i, c in enumerate(crowded) if not c.isEmpty()]
-        if held:
-            more = links
-            for i in held:
-                more = more.union(_crowded_links(s, nodes, cells[i].join(crowded[i], "cell"), comps, dtype, threshold, str(i)))
-            comps = connected_components(s, more)
+        if not crowded.isEmpty():
+            for i, numbers in enumerate(parts):
+                cells = light.mapInArrow(_codes(dtype, numbers, bits, cell, seed, light=True), "cell binary, node string")
+                links = links.union(_crowded_links(s, nodes, cells.join(crowded, "cell"), comps, dtype, threshold, str(i)))
+            comps = connected_components(s, links)
         members = s.table(nodes.join(comps, "node"), "members", few=True)
         sizes = members.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
         dealt = members.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
