@@ -341,3 +341,20 @@ def f09(spark, sf_dir):
     parts = [ev.holdout_metrics(d).select(F.lit(name).alias("part"), r6("mae").alias("mae"), r6("rmse").alias("rmse"), r6("r2").alias("r2"), "n")
              for name, d in (("continual", cont), ("holdout", hold))]
     return parts[0].unionByName(parts[1])
+
+
+#: Setups of the ridge ablation; their statistics are sub-matrices of one Gram matrix.
+RIDGE_SETUPS = {"mean": (), "route": ("gc_distance_km",), "riders": ("passenger_count",), "borough": ("same_borough",),
+                "route + riders": ("gc_distance_km", "passenger_count"), "route + borough": ("gc_distance_km", "same_borough"),
+                "riders + borough": ("passenger_count", "same_borough")}
+
+
+@flow("f10_ridge_setups")
+def f10_ridge(spark, sf_dir):
+    """every ridge setup from one pass over the training rows, scored in one pass."""
+    from tidemark.operators.gram import ridge_subsets
+    from tidemark.plans.catalog import frozen_split
+
+    train, hold = frozen_split(spark, sf_dir)
+    return ridge_subsets(train, hold, RIDGE_SETUPS).select(
+        "setup", "n_features", r6("mae").alias("mae"), r6("r2").alias("r2"), "n")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import math
 
-from tidemark.plans.oracle import (ERR, FEAT, G04, GRID, ORACLE_SQL, R6, SCORED, W_ALL, PRIOR, _ewma, _psi_cat_sql, _psi_numeric_sql, _REF, _CUR, K)
+from tidemark.plans.flows import RIDGE_SETUPS
+from tidemark.plans.oracle import (ERR, FEAT, G04, GRID, HOLD_MEM, ORACLE_SQL, R6, SCORED, W_ALL, PRIOR, _ewma, _psi_cat_sql, _psi_numeric_sql, _REF, _CUR, K)
 from tidemark.sources import fixtures_sql as fx
 
 FLOWS_SQL: dict[str, str] = {}
@@ -142,3 +143,20 @@ p AS (SELECT CASE WHEN gidx < h_start THEN 'continual' ELSE 'holdout' END AS par
   my + w1 * (gc_distance_km - m1) + w2 * (passenger_count - m2) AS q FROM b JOIN w USING (b))
 SELECT part, {R6('avg(abs(target - q))')} AS mae, {R6('sqrt(avg((target - q) * (target - q)))')} AS rmse,
   {R6('1 - sum((target - q) * (target - q)) / (var_pop(target) * count(*))')} AS r2, count(*) AS n FROM p WHERE target IS NOT NULL GROUP BY part"""
+
+
+def _ridge_setup(name: str, features: tuple[str, ...]) -> str:
+    """One row: the setup's ridge fit (closed form for at most two features) scored on the holdout."""
+    a, b = [*features, "0e0", "0e0"][:2]
+    return f"""SELECT '{name}' AS setup, {len(features)} AS n_features, avg(abs(e)) AS mae,
+  1 - sum(e * e) / (CASE WHEN var_pop(target) * count(*) = 0 THEN 1e0 ELSE var_pop(target) * count(*) END) AS r2, count(*) AS n
+FROM (SELECT h.target, h.target - (my + w1 * ({a} - m1) + w2 * ({b} - m2)) AS e FROM hold h CROSS JOIN (
+  SELECT my, m1, m2, (e * d - b * f) / (a * d - b * b) AS w1, (a * f - b * e) / (a * d - b * b) AS w2 FROM (
+    SELECT avg(target) AS my, avg({a}) AS m1, avg({b}) AS m2, covar_pop({a}, {a}) * count(*) + 2e0 AS a, covar_pop({a}, {b}) * count(*) AS b,
+      covar_pop({b}, {b}) * count(*) + 2e0 AS d, covar_pop({a}, target) * count(*) AS e, covar_pop({b}, target) * count(*) AS f
+    FROM train WHERE target IS NOT NULL AND gc_distance_km IS NOT NULL AND passenger_count IS NOT NULL AND same_borough IS NOT NULL) s) w
+  WHERE h.target IS NOT NULL) x WHERE e IS NOT NULL"""
+
+
+FLOWS_SQL["f10_ridge_setups"] = f"""{HOLD_MEM}, u AS ({" UNION ALL ".join(_ridge_setup(k, v) for k, v in RIDGE_SETUPS.items())})
+SELECT setup, n_features, {R6('mae')} AS mae, {R6('r2')} AS r2, n FROM u"""
