@@ -343,7 +343,7 @@ def bounded_broadcast(df: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
     time on the measured size)."""
     try:
         size = estimated_bytes(df)
-    except Exception:  # estimate unavailable (e.g. remote session): do not force
+    except AttributeError:  # a remote session has no handle on the plan: do not force
         return df
     return F.broadcast(df) if size <= max_bytes else df
 
