@@ -15,8 +15,10 @@ read the stream at most about ``log2(rounds) + 2`` times. Where the block before
 alarm, the detector's start is known and only its sums are not: the next
 ``ahead`` blocks are summed up at once for that start, and the summaries, a few
 numbers a block, say up to which of them no alarm can come. So a long quiet stretch takes
-``1 / ahead`` of its blocks in rounds. Streams whose alarms never meet those of
-a scan from elsewhere, with some in each block, need a round a block.
+``1 / ahead`` of its blocks in rounds. Scans from different states come to a shared
+alarm after some five to ten; with that many a block, one to three rounds
+are enough. The slow case is a few alarms a block: then there are up to as many
+rounds as blocks, and the work is still bounded as above. Take longer blocks for it.
 
 All states are whole numbers (errors in millionths), so that sums do not
 depend on the cut into blocks, nor on the partitioning.

@@ -9,6 +9,7 @@ from tidemark.functions.columns import r6
 from tidemark.operators import drift as dr
 from tidemark.operators import encoders as en
 from tidemark.operators import psi as ps
+from tidemark.operators import restarts as rs
 from tidemark.operators import scales as sc
 from tidemark.plans import flows
 from tidemark.plans.catalog import PSI_CATEGORICAL, PSI_NUMERIC, QUERIES, _psi_time
@@ -21,6 +22,7 @@ from tidemark.sources import io as sio
 ALARM_FLOWS: dict = {}
 SEEDS = range(20)
 CHAIN_BLOCK = 500  # rows of the chain's blocks: an alarm waits until a third of the validation window has gone by
+RESTART_BLOCK = 4096  # rows of a block of the detectors that start anew, dozens of alarms here
 ARRIVAL = 4096  # rows of a micro-batch in the streamed query
 
 
@@ -53,6 +55,34 @@ def g01_types(spark, sf_dir):
     return _shown(sc.scale_alarms(with_global_index(seq, "i", keys=["event_type"]).df, series=["event_type"]), "event_type")
 
 
+def _by_type(spark, sf_dir):
+    """The errors with positions counted within the event type."""
+    seq = sequence(fx.error_series(spark, sf_dir, "event_type").withColumnRenamed("i", "at"), ["at"])
+    return with_global_index(seq, "i", keys=["event_type"]).df
+
+
+@flow("g02_page_hinkley_alarms")
+def g02(spark, sf_dir):
+    """Every alarm, the detector starting anew behind each."""
+    return rs.page_hinkley_alarms(fx.error_series(spark, sf_dir), block=RESTART_BLOCK)
+
+
+@flow("g02_page_hinkley_alarms_by_type")
+def g02_types(spark, sf_dir):
+    return rs.page_hinkley_alarms(_by_type(spark, sf_dir), series=["event_type"], block=RESTART_BLOCK)
+
+
+@flow("g03_ddm_alarms")
+def g03(spark, sf_dir):
+    """Every alarm on a large error (more than 60), rows without a value left out."""
+    return rs.ddm_alarms(fx.error_series(spark, sf_dir), F.col("err") > 60, block=RESTART_BLOCK)
+
+
+@flow("g03_ddm_alarms_by_type")
+def g03_types(spark, sf_dir):
+    return rs.ddm_alarms(_by_type(spark, sf_dir), F.col("err") > 60, series=["event_type"], block=RESTART_BLOCK)
+
+
 @flow("g06_permutation_control")
 def g06(spark, sf_dir):
     """False alarms on the same errors in 20 pseudo-random orders."""

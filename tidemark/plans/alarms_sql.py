@@ -51,6 +51,40 @@ _BY_TYPE = f"""SELECT event_type AS series, row_number() OVER (PARTITION BY even
 FROM ({ERR}) e JOIN events v ON e.i = v.event_id"""
 ALARM_SQL["g01_scale_alarms_by_type"] = f"SELECT series AS event_type, {_SHOWN} FROM ({alarms_sql(_BY_TYPE)}) a"
 
+
+def page_hinkley_sql(src: str) -> str:
+    """All alarms on ``src(series, i, err)``, row by row; an alarm starts the next row anew. Errors in millionths."""
+    far = 1 << 62
+    return f"""WITH RECURSIVE e AS MATERIALIZED (SELECT series, i, row_number() OVER (PARTITION BY series ORDER BY i) AS r,
+    CAST(floor(err * 1e6 + 0.5e0) AS BIGINT) AS x FROM ({src}) src WHERE err IS NOT NULL),
+w(series, r, i, n, t, m, low, fired) AS (
+  SELECT DISTINCT series, 0::BIGINT, -1::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, {far}::BIGINT, false FROM e
+  UNION ALL SELECT series, r, i, n, t, m, least(low, m), n >= 30 AND m - least(low, m) > 50e6 FROM (
+    SELECT series, r, i, n, t, m + CAST(floor(x - CAST(t AS DOUBLE) / n - 5e3 + 0.5e0) AS BIGINT) AS m, low FROM (
+      SELECT e.series, e.r, e.i, e.x, if(w.fired, 0, w.n) + 1 AS n, if(w.fired, 0, w.t) + e.x AS t, if(w.fired, 0, w.m) AS m, if(w.fired, {far}, w.low) AS low
+      FROM w JOIN e ON e.series IS NOT DISTINCT FROM w.series AND e.r = w.r + 1) a) b)
+SELECT series, i FROM w WHERE fired"""
+
+
+def ddm_sql(src: str) -> str:
+    """All alarms on ``src(series, i, err)`` (errors over 60), row by row; ``k`` is the row count at the latest minimum, ``c`` its errors."""
+    rate = lambda n, e, f: f"(CAST({e} AS DOUBLE) / {n} + {f} * sqrt(CAST({e} AS DOUBLE) / {n} * (1e0 - CAST({e} AS DOUBLE) / {n}) / {n}))"
+    return f"""WITH RECURSIVE e AS MATERIALIZED (SELECT series, i, row_number() OVER (PARTITION BY series ORDER BY i) AS r,
+    CAST(err > 60 AS BIGINT) AS x FROM ({src}) src WHERE err IS NOT NULL),
+w(series, r, i, n, t, k, c, fired) AS (
+  SELECT DISTINCT series, 0::BIGINT, -1::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, false FROM e
+  UNION ALL SELECT series, r, i, n, t, k, c, k > 0 AND {rate('n', 't', '1e0')} > {rate('greatest(k, 1)', 'c', '3e0')} FROM (
+    SELECT series, r, i, n, t, if(low, n, k) AS k, if(low, t, c) AS c FROM (
+      SELECT *, n >= 30 AND (k = 0 OR {rate('n', 't', '1e0')} <= {rate('greatest(k, 1)', 'c', '1e0')}) AS low FROM (
+        SELECT e.series, e.r, e.i, if(w.fired, 0, w.n) + 1 AS n, if(w.fired, 0, w.t) + e.x AS t, if(w.fired, 0, w.k) AS k, if(w.fired, 0, w.c) AS c
+        FROM w JOIN e ON e.series IS NOT DISTINCT FROM w.series AND e.r = w.r + 1) a) b) d)
+SELECT series, i FROM w WHERE fired"""
+
+
+for _name, _walk in (("g02_page_hinkley_alarms", page_hinkley_sql), ("g03_ddm_alarms", ddm_sql)):
+    ALARM_SQL[_name] = f"SELECT i FROM ({_walk(f"SELECT 'all' AS series, i, err FROM ({ERR}) e")}) a"
+    ALARM_SQL[f"{_name}_by_type"] = f"SELECT series AS event_type, i FROM ({_walk(_BY_TYPE)}) a"
+
 _CHECKED = G04.replace(f"i IN ({GRID})", f"i IN (SELECT i FROM ({CHAIN_ALARMS}) g)")
 SCALE_CHAIN = f"""WITH RECURSIVE chk AS ({_CHECKED}), ev AS (SELECT i FROM chk WHERE validated AND direction = 'worse'),
 alerts(i) AS (SELECT min(i) FROM ev
