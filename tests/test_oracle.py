@@ -13,7 +13,7 @@ from oracle_check import compare
 
 SF = os.environ.get("TIDEMARK_ORACLE_SF", "/root/testdata/sf0.01")
 QUICK = ["a03_prepared_scan", "b07_prepared_trips", "b10_sequential_id", "b11_cleaning_report", "c04_zone_pair", "d05_encode_ewma_gaps",
-         "d07_multi_encode_gaps", "d08_frozen_encoder", "d09_one_hot_scale", "e01_continual_ridge", "e02_tree_stump", "e09_bundle",
+         "d07_multi_encode_gaps", "d08_frozen_encoder", "d09_one_hot_scale", "e01_continual_ridge", "e01_moving_line", "e02_hoeffding_stump_scores", "e02_tree_stump", "e04_member_statistics", "e09_bundle",
          "f02_rolling_metrics", "f06_rolling_segment_hour", "f10_ridge_setups", "f14_autocorr", "flagship_prequential", "g02_page_hinkley_alarms", "g03_ddm_alarms_by_type", "g04_validate_trailing",
          "g08_psi_numeric_gaps", "g10_psi_over_time", "g13_alarm_chain", "h02_encoder_state_stream", "h05_metric_export", "h06_bucket_quantile"]
 NAMES = sorted(E.oracle_sql()) if os.environ.get("TIDEMARK_ORACLE_ALL") else QUICK

@@ -114,6 +114,10 @@ def test_long_stream(spark):
 def test_empty_short_and_constant_streams(spark):
     assert got(rs.page_hinkley_alarms(frame(spark, []).limit(0))) == []
     assert got(rs.page_hinkley_alarms(frame(spark, [1.0, math.nan]))) == []
+    x = stream("busy", 1500)
+    x[::9] = np.nan
+    bad = spark.createDataFrame([(i, float("nan") if i % 2 and v != v else float("inf") if v != v else float(v)) for i, v in enumerate(x)], "i bigint, err double")
+    assert [i for (i,) in got(rs.page_hinkley_alarms(bad, block=700))] == page_hinkley(x) != []
     assert got(rs.ddm_alarms(frame(spark, [1.0] * 500), F.col("err") > 0.5, block=100)) == []
 
 

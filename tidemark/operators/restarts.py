@@ -43,6 +43,7 @@ ship_by_value(__name__)
 
 UNIT = 1_000_000  # errors are taken in millionths
 FAR = 1 << 62
+LARGEST = 9e12  # of an error, and of their sum since the start
 BLOCK_ROWS = 16_384
 AHEAD_BLOCKS = 256
 FIRST_CHUNK, LAST_CHUNK = 256, 65_536  # rows looked at together; doubles while no alarm comes
@@ -317,8 +318,13 @@ def restart_alarms(df: DataFrame, detector, units, idx: str = "i", series: Seque
 
 def page_hinkley_alarms(df: DataFrame, err: str = "err", idx: str = "i", series: Sequence[str] = (), block: int = BLOCK_ROWS,
                         ahead: int = AHEAD_BLOCKS, **params) -> DataFrame:
-    """All Page-Hinkley alarms on ``err``, taken in millionths."""
-    return restart_alarms(df, PageHinkleyUnits(**params), F.floor(F.col(err) * UNIT + 0.5), idx, series, block, ahead)
+    """All Page-Hinkley alarms on ``err``, taken in millionths.
+
+    NaN and infinite errors are absent, like nulls. The errors between two alarms may add up to 9e12.
+    """
+    e = F.col(err).cast("double")
+    units = F.when(F.abs(e) < LARGEST, F.floor(e * UNIT + 0.5))  # NaN is above all numbers
+    return restart_alarms(df, PageHinkleyUnits(**params), units, idx, series, block, ahead)
 
 
 def ddm_alarms(df: DataFrame, is_error, idx: str = "i", series: Sequence[str] = (), block: int = BLOCK_ROWS,

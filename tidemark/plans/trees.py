@@ -1,4 +1,4 @@
-"""Queries on the trees that grow with the stream, and their DuckDB SQL."""
+"""Queries on the learners that move with the stream (trees, forest, least squares with forgetting), and their DuckDB SQL."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import r6
 from tidemark.operators import hoeffding as ht
+from tidemark.operators import recursive as rc
 from tidemark.operators.scales import _P, round_constants
 from tidemark.plans.oracle import PSI_FEAT, R6
 from tidemark.plans.ordering import materialize
@@ -22,6 +23,7 @@ GROWTH = ht.Growth(GRIDS)
 STUMP = ht.Growth(GRIDS, max_depth=1)
 FOREST = ht.Growth(GRIDS, members=8)
 ARRIVAL = 2000  # rows of a micro-batch
+FORGET, L2 = 0.999, 1.0
 
 
 def flow(name: str):
@@ -94,6 +96,24 @@ def e04_forest(spark, sf_dir):
     return by_batch(replay(spark, sf_dir, FOREST)[0])
 
 
+def _moving(spark, sf_dir, features):
+    seq = sequenced_trips(spark, sf_dir)
+    seq = seq.with_df(seq.df.where("lidx IS NOT NULL"))
+    scores = rc.recursive_least_squares(seq, features, forget=FORGET, l2=L2).df
+    return by_batch(scores.withColumn("batch_id", F.floor(F.col("lidx") / ARRIVAL)))
+
+
+@flow("e01_moving_line")
+def e01_line(spark, sf_dir):
+    """One feature, weights that move with every row: the mean error of each stretch of rows."""
+    return _moving(spark, sf_dir, ["gc_distance_km"])
+
+
+@flow("e01_moving_linear")
+def e01_linear(spark, sf_dir):
+    return _moving(spark, sf_dir, list(GRIDS))
+
+
 # ---------------------------------------------------------------- SQL
 _D = "DECIMAL(38,12)"
 
@@ -149,3 +169,10 @@ p AS (SELECT s.batch, s.target, CASE WHEN s.batch <= (SELECT batch FROM sp)
     THEN (SELECT CAST(sum(a.s) AS DOUBLE) / sum(a.n) FROM past a WHERE a.batch = s.batch)
     ELSE (SELECT CAST(sum(a.s) AS DOUBLE) / sum(a.n) FROM past a WHERE a.batch = s.batch AND a.side = s.side) END AS prediction FROM side s)
 SELECT batch, count(*) AS rows, {R6('sum(abs(target - coalesce(prediction, 0e0))) / count(*)')} AS mae FROM p GROUP BY batch"""
+
+_FORGOT = lambda z: f"coalesce(sum(pow({FORGET}e0, -lidx) * ({z})) OVER before * pow({FORGET}e0, lidx - 1), 0e0)"
+TREE_SQL["e01_moving_line"] = f"""WITH r AS (SELECT lidx, batch, target AS y, coalesce(CAST(gc_distance_km AS DOUBLE), 0e0) AS x FROM ({_ROWS}) r),
+s AS (SELECT *, {_FORGOT('1e0')} + {L2}e0 AS a, {_FORGOT('x')} AS b, {_FORGOT('x * x')} + {L2}e0 AS d, {_FORGOT('y')} AS v, {_FORGOT('x * y')} AS w
+  FROM r WINDOW before AS (ORDER BY lidx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+p AS (SELECT batch, abs(y - ((d * v - b * w) + (a * w - b * v) * x) / (a * d - b * b)) AS e FROM s)
+SELECT batch, count(*) AS rows, {R6('sum(e) / count(*)')} AS mae FROM p GROUP BY batch"""
