@@ -126,3 +126,19 @@ def test_empty_batch_and_constant_target(spark, tmp_dir):
     s.process(spark.createDataFrame(pdf).limit(0), 2)
     assert len(s.trees(spark).nodes[0]) == 1
     assert {r.prediction for r in out.where("batch_id = 1").collect()} == {5.0}
+
+
+def test_many_arrivals_in_a_batch_make_the_same_trees(spark, tmp_dir):
+    pdf = rows(900, 5)
+    pdf.loc[pdf.lidx % 17 == 0, "target"] = np.nan
+    growth = ht.Growth(GROWTH.grids, bins=16, grace=100, max_depth=2)
+    df = spark.createDataFrame(pdf).withColumn("target", F.when(~F.isnan("target"), F.col("target"))).repartition(5)
+    got = []
+    for k, cuts in enumerate(([0, 300, 600, 900], [0, 900])):
+        s = ht.TreeStream(f"{tmp_dir}/state{k}", f"{tmp_dir}/out{k}", growth, arrival=F.floor(F.col("lidx") / 300))
+        for b, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
+            s.process(df.where((F.col("lidx") >= lo) & (F.col("lidx") < hi)), b)
+        trees = s.trees(spark)
+        scores = spark.read.parquet(f"{tmp_dir}/out{k}").select("lidx", "prediction")
+        got.append((trees.node_rows(), sorted(trees.stat_rows()), sorted(tuple(r) for r in scores.collect())))
+    assert got[0] == got[1] and len(got[0][0]) > 2

@@ -1,41 +1,55 @@
-"""Regression trees and forests that grow with the stream, one aggregation a micro-batch.
+"""Regression trees and forests that grow with the stream, a few aggregations a micro-batch.
 
 Every numeric feature has a fixed grid of bins. A micro-batch is routed to the
-leaves by one expression, and counts, sums and sums of squares of the target
+leaves by its bins, and counts, sums and sums of squares of the target
 by (member, leaf, feature, bin) are one aggregation with partial sums in every
 task. Sums are exact decimals, so merging them does not depend on order or
 partitioning. Their number is bounded by members x leaves x features x bins,
 whatever the stream, and so is what the driver merges.
 
-After a micro-batch each leaf of at least ``grace`` rows is tested: the bin edge
+Rows arrive in numbered arrivals, and a micro-batch holds one or many of them; the
+trees are those of one arrival after the other. When a leaf splits depends on its
+own rows only, so all leaves of a depth find their first deciding arrival at once,
+each in a task of its own from its sums by arrival, and their children follow in
+the next round: rounds are bounded by the depth, not by the number of arrivals.
+
+After an arrival each leaf of at least ``grace`` rows is tested: the bin edge
 that lowers the variance most splits it if the best other feature does so by
 less than the Hoeffding bound allows, or if the bound is below ``tie``. Leaves
 predict the mean of their rows, among them those that their parent saw on
 their side of the split. A forest is several trees whose rows carry
 Poisson(1) weights from a hash of (row, member); it predicts the mean of its trees.
 
-Rows are scored by the trees as of the micro-batches before. A null or NaN target is scored
+Rows are scored by the trees as of the arrivals before. A null or NaN target is scored
 and not learned; a null or NaN feature falls into bin -1, below all others.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import asdict, dataclass, field
 from decimal import Decimal
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
+from tidemark.functions.shipping import ship_by_value
 from tidemark.operators.scales import _P, _mixed, round_constants
 from tidemark.session import remove_paths
 from tidemark.streaming.prequential import _mark_committed, state_versions
 
+ship_by_value(__name__)
+
 _EXACT = T.DecimalType(38, 12)
 NODE_DDL = "member int, node int, parent int, depth int, feature string, bin int, n long, s decimal(38,12), born long"
 STAT_DDL = "member int, node int, feature string, bin int, n long, s decimal(38,12), q decimal(38,12)"
+SPLIT_DDL = "member int, node int, feature string, bin int, arrival long, n0 long, s0 decimal(38,12), n1 long, s1 decimal(38,12)"
+_BEFORE = -(1 << 62)  # arrival number of the statistics that a leaf has from earlier micro-batches
 
 
 @dataclass(frozen=True)
@@ -88,55 +102,59 @@ class Trees:
         seen = next(iter(self.stats.get((member, node), {}).values()), {})
         return x.n + sum(v[0] for v in seen.values()), x.s + sum((v[1] for v in seen.values()), Decimal(0))
 
-    # ------------------------------------------------------------ expressions
-    def _walk(self, member: int, node: int, at_leaf) -> Column:
-        x = self.nodes[member][node]
-        if x.feature is None:
-            return F.lit(at_leaf(x))
-        low, high = (self._walk(member, c, at_leaf) for c in self.children(member, node))
-        return F.when(bin_of(self.growth, x.feature) <= x.bin, low).otherwise(high)
-
-    def leaf(self, member: int) -> Column:
-        return self._walk(member, 0, lambda x: x.node)
-
-    def prediction(self) -> Column:
-        """The mean over the members; 0 before the first row."""
-        def mean(x: Node) -> float:
-            n, s = self.totals(x.member, x.node)
-            return float(s) / n if n else 0.0
-        each = [self._walk(m, 0, mean) for m in range(self.growth.members)]
-        return sum(each[1:], each[0]) / F.lit(float(len(each)))
+    # ------------------------------------------------------------ routing
+    def paths(self, since: int | None = None) -> np.ndarray:
+        """A row a node of every member: the number of its split feature (-1: leaf), its bin, both children, and the arrival
+        from which on the split holds: with ``since``, splits of the arrivals from it on hold for those behind them."""
+        names, most = list(self.growth.grids), max(map(len, self.nodes))
+        out = np.full((self.growth.members, most, 5), -1, np.int64)
+        for tree in self.nodes:
+            for x in tree:
+                if x.feature is not None:
+                    low, high = self.children(x.member, x.node)
+                    born = tree[low].born
+                    out[x.member, x.node] = names.index(x.feature), x.bin, low, high, born if since is not None and born >= since else _BEFORE - 1
+        return out
 
     # ------------------------------------------------------------ learning
     def learn(self, statistics: Sequence, batch: int) -> None:
-        """Merge the statistics of a micro-batch and split the leaves that they decide."""
+        """Merge the statistics of an arrival and split the leaves that they decide."""
+        self.merge(statistics)
+        for m in range(self.growth.members):
+            for x in self.leaves(m):
+                if x.depth < self.growth.max_depth:
+                    found = decided(self.growth, self.stats.get((m, x.node), {}))
+                    if found:
+                        self.split(x, *found, batch)
+
+    def merge(self, statistics: Sequence) -> None:
         for r in statistics:
             bins = self.stats.setdefault((r["member"], r["node"]), {}).setdefault(r["feature"], {})
             n, s, q = bins.get(r["bin"], (0, Decimal(0), Decimal(0)))
             bins[r["bin"]] = (n + r["n"], s + r["s"], q + r["q"])
-        for m in range(self.growth.members):
-            for x in self.leaves(m):
-                if x.depth < self.growth.max_depth:
-                    self._try(x, batch)
-
-    def _try(self, x: Node, batch: int) -> None:
-        g, found = self.growth, self.stats.get((x.member, x.node), {})
-        best = sorted(((-gain, f, b) for f, bins in found.items() for gain, b in [best_edge(bins)]), key=lambda t: t[:2])  # equal gains: by name
-        n = sum(v[0] for v in next(iter(found.values()), {}).values())
-        if n < g.grace or not best or best[0][0] >= 0:
-            return
-        second = max(0.0, -best[1][0]) if len(best) > 1 else 0.0
-        eps = math.sqrt(math.log(1.0 / g.delta) / (2.0 * n))
-        if second / -best[0][0] >= 1.0 - eps and eps >= g.tie:
-            return
-        _, x.feature, x.bin = best[0]
-        sides = [(0, Decimal(0)), (0, Decimal(0))]
-        for b, (k, s, _) in found[x.feature].items():
-            i = int(b > x.bin)
-            sides[i] = (sides[i][0] + k, sides[i][1] + s)
+
+    def split(self, x: Node, feature: str, bin_: int, sides: Sequence[tuple[int, Decimal]], batch: int) -> list[Node]:
+        x.feature, x.bin = feature, bin_
         for k, s in sides:
             self.nodes[x.member].append(Node(x.member, len(self.nodes[x.member]), x.node, x.depth + 1, n=k, s=s, born=batch))
-        del self.stats[(x.member, x.node)]
+        self.stats.pop((x.member, x.node), None)
+        return self.nodes[x.member][-2:]
+
+    def renumber(self) -> None:
+        """Number nodes in the order in which one arrival after the other makes them: by arrival, then by the parent's number."""
+        for m, tree in enumerate(self.nodes):
+            number, order, open_ = {-1: -1}, [], [(tree[0].born, -1, 0)]
+            while open_:
+                at = min(open_)  # an arrival's splits are made in the order of the leaves' numbers, children low, high
+                open_.remove(at)
+                number[at[2]] = len(order)
+                order.append(tree[at[2]])
+                open_ += [(tree[c].born, len(order) - 1, c) for c in self.children(m, at[2])]
+            stats = {number[k]: self.stats.pop((m, k)) for k in list(number) if (m, k) in self.stats}
+            for x in order:
+                x.node, x.parent = number[x.node], number[x.parent]
+            self.nodes[m] = order
+            self.stats |= {(m, k): v for k, v in stats.items()}
 
     # ------------------------------------------------------------ tables
     def node_rows(self) -> list[tuple]:
@@ -169,6 +187,94 @@ def best_edge(bins: Mapping[int, tuple[int, Decimal, Decimal]]) -> tuple[float,
     return best, at
 
 
+def decided(growth: Growth, found: Mapping) -> tuple[str, int, list[tuple[int, Decimal]]] | None:
+    """The split that a leaf's statistics decide: feature, bin, and rows and target sum of both sides."""
+    best = sorted(((-gain, f, b) for f, bins in found.items() for gain, b in [best_edge(bins)]), key=lambda t: t[:2])  # equal gains: by name
+    n = sum(v[0] for v in next(iter(found.values()), {}).values())
+    if n < growth.grace or not best or best[0][0] >= 0:
+        return None
+    second = max(0.0, -best[1][0]) if len(best) > 1 else 0.0
+    eps = math.sqrt(math.log(1.0 / growth.delta) / (2.0 * n))
+    if second / -best[0][0] >= 1.0 - eps and eps >= growth.tie:
+        return None
+    _, feature, bin_ = best[0]
+    sides = [(0, Decimal(0)), (0, Decimal(0))]
+    for b, (k, s, _) in found[feature].items():
+        i = int(b > bin_)
+        sides[i] = (sides[i][0] + k, sides[i][1] + s)
+    return feature, bin_, sides
+
+
+def _route(paths: np.ndarray, at: np.ndarray, bins: np.ndarray, member: np.ndarray) -> np.ndarray:
+    node = np.zeros(len(at), np.int64)
+    for _ in range(paths.shape[1]):
+        feature, cut, low, high, born = paths[member, node].T
+        go = (feature >= 0) & (at > born)
+        if not go.any():
+            break
+        below = bins[np.arange(len(at)), np.maximum(feature, 0)] <= cut
+        node = np.where(go, np.where(below, low, high), node)
+    return node
+
+
+def _with_leaves(rows: DataFrame, trees: Trees, since: int | None, slot: Mapping | None = None) -> DataFrame:
+    """``rows`` (with bins and ``_at``) and the leaf ``node`` of their ``member``, or ``_slots``, the numbers of every member's leaf."""
+    paths, names, members = trees.paths(since), ["_bin_" + f for f in trees.growth.grids], trees.growth.members
+    numbers = None
+    if slot is not None:
+        numbers = np.full(paths.shape[:2], -1, np.int32)
+        for at, k in slot.items():
+            numbers[at] = k
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.column("_at").to_numpy(zero_copy_only=False)
+            bins = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in names], axis=1)
+            if numbers is None:
+                node = pa.array(_route(paths, at, bins, b.column("member").to_numpy(zero_copy_only=False)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([*b.columns, node], [*b.schema.names, "node"])
+            else:
+                each = np.stack([numbers[m][_route(paths, at, bins, np.full(len(at), m))] for m in range(members)], axis=1)
+                slots = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * members), pa.array(each.ravel()))
+                yield pa.RecordBatch.from_arrays([*b.columns, slots], [*b.schema.names, "_slots"])
+
+    added = T.StructField("node", T.IntegerType()) if slot is None else T.StructField("_slots", T.ArrayType(T.IntegerType()))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, added]))
+
+
+def _first_decision(growth: Growth):
+    """Of one leaf's statistics by arrival: its first arrival that decides a split."""
+    schema = pa.schema([("member", pa.int32()), ("node", pa.int32()), ("feature", pa.string()), ("bin", pa.int32()), ("arrival", pa.int64()),
+                        ("n0", pa.int64()), ("s0", pa.decimal128(38, 12)), ("n1", pa.int64()), ("s1", pa.decimal128(38, 12))])
+
+    def run(cells: pa.Table) -> pa.Table:
+        cells = cells.sort_by("arrival")
+        leaf = {k: cells.column(k)[0].as_py() for k in ("member", "node")}
+        found: dict[str, dict] = {}
+
+        def decides(arrival: int) -> list[dict]:
+            split = decided(growth, found) if arrival > _BEFORE else None
+            if split is None:
+                return []
+            feature, bin_, ((n0, s0), (n1, s1)) = split
+            return [{**leaf, "feature": feature, "bin": bin_, "arrival": arrival, "n0": n0, "s0": s0, "n1": n1, "s1": s1}]
+
+        last = _BEFORE
+        for i in range(0, len(cells), 1024):  # a leaf decides early as a rule: what lies behind is not unpacked
+            part = cells.slice(i, 1024)
+            for a, f, b, *v in zip(*(part.column(k).to_pylist() for k in ("arrival", "feature", "bin", "n", "s", "q")), strict=True):
+                if a > last:
+                    if out := decides(last):
+                        return pa.Table.from_pylist(out, schema)
+                    last = a
+                own = found.setdefault(f, {})
+                n, s, q = own.get(b, (0, Decimal(0), Decimal(0)))
+                own[b] = (n + v[0], s + v[1], q + v[2])
+        return pa.Table.from_pylist(decides(last), schema)
+
+    return run
+
+
 def spread(n: int, s, q) -> float:
     """Sum of squared deviations, from exact sums."""
     return float(q) - float(s) * float(s) / n
@@ -181,6 +287,10 @@ def bin_of(growth: Growth, feature: str) -> Column:
     return F.when(x.isNull() | F.isnan(x), F.lit(-1)).otherwise(at)
 
 
+def with_bins(rows: DataFrame, growth: Growth) -> DataFrame:
+    return rows.withColumns({"_bin_" + f: bin_of(growth, f) for f in growth.grids})
+
+
 def poisson_steps(most: int = 12) -> list[float]:
     """Cumulative chances of 0, 1, 2, ... for a mean of 1."""
     out, term, total = [], math.exp(-1.0), 0.0
@@ -208,34 +318,68 @@ def with_weights(rows: DataFrame, row_id: str, members: int, seed: int = 42) ->
     return laid.withColumn("_w", weight.cast("long")).drop(*names, "_h", "_u")
 
 
-def statistics(batch: DataFrame, trees: Trees, y: str = "target", row_id: str = "lidx") -> DataFrame:
-    """``(member, node, feature, bin, n, s, q)`` of a micro-batch at the leaves of all members, in one aggregation."""
+def at_leaves(batch: DataFrame, trees: Trees, y: str = "target", row_id: str = "lidx", arrival: Column | None = None, since: int | None = None) -> DataFrame:
+    """The rows with a target, once a member, at their leaves: ``member, node, _at, _y, _yy, _w`` and bins."""
     g = trees.growth
     known = batch.where(F.col(y).isNotNull() & ~F.isnan(F.col(y).cast("double")))
-    rows = known.select(F.col(row_id).alias("_id"), F.col(y).cast(_EXACT).alias("_y"), *[F.col(f) for f in g.grids])
-    leaf = F.lit(0)
-    for m in range(g.members):
-        leaf = F.when(F.col("_m") == m, trees.leaf(m)) if m == 0 else leaf.when(F.col("_m") == m, trees.leaf(m))
-    cells = F.array(*[F.struct(F.lit(f).alias("feature"), bin_of(g, f).alias("bin")) for f in g.grids])
-    rows = with_weights(rows, "_id", g.members).select("_y", "_w", F.col("_m").alias("member"), leaf.cast("int").alias("node"), F.explode(cells).alias("_c"))
+    at = F.lit(_BEFORE) if arrival is None else arrival
+    rows = with_bins(known.select(F.col(row_id).alias("_id"), at.cast("long").alias("_at"), F.col(y).cast(_EXACT).alias("_y"), *[F.col(f) for f in g.grids]), g)
+    rows = rows.withColumn("_yy", (F.col("_y") * F.col("_y")).cast(_EXACT)).drop(*g.grids)
+    return _with_leaves(with_weights(rows, "_id", g.members).where("_w > 0").withColumnRenamed("_m", "member"), trees, since)
+
+
+def _sums(rows: DataFrame, growth: Growth, *keys: str) -> DataFrame:
+    cells = F.array(*[F.struct(F.lit(f).alias("feature"), F.col("_bin_" + f).alias("bin")) for f in growth.grids])
     w = F.col("_w")
-    sums = rows.groupBy("member", "node", "_c.feature", "_c.bin").agg(
+    laid = rows.select("member", "node", "_at", "_y", "_yy", "_w", F.explode(cells).alias("_c"))
+    return laid.groupBy("member", "node", *keys, "_c.feature", "_c.bin").agg(
         F.sum(w).alias("n"), F.sum((w * F.col("_y")).cast(_EXACT)).cast(_EXACT).alias("s"),
-        F.sum((w * (F.col("_y") * F.col("_y")).cast(_EXACT)).cast(_EXACT)).cast(_EXACT).alias("q"))
-    return sums.where("n > 0")
+        F.sum((w * F.col("_yy")).cast(_EXACT)).cast(_EXACT).alias("q"))
+
+
+def statistics(batch: DataFrame, trees: Trees, y: str = "target", row_id: str = "lidx") -> DataFrame:
+    """``(member, node, feature, bin, n, s, q)`` of a micro-batch at the leaves of all members, in one aggregation."""
+    return _sums(at_leaves(batch, trees, y, row_id), trees.growth)
+
+
+def _of_nodes(rows: DataFrame, nodes: Sequence[Node]) -> DataFrame:
+    own: dict[int, list[int]] = {}
+    for x in nodes:
+        own.setdefault(x.member, []).append(x.node)
+    cond = F.lit(False)
+    for m, some in own.items():
+        cond = cond | ((F.col("member") == m) & F.col("node").isin(some))
+    return rows.where(cond)
+
+
+def grow(batch: DataFrame, trees: Trees, since: int, y: str, row_id: str, arrival: Column) -> None:
+    """Make the splits that the arrivals of a micro-batch decide, the leaves of a round at once, their children in the next."""
+    g, spark = trees.growth, batch.sparkSession
+    fresh = [x for m in range(g.members) for x in trees.leaves(m) if x.depth < g.max_depth]
+    while fresh:
+        cells = _sums(_of_nodes(at_leaves(batch, trees, y, row_id, arrival, since), fresh), g, "_at").withColumnRenamed("_at", "arrival")
+        old = [(x.member, x.node, f, b, *v) for x in fresh for f, bins in trees.stats.get((x.member, x.node), {}).items() for b, v in bins.items()]
+        if old:
+            cells = cells.unionByName(spark.createDataFrame(old, STAT_DDL).withColumn("arrival", F.lit(_BEFORE)))
+        splits = cells.groupBy("member", "node").applyInArrow(_first_decision(g), SPLIT_DDL).collect()  # one a leaf at most
+        born = [trees.split(trees.nodes[r["member"]][r["node"]], r["feature"], r["bin"], [(r["n0"], r["s0"]), (r["n1"], r["s1"])], r["arrival"])
+                for r in sorted(splits, key=lambda r: (r["member"], r["node"]))]
+        fresh = [x for pair in born for x in pair if x.depth < g.max_depth]
 
 
 class TreeStream:
     """Trees kept current on a stream, test-then-train.
 
-    A micro-batch is scored by the trees of the batches before it, then learned; the trees after batch
-    ``k`` are two light tables in ``state_dir/v<k>``, its scores are in ``out_dir/batch_id=<k>``. A batch that
-    runs again starts from the same trees and writes the same tables.
+    ``arrival`` numbers the arrivals of the stream, in its order; a micro-batch holds whole ones, by default it is
+    one. Each is scored by the trees of the arrivals before it, then learned; the trees after batch ``k`` are two
+    light tables in ``state_dir/v<k>``, its scores are in ``out_dir/batch_id=<k>``. A batch that runs again starts
+    from the same trees and writes the same tables.
     """
 
-    def __init__(self, state_dir: str, out_dir: str, growth: Growth, y: str = "target", row_id: str = "lidx", keep: Sequence[str] = ()):
+    def __init__(self, state_dir: str, out_dir: str, growth: Growth, y: str = "target", row_id: str = "lidx", keep: Sequence[str] = (),
+                 arrival: Column | None = None):
         self.state_dir, self.out_dir, self.growth, self.y, self.row_id = state_dir.rstrip("/"), out_dir.rstrip("/"), growth, y, row_id
-        self.keep = list(keep) or [row_id]
+        self.keep, self.arrival = list(keep) or [row_id], arrival
 
     def trees(self, spark: SparkSession, before: int | None = None) -> Trees:
         known = [v for v in state_versions(spark, self.state_dir) if before is None or v < before]
@@ -244,10 +388,40 @@ class TreeStream:
         at = f"{self.state_dir}/v{known[-1]}"  # at most members x leaves x features x bins rows
         return Trees.of(self.growth, spark.read.schema(NODE_DDL).parquet(f"{at}/nodes").collect(), spark.read.schema(STAT_DDL).parquet(f"{at}/stats").collect())
 
+    def _scores(self, batch: DataFrame, trees: Trees, totals: dict, arrival: Column, arrivals: list[int]) -> DataFrame:
+        """The mean over the members, 0 before the first row: each leaf's mean of the arrivals before, one array an arrival."""
+        spark, since = batch.sparkSession, arrivals[0]
+        seen = [x for tree in trees.nodes for x in tree if x.feature is None or trees.nodes[x.member][trees.children(x.member, x.node)[0]].born >= since]
+        slot = {(x.member, x.node): k for k, x in enumerate(seen)}
+        table = [(k, *at, *totals.get(at, (trees.nodes[at[0]][at[1]].n, trees.nodes[at[0]][at[1]].s))) for at, k in slot.items()]
+        slots = spark.createDataFrame(table, "slot int, member int, node int, n0 long, s0 decimal(38,12)")
+        w = F.col("_w")
+        taken = at_leaves(batch, trees, self.y, self.row_id, arrival, since).groupBy("member", "node", "_at").agg(
+            F.sum(w).alias("n"), F.sum((w * F.col("_y")).cast(_EXACT)).cast(_EXACT).alias("s"))
+        each = spark.createDataFrame([(a,) for a in arrivals], "_at long").crossJoin(F.broadcast(slots)).join(taken, ["member", "node", "_at"], "left")
+        past = Window.partitionBy("slot").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+        n = F.col("n0") + F.coalesce(F.sum("n").over(past), F.lit(0))
+        s = F.col("s0") + F.coalesce(F.sum("s").over(past), F.lit(0))
+        means = each.select("_at", "slot", n.alias("n"), s.alias("s")).select("_at", F.struct(
+            "slot", F.when(F.col("n") > 0, F.col("s").cast("double") / F.col("n")).otherwise(0.0).alias("mean")).alias("_v"))
+        means = means.groupBy("_at").agg(F.transform(F.sort_array(F.collect_list("_v")), lambda v: v["mean"]).alias("_means"))
+        rows = with_bins(batch.select(*dict.fromkeys([*self.keep, self.y, *self.growth.grids]), arrival.cast("long").alias("_at")), self.growth)
+        rows = _with_leaves(rows, trees, since, slot).join(F.broadcast(means), "_at")  # members x nodes numbers an arrival
+        at = [F.get("_means", F.get("_slots", F.lit(m))) for m in range(self.growth.members)]
+        return rows.select(*self.keep, self.y, (sum(at[1:], at[0]) / F.lit(float(len(at)))).alias("prediction"))
+
     def process(self, batch: DataFrame, batch_id: int) -> None:
         spark, trees = batch.sparkSession, self.trees(batch.sparkSession, batch_id)
-        batch.select(*self.keep, self.y, trees.prediction().alias("prediction")).write.mode("overwrite").parquet(f"{self.out_dir}/batch_id={batch_id}")
-        trees.learn(statistics(batch, trees, self.y, self.row_id).collect(), batch_id)
+        arrival = F.lit(batch_id) if self.arrival is None else self.arrival
+        batch = batch.persist()
+        arrivals = sorted(r["a"] for r in batch.select(arrival.cast("long").alias("a")).distinct().collect()) or [batch_id]  # a number an arrival
+        totals = {(x.member, x.node): trees.totals(x.member, x.node) for m in range(self.growth.members) for x in trees.leaves(m)}
+        grow(batch, trees, arrivals[0], self.y, self.row_id, arrival)
+        self._scores(batch, trees, totals, arrival, arrivals).write.mode("overwrite").parquet(f"{self.out_dir}/batch_id={batch_id}")
+        leaves = [x for m in range(self.growth.members) for x in trees.leaves(m)]
+        trees.merge(_sums(_of_nodes(at_leaves(batch, trees, self.y, self.row_id, arrival, arrivals[0]), leaves), self.growth).collect())
+        batch.unpersist()
+        trees.renumber()
         at = f"{self.state_dir}/v{batch_id}"
         spark.createDataFrame(trees.node_rows(), NODE_DDL).coalesce(1).write.mode("overwrite").parquet(f"{at}/nodes")
         spark.createDataFrame(trees.stat_rows(), STAT_DDL).coalesce(1).write.mode("overwrite").parquet(f"{at}/stats")

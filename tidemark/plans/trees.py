@@ -22,7 +22,8 @@ GRIDS = {"gc_distance_km": (0.0, 0.5), "passenger_count": (0.0, 1.0), "pickup_ho
 GROWTH = ht.Growth(GRIDS)
 STUMP = ht.Growth(GRIDS, max_depth=1)
 FOREST = ht.Growth(GRIDS, members=8)
-ARRIVAL = 2000  # rows of a micro-batch
+ARRIVAL = 2000  # rows of an arrival: scored, then learned
+MOST_ARRIVALS = 512  # arrivals that a micro-batch takes up at most; the trees do not depend on it
 FORGET, L2 = 0.999, 1.0
 
 
@@ -43,12 +44,13 @@ def _stats(spark, sf_dir, growth):
 
 
 def replay(spark, sf_dir, growth: ht.Growth) -> tuple[DataFrame, DataFrame]:
-    """The labelled rows arrive in order and are scored, then learned: the scores, and the last trees' nodes."""
+    """The labelled rows arrive in order and are scored, then learned: the scores, and the last trees' nodes.
+    A run of the query takes up what has arrived since the last one: 1, 4, 16, ... arrivals."""
     rows = materialize(_rows(spark, sf_dir))
     src, state, out, ckpt = (scratch_path(spark, f"trees-{x}") for x in ("src", "state", "out", "ckpt"))
-    stream = ht.TreeStream(state, out, growth)
-    for part in range(-(-rows.count() // ARRIVAL)):
-        sio.append_records(rows.where(F.floor(F.col("lidx") / ARRIVAL) == part), src)
+    stream = ht.TreeStream(state, out, growth, arrival=F.floor(F.col("lidx") / ARRIVAL))
+    for first, end in stretches(-(-rows.count() // ARRIVAL)):
+        sio.append_records(rows.where((F.col("lidx") >= first * ARRIVAL) & (F.col("lidx") < end * ARRIVAL)), src)
         stream.start(spark.readStream.schema(rows.schema).parquet(src), ckpt).awaitTermination()
     nodes = spark.createDataFrame(stream.trees(spark).node_rows(), ht.NODE_DDL)
     scores = materialize(spark.read.parquet(out))
@@ -56,10 +58,19 @@ def replay(spark, sf_dir, growth: ht.Growth) -> tuple[DataFrame, DataFrame]:
     return scores, nodes
 
 
+def stretches(total: int, most: int = MOST_ARRIVALS) -> list[tuple[int, int]]:
+    """``[first, end)`` of the arrivals that each run of a streamed query takes up, growing up to ``most``."""
+    out, at, size = [], 0, 1
+    while at < total:
+        out.append((at, min(total, at + size)))
+        at, size = at + size, min(most, 4 * size)
+    return out
+
+
 def by_batch(scores: DataFrame) -> DataFrame:
     # errors are summed as exact decimals: the mean does not depend on the partitioning
     e = F.abs(F.col("target") - F.col("prediction")).cast("decimal(38,9)")
-    return scores.groupBy(F.col("batch_id").cast("long").alias("batch")).agg(
+    return scores.groupBy(F.floor(F.col("lidx") / ARRIVAL).alias("batch")).agg(
         F.count("*").alias("rows"), r6(F.sum(e).cast("double") / F.count("*")).alias("mae"))
 
 
@@ -100,7 +111,7 @@ def _moving(spark, sf_dir, features):
     seq = sequenced_trips(spark, sf_dir)
     seq = seq.with_df(seq.df.where("lidx IS NOT NULL"))
     scores = rc.recursive_least_squares(seq, features, forget=FORGET, l2=L2).df
-    return by_batch(scores.withColumn("batch_id", F.floor(F.col("lidx") / ARRIVAL)))
+    return by_batch(scores)
 
 
 @flow("e01_moving_line")
