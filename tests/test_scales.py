@@ -130,3 +130,14 @@ def test_stream_equals_batch_on_any_cut(spark, tmp_dir):
     seen = df.where("s IS NOT NULL OR i < 1060")
     key = lambda r: (r.s or "", r.i, r.cut, r.level, round(r.score, 9))
     assert sorted(map(key, got.collect())) == sorted(map(key, sc.scale_alarms(seen, series=["s"]).collect())) != []
+
+
+def test_runs_of_a_streamed_query_are_few_and_take_every_arrival_once():
+    from tidemark.plans.alarms import MOST_ARRIVALS
+    from tidemark.plans.trees import stretches
+
+    assert stretches(0) == [] and stretches(1) == [(0, 1)]
+    for total in (3, 147, 9000):
+        runs = stretches(total, MOST_ARRIVALS)
+        assert [a for lo, hi in runs for a in range(lo, hi)] == list(range(total))
+    assert len(stretches(147, MOST_ARRIVALS)) <= 5 and len(runs) <= 6 + 9000 / MOST_ARRIVALS

@@ -14,6 +14,7 @@ from tidemark.operators import scales as sc
 from tidemark.plans import flows
 from tidemark.plans.catalog import PSI_CATEGORICAL, PSI_NUMERIC, QUERIES, _psi_time
 from tidemark.plans.ordering import materialize, sequence, with_global_index
+from tidemark.plans.trees import stretches
 from tidemark.plans.trips import sequenced_trips
 from tidemark.session import remove_paths, scratch_path
 from tidemark.sources import fixtures as fx
@@ -23,7 +24,8 @@ ALARM_FLOWS: dict = {}
 SEEDS = range(20)
 CHAIN_BLOCK = 500  # rows of the chain's blocks: an alarm waits until a third of the validation window has gone by
 RESTART_BLOCK = 4096  # rows of a block of the detectors that start anew, dozens of alarms here
-ARRIVAL = 4096  # rows of a micro-batch in the streamed query
+ARRIVAL = 4096  # rows of an arrival in the streamed query
+MOST_ARRIVALS = 1024  # arrivals that a micro-batch takes up at most; the alarms do not depend on it
 
 
 def flow(name: str):
@@ -95,11 +97,11 @@ def h03(spark, sf_dir):
     """The alarms of the replayed stream, micro-batch by micro-batch."""
     from tidemark.streaming.scale_state import ScaleStream
 
-    e = fx.error_series(spark, sf_dir).select(F.lit("all").alias("series"), "i", "err")
+    e = materialize(fx.error_series(spark, sf_dir).select(F.lit("all").alias("series"), "i", "err"))
     src, state, out, ckpt = (scratch_path(spark, f"h03-scale-{x}") for x in ("src", "state", "out", "ckpt"))
     stream = ScaleStream(state, out, ["series"])
-    for part in range(-(-e.count() // ARRIVAL)):  # rows arrive in order, a query run takes up what is new
-        sio.append_records(e.where(F.floor(F.col("i") / ARRIVAL) == part), src)
+    for first, end in stretches(-(-e.count() // ARRIVAL), MOST_ARRIVALS):  # rows arrive in order, a query run takes up what is new
+        sio.append_records(e.where((F.col("i") >= first * ARRIVAL) & (F.col("i") < end * ARRIVAL)), src)
         stream.start(spark.readStream.schema(e.schema).parquet(src), ckpt).awaitTermination()
     done = materialize(spark.read.parquet(out).drop("batch_id").unionByName(stream.finish(spark)))
     remove_paths(spark, src, state, out, ckpt)
