@@ -141,3 +141,27 @@ def test_runs_of_a_streamed_query_are_few_and_take_every_arrival_once():
         runs = stretches(total, MOST_ARRIVALS)
         assert [a for lo, hi in runs for a in range(lo, hi)] == list(range(total))
     assert len(stretches(147, MOST_ARRIVALS)) <= 5 and len(runs) <= 6 + 9000 / MOST_ARRIVALS
+
+
+def test_boundaries_travel_by_chunks_not_by_test(spark, monkeypatch):
+    """Many chunks, with a series that ends early: same alarms, and no join that carries a row for every test."""
+    monkeypatch.setattr(sc, "CHUNK", 8)
+    x, y = noise(2500), noise(700, 1)
+    x[600:900] += 2
+    y[400:] += 2
+    df = frame(spark, x).withColumn("s", F.lit("x")).unionByName(frame(spark, y).withColumn("s", F.lit(None)))
+    got = {k: sorted((r.i, r.cut, r.level) for r in sc.scale_alarms(df, series=["s"]).collect() if r.s == k) for k in ("x", None)}
+    assert got == {"x": walk(x, 32), None: walk(y, 32)}
+    prefix = sc.block_prefix(sc.block_sums(frame(spark, x)))
+    assert "Join" not in sc.scale_tests(prefix)._jdf.queryExecution().toString()
+
+
+def test_differences_of_exact_sums_are_exact():
+    from decimal import Decimal
+
+    rng = np.random.default_rng(5)
+    a = [int(v) * 10 ** int(k) + int(w) for v, w, k in zip(rng.integers(-10 ** 15, 10 ** 15, 300), rng.integers(0, 10 ** 9, 300), rng.integers(0, 20, 300), strict=True)]
+    halves = lambda v: np.frombuffer(b"".join(x.to_bytes(16, "little", signed=True) for x in v), np.int64).reshape(-1, 2)
+    got = sc._difference(halves(a), halves(a[1:] + a[:1]))
+    want = [float((Decimal(x) - Decimal(y)) / Decimal(10 ** 12)) for x, y in zip(a, a[1:] + a[:1], strict=True)]
+    assert np.allclose(got, want, rtol=2e-16, atol=0)
