@@ -13,8 +13,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -430,24 +432,21 @@ def detect(df: DataFrame, value: str, order: Sequence[str], series: Sequence[str
     Rows are hash-partitioned by series and sorted inside partitions; the scan
     keeps one detector per series and carries it across Arrow batches, so
     memory is bounded by the batch and the detector, not by the series length.
+    Without series, the one scan reads packed values only (``_detect_one``).
     """
     series = list(series)
+    if not series:
+        return _detect_one(df, value, order, detector, **params)
     cols = [*series, *order, value]
     src = df.select(*cols).where(F.col(value).isNotNull())
-    if series:
-        src = src.repartition(*series).sortWithinPartitions(*series, *order)
-    else:
-        # one series is one ordered scan: sort it distributed (range
-        # partitioned), then concatenate the sorted ranges in order without a
-        # shuffle, so the single task only runs the detector
-        src = src.orderBy(*order).coalesce(1)
+    src = src.repartition(*series).sortWithinPartitions(*series, *order)
     schema = src.schema
     make = DETECTORS[detector]
 
     def scan(batches):
         state = {}
         for pdf in batches:
-            keys = list(zip(*[pdf[c] for c in series])) if series else [()] * len(pdf)
+            keys = list(zip(*[pdf[c] for c in series]))
             vals = pdf[value].to_numpy()
             hits = []
             for pos, (k, v) in enumerate(zip(keys, vals)):
@@ -462,6 +461,37 @@ def detect(df: DataFrame, value: str, order: Sequence[str], series: Sequence[str
     return src.mapInPandas(scan, schema)
 
 
+def _detect_one(df: DataFrame, value: str, order: Sequence[str], detector: str, **params) -> DataFrame:
+    """One series is one ordered scan. The rows are sorted in many tasks, which pack
+    the values alone, eight bytes a row; the one task of the scan reads these and
+    gives the places of alarms, whose rows are looked up in the sorted ones."""
+    src = df.select(*order, value).where(F.col(value).isNotNull())
+    seq = sequence(src, order)
+    numbered = seq.df.withColumn("_at", F.row_number().over(seq.window()).cast("long"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                values = np.asarray(b.column(2).to_numpy(zero_copy_only=False), np.float64)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(0, 1), b.column(1).slice(0, 1), pa.array([values.tobytes()], pa.binary())],
+                                                 [BUCKET, "_at", "_values"])
+
+    make = DETECTORS[detector]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        d = make(**params)
+        for b in batches:
+            for bucket, at, values in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                hits = [at + k for k, v in enumerate(np.frombuffer(values).tolist()) if d.update(v)]
+                if hits:
+                    yield pa.RecordBatch.from_arrays([pa.array([bucket] * len(hits), pa.int32()), pa.array(hits, pa.int64())], ["_in", "_hit"])
+
+    packed = numbered.select(BUCKET, "_at", value).mapInArrow(pack, f"{BUCKET} int, _at long, _values binary")
+    hits = packed.repartition(1).sortWithinPartitions(BUCKET, "_at").mapInArrow(scan, "_in int, _hit long")
+    found = materialize(hits)  # the scan runs once
+    return numbered.join(found, (F.col(BUCKET) == F.col("_in")) & (F.col("_at") == F.col("_hit")), "left_semi").select(*order, value)
+
+
 def shuffle_control(df: DataFrame, value: str, id_col: str, seed: int = 0, detector: str = "adwin",
                     **params) -> DataFrame:
     """The same values in a seeded pseudo-random order; alarms are false positives."""
