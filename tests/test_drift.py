@@ -158,3 +158,17 @@ def test_scan_of_one_series_reads_values_only(spark):
         assert got.columns == ["key", "i", "err"] and sorted(map(tuple, got.collect())) == want != []
     plan = got._jdf.queryExecution().toString()
     assert "Coalesce 1" not in plan and "coalesce(1" not in plan
+
+
+def test_binned_counts_equal_the_join(spark):
+    """Values on edges, equal edges, NaN, infinities, absent values and a feature without a reference."""
+    rng = np.random.default_rng(8)
+    odd = [float("nan"), float("inf"), float("-inf"), -0.0, 0.0, None]
+    rows = [(i % 3, float(round(v, 1)), odd[i % 6], None if i % 2 else float(i % 4)) for i, v in enumerate(rng.normal(0, 1, 600))]
+    df = spark.createDataFrame(rows, "slot int, a double, b double, c double")
+    ref = df.limit(200).withColumn("c", F.lit(None).cast("double"))
+    edges = ps.numeric_edges(ps.unpivot(ref, ["a", "b", "c"]))
+    want = ps.bin_numeric(ps.unpivot(df, ["a", "b", "c"], ["slot"]), edges).groupBy("slot", "feature", "bin").count()
+    got = ps.bin_counts(df, ps.edge_values(edges), ["a", "b", "c"], "slot")
+    assert "Join" not in got._jdf.queryExecution().toString() and "Generate" not in got._jdf.queryExecution().toString()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []

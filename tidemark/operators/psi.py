@@ -10,12 +10,17 @@ broadcast edge table (one row per feature).
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.plans.ordering import sequence, with_global_index
+from tidemark.functions.shipping import ship_by_value
+from tidemark.plans.ordering import materialize, sequence, with_global_index
+
+ship_by_value(__name__)
 
 # Fixed values of the reference configuration.
 PSI_EPS = 1e-6
@@ -57,6 +62,39 @@ def bin_numeric(long_df: DataFrame, edges: DataFrame) -> DataFrame:
     return j.withColumn("bin", F.size(F.filter("edges", lambda e: e < F.col("value")))).drop("edges")
 
 
+def edge_values(edges: DataFrame) -> dict[str, list[float]]:
+    """The edges of each feature, ``bins - 1`` numbers a feature."""
+    return {r["feature"]: list(r["edges"]) for r in edges.collect()}
+
+
+def bin_counts(df: DataFrame, edges: Mapping[str, Sequence[float]], cols: Sequence[str], slot: str | None = None) -> DataFrame:
+    """``([slot], feature, bin, _c)``: counts of ``bin_numeric`` of ``unpivot``, without a row for every value.
+
+    Tasks bin a column of a batch at a time and count it by slot and bin; the counts are then added up.
+    ``slot`` is a column of whole numbers. Features without edges give no rows."""
+    cols = [c for c in cols if c in edges]
+    of = {c: np.array(edges[c], np.float64) for c in cols}
+    rows = df.select(F.col(slot).cast("long").alias("_slot") if slot else F.lit(0).cast("long").alias("_slot"),
+                     *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            slots, number = np.unique(b.column(0).to_numpy(), return_inverse=True)
+            for i, c in enumerate(cols):
+                there = b.column(i + 1).is_valid().to_numpy(zero_copy_only=False)
+                # NaN is above every number, here as in Spark
+                at = np.searchsorted(of[c], b.column(i + 1).to_numpy(zero_copy_only=False)[there], side="left")
+                width = len(of[c]) + 1
+                n = np.bincount(number[there] * width + at, minlength=0)
+                cell = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(slots[cell // width], pa.int64()), pa.array([c] * len(cell), pa.string()),
+                                                  pa.array(cell % width, pa.int32()), pa.array(n[cell], pa.int64())], ["_slot", "feature", "bin", "_c"])
+
+    some = rows.mapInArrow(count, "_slot long, feature string, bin int, _c long")
+    group = [F.col("_slot").alias(slot)] if slot else []
+    return some.groupBy(*group, "feature", "bin").agg(F.sum("_c").alias("_c"))
+
+
 def _psi_terms(r: F.Column, c: F.Column) -> F.Column:
     rr = F.greatest(r, F.lit(PSI_EPS))
     cc = F.greatest(c, F.lit(PSI_EPS))
@@ -136,11 +174,11 @@ def psi_over_time(df: DataFrame, idx: str, numeric: Sequence[str], categorical:
     parts = []
     if numeric:
         rl = unpivot(ref, numeric)
-        edges = numeric_edges(rl, bins)
-        slots = _counts(bin_numeric(unpivot(cur, numeric, ["_slot"]), edges), ["_slot"], "bin")
-        parts.append(psi_from_counts(_counts(bin_numeric(rl, edges), [], "bin"), checks(slots, "bin"), ["check"]))
+        edges = edge_values(numeric_edges(rl, bins))
+        slots = materialize(bin_counts(cur, edges, numeric, "_slot"))  # rows are read once, counts twice
+        parts.append(psi_from_counts(bin_counts(ref, edges, numeric), checks(slots, "bin"), ["check"]))
     if categorical:
-        slots = _counts(unpivot(cur, categorical, ["_slot"], as_string=True), ["_slot"], "value")
+        slots = materialize(_counts(unpivot(cur, categorical, ["_slot"], as_string=True), ["_slot"], "value"))
         parts.append(psi_from_counts(_counts(unpivot(ref, categorical, as_string=True), [], "value"), checks(slots, "value"),
                                      ["check"], key="value"))
     out = parts[0]

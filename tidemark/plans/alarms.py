@@ -13,7 +13,7 @@ from tidemark.operators import restarts as rs
 from tidemark.operators import scales as sc
 from tidemark.plans import flows
 from tidemark.plans.catalog import PSI_CATEGORICAL, PSI_NUMERIC, QUERIES, _psi_time
-from tidemark.plans.ordering import materialize, sequence, with_global_index
+from tidemark.plans.ordering import BUCKET, materialize, sequence, with_global_index
 from tidemark.plans.trees import stretches
 from tidemark.plans.trips import sequenced_trips
 from tidemark.session import remove_paths, scratch_path
@@ -136,7 +136,10 @@ def _psi_schedule(spark, sf_dir):
     """The whole monitored feature set at every check: numeric and categorical features and the nine encoder columns."""
     seq = sequenced_trips(spark, sf_dir)
     te = [en.encoder_name(e, h) for e in en.DEFAULT_ENCODERS for h in en.DEFAULT_HORIZONS]
-    rows = materialize(en.multi_encode(seq)).where("lidx IS NOT NULL").withColumns({c: F.round(c, 6) for c in te})  # equal in SQL up to the last bits: same bin
+    keys = dict.fromkeys([c for e in en.DEFAULT_ENCODERS for c in e])
+    needed = dict.fromkeys([*seq.order, BUCKET, "lidx", "target", "g", *keys, *PSI_NUMERIC, *PSI_CATEGORICAL])  # what no step reads is not carried
+    seq = seq.with_df(seq.df.select(*needed))
+    rows = materialize(en.multi_encode(seq).select("lidx", *PSI_NUMERIC, *PSI_CATEGORICAL, *te)).where("lidx IS NOT NULL").withColumns({c: F.round(c, 6) for c in te})  # equal in SQL up to the last bits: same bin
     return ps.psi_over_time(rows, "lidx", [*PSI_NUMERIC, *te], PSI_CATEGORICAL, 5000, 2000, 1000, total=rows.count())
 
 
