@@ -186,3 +186,34 @@ def test_versions_claimed_by_another_writer_are_skipped(spark, tmp_dir):
     root = f"{tmp_dir}/reg2"
     assert rg._claim(spark, root, 1) and not rg._claim(spark, root, 1)
     assert rg.register(spark, root, "second writer", 1, {"mae": 1.0}) == 2
+
+
+def test_continual_ridge_keeps_statistics_in_matrices(spark, monkeypatch):
+    """Absent features and labels, a micro-batch without labels and one that is missing: equal to a plain loop,
+    and the frame has no aggregate column a pair of features."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, (900, 3))
+    yv = x @ [1.0, -2.0, 0.5] + rng.normal(0, 0.1, 900)
+    rows = [(i, *[None if (i + j) % 41 == 0 else float(v) for j, v in enumerate(x[i])], None if i % 7 == 0 or 200 <= i < 300 else float(yv[i])) for i in range(900) if not 500 <= i < 600]
+    df = spark.createDataFrame(rows, "i bigint, a double, b double, c double, y double").repartition(5)
+    aggregated = []
+    group_by = type(df).groupBy
+    monkeypatch.setattr(type(df), "groupBy", lambda self, *c: (aggregated.append(c) if c else None) or group_by(self, *c))
+    got = {r["i"]: r["prediction"] for r in mo.continual_linear(df, ["a", "b", "c"], "y", "i", 100).collect()}
+    monkeypatch.undo()
+    assert not aggregated and len(got) == 800
+    first = [r for r in rows if r[0] < 100 and r[4] is not None]
+    mu = [np.mean([r[j] for r in first if r[j] is not None]) for j in (1, 2, 3, 4)]
+    known = np.zeros((5, 5))
+    for k in range(9):
+        batch = [r for r in rows if r[0] // 100 == k]
+        n = max(known[0, 0], 1.0)
+        mx, my = known[0, 1:4] / n, known[0, 4] / n
+        w = np.linalg.solve(known[1:4, 1:4] - n * np.outer(mx, mx) + 2.0 * np.eye(3), known[1:4, 4] - n * mx * my)
+        for r in batch:
+            want = None if any(v is None for v in r[1:4]) else mu[3] + my - w @ mx + w @ (np.array(r[1:4]) - mu[:3])
+            if known[0, 0] == 0:
+                want = 0.0
+            assert (got[r[0]] is None) == (want is None) and (want is None or abs(got[r[0]] - want) < 1e-9)
+        z = np.array([[1.0, *[0.0 if v is None else v - m for v, m in zip(r[1:], mu, strict=True)]] for r in batch if r[4] is not None]).reshape(-1, 5)
+        known = known + z.T @ z

@@ -10,11 +10,11 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +31,8 @@ NUMERIC_FEATURES = ("pickup_hour", "pickup_dayofweek", "pickup_month", "is_weeke
                     "pu_airport", "do_airport")
 CATEGORICAL_FEATURES = ("pu_zone", "do_zone", "ratecode", "pu_borough", "do_borough")
 IGNORED_FEATURES = ("pu_zone", "do_zone")
+#: Coefficients of all micro-batches that are broadcast at most.
+COEFS_BYTES = 64 << 20
 
 
 # ---------------------------------------------------------------- E1: ridge
@@ -239,13 +241,14 @@ def continual_linear(df: DataFrame, features: Sequence[str], y: str, idx: str, b
     labelled rows of the batches before ``b``: all of them, or the last
     ``window_batches``. Before any history the prediction is 0.
 
-    Per-batch sufficient statistics (one aggregation, partial per task) are
-    summed along the batches by the two-level plans; the small solves run in
-    vectorized steps over that table, one row per batch; the coefficients
-    join back by batch id. Values are shifted by the warm-up's means, or the
+    Per-batch sufficient statistics (one matrix a batch, folded from arrays in
+    the tasks that hold its rows) are summed along the batches inside range
+    buckets, from what a matrix a bucket says came before; the small solves run
+    in vectorized steps there, and the coefficients join back by batch id. With
+    ``window_batches`` they are rolling sums. Values are shifted by the warm-up's means, or the
     first batch's, so nothing later than a row enters its prediction.
     """
-    from tidemark.plans.ordering import rolling, running, sequence, with_global_index
+    from tidemark.plans.ordering import materialize, rolling, sequence, with_global_index
 
     feats = list(features)
     p = len(feats)
@@ -258,42 +261,120 @@ def continual_linear(df: DataFrame, features: Sequence[str], y: str, idx: str, b
         means = df.where(lab & (b == F.lit(begin))).agg(*[F.avg(c).alias(c) for c in feats], F.avg(y).alias(y)).first()
         mu = {c: float(means[c] or 0.0) for c in [*feats, y]}
         start = None
-    xc = [F.col(c).cast("double") - F.lit(mu[c]) for c in feats]
-    yc = F.col(y) - F.lit(mu[y])
-    terms = {"n": F.lit(1.0), "sy": yc}
-    terms |= {f"sx{i}": xc[i] for i in range(p)} | {f"sxy{i}": xc[i] * yc for i in range(p)}
-    terms |= {f"sxx{i}_{j}": xc[i] * xc[j] for i in range(p) for j in range(i, p)}
-    per = df.groupBy(b.alias("_b")).agg(*[F.coalesce(F.sum(F.when(lab, e)), F.lit(0.0)).alias(c) for c, e in terms.items()])
-    seq = sequence(per, ["_b"])
+    shift = np.array([mu[c] for c in [*feats, y]])
+    n0, cxx0, cxy0 = (float(start.n), start.cxx, start.cxy) if start is not None else (0.0, np.zeros((p, p)), np.zeros(p))
+    width = p + 2
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Products of (1, x, y), a matrix a micro-batch; rows of a task are in few of them, which add up before they leave it."""
+        held: dict[int, np.ndarray] = {}
+
+        def leave() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([m.tobytes() for m in held.values()], pa.binary())], ["_b", "_m"])
+            held.clear()
+            return out
+
+        for rows in batches:
+            ids = rows.column(0).to_numpy()
+            z = np.ones((rows.num_rows, width))
+            for i in range(p + 1):
+                c = rows.column(i + 1)
+                v = c.to_numpy(zero_copy_only=False).astype(np.float64) - shift[i]
+                z[:, i + 1] = np.where(c.is_null().to_numpy(zero_copy_only=False), 0.0, v) if c.null_count else v  # absent: adds nothing
+            z[rows.column(p + 1).is_null().to_numpy(zero_copy_only=False)] = 0.0  # no label: only its micro-batch counts
+            order = np.argsort(ids, kind="stable")
+            ids, z = ids[order], z[order]
+            at = np.concatenate(([0], np.flatnonzero(np.diff(ids)) + 1, [len(ids)])) if len(ids) else [0]
+            for s, e in zip(at[:-1], at[1:], strict=True):
+                k = int(ids[s])
+                held[k] = held.get(k, 0.0) + z[s:e].T @ z[s:e]
+                if len(held) > 512:
+                    yield leave()
+        if held:
+            yield leave()
+
+    numbers = df.where(b.isNotNull()).select(b.alias("_b"), *[F.when(lab, F.col(c).cast("double")).alias(f"x{i}") for i, c in enumerate(feats)], F.col(y).cast("double").alias("y"))
+    products = numbers.mapInArrow(fold, "_b long, _m binary")
+    out_schema = "_b long, " + ", ".join(f"w{i} double" for i in range(p)) + ", w_b double"
+
+    def solved(ids: list[int], m: np.ndarray) -> pa.RecordBatch:
+        n = m[:, 0, 0] + n0
+        safe = np.maximum(n, 1.0)
+        mx, my = m[:, 0, 1:-1] / safe[:, None], m[:, 0, -1] / safe
+        a = m[:, 1:-1, 1:-1] + cxx0 - safe[:, None, None] * mx[:, :, None] * mx[:, None, :] + l2 * np.eye(p)
+        w = np.linalg.solve(a, (m[:, 1:-1, -1] + cxy0 - safe[:, None] * mx * my[:, None])[:, :, None])[:, :, 0]
+        last = np.where(n > 0, my - (w * mx).sum(1), np.nan)
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *[pa.array(w[:, i]) for i in range(p)], pa.array(last)], ["_b", *[f"w{i}" for i in range(p)], "w_b"])
+
+    parts = sequence(materialize(products), ["_b"])  # the parts of a micro-batch are in one bucket
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray]]:
+        """``(bucket, micro-batch, its matrix)`` in order."""
+        now = None
+        for rows in batches:
+            for bucket, k, m in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+                m = np.frombuffer(m).reshape(width, width)
+                if now is not None and now[1] == k:
+                    now = (bucket, k, now[2] + m)
+                else:
+                    if now is not None:
+                        yield now
+                    now = (bucket, k, m)
+        if now is not None:
+            yield now
+
+    inside = parts.df.select(F.col("_bucket").cast("int").alias("_bucket"), "_b", "_m")
     if window_batches is None:
-        cum = running(seq, sums={f"_c_{c}": F.col(c) for c in terms}, inclusive=False).df
+        def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bucket, size, m = None, 0, np.zeros((width, width))
+            for bucket, _, own in whole(batches):
+                size, m = size + 1, m + own
+            if bucket is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([size], pa.int64()), pa.array([m.tobytes()], pa.binary())], ["_bucket", "size", "_m"])
+
+        before, at, size = {}, np.zeros((width, width)), 0
+        for r in sorted(inside.mapInArrow(total, "_bucket int, size long, _m binary").collect(), key=lambda r: r["_bucket"]):  # a matrix a bucket
+            before[r["_bucket"]], at, size = at, at + np.frombuffer(bytes(r["_m"])).reshape(width, width), size + r["size"]
+
+        def along(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """What came before each micro-batch, solved 256 at a time."""
+            sofar, ids, known = None, [], []
+            for bucket, k, own in whole(batches):
+                sofar = before[bucket] if sofar is None else sofar
+                ids.append(k)
+                known.append(sofar)
+                sofar = sofar + own
+                if len(ids) == 256:
+                    yield solved(ids, np.stack(known))
+                    ids, known = [], []
+            if ids:
+                yield solved(ids, np.stack(known))
+
+        coefs = materialize(inside.mapInArrow(along, out_schema))
+        if size * (p + 2) * 8 <= COEFS_BYTES:
+            coefs = F.broadcast(coefs)
     else:
-        dense = with_global_index(seq, "_i").df
-        cum = rolling(dense, "_i", window_batches + 1, {f"_c_{c}": F.col(c) for c in terms})
-        cum = cum.select("_b", *[(F.col(f"_c_{c}") - F.col(c)).alias(f"_c_{c}") for c in terms])
-    cum = cum.select("_b", *[F.col(f"_c_{c}").alias(c) for c in terms])
-    out_schema = "_b long, " + ", ".join(f"w{i} double" for i in range(p)) + ", w_b double"
-    n0, cxx0, cxy0 = (float(start.n), start.cxx, start.cxy) if start is not None else (0.0, np.zeros((p, p)), np.zeros(p))
+        cells = [(i, j) for i in range(width) for j in range(i, width)]
 
-    def solve(batches):
-        for pdf in batches:
-            n = pdf["n"].to_numpy() + n0
-            safe = np.maximum(n, 1.0)
-            sx = pdf[[f"sx{i}" for i in range(p)]].to_numpy().reshape(len(pdf), p)
-            sxy = pdf[[f"sxy{i}" for i in range(p)]].to_numpy().reshape(len(pdf), p) + cxy0
-            sxx = np.zeros((len(pdf), p, p))
-            for i in range(p):
-                for j in range(i, p):
-                    sxx[:, i, j] = sxx[:, j, i] = pdf[f"sxx{i}_{j}"].to_numpy() + cxx0[i, j]
-            mx, my = sx / safe[:, None], pdf["sy"].to_numpy() / safe
-            a = sxx - safe[:, None, None] * mx[:, :, None] * mx[:, None, :] + l2 * np.eye(p)
-            w = np.linalg.solve(a, (sxy - safe[:, None] * mx * my[:, None])[:, :, None])[:, :, 0]
-            out = pd.DataFrame(w, columns=[f"w{i}" for i in range(p)])
-            out.insert(0, "_b", pdf["_b"].to_numpy())
-            out["w_b"] = np.where(n > 0, my - (w * mx).sum(1), np.nan)
-            yield out
-
-    coefs = cum.mapInPandas(solve, out_schema)
+        def wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _, k, m in whole(batches):
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), *[pa.array([m[c]]) for c in cells]], ["_b", *[f"m{i}_{j}" for i, j in cells]])
+
+        names = [f"m{i}_{j}" for i, j in cells]
+        seq = sequence(inside.mapInArrow(wide, "_b long, " + ", ".join(f"{c} double" for c in names)), ["_b"])
+        dense = with_global_index(seq, "_i").df
+        cum = rolling(dense, "_i", window_batches + 1, {f"_c_{c}": F.col(c) for c in names})
+        cum = cum.select("_b", *[(F.col(f"_c_{c}") - F.col(c)).alias(c) for c in names])
+
+        def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rows in batches:
+                m = np.zeros((rows.num_rows, width, width))
+                for (i, j), c in zip(cells, rows.columns[1:], strict=True):
+                    m[:, i, j] = m[:, j, i] = c.to_numpy(zero_copy_only=False)
+                if rows.num_rows:
+                    yield solved(rows.column(0).to_pylist(), m)
+
+        coefs = cum.mapInArrow(solve, out_schema)
     pred = F.col("w_b")
     for i, c in enumerate(feats):
         pred = pred + F.col(f"w{i}") * (F.col(c).cast("double") - F.lit(mu[c]))
