@@ -8,7 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm.embedding_dedup import _compare_blocks, _order_plan, _reduced, embedding_dedup
-from tidemark.llm.toxicity import BUCKETS, PARTS, Scorer, best_cut, drop_toxic, fit, held_out, layout, score_toxicity, word_parts
+from tidemark.llm.support import scratch
+from tidemark.llm.toxicity import (BUCKETS, PARTS, Learner, Scorer, Vocabulary, best_cut, best_cuts, blank, drop_toxic, fit, held_out,
+                                   layout, learn, score_toxicity, word_parts)
 
 SCHEMA = "vec_id bigint, embedding array<float>, label int"
 
@@ -194,3 +196,51 @@ def test_helpers(spark):
     assert 1 < best_cut(score, label, np.ones(4)) < 2
     ids = spark.range(50).select("id", held_out(F.col("id")).alias("h")).collect()
     assert [r["h"] for r in ids] == [zlib.crc32(str(r["id"]).encode()) % 4 == 2 for r in ids]
+
+
+def test_every_labelled_row_teaches(spark):
+    """A toxic word that only rows beyond the first 2,500 of their label hold, in the order of a hash, is learnt too."""
+    ids = (spark.range(14_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+           .where(~held_out("doc_id")).orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").collect())
+    rng, seen, rows = np.random.default_rng(4), {0: 0, 1: 0}, []
+    words = [a + b for a in ("ka", "lo", "mi", "ne", "ru") for b in ("ta", "so", "pe", "dan", "vor")]
+    for i, y in ids:
+        seen[y] += 1
+        rows.append((i, " ".join([*rng.choice(words, 6), *(["vile" if seen[y] <= 2500 else "grob"] if y else [])]), "en"))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(4)
+    model = learn(docs, spark.createDataFrame(ids).select("doc_id", "toxic"))
+    new = [" ".join(rng.choice(words, 6)) for _ in range(300)]
+    scorer = Scorer(model)
+    for word in ("vile", "grob"):
+        assert (scorer.scores([f"{t} {word}" for t in new]) >= 0.3).mean() > 0.97
+    assert (scorer.scores(new) >= 0.3).mean() < 0.03
+
+
+def test_cuts_of_all_rows_match_a_plain_scan(spark):
+    rng = np.random.default_rng(6)
+    y = rng.integers(0, 2, 3000)
+    z = np.round(rng.standard_normal(3000) + 1.5 * y, 2)  # with ties
+    z[:5] = z[0]
+    lang = rng.choice(["", "de", "en"], 3000)
+    rows = [(str(a), float(b), int(c)) for a, b, c in zip(lang, z, y, strict=True)] + [("fr", 9.5, 0), ("es", -9.5, 1)]
+    with scratch(spark, "cuts") as s:
+        got = {a: (cut, n) for a, cut, n in best_cuts(s, spark.createDataFrame(rows, "lang string, z double, y int").repartition(5))}
+    assert set(got) == {None, "", "de", "en"}  # one label alone has no cut
+    for name, (cut, n) in got.items():
+        own = [r for r in rows if name is None or r[0] == name]
+        zs, ys = np.array([r[1] for r in own]), np.array([r[2] for r in own])
+        assert cut == best_cut(zs, ys, np.ones(len(own))) and n == ys.sum()
+
+
+def test_state_keeps_all_that_is_learnt():
+    words = Vocabulary()
+    texts = words.encode_all(["vile ka lo", "ka lo mi", "grob vile ka", "mi lo"])
+    parts, shared = words.take(), np.ones(BUCKETS, bool)
+    learner = Learner.fresh(shared)
+    learner.epoch(np.random.default_rng(1), texts, np.array([1, 0, 1, 0]), np.ones(4), parts, 2)
+    assert learner.steps == 2 and learner.touched.max() == 2
+    again = Learner(blank(), shared).load(learner.state())
+    assert (again.state() == learner.state()).all() and again.steps == 0
+    for a in (learner, again):
+        a.epoch(np.random.default_rng(2), texts, np.array([1, 0, 1, 0]), np.ones(4), parts, 2)
+    assert np.allclose(again.state(), learner.state(), atol=1e-6)

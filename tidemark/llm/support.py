@@ -48,17 +48,18 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.name, self._paths = spark, name, {}
 
-    def table(self, df: DataFrame, label: str, keep: bool = False, few: bool = False) -> DataFrame:
+    def table(self, df: DataFrame, label: str, keep: bool = False, few: bool = False, by: str | None = None) -> DataFrame:
         """Write ``df`` and return the written table; ``keep`` spares it from ``close``.
 
         ``few`` gathers rows that are light next to the shuffle they come from in
-        an eighth as many files: small files cost more than their rows.
+        an eighth as many files: small files cost more than their rows. ``by`` names
+        a column with few values that later reads are limited by.
         """
         path = scratch_path(self.spark, f"{self.name}-{label}")
         with operator_conf(self.spark):
             if few:
                 df = df.repartition(-(-shuffle_width(self.spark) // 8))
-            df.write.parquet(path)
+            (df.write.partitionBy(by) if by else df.write).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         if not keep:
             self._paths[id(out)] = (out, path)
