@@ -146,3 +146,32 @@ def test_huge_components(spark):
 
 def test_negatives_of_nothing(spark):
     assert mine_hard_negatives(frame(spark, [[1.0]]).where("false"), F.col("vec_id") % 2 == 0).collect() == []
+
+
+def written_plans(monkeypatch):
+    """The plans of the tables that operators write from here on, by label."""
+    from tidemark.llm.support import Scratch
+
+    plans, table = {}, Scratch.table
+
+    def noted(self, df, label, *args, **more):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return table(self, df, label, *args, **more)
+
+    monkeypatch.setattr(Scratch, "table", noted)
+    return plans
+
+
+def test_neighbours_in_slices(spark, monkeypatch):
+    """Query blocks are not copied for a broadcast: they meet the shards a slice at a time, with the same answers."""
+    import tidemark.llm.blocks as B
+    import tidemark.llm.graph_index as G
+
+    df = frame(spark, vectors(600).tolist())
+    want = sorted(tuple(r) for r in nearest_neighbours(df, F.col("vec_id") % 5 == 0, 5, shard_vectors=200).collect())
+    plans = written_plans(monkeypatch)
+    monkeypatch.setattr(G, "QUERY_BLOCK", 16)
+    monkeypatch.setattr(B, "SLICE_BLOCKS", 3, raising=False)
+    assert sorted(tuple(r) for r in nearest_neighbours(df, F.col("vec_id") % 5 == 0, 5, shard_vectors=200).collect()) == want
+    assert len(want) == 600 and not any("explode(sequence(" in p for p in plans.values())
+    assert sum(label.startswith("found") for label in plans) >= 3  # 8 blocks or more

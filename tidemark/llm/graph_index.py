@@ -9,9 +9,9 @@ answered by a beam search in every shard; distances of what the beams hold are
 then computed in double precision on the original vectors.
 
 A shard is one row of a written table (its vectors, graph and ids as packed
-bytes), a query block another. A task meets its shards with all query blocks
-and merges the answers of a block, so what leaves a task grows with the queries
-only.
+bytes), a query block another. A task meets its shards with the query blocks,
+slice by slice, and merges the answers of a block, so what leaves a task grows
+with the queries only.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.shipping import ship_by_value
-from tidemark.llm.blocks import Best, batch_of, matrix, met, pack, vector_columns
+from tidemark.llm.blocks import Best, batch_of, batches_of, cell_files, matrix, met, pack, vector_columns
 from tidemark.llm.support import operator_conf, scratch, shuffle_width
 from tidemark.plans.ordering import first_n_per_group
 
@@ -38,7 +38,6 @@ QUERY_BEAM = 128       # and when it is queried
 EXPAND = 4             # vectors whose edges a search follows at once
 BATCH = 512            # searches that run together
 QUERY_BLOCK = 256
-HELD_BLOCKS = 512      # answered blocks that a task holds before it passes them on
 
 
 class Graph:
@@ -194,12 +193,12 @@ def centred(x: np.ndarray, mean: np.ndarray, scale: float) -> np.ndarray:
     return ((x - mean) / scale).astype(np.float32)
 
 
-GRAPH = "grp int, dim int, shard int, entry int, vecs binary, edges binary, ids binary, ends binary"
+GRAPH = "dim int, shard int, entry int, vecs binary, edges binary, ids binary, ends binary"
 BLOCK = "dim int, number bigint, q_ids binary, q_vecs binary"
 FOUND = "number bigint, q_ids binary, worth binary, ids binary, filled binary"
 
 
-def _build(dtype: str, degree: int, alpha: float, beam: int, groups: int):
+def _build(dtype: str, degree: int, alpha: float, beam: int):
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("node")
         x = matrix(table.column("vec").combine_chunks(), dtype).astype(np.float64)
@@ -207,9 +206,8 @@ def _build(dtype: str, degree: int, alpha: float, beam: int, groups: int):
         scale = float(np.abs(x - mean).max()) or 1.0
         g = build_graph(centred(x, mean, scale), degree, alpha, beam)
         ids = table.column("ids").combine_chunks()
-        shard = table.column("shard")[0].as_py()
         return pa.Table.from_batches([batch_of([{
-            "grp": shard % groups, "dim": x.shape[1], "shard": shard, "entry": g.entry, "vecs": x.tobytes(),
+            "dim": x.shape[1], "shard": table.column("shard")[0].as_py(), "entry": g.entry, "vecs": x.tobytes(),
             "edges": g.edges.astype(np.int32).tobytes(), "ids": ids.flatten().to_numpy().tobytes(),
             "ends": ids.offsets.to_numpy().astype(np.int64).tobytes()}], GRAPH)])
     return run
@@ -235,26 +233,17 @@ def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def _search(k: int, beam: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[Best, dict]] = {}
-        shard, parts = None, None
-
-        def emit() -> pa.RecordBatch:
-            rows = [{"number": n, "q_ids": r["q_ids"]} | best.packed() for n, (best, r) in held.items()]
-            held.clear()
-            return batch_of(rows, FOUND)
-
-        for b in batches:
-            for r in b.to_pylist():
-                if shard != (r["dim"], r["shard"]):
-                    shard, x = (r["dim"], r["shard"]), np.frombuffer(r["vecs"], np.float64).reshape(-1, r["dim"])
-                    mean = (x / len(x)).sum(axis=0)
-                    scale = float(np.abs(x - mean).max()) or 1.0
-                    g = Graph(centred(x, mean, scale), np.frombuffer(r["edges"], np.int32).reshape(len(x), -1).astype(np.int64), r["entry"])
-                    parts = x, mean, scale, g, np.frombuffer(r["ids"], np.int64), np.frombuffer(r["ends"], np.int64)
-                x, mean, scale, g, ids, ends = parts
-                own, q = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["q_vecs"], np.float64).reshape(-1, r["dim"])
-                best = held.setdefault(r["number"], (Best(len(q), k), r))[0]
+    def run(shards: Iterator[dict], blocks: dict[int, list[dict]]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[Best, bytes]] = {}
+        for r in shards:
+            x = np.frombuffer(r["vecs"], np.float64).reshape(-1, r["dim"])
+            mean = (x / len(x)).sum(axis=0)
+            scale = float(np.abs(x - mean).max()) or 1.0
+            g = Graph(centred(x, mean, scale), np.frombuffer(r["edges"], np.int32).reshape(len(x), -1).astype(np.int64), r["entry"])
+            ids, ends = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["ends"], np.int64)
+            for block in blocks.get(r["dim"], []):
+                own, q = np.frombuffer(block["q_ids"], np.int64), np.frombuffer(block["q_vecs"], np.float64).reshape(-1, r["dim"])
+                best = held.setdefault(block["number"], (Best(len(q), k), block["q_ids"]))[0]
                 found, _ = g.search(centred(q, mean, scale), beam)
                 who, col = np.nonzero(found >= 0)
                 what = found[who, col]
@@ -264,10 +253,7 @@ def _search(k: int, beam: int):
                 copy = ids[np.arange(len(line)) - np.repeat(np.cumsum(many) - many, many) + ends[what][line]]
                 other = copy != own[who][line]
                 best.add(who[line][other], -score[line][other], copy[other])
-            if len(held) > HELD_BLOCKS:
-                yield emit()
-        if held:
-            yield emit()
+        yield from batches_of(({"number": n, "q_ids": q_ids} | best.packed() for n, (best, q_ids) in held.items()), FOUND)
     return run
 
 
@@ -312,13 +298,12 @@ def nearest_neighbours(vectors: DataFrame, queries: Column, k: int = 10, id_col:
         shards = -(-nodes.count() // shard_vectors)
         if not shards:
             return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-        groups = min(shards, 2 * shuffle_width(spark))
-        dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int")).repartition(groups, "dim", "shard")
+        dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int")).repartition(cell_files(shards, shuffle_width(spark)), "dim", "shard")
         graphs = s.table(dealt.groupBy("dim", "shard").applyInArrow(
-            _build(dtype, degree, alpha, build_beam, groups), GRAPH), "graphs")
+            _build(dtype, degree, alpha, build_beam), GRAPH), "graphs")
         asked = s.table(rows.where("_query").dropDuplicates(["node", "id"]).select("id", "dim", "vec"), "asked")
         packed = asked.repartition(-(-asked.count() // (8 * QUERY_BLOCK)) or 1, "id")
         blocks = s.table(packed.mapInArrow(pack(QUERY_BLOCK, BLOCK, _query_block(dtype)), BLOCK), "blocks")
-        found = s.table(met(graphs, blocks, groups).mapInArrow(_search(k, query_beam), FOUND), "found")
+        found = met(s, graphs, blocks, "number", _search(k, query_beam), FOUND, "found")
         out = found.groupBy("number").applyInArrow(_answers(k), "query_id bigint, rank int, id bigint, score double")
         return s.table(out.withColumnRenamed("id", "vec_id"), "result", keep=True)

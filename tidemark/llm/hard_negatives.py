@@ -9,8 +9,8 @@ bounds the error, so an interval holds the true score for certain. Rows whose
 interval cannot reach an anchor's best ones go; the rest are scored in whole
 numbers, and only these scores decide.
 
-Anchors are a stated query set that meets all rows in blocks, twice: for their
-positives and then, with the positives' scores known, for the negatives.
+Anchors are a stated query set that meets all rows in blocks, slice by slice, twice: for
+their positives and then, with the positives' scores known, for the negatives.
 """
 
 from __future__ import annotations
@@ -23,14 +23,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.shipping import ship_by_value
-from tidemark.llm.blocks import Best, batch_of, matrix, met, pack, vector_columns
+from tidemark.llm.blocks import Best, batch_of, batches_of, cell_files, matrix, met, pack, vector_columns
 from tidemark.llm.support import operator_conf, scratch, shuffle_width
 
 ship_by_value(__name__)
 
 CELL_ROWS = 4096
 ANCHOR_BLOCK = 256
-HELD_BLOCKS = 128
 CODES = 6              # one-bit codes of a vector
 STEPS = (3, 6)         # codes that each filter uses; the first one looks at all rows
 EXACT = 1 << 53        # products below this are whole numbers in a double
@@ -179,19 +178,11 @@ OUT = "anchor_id bigint, positive_id bigint, rank int, negative_id bigint, posit
 
 def _mine(positives: int, negatives: int | None, low: int, high: int):
     """Task code: the best rows of every anchor, same label (``negatives`` None) or another one."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(cells: Iterator[dict], blocks: dict[int, list[dict]]) -> Iterator[pa.RecordBatch]:
         held: dict[int, Best] = {}
-        cell = None
-
-        def emit() -> pa.RecordBatch:
-            rows = [{"number": n} | best.packed() for n, best in held.items()]
-            held.clear()
-            return batch_of(rows, FOUND)
-
-        for b in batches:
-            for r in b.to_pylist():
-                if cell != r["number"]:
-                    cell, (ids, labels, x, v) = r["number"], _unpacked(r)
+        for cell in cells:
+            ids, labels, x, v = _unpacked(cell)
+            for r in blocks.get(cell["dim"], []):
                 a_ids, a_labels, a_x, q = _unpacked(r, "a_")
                 n = len(a_ids)
                 slots, k = (1, positives) if negatives is None else (positives, negatives)
@@ -214,10 +205,7 @@ def _mine(positives: int, negatives: int | None, low: int, high: int):
                 for j in range(slots):
                     fits = np.ones(len(who), bool) if negatives is None else there[who, j] & _in_band(score, p[who, j], low, high)
                     best.add(who[fits] * slots + j, score[fits], ids[what[fits]])
-            if len(held) > HELD_BLOCKS:
-                yield emit()
-        if held:
-            yield emit()
+        yield from batches_of(({"number": n} | best.packed() for n, best in held.items()), FOUND)
     return run
 
 
@@ -279,17 +267,16 @@ def mine_hard_negatives(vectors: DataFrame, anchors: Column, positives: int = 5,
         count, asked = rows.agg(F.count("*"), F.count_if("_anchor")).first()
         if not asked:
             return spark.createDataFrame([], OUT)
-        groups = min(2 * shuffle_width(spark), -(-count // CELL_ROWS))
+        files = cell_files(-(-count // CELL_ROWS), shuffle_width(spark))
         some = rows.select("id", "label", "vec", "dim")
-        cells = s.table(some.repartition(groups).mapInArrow(pack(CELL_ROWS, CELL, _cell(dtype, seed)), CELL)
-                        .withColumn("grp", F.spark_partition_id()), "cells")
+        cells = s.table(some.repartition(files).mapInArrow(pack(CELL_ROWS, CELL, _cell(dtype, seed)), CELL), "cells")
         own = rows.where("_anchor").select("id", "label", "vec", "dim").distinct().repartition(-(-asked // (8 * ANCHOR_BLOCK)), "id")
         blocks = s.table(own.mapInArrow(pack(ANCHOR_BLOCK, CELL, _cell(dtype, seed)), CELL), "anchors")
         blocks = blocks.select("dim", *[F.col(c).alias(f"a_{c}") for c in blocks.columns if c != "dim"])
-        near = s.table(met(cells, blocks, groups).mapInArrow(_mine(positives, None, low, high), FOUND), "near")
+        near = met(s, cells, blocks, "a_number", _mine(positives, None, low, high), FOUND, "near")
         near = s.table(near.groupBy("number").applyInArrow(_merged(positives), BEST), "positives")
         known = s.table(blocks.join(near, "a_number"), "known")
-        far = s.table(met(cells, known, groups).mapInArrow(_mine(positives, negatives, low, high), FOUND), "far")
+        far = met(s, cells, known, "a_number", _mine(positives, negatives, low, high), FOUND, "far")
         far = s.table(far.groupBy("number").applyInArrow(_merged(negatives), BEST), "negatives")
         both = known.select("a_number", "a_ids", F.col("p_ids").alias("pos_ids"), F.col("p_worth").alias("pos_worth")).join(far, "a_number")
         return s.table(both.mapInArrow(_listed(positives, negatives), OUT), "result", keep=True)
