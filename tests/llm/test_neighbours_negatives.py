@@ -175,3 +175,20 @@ def test_neighbours_in_slices(spark, monkeypatch):
     assert sorted(tuple(r) for r in nearest_neighbours(df, F.col("vec_id") % 5 == 0, 5, shard_vectors=200).collect()) == want
     assert len(want) == 600 and not any("explode(sequence(" in p for p in plans.values())
     assert sum(label.startswith("found") for label in plans) >= 3  # 8 blocks or more
+
+
+def test_negatives_in_slices(spark, monkeypatch):
+    import tidemark.llm.blocks as B
+
+    r = np.random.default_rng(4)
+    x = vectors(500, 32, 2.0).tolist()
+    rows = [(i, v, int(r.integers(0, 3))) for i, v in enumerate(x)] + [(500 + i, x[i][:5], i % 3) for i in range(20)]
+    plans = written_plans(monkeypatch)
+    monkeypatch.setattr(H, "CELL_ROWS", 100)
+    monkeypatch.setattr(H, "ANCHOR_BLOCK", 8)
+    monkeypatch.setattr(B, "SLICE_BYTES", 8_000, raising=False)
+    df = frame(spark, [v for _, v, _ in rows], [c for _, _, c in rows], [i for i, _, _ in rows])
+    got = mine_hard_negatives(df, F.col("vec_id") % 10 == 0).collect()
+    assert sorted(tuple(g) for g in got) == negatives(rows, 10)
+    assert not any("explode(sequence(" in p or "BroadcastHashJoin" in p for p in plans.values())
+    assert sum(label.startswith("far") for label in plans) >= 3

@@ -275,8 +275,8 @@ def mine_hard_negatives(vectors: DataFrame, anchors: Column, positives: int = 5,
         blocks = blocks.select("dim", *[F.col(c).alias(f"a_{c}") for c in blocks.columns if c != "dim"])
         near = met(s, cells, blocks, "a_number", _mine(positives, None, low, high), FOUND, "near")
         near = s.table(near.groupBy("number").applyInArrow(_merged(positives), BEST), "positives")
-        known = s.table(blocks.join(near, "a_number"), "known")
+        known = s.table(blocks.join(near.hint("merge"), "a_number"), "known")  # a light file may hold many blocks: not by broadcast
         far = met(s, cells, known, "a_number", _mine(positives, negatives, low, high), FOUND, "far")
         far = s.table(far.groupBy("number").applyInArrow(_merged(negatives), BEST), "negatives")
-        both = known.select("a_number", "a_ids", F.col("p_ids").alias("pos_ids"), F.col("p_worth").alias("pos_worth")).join(far, "a_number")
+        both = known.select("a_number", "a_ids", F.col("p_ids").alias("pos_ids"), F.col("p_worth").alias("pos_worth")).join(far.hint("merge"), "a_number")
         return s.table(both.mapInArrow(_listed(positives, negatives), OUT), "result", keep=True)
