@@ -142,3 +142,70 @@ def test_many_arrivals_in_a_batch_make_the_same_trees(spark, tmp_dir):
         scores = spark.read.parquet(f"{tmp_dir}/out{k}").select("lidx", "prediction")
         got.append((trees.node_rows(), sorted(trees.stat_rows()), sorted(tuple(r) for r in scores.collect())))
     assert got[0] == got[1] and len(got[0][0]) > 2
+
+
+def test_sums_in_arrays_equal_exact_decimals(spark):
+    """Members are drawn and summed in the tasks, no row a member, to the last digit of sums over rows as Spark draws them."""
+    pdf = rows(3000, 6)
+    pdf["lidx"] = pdf["lidx"] - 700  # also ids below 0
+    pdf["target"] = pdf["target"] * np.where(pdf.lidx % 5 == 0, -1.0, 1 / 3) * np.where(pdf.lidx % 97 == 0, 1e7, 1.0)
+    pdf.loc[pdf.lidx % 17 == 0, "target"] = np.nan
+    pdf.loc[pdf.lidx % 13 == 0, "b"] = np.nan
+    df = spark.createDataFrame(pdf).repartition(4)
+    df = df.withColumn("lidx", F.when(F.col("lidx") % 101 != 0, F.col("lidx")))
+    growth, exact = ht.Growth(GROWTH.grids, bins=16, members=3), "decimal(38,12)"
+    got = ht.statistics(df, ht.Trees(growth))
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    y = F.col("target").cast(exact)
+    laid = ht.with_weights(ht.with_bins(df.where("NOT isnan(target)"), growth).withColumns({"y": y, "yy": (y * y).cast(exact)}), "lidx", 3)
+    want = []
+    for f in growth.grids:
+        want += laid.where("_w > 0").groupBy("_m", F.lit(f).alias("f"), "_bin_" + f).agg(
+            F.sum("_w"), *[F.sum((F.col("_w") * F.col(c)).cast(exact)).cast(exact) for c in ("y", "yy")]).collect()
+    got = [(r.member, r.feature, r.bin, r.n, r.s, r.q) for r in got.collect()]
+    assert sorted(got) == sorted(tuple(r) for r in want) and max(abs(g[5]) for g in got) > 2 ** 63 // 10 ** 6
+
+
+def test_whole_numbers_beyond_a_long():
+    import decimal
+
+    import pyarrow as pa
+
+    with decimal.localcontext(prec=60):
+        values = [decimal.Decimal(v) for v in ("12345678901234567890.123456789012", "-98765432109876543210.5", "0.000000500000", "-0.0000005", "7")]
+        units = ht._units(pa.array([*values, None], pa.decimal128(38, 12)).slice(0))
+        assert units.tolist() == [int(v * 10 ** 12) for v in values] + [0]
+        w = np.array([1, 12, 1, 3, 2, 1])
+        sums = ht._Sums(2)
+        for _ in range(3):
+            sums.add(np.array([0, 0, 1, 1, 1, 1]), w, ht._weighted(w, units), ht._weighted(w, units))
+        rounded = [(k * v).quantize(decimal.Decimal("1e-6"), decimal.ROUND_HALF_UP) for k, v in zip(w.tolist(), values)]
+        got = ht._decimals(sums.total("s", np.arange(2))).to_pylist()
+        assert got == [3 * sum(rounded[:2]), 3 * sum(rounded[2:])] and sums.n.tolist() == [39, 21]
+
+
+def test_a_run_reads_its_own_rows_in_many_tasks(spark, monkeypatch):
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    from tidemark.plans import trees
+
+    for most in (1, 3, 4, 16, 512):
+        total = 5 * most + 90
+        laid = spark.range(total).select("id", trees.run_of(F.col("id"), most).alias("k")).collect()
+        assert [r.k for r in sorted(laid)] == [k for k, (first, end) in enumerate(trees.stretches(total, most)) for _ in range(first, end)]
+    schema = StructType([StructField(c, LongType() if c == "lidx" else spark.range(0).selectExpr("0D").schema[0].dataType)
+                         for c in ("lidx", "target", *trees.GRIDS)])
+    rng = np.random.default_rng(7)
+    few = spark.createDataFrame([(i, *map(float, rng.uniform(0, 6, 4))) for i in range(7 * 50)], schema)
+    seen, append = [], trees.sio.append_records
+
+    def noted(df, folder):
+        seen.append((df.rdd.getNumPartitions(), {f.split("/")[-2] for f in df.inputFiles()}))
+        append(df, folder)
+
+    monkeypatch.setattr(trees, "_rows", lambda *a: few)
+    monkeypatch.setattr(trees, "ARRIVAL", 50)
+    monkeypatch.setattr(trees.sio, "append_records", noted)
+    scores, _ = trees.replay(spark, "", ht.Growth(trees.GRIDS, members=2))
+    assert scores.count() == 350 and scores.select("lidx").distinct().count() == 350
+    assert seen == [(1, {"_run=0"}), (4, {"_run=1"}), (2, {"_run=2"})]

@@ -3,9 +3,11 @@
 Every numeric feature has a fixed grid of bins. A micro-batch is routed to the
 leaves by its bins, and counts, sums and sums of squares of the target
 by (member, leaf, feature, bin) are one aggregation with partial sums in every
-task. Sums are exact decimals, so merging them does not depend on order or
+task: members are drawn, routed and summed in arrays there, no row a member.
+Sums are exact (whole numbers in the tasks, decimals between them), so merging them does not depend on order or
 partitioning. Their number is bounded by members x leaves x features x bins,
-whatever the stream, and so is what the driver merges.
+whatever the stream, and so is what the driver merges; rows and target sums by arrival,
+members x leaves an arrival, come to the driver for the scores.
 
 Rows arrive in numbered arrivals, and a micro-batch holds one or many of them; the
 trees are those of one arrival after the other. When a leaf splits depends on its
@@ -29,14 +31,15 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import asdict, dataclass, field
-from decimal import Decimal
+from decimal import Context, Decimal
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from tidemark.functions.shipping import ship_by_value
 from tidemark.operators.scales import _P, _mixed, round_constants
@@ -48,8 +51,12 @@ ship_by_value(__name__)
 _EXACT = T.DecimalType(38, 12)
 NODE_DDL = "member int, node int, parent int, depth int, feature string, bin int, n long, s decimal(38,12), born long"
 STAT_DDL = "member int, node int, feature string, bin int, n long, s decimal(38,12), q decimal(38,12)"
+CELL_DDL = "member int, node int, arrival long, feature string, bin int, n long, s decimal(38,12), q decimal(38,12)"
 SPLIT_DDL = "member int, node int, feature string, bin int, arrival long, n0 long, s0 decimal(38,12), n1 long, s1 decimal(38,12)"
 _BEFORE = -(1 << 62)  # arrival number of the statistics that a leaf has from earlier micro-batches
+_UNIT = 1_000_000  # a sum's last digit counts as many of the decimals' last digits
+_LIMB = (1 << 32) - 1
+_WIDE = Context(prec=60)
 
 
 @dataclass(frozen=True)
@@ -205,41 +212,154 @@ def decided(growth: Growth, found: Mapping) -> tuple[str, int, list[tuple[int, D
     return feature, bin_, sides
 
 
-def _route(paths: np.ndarray, at: np.ndarray, bins: np.ndarray, member: np.ndarray) -> np.ndarray:
-    node = np.zeros(len(at), np.int64)
-    for _ in range(paths.shape[1]):
-        feature, cut, low, high, born = paths[member, node].T
+def _route(paths: np.ndarray, at: np.ndarray, bins: np.ndarray) -> np.ndarray:
+    """The leaf of each row in one member, whose ``paths`` these are."""
+    node, row = np.zeros(len(at), np.int64), np.arange(len(at))
+    for _ in range(len(paths)):
+        feature, cut, low, high, born = paths[node].T
         go = (feature >= 0) & (at > born)
         if not go.any():
             break
-        below = bins[np.arange(len(at)), np.maximum(feature, 0)] <= cut
+        below = bins[row, np.maximum(feature, 0)] <= cut
         node = np.where(go, np.where(below, low, high), node)
     return node
 
 
-def _with_leaves(rows: DataFrame, trees: Trees, since: int | None, slot: Mapping | None = None) -> DataFrame:
-    """``rows`` (with bins and ``_at``) and the leaf ``node`` of their ``member``, or ``_slots``, the numbers of every member's leaf."""
-    paths, names, members = trees.paths(since), ["_bin_" + f for f in trees.growth.grids], trees.growth.members
-    numbers = None
-    if slot is not None:
-        numbers = np.full(paths.shape[:2], -1, np.int32)
-        for at, k in slot.items():
-            numbers[at] = k
+def _bins(b: pa.RecordBatch, growth: Growth) -> np.ndarray:
+    return np.stack([b.column("_bin_" + f).to_numpy(zero_copy_only=False) for f in growth.grids], axis=1).astype(np.int64)
+
+
+def _drawn(ids: pa.Array, members: int, seed: int = 42) -> list[np.ndarray]:
+    """The weights of ``with_weights``, an array a member."""
+    if members == 1:
+        return [np.ones(len(ids), np.int64)]
+    known = np.ones(len(ids), bool) if not ids.null_count else ids.is_valid().to_numpy(zero_copy_only=False)
+    v = np.fmod(pc.fill_null(ids, 0).to_numpy(zero_copy_only=False).astype(np.int64), _P)  # signs as Spark's
+    steps, out = np.array(poisson_steps()), []
+    for m in range(members):
+        h = v
+        for c1, c2, c3 in (round_constants(seed, 2 * m), round_constants(seed, 2 * m + 1)):
+            h = np.fmod(h * c1 + c2, _P)
+            h = np.fmod(h * h + c3, _P)
+        out.append(np.searchsorted(steps, h / float(_P), side="right") * known)
+    return out
+
+
+def _units(column: pa.Array) -> np.ndarray:
+    """The whole numbers of last digits in a decimal column; Python's where a weight's multiple may not fit a long."""
+    if column.null_count:
+        column = pc.fill_null(column, pa.scalar(Decimal(0), column.type))
+    words = np.frombuffer(column.buffers()[1], np.int64)[2 * column.offset:2 * (column.offset + len(column))].reshape(-1, 2)
+    low, high = words[:, 0], words[:, 1]
+    most = 1 << 58
+    if (high == low >> 63).all() and low.max(initial=0) < most and low.min(initial=0) > -most:
+        return low
+    return high.astype(object) * (1 << 64) + low.copy().view(np.uint64).astype(object)
+
+
+def _weighted(w: np.ndarray, units: np.ndarray) -> np.ndarray:
+    """``w * units`` in units of a sum, rounded half up as Spark's product of a long and such a decimal."""
+    v = w * units
+    whole = (np.abs(v) + _UNIT // 2) // _UNIT
+    return np.where(v < 0, -whole, whole)
+
+
+def _decimals(units: np.ndarray) -> pa.Array:
+    if units.dtype != object and np.abs(units).max(initial=0) < 1 << 42:
+        low = units * _UNIT
+        words = np.stack([low, low >> 63], axis=1).tobytes()
+    else:
+        words = b"".join((int(v) * _UNIT).to_bytes(16, "little", signed=True) for v in units.tolist())
+    return pa.Array.from_buffers(pa.decimal128(38, 12), len(units), [None, pa.py_buffer(words)])
+
+
+class _Sums:
+    """Counts and exact sums by key, as limbs of 32 bits whose sums fit a long."""
+
+    def __init__(self, size: int):
+        self.size, self.n, self.limbs = size, np.zeros(size, np.int64), {}
+
+    def add(self, key: np.ndarray, n: np.ndarray, s: np.ndarray, q: np.ndarray) -> None:
+        np.add.at(self.n, key, n)
+        for name, v in (("s", s), ("q", q)):
+            top = 3 if v.dtype == object else int(max(v.max(initial=0), -v.min(initial=0)) > _LIMB >> 1)
+            for i in range(top + 1):
+                part = v >> 32 * i
+                part = part if i == top else part & _LIMB
+                if (name, i) not in self.limbs:
+                    self.limbs[name, i] = np.zeros(self.size, np.int64)
+                np.add.at(self.limbs[name, i], key, part.astype(np.int64))
+
+    def total(self, name: str, at: np.ndarray) -> np.ndarray:
+        parts = {i: limbs[at] for (k, i), limbs in self.limbs.items() if k == name}
+        if max(parts, default=0) < 2 and all(np.abs(p).max(initial=0) < 1 << (60 - 32 * i) for i, p in parts.items()):
+            return sum((p << 32 * i for i, p in parts.items()), np.zeros(len(at), np.int64))
+        return sum((p.astype(object) * (1 << 32 * i) for i, p in parts.items()), np.zeros(len(at), object))
+
+
+def _cells(rows: DataFrame, trees: Trees, since: int | None, each: Sequence[Node] = (), whole: Sequence[Node] | None = (), taken: bool = False) -> DataFrame:
+    """Partial sums of the rows of ``laid_out``, ``CELL_DDL``: those of the leaves ``each`` by arrival, feature and bin, those of
+    the leaves ``whole`` (None: all) by feature and bin at the arrival ``_BEFORE``, and with ``taken`` those of every leaf by
+    arrival under the feature ``''``."""
+    growth, paths, names = trees.growth, trees.paths(since), list(trees.growth.grids)
+    members, most = paths.shape[:2]
+    slots, width, wide = members * most, growth.bins + 1, (growth.bins + 1) * len(names)
+
+    def mask(nodes: Sequence[Node] | None) -> np.ndarray:
+        out = np.full(slots, nodes is None)
+        out[[x.member * most + x.node for x in nodes or ()]] = True
+        return out
+
+    by_arrival, at_once = mask(each), mask(whole)
+    schema = pa.schema([("member", pa.int32()), ("node", pa.int32()), ("arrival", pa.int64()), ("feature", pa.string()), ("bin", pa.int32()),
+                        ("n", pa.int64()), ("s", pa.decimal128(38, 12)), ("q", pa.decimal128(38, 12))])
+
+    def listed(sums: _Sums, at: np.ndarray, slot: np.ndarray, arrival: np.ndarray, cell: np.ndarray | None) -> pa.RecordBatch:
+        feature = pa.array([""] * len(at)) if cell is None else pa.array(names).take(pa.array(cell // width))
+        bin_ = np.zeros(len(at)) if cell is None else cell % width - 1
+        return pa.RecordBatch.from_arrays([
+            pa.array((slot // most).astype(np.int32)), pa.array((slot % most).astype(np.int32)), pa.array(arrival), feature, pa.array(bin_.astype(np.int32)),
+            pa.array(sums.n[at]), _decimals(sums.total("s", at)), _decimals(sums.total("q", at))], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Sums(slots * wide) if at_once.any() else None
         for b in batches:
-            at = b.column("_at").to_numpy(zero_copy_only=False)
-            bins = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in names], axis=1)
-            if numbers is None:
-                node = pa.array(_route(paths, at, bins, b.column("member").to_numpy(zero_copy_only=False)).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([*b.columns, node], [*b.schema.names, "node"])
-            else:
-                each = np.stack([numbers[m][_route(paths, at, bins, np.full(len(at), m))] for m in range(members)], axis=1)
-                slots = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * members), pa.array(each.ravel()))
-                yield pa.RecordBatch.from_arrays([*b.columns, slots], [*b.schema.names, "_slots"])
-
-    added = T.StructField("node", T.IntegerType()) if slot is None else T.StructField("_slots", T.ArrayType(T.IntegerType()))
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, added]))
+            if not b.num_rows:
+                continue
+            at, bins, y, yy = b.column("_at").to_numpy(zero_copy_only=False), _bins(b, growth), _units(b.column("_y")), _units(b.column("_yy"))
+            arrivals, which = np.unique(at, return_inverse=True)
+            places = []
+            for m, w in enumerate(_drawn(b.column("_id"), members)):
+                row = np.flatnonzero(w)
+                places.append((row, m * most + _route(paths[m], at[row], bins[row]), w[row]))
+            row, slot, w = (np.concatenate(c) for c in zip(*places, strict=True))
+            s, q = _weighted(w, y[row]), _weighted(w, yy[row])
+            cell = np.arange(len(names)) * width + bins + 1
+            if taken:
+                key, at_key = np.unique(which[row] * slots + slot, return_inverse=True)
+                sums = _Sums(len(key))
+                sums.add(at_key, w, s, q)
+                yield listed(sums, np.arange(len(key)), key % slots, arrivals[key // slots], None)
+            some = np.flatnonzero(by_arrival[slot])
+            if len(some):
+                key = (((which[row[some]] * slots + slot[some]) * wide)[:, None] + cell[row[some]]).ravel()
+                key, at_key = np.unique(key, return_inverse=True)
+                sums = _Sums(len(key))
+                sums.add(at_key, *(np.repeat(v[some], len(names)) for v in (w, s, q)))
+                yield listed(sums, np.arange(len(key)), key // wide % slots, arrivals[key // (wide * slots)], key % wide)
+            some = np.flatnonzero(at_once[slot]) if held else some[:0]
+            if len(some):
+                held.add((slot[some][:, None] * wide + cell[row[some]]).ravel(), *(np.repeat(v[some], len(names)) for v in (w, s, q)))
+        key = np.flatnonzero(held.n) if held else np.zeros(0, np.int64)
+        if len(key):
+            yield listed(held, key, key // wide, np.full(len(key), _BEFORE), key % wide)
+
+    return rows.select("_id", "_at", "_y", "_yy", *["_bin_" + f for f in names]).where("_y IS NOT NULL").mapInArrow(run, CELL_DDL)
+
+
+def _gathered(cells: DataFrame) -> DataFrame:
+    return cells.groupBy("member", "node", "arrival", "feature", "bin").agg(
+        *[(F.sum(c) if c == "n" else F.sum(c).cast(_EXACT)).alias(c) for c in ("n", "s", "q")])
 
 
 def _first_decision(growth: Growth):
@@ -318,55 +438,73 @@ def with_weights(rows: DataFrame, row_id: str, members: int, seed: int = 42) ->
     return laid.withColumn("_w", weight.cast("long")).drop(*names, "_h", "_u")
 
 
-def at_leaves(batch: DataFrame, trees: Trees, y: str = "target", row_id: str = "lidx", arrival: Column | None = None, since: int | None = None) -> DataFrame:
-    """The rows with a target, once a member, at their leaves: ``member, node, _at, _y, _yy, _w`` and bins."""
-    g = trees.growth
-    known = batch.where(F.col(y).isNotNull() & ~F.isnan(F.col(y).cast("double")))
+def laid_out(batch: DataFrame, growth: Growth, y: str, row_id: str, arrival: Column | None, keep: Sequence[str] = ()) -> DataFrame:
+    """What learning and scoring read: ``_id``, ``_at``, the bins, and target and square as exact decimals (null where there is
+    no target), behind ``keep``."""
+    known = F.col(y).isNotNull() & ~F.isnan(F.col(y).cast("double"))
     at = F.lit(_BEFORE) if arrival is None else arrival
-    rows = with_bins(known.select(F.col(row_id).alias("_id"), at.cast("long").alias("_at"), F.col(y).cast(_EXACT).alias("_y"), *[F.col(f) for f in g.grids]), g)
-    rows = rows.withColumn("_yy", (F.col("_y") * F.col("_y")).cast(_EXACT)).drop(*g.grids)
-    return _with_leaves(with_weights(rows, "_id", g.members).where("_w > 0").withColumnRenamed("_m", "member"), trees, since)
-
-
-def _sums(rows: DataFrame, growth: Growth, *keys: str) -> DataFrame:
-    cells = F.array(*[F.struct(F.lit(f).alias("feature"), F.col("_bin_" + f).alias("bin")) for f in growth.grids])
-    w = F.col("_w")
-    laid = rows.select("member", "node", "_at", "_y", "_yy", "_w", F.explode(cells).alias("_c"))
-    return laid.groupBy("member", "node", *keys, "_c.feature", "_c.bin").agg(
-        F.sum(w).alias("n"), F.sum((w * F.col("_y")).cast(_EXACT)).cast(_EXACT).alias("s"),
-        F.sum((w * F.col("_yy")).cast(_EXACT)).cast(_EXACT).alias("q"))
+    rows = with_bins(batch.select(*dict.fromkeys([*keep, y, *growth.grids]), F.col(row_id).cast("long").alias("_id"), at.cast("long").alias("_at"),
+                                  F.when(known, F.col(y).cast(_EXACT)).alias("_y")), growth)
+    return rows.withColumn("_yy", (F.col("_y") * F.col("_y")).cast(_EXACT)).drop(*[f for f in growth.grids if f not in keep and f != y])
 
 
 def statistics(batch: DataFrame, trees: Trees, y: str = "target", row_id: str = "lidx") -> DataFrame:
     """``(member, node, feature, bin, n, s, q)`` of a micro-batch at the leaves of all members, in one aggregation."""
-    return _sums(at_leaves(batch, trees, y, row_id), trees.growth)
+    return _gathered(_cells(laid_out(batch, trees.growth, y, row_id, None), trees, None, whole=None)).drop("arrival")
 
 
-def _of_nodes(rows: DataFrame, nodes: Sequence[Node]) -> DataFrame:
-    own: dict[int, list[int]] = {}
-    for x in nodes:
-        own.setdefault(x.member, []).append(x.node)
-    cond = F.lit(False)
-    for m, some in own.items():
-        cond = cond | ((F.col("member") == m) & F.col("node").isin(some))
-    return rows.where(cond)
+def _frame(spark: SparkSession, rows: Sequence[tuple], ddl: str) -> DataFrame:
+    """``rows`` as a DataFrame, without a look at each value."""
+    kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "decimal(38,12)": pa.decimal128(38, 12)}
+    named = [c.split() for c in ddl.split(", ")]
+    columns = list(zip(*rows, strict=True)) or [()] * len(named)
+    return spark.createDataFrame(pa.table({c: pa.array(v, kinds[k]) for (c, k), v in zip(named, columns, strict=True)}))
 
 
-def grow(batch: DataFrame, trees: Trees, since: int, y: str, row_id: str, arrival: Column) -> None:
-    """Make the splits that the arrivals of a micro-batch decide, the leaves of a round at once, their children in the next."""
-    g, spark = trees.growth, batch.sparkSession
+def grow(rows: DataFrame, trees: Trees, since: int) -> None:
+    """Make the splits that the arrivals of ``rows`` (``laid_out``) decide, the leaves of a round at once, their children in the next."""
+    g, spark = trees.growth, rows.sparkSession
     fresh = [x for m in range(g.members) for x in trees.leaves(m) if x.depth < g.max_depth]
     while fresh:
-        cells = _sums(_of_nodes(at_leaves(batch, trees, y, row_id, arrival, since), fresh), g, "_at").withColumnRenamed("_at", "arrival")
-        old = [(x.member, x.node, f, b, *v) for x in fresh for f, bins in trees.stats.get((x.member, x.node), {}).items() for b, v in bins.items()]
+        cells = _cells(rows, trees, since, each=fresh)
+        old = [(x.member, x.node, _BEFORE, f, b, *v) for x in fresh for f, bins in trees.stats.get((x.member, x.node), {}).items() for b, v in bins.items()]
         if old:
-            cells = cells.unionByName(spark.createDataFrame(old, STAT_DDL).withColumn("arrival", F.lit(_BEFORE)))
+            cells = cells.unionByName(_frame(spark, old, CELL_DDL))
         splits = cells.groupBy("member", "node").applyInArrow(_first_decision(g), SPLIT_DDL).collect()  # one a leaf at most
         born = [trees.split(trees.nodes[r["member"]][r["node"]], r["feature"], r["bin"], [(r["n0"], r["s0"]), (r["n1"], r["s1"])], r["arrival"])
                 for r in sorted(splits, key=lambda r: (r["member"], r["node"]))]
         fresh = [x for pair in born for x in pair if x.depth < g.max_depth]
 
 
+def leaf_means(trees: Trees, totals: Mapping, arrivals: Sequence[int], taken: pa.Table) -> np.ndarray:
+    """``(arrivals, members, nodes)``: every node's mean of the arrivals before, 0 before its first row. ``totals``: rows and target
+    sum of a leaf before them all, ``taken``: those of an arrival."""
+    members, most = trees.growth.members, max(map(len, trees.nodes))
+    n, s = np.zeros((len(arrivals) + 1, members, most), np.int64), np.zeros((len(arrivals) + 1, members, most), object)
+    for tree in trees.nodes:
+        for x in tree:
+            n[0, x.member, x.node], sum_ = totals.get((x.member, x.node), (x.n, x.s))
+            s[0, x.member, x.node] = int(sum_.scaleb(12, _WIDE))
+    at = (np.searchsorted(arrivals, taken.column("arrival").to_numpy()) + 1, taken.column("member").to_numpy(), taken.column("node").to_numpy())
+    n[at], s[at] = taken.column("n").to_numpy(), _units(taken.column("s").combine_chunks()).astype(object)
+    n, s = np.cumsum(n, axis=0)[:-1], np.cumsum(s, axis=0)[:-1]
+    return np.array([a / 10 ** 12 / k if k else 0.0 for a, k in zip(s.ravel().tolist(), n.ravel().tolist(), strict=True)]).reshape(n.shape)
+
+
+def _predicted(growth: Growth, paths: np.ndarray, arrivals: Sequence[int], means: Broadcast, keep: Sequence[str]):
+    """Task code: ``keep`` and the mean over the members, each leaf's mean of the arrivals before the row's."""
+    order = np.array(arrivals)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, bins = b.column("_at").to_numpy(zero_copy_only=False), _bins(b, growth)
+            which, total = np.searchsorted(order, at), 0.0
+            for m in range(growth.members):
+                total = total + means.value[which, m, _route(paths[m], at, bins)]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(total / float(growth.members))], [*keep, "prediction"])
+    return run
+
+
 class TreeStream:
     """Trees kept current on a stream, test-then-train.
 
@@ -386,45 +524,30 @@ class TreeStream:
         if not known:
             return Trees(self.growth)
         at = f"{self.state_dir}/v{known[-1]}"  # at most members x leaves x features x bins rows
-        return Trees.of(self.growth, spark.read.schema(NODE_DDL).parquet(f"{at}/nodes").collect(), spark.read.schema(STAT_DDL).parquet(f"{at}/stats").collect())
-
-    def _scores(self, batch: DataFrame, trees: Trees, totals: dict, arrival: Column, arrivals: list[int]) -> DataFrame:
-        """The mean over the members, 0 before the first row: each leaf's mean of the arrivals before, one array an arrival."""
-        spark, since = batch.sparkSession, arrivals[0]
-        seen = [x for tree in trees.nodes for x in tree if x.feature is None or trees.nodes[x.member][trees.children(x.member, x.node)[0]].born >= since]
-        slot = {(x.member, x.node): k for k, x in enumerate(seen)}
-        table = [(k, *at, *totals.get(at, (trees.nodes[at[0]][at[1]].n, trees.nodes[at[0]][at[1]].s))) for at, k in slot.items()]
-        slots = spark.createDataFrame(table, "slot int, member int, node int, n0 long, s0 decimal(38,12)")
-        w = F.col("_w")
-        taken = at_leaves(batch, trees, self.y, self.row_id, arrival, since).groupBy("member", "node", "_at").agg(
-            F.sum(w).alias("n"), F.sum((w * F.col("_y")).cast(_EXACT)).cast(_EXACT).alias("s"))
-        each = spark.createDataFrame([(a,) for a in arrivals], "_at long").crossJoin(F.broadcast(slots)).join(taken, ["member", "node", "_at"], "left")
-        past = Window.partitionBy("slot").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-        n = F.col("n0") + F.coalesce(F.sum("n").over(past), F.lit(0))
-        s = F.col("s0") + F.coalesce(F.sum("s").over(past), F.lit(0))
-        means = each.select("_at", "slot", n.alias("n"), s.alias("s")).select("_at", F.struct(
-            "slot", F.when(F.col("n") > 0, F.col("s").cast("double") / F.col("n")).otherwise(0.0).alias("mean")).alias("_v"))
-        means = means.groupBy("_at").agg(F.transform(F.sort_array(F.collect_list("_v")), lambda v: v["mean"]).alias("_means"))
-        rows = with_bins(batch.select(*dict.fromkeys([*self.keep, self.y, *self.growth.grids]), arrival.cast("long").alias("_at")), self.growth)
-        rows = _with_leaves(rows, trees, since, slot).join(F.broadcast(means), "_at")  # members x nodes numbers an arrival
-        at = [F.get("_means", F.get("_slots", F.lit(m))) for m in range(self.growth.members)]
-        return rows.select(*self.keep, self.y, (sum(at[1:], at[0]) / F.lit(float(len(at)))).alias("prediction"))
+        return Trees.of(self.growth, spark.read.schema(NODE_DDL).parquet(f"{at}/nodes").collect(), spark.read.schema(STAT_DDL).parquet(f"{at}/stats").toArrow().to_pylist())
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
-        spark, trees = batch.sparkSession, self.trees(batch.sparkSession, batch_id)
-        arrival = F.lit(batch_id) if self.arrival is None else self.arrival
-        batch = batch.persist()
-        arrivals = sorted(r["a"] for r in batch.select(arrival.cast("long").alias("a")).distinct().collect()) or [batch_id]  # a number an arrival
-        totals = {(x.member, x.node): trees.totals(x.member, x.node) for m in range(self.growth.members) for x in trees.leaves(m)}
-        grow(batch, trees, arrivals[0], self.y, self.row_id, arrival)
-        self._scores(batch, trees, totals, arrival, arrivals).write.mode("overwrite").parquet(f"{self.out_dir}/batch_id={batch_id}")
-        leaves = [x for m in range(self.growth.members) for x in trees.leaves(m)]
-        trees.merge(_sums(_of_nodes(at_leaves(batch, trees, self.y, self.row_id, arrival, arrivals[0]), leaves), self.growth).collect())
-        batch.unpersist()
+        spark, trees, g = batch.sparkSession, self.trees(batch.sparkSession, batch_id), self.growth
+        kept = [*self.keep, self.y]
+        rows = laid_out(batch, g, self.y, self.row_id, F.lit(batch_id) if self.arrival is None else self.arrival, kept).persist()
+        arrivals = sorted(r["_at"] for r in rows.select("_at").distinct().collect()) or [batch_id]  # a number an arrival
+        totals = {(x.member, x.node): trees.totals(x.member, x.node) for m in range(g.members) for x in trees.leaves(m)}
+        grow(rows, trees, arrivals[0])
+        leaves = [x for m in range(g.members) for x in trees.leaves(m)]
+        sums = _gathered(_cells(rows, trees, arrivals[0], whole=leaves, taken=True)).toArrow()
+        by_arrival = pc.equal(sums.column("feature"), "")
+        means = spark.sparkContext.broadcast(leaf_means(trees, totals, arrivals, sums.filter(by_arrival)))  # members x nodes numbers an arrival
+        scores = rows.select(*kept, "_at", *["_bin_" + f for f in g.grids])
+        schema = T.StructType([*scores.select(*kept).schema.fields, T.StructField("prediction", T.DoubleType())])
+        scores.mapInArrow(_predicted(g, trees.paths(arrivals[0]), arrivals, means, kept), schema).write.mode("overwrite").parquet(
+            f"{self.out_dir}/batch_id={batch_id}")
+        means.destroy()
+        rows.unpersist()
+        trees.merge(sums.filter(pc.invert(by_arrival)).to_pylist())
         trees.renumber()
         at = f"{self.state_dir}/v{batch_id}"
-        spark.createDataFrame(trees.node_rows(), NODE_DDL).coalesce(1).write.mode("overwrite").parquet(f"{at}/nodes")
-        spark.createDataFrame(trees.stat_rows(), STAT_DDL).coalesce(1).write.mode("overwrite").parquet(f"{at}/stats")
+        for name, table in (("nodes", _frame(spark, trees.node_rows(), NODE_DDL)), ("stats", _frame(spark, trees.stat_rows(), STAT_DDL))):
+            table.coalesce(1).write.mode("overwrite").parquet(f"{at}/{name}")
         _mark_committed(spark, at)
         remove_paths(spark, *[f"{self.state_dir}/v{v}" for v in state_versions(spark, self.state_dir) if v < batch_id - 2])
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import r6
@@ -46,15 +46,17 @@ def _stats(spark, sf_dir, growth):
 def replay(spark, sf_dir, growth: ht.Growth) -> tuple[DataFrame, DataFrame]:
     """The labelled rows arrive in order and are scored, then learned: the scores, and the last trees' nodes.
     A run of the query takes up what has arrived since the last one: 1, 4, 16, ... arrivals."""
-    rows = materialize(_rows(spark, sf_dir))
-    src, state, out, ckpt = (scratch_path(spark, f"trees-{x}") for x in ("src", "state", "out", "ckpt"))
-    stream = ht.TreeStream(state, out, growth, arrival=F.floor(F.col("lidx") / ARRIVAL))
-    for first, end in stretches(-(-rows.count() // ARRIVAL)):
-        sio.append_records(rows.where((F.col("lidx") >= first * ARRIVAL) & (F.col("lidx") < end * ARRIVAL)), src)
+    laid, src, state, out, ckpt = (scratch_path(spark, f"trees-{x}") for x in ("laid", "src", "state", "out", "ckpt"))
+    rows, arrival = _rows(spark, sf_dir), F.floor(F.col("lidx") / ARRIVAL)
+    rows.withColumn("_run", run_of(arrival)).write.partitionBy("_run").parquet(laid)  # a run reads its own rows, not all again
+    stream = ht.TreeStream(state, out, growth, arrival=arrival)
+    for k, (first, end) in enumerate(stretches(-(-spark.read.parquet(laid).count() // ARRIVAL))):
+        new = spark.read.schema(rows.schema).parquet(f"{laid}/_run={k}")
+        sio.append_records(new.repartition(min(end - first, 2 * spark.sparkContext.defaultParallelism), arrival), src)
         stream.start(spark.readStream.schema(rows.schema).parquet(src), ckpt).awaitTermination()
     nodes = spark.createDataFrame(stream.trees(spark).node_rows(), ht.NODE_DDL)
     scores = materialize(spark.read.parquet(out))
-    remove_paths(spark, src, state, out, ckpt)
+    remove_paths(spark, laid, src, state, out, ckpt)
     return scores, nodes
 
 
@@ -67,6 +69,17 @@ def stretches(total: int, most: int = MOST_ARRIVALS) -> list[tuple[int, int]]:
     return out
 
 
+def run_of(arrival: Column, most: int = MOST_ARRIVALS) -> Column:
+    """The number of the stretch that holds an arrival."""
+    growing = next(k for k in range(most) if 4 ** k >= most)  # stretches shorter than ``most``
+    ends = [end for _, end in stretches(sum(4 ** k for k in range(growing)), most)]
+    begun = ends[-1] if ends else 0
+    out = F.lit(growing) + F.floor((arrival - begun) / most)
+    for k in reversed(range(growing)):
+        out = F.when(arrival < ends[k], k).otherwise(out)
+    return out.cast("int")
+
+
 def by_batch(scores: DataFrame) -> DataFrame:
     # errors are summed as exact decimals: the mean does not depend on the partitioning
     e = F.abs(F.col("target") - F.col("prediction")).cast("decimal(38,9)")
