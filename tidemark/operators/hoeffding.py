@@ -480,15 +480,27 @@ def leaf_means(trees: Trees, totals: Mapping, arrivals: Sequence[int], taken: pa
     """``(arrivals, members, nodes)``: every node's mean of the arrivals before, 0 before its first row. ``totals``: rows and target
     sum of a leaf before them all, ``taken``: those of an arrival."""
     members, most = trees.growth.members, max(map(len, trees.nodes))
-    n, s = np.zeros((len(arrivals) + 1, members, most), np.int64), np.zeros((len(arrivals) + 1, members, most), object)
-    for tree in trees.nodes:
-        for x in tree:
-            n[0, x.member, x.node], sum_ = totals.get((x.member, x.node), (x.n, x.s))
-            s[0, x.member, x.node] = int(sum_.scaleb(12, _WIDE))
-    at = (np.searchsorted(arrivals, taken.column("arrival").to_numpy()) + 1, taken.column("member").to_numpy(), taken.column("node").to_numpy())
-    n[at], s[at] = taken.column("n").to_numpy(), _units(taken.column("s").combine_chunks()).astype(object)
-    n, s = np.cumsum(n, axis=0)[:-1], np.cumsum(s, axis=0)[:-1]
-    return np.array([a / 10 ** 12 / k if k else 0.0 for a, k in zip(s.ravel().tolist(), n.ravel().tolist(), strict=True)]).reshape(n.shape)
+    n, s, mean = np.zeros((members, most), np.int64), np.zeros((members, most), object), np.zeros((members, most))
+
+    def add(at: tuple, k: np.ndarray, units: np.ndarray) -> None:
+        n[at] += k
+        s[at] += units
+        mean[at] = [a / 10 ** 12 / b if b else 0.0 for a, b in zip(s[at].tolist(), n[at].tolist(), strict=True)]
+
+    first = [(x.member, x.node, *totals.get((x.member, x.node), (x.n, x.s))) for tree in trees.nodes for x in tree]
+    m, k, rows, sums = zip(*first, strict=True)
+    add((np.array(m), np.array(k)), np.array(rows), np.array([int(v.scaleb(12, _WIDE)) for v in sums], object))
+    taken = taken.sort_by("arrival")
+    at = (taken.column("member").to_numpy(), taken.column("node").to_numpy())
+    k, units = taken.column("n").to_numpy(), _units(taken.column("s").combine_chunks()).astype(object)
+    ends = np.searchsorted(taken.column("arrival").to_numpy(), arrivals, side="right")
+    out, begun = np.empty((len(arrivals), members, most)), 0
+    for i, end in enumerate(ends.tolist()):
+        out[i] = mean
+        some = slice(begun, end)  # a node once an arrival
+        add((at[0][some], at[1][some]), k[some], units[some])
+        begun = end
+    return out
 
 
 def _predicted(growth: Growth, paths: np.ndarray, arrivals: Sequence[int], means: Broadcast, keep: Sequence[str]):
