@@ -28,6 +28,9 @@ and not learned; a null or NaN feature falls into bin -1, below all others.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import math
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import asdict, dataclass, field
@@ -503,6 +506,14 @@ def leaf_means(trees: Trees, totals: Mapping, arrivals: Sequence[int], taken: pa
     return out
 
 
+def _give_back() -> None:
+    """Freed memory goes to the system: a run's micro-batches have a thread of their own, and allocators keep what a thread frees."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _predicted(growth: Growth, paths: np.ndarray, arrivals: Sequence[int], means: Broadcast, keep: Sequence[str]):
     """Task code: ``keep`` and the mean over the members, each leaf's mean of the arrivals before the row's."""
     order = np.array(arrivals)
@@ -556,12 +567,15 @@ class TreeStream:
         means.destroy()
         rows.unpersist()
         trees.merge(sums.filter(pc.invert(by_arrival)).to_pylist())
+        del sums, by_arrival
         trees.renumber()
         at = f"{self.state_dir}/v{batch_id}"
         for name, table in (("nodes", _frame(spark, trees.node_rows(), NODE_DDL)), ("stats", _frame(spark, trees.stat_rows(), STAT_DDL))):
             table.coalesce(1).write.mode("overwrite").parquet(f"{at}/{name}")
         _mark_committed(spark, at)
         remove_paths(spark, *[f"{self.state_dir}/v{v}" for v in state_versions(spark, self.state_dir) if v < batch_id - 2])
+        del trees, table
+        _give_back()
 
     def start(self, stream: DataFrame, checkpoint: str, trigger_available_now: bool = True):
         w = stream.writeStream.foreachBatch(self.process).option("checkpointLocation", checkpoint)
